@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
 
 The kernel compares two words by the three-character subsequences that they share. A subsequence counts
-0.7 ** span, spans of three to five characters, so a gap or an inserted character (`idxiot`, `i.diot`)
+0.9 ** span, spans of three to five characters, so a gap or an inserted character (`idxiot`, `i.diot`)
 lowers the similarity and does not end it. Its feature space is finite, so the kernel of a word with all
 landmarks is one sum of table entries, and so is the decision value of the trained machine.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DECAY = 0.7
+DECAY = 0.9
 #: Places of the second and third character after the first.
 _PLACES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 _WEIGHTS = np.array([DECAY ** (k + 1) for _, k in _PLACES])
@@ -35,7 +35,7 @@ THRESHOLD = 0.7
 MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES = 2500, 5000, 30_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 120, 60
 #: Disguised forms of each common toxic word in the training.
-DISGUISED = 8
+DISGUISED = 4
 
 #: Characters that stand for letters in disguised words.
 _STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "@": "a", "$": "s"})
