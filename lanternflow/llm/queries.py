@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanternflow.llm import decontamination, exact_dedup, ngram_join, packing, toxicity
+from lanternflow.llm import chat_format, decontamination, exact_dedup, ngram_join, packing, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document with its id: bad if of low quality or toxic."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), outcomes)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(chat_format.turn_records().alias("record"))
+    return chat_format.format_records(turns.union(spark.createDataFrame([(chat_format.FORGED,)], "record string")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_toxicity": op2_toxicity,
+        "op3_warc": op3_warc,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_url_filters": op5_url_filters,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
@@ -46,5 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": warc.ORACLE,
+        "op5_url_filters": url_filter.ORACLE,
+        "op8_chat_formatting": chat_format.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
     }
