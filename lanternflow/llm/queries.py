@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternflow.llm import chat_format, decontamination, exact_dedup, html_extract, ngram_join, packing, toxicity, url_filter, warc
+from lanternflow.llm import chat_format, decontamination, exact_dedup, html_extract, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), outcomes)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return html_extract.extract(pages, html_extract.train(pages))
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_url_filters": op5_url_filters,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_html_extraction": op7_html_extraction,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_exact_dedup": op9_exact_dedup,
