@@ -15,8 +15,9 @@ words, turned into a probability by Platt scaling on documents that were kept ou
 
 from __future__ import annotations
 
+import sys
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ _CODES = 64
 LONGEST = 32
 THRESHOLD = 0.7
 #: Bounds of the training sample: documents of each label, and words of clean documents.
-MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES = 2500, 5000, 30_000
+MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES = 1500, 3500, 24_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 120, 60
 #: Disguised forms of each common toxic word in the training.
 DISGUISED = 4
@@ -189,24 +190,30 @@ class Scorer:
 
 def _patterns(docs: list[set[str]], toxic: list[bool]) -> list[list[str]]:
     """Word lists behind the patterns that tell toxic from clean documents: whole words and beginnings of four to seven letters."""
-    holds: dict[str, set[int]] = defaultdict(set)
-    clean: Counter = Counter()
-    words_of: dict[str, Counter] = defaultdict(Counter)
-    for d, (words, bad) in enumerate(zip(docs, toxic)):
-        own: dict[str, list[str]] = defaultdict(list)
-        for w in words:
-            own["=" + w].append(w)
-            for n in range(4, min(8, len(w))):
-                own["^" + w[:n]].append(w)
-        if bad:
-            for p, ws in own.items():
-                holds[p].add(d)
-                words_of[p].update(ws)
-        else:
-            clean.update(own.keys())
+
+    def patterns(word: str) -> list[str]:
+        return ["=" + word, *("^" + word[:n] for n in range(4, min(8, len(word))))]
+
+    def count(label: bool, wanted: Container[str] | None) -> Counter:
+        out: Counter = Counter()
+        for words, bad in zip(docs, toxic):
+            if bad == label:
+                own = {p for w in words for p in patterns(w)}
+                out.update(own if wanted is None else filter(wanted.__contains__, own))
+        return out
+
     n_toxic, n_clean = sum(toxic), len(toxic) - sum(toxic)
     least = max(3, n_toxic // 100)
-    worth = {p: len(ds) - 5 * clean[p] for p, ds in holds.items() if len(ds) >= least and (clean[p] + 0.5) / (n_clean + 1) < 0.05 * len(ds) / n_toxic}
+    held = {p: n for p, n in count(True, None).items() if n >= least}
+    clean = count(False, held)
+    worth = {p: n - 5 * clean[p] for p, n in held.items() if (clean[p] + 0.5) / (n_clean + 1) < 0.05 * n / n_toxic}
+    words_of: dict[str, Counter] = defaultdict(Counter)
+    for words, bad in zip(docs, toxic):
+        if bad:
+            for w in words:
+                for p in patterns(w):
+                    if p in worth:
+                        words_of[p][w] += 1
     # The best pattern first; of equal ones the longer.
     best = sorted(worth, key=lambda p: (-worth[p], -len(p), p))
     return [[w for w, _ in sorted(words_of[p].items(), key=lambda x: (-x[1], x[0]))] for p in best]
@@ -252,7 +259,8 @@ def _platt(values: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def fit(texts: list[str], toxic: list[bool]) -> Model:
     """A model of labelled texts. Without toxic or without clean ones it scores 0."""
     none = Model(None, 0.0, 1.0, 0.0, [])
-    docs = [{p for t in tokens(x or "") if len(w := plain(t)) >= 3 for p in pieces(w)} for x in texts]
+    # Equal words of the documents are one object.
+    docs = [{sys.intern(p) for t in tokens(x or "") if len(w := plain(t)) >= 3 for p in pieces(w)} for x in texts]
     part = [k % 4 == 3 for k in range(len(docs))]
     use = [k for k in range(len(docs)) if not part[k]]
     patterns = _patterns([docs[k] for k in use], [toxic[k] for k in use])
