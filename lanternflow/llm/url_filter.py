@@ -21,6 +21,8 @@ from lanternflow.llm.shared import materialise
 #: (rule, verdict); a rule is host/path.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 LIMIT, Z = 0.25, 1.645
+#: What is believed without any labelled page: so many bad pages of so many.
+PRIOR_BAD, PRIOR_PAGES = 1, 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A host with more than this share of all pages is hot; there are at most 1 / HOT_SHARE such hosts.
 HOT_SHARE = 0.001
@@ -72,7 +74,7 @@ def _strength(members: DataFrame, prior: Column, least: float = 1.0, most: float
 def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """host, pages, rate (posterior mean of the share of bad pages) and bound (its lower bound). hosts: host, domain, suffix, pages, n labelled, k bad."""
     total = hosts.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
-    overall = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)
+    overall = ((total["k"] or 0) + PRIOR_BAD) / ((total["n"] or 0) + PRIOR_PAGES)
     suffixes = hosts.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     s = _strength(suffixes, F.lit(overall))
     suffixes = suffixes.select("suffix", ((F.col("k") + s * overall) / (F.col("n") + s)).alias("prior"))
@@ -141,7 +143,7 @@ WITH u AS (
          count(bad)::DOUBLE AS n, sum(coalesce(bad, 0))::DOUBLE AS k
   FROM u LEFT JOIN o USING (page_id) GROUP BY host
 ), g AS (
-  SELECT (sum(k) + 1) / (sum(n) + 2) AS m FROM h
+  SELECT (sum(k) + 1) / (sum(n) + 20) AS m FROM h
 ), s0 AS (
   SELECT suffix, sum(k) AS k, sum(n) AS n, any_value(m) AS prior FROM h, g GROUP BY suffix
 ), s0s AS (
