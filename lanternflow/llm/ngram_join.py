@@ -7,9 +7,10 @@
 3. Star pass: each node is tried against the smallest node of each of its keys. The bitmaps bound the
    overlap from above (|A| + |B| - differing bits) / 2; of the nodes that the bound leaves, the closest
    is verified on the sorted shingle arrays. This joins nearly all of a large group with one pair a node.
-4. Tile pass: what still lies in different classes but shares a key is compared completely, in tiles of
-   one size band against itself and the band below, cut further where a key is frequent. Pairs that the
-   bitmaps leave are verified on the arrays. No pair is dropped; pairs inside one class are not needed.
+4. Tile pass: what still lies in different classes but shares a key is compared completely. The sets of a
+   rare key are one tile; those of a frequent key are cut into tiles of a part of a size band against a
+   part of the same or a neighbouring band, as a set links only with sizes that near, and only sets that
+   are not of the key's largest class are dealt out over all parts. Pairs that the bitmaps leave are verified on the arrays. No pair is dropped; pairs inside one class are not needed.
 5. Classes are the connected components of all verified links (alternating large and small stars).
 """
 
@@ -32,7 +33,9 @@ BANDS, ROWS = 40, 4
 #: Two documents link when 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 80
 TILE_ROWS = 512
-_MIN_BITS, _MAX_BITS = 64, 1 << 16
+#: Width of a bitmap: this many bits for each shingle, rounded up to a power of two. Wider ones bound closer.
+BITS_PER_SHINGLE = 4
+_MIN_BITS, _MAX_BITS = 64, 1 << 18
 #: Bits of the fixed-size filter that finds the texts to read again: 1 MB.
 _FILTER_BITS = 1 << 23
 
@@ -44,8 +47,8 @@ def enough(both: int, a: int, b: int) -> bool:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit for each shingle, at its hash modulo a power of two that is at least the size of the set."""
-    width = min(_MAX_BITS, max(_MIN_BITS, 1 << max(0, len(shingles) - 1).bit_length()))
+    """One bit for each shingle, at its hash modulo a power of two."""
+    width = min(_MAX_BITS, max(_MIN_BITS, 1 << (BITS_PER_SHINGLE * len(shingles) - 1).bit_length()))
     bits = np.zeros(width, dtype=bool)
     bits[(shingles % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -120,34 +123,65 @@ def _bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _fold(sigs: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps folded to this many bytes, a row of words each."""
     out = np.zeros((len(sigs), width // 8), dtype=np.uint64)
     for k, s in enumerate(sigs):
         out[k] = np.bitwise_or.reduce(np.frombuffer(s, dtype=np.uint64).reshape(-1, width // 8), axis=0)
     return out
 
 
-def _tile(f: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile, home rows against guest rows of other classes, that the bitmaps leave."""
-    home, guest = f[f["guest"] == 0], f[f["guest"] == 1]
+def _tile(rep: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, sigs: list[bytes]) -> list[np.ndarray]:
+    """Pairs of a tile, home rows against guest rows of other classes, that the bitmaps leave. guest: 0 home, 1 guest, 2 both."""
+    home, visit = np.flatnonzero(guest != 1), np.flatnonzero(guest != 0)
+    if not len(home) or not len(visit) or comp.min() == comp.max():
+        return []
+    wide = np.array([len(x) for x in sigs])
     pairs: list[np.ndarray] = []
-    if len(home) and len(guest):
-        width = min(map(len, f["sig"]))
-        h, g = _fold(home["sig"].tolist(), width), _fold(guest["sig"].tolist(), width)
-        hn, gn = home["n"].to_numpy(), guest["n"].to_numpy()
-        hid, gid = home["rep"].to_numpy(), guest["rep"].to_numpy()
-        step = max(1, (1 << 21) // (len(g) * g.shape[1]))
-        for k in range(0, len(h), step):
-            part = slice(k, k + step)
-            differ = popcount(h[part, None, :] ^ g[None, :, :]).sum(axis=2, dtype=np.int64)
-            both = (hn[part, None] + gn[None, :] - differ) // 2
-            both = np.minimum(both, np.minimum(hn[part, None], gn[None, :]))
-            keep = enough(both, hn[part, None], gn[None, :]) & (home["comp"].to_numpy()[part, None] != guest["comp"].to_numpy()[None, :])
-            same = home["band"].to_numpy()[part, None] == guest["band"].to_numpy()[None, :]
-            keep &= ~same | (hid[part, None] < gid[None, :])
-            i, j = np.nonzero(keep)
-            pairs.append(np.stack([np.minimum(hid[part][i], gid[j]), np.maximum(hid[part][i], gid[j])], axis=1))
-    out = np.concatenate(pairs) if pairs else np.zeros((0, 2), dtype=np.int64)
-    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    def cross(home: np.ndarray, visit: np.ndarray, width: int) -> None:
+        if not len(home) or not len(visit):
+            return
+        one, two = _fold([sigs[k] for k in home], width), _fold([sigs[k] for k in visit], width)
+        step = max(1, (1 << 20) // (len(visit) * one.shape[1]))
+        for k in range(0, len(home), step):
+            i = home[k : k + step]
+            differ = popcount(one[k : k + step, None, :] ^ two[None, :, :]).sum(axis=2, dtype=np.int64)
+            x, y = n[i][:, None], n[visit][None, :]
+            both = np.minimum((x + y - differ) // 2, np.minimum(x, y))
+            keep = enough(both, x, y) & (comp[i][:, None] != comp[visit][None, :])
+            keep &= (guest[i][:, None] != 2) | (rep[i][:, None] < rep[visit][None, :])
+            h, g = np.nonzero(keep)
+            a, b = rep[i][h], rep[visit][g]
+            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+
+    for w in np.unique(wide):
+        cross(home[wide[home] == w], visit[wide[visit] == w], w)
+        # A set twice as wide may still be near; one four times as wide is more than twice as large.
+        cross(home[wide[home] == 2 * w], visit[wide[visit] == w], w)
+        cross(home[wide[home] == w], visit[wide[visit] == 2 * w], w)
+    return pairs
+
+
+def _tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of all tiles of a partition that is sorted by tile. A tile that a batch ends in waits for the next one."""
+    held: pd.DataFrame | None = None
+
+    def pairs(f: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+        columns = [f[c].to_numpy() for c in ("rep", "n", "comp", "guest")]
+        sigs = f["sig"].tolist()
+        found = [p for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 for p in _tile(*(c[a:b] for c in columns), sigs[a:b])]
+        if found:
+            out = np.unique(np.concatenate(found), axis=0)
+            yield pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    for f in frames:
+        f = pd.concat([held, f], ignore_index=True) if held is not None else f
+        tile = f[["key", "tile_band", "h", "g"]].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1])
+        yield from pairs(f.iloc[: cuts[-1]], cuts)
+        held = f.iloc[cuts[-1] :]
+    if held is not None:
+        yield from pairs(held, np.array([0, len(held)]))
 
 
 def _exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,21 +268,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = shared.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     w = Window.partitionBy("key")
     rest = rest.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo != hi").drop("lo", "hi")
-    rest = rest.withColumn("parts", F.ceil(F.col("c") / TILE_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # Two sets of different classes are not both of the key's largest class: the others (strays) meet all, and nobody else need meet.
+    alike = F.count("*").over(Window.partitionBy("key", "comp"))
+    rest = rest.withColumn("alike", alike).withColumn("largest", F.max(F.struct("alike", "comp")).over(w)["comp"])
+    rest = rest.withColumn("stray", F.col("comp") != F.col("largest")).withColumn("strays", F.sum(F.col("stray").cast("long")).over(w))
     rest = rest.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(101 / PERCENT)).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    parts = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("rep"), parts(c)).cast("int")
+    each = lambda c, f: F.transform(F.sequence(F.lit(0), parts(c) - 1), f)
     tile = lambda band, h, g, guest: F.struct(band.alias("tile_band"), h.alias("h"), g.alias("g"), F.lit(guest).alias("guest"))
-    placed = rest.withColumn(
-        "tile",
-        F.explode(
-            F.concat(
-                F.transform(every, lambda o: tile(F.col("band"), F.col("own"), o, 0)),
-                F.transform(every, lambda o: tile(F.col("band"), o, F.col("own"), 1)),
-                F.transform(every, lambda o: tile(F.col("band") + 1, o, F.col("own"), 1)),
-            )
-        ),
-    ).select("key", "rep", "n", "sig", "comp", "band", "tile.*")
-    pairs = placed.groupBy("key", "tile_band", "h", "g").applyInPandas(_tile, "a long, b long").distinct()
+    met = each("strays", lambda o: tile(F.col("band"), o, own("c"), 1))
+    meets = F.concat(*(each("c", lambda o: tile(F.col("band") + k, own("strays"), o, 0)) for k in (-1, 0, 1)))  # noqa: B023
+    whole = F.array(tile(F.lit(0), F.lit(0), F.lit(0), 2))
+    cut = F.when(F.col("c") <= TILE_ROWS, whole).when(F.col("stray"), F.concat(met, meets)).otherwise(met)
+    placed = rest.withColumn("tile", F.explode(cut)).select("key", "rep", "n", "sig", "comp", "tile.*")
+    by = ["key", "tile_band", "h", "g"]
+    pairs = placed.repartition(*by).sortWithinPartitions(*by).mapInPandas(_tiles, "a long, b long").distinct()
     pairs = materialise(pairs, "pairs")
     if not pairs.isEmpty():
         links = links.union(materialise(verified(pairs, docs), "more_links"))
