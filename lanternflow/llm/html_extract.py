@@ -344,7 +344,10 @@ def fit(pages: list[str], epochs: int = 8, dresses: int = 5, longest: int = 96,
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller:
     """A labeller trained on at most sample_pages pages, chosen by a hash of their id."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample_pages).collect()
+    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").filter("page_id is not null and html is not null")
+    # Ids are chosen first: tasks send no html but that of the sample.
+    chosen = known.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
+    rows = known.join(F.broadcast(chosen.distinct()), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy(F.xxhash64("page_id")).collect()
     return fit([r["html"] for r in rows])
 
 
