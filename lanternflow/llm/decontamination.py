@@ -68,35 +68,14 @@ class ItemIndex:
                 tables.append((least[order], np.array(own)[order]))
             self.minima[key] = tables
 
-    def search(self, runs: dict[int, np.ndarray], threshold: float) -> list[tuple[int, float, int]]:
-        """(item id, containment, shared shingles) of all items that a document contains. runs: shingles in order, by their words."""
-        found: set[int] = set()
-        blocks: dict[tuple[int, int], list[np.ndarray]] = {}
-        for (n, k), tables in self.minima.items():
-            run = runs[n]
-            if not len(run):
-                continue
-            half = 2 << k
-            starts = np.arange(0, len(run), half)
-            if (n, k) not in blocks:
-                blocks[n, k] = [np.minimum.reduceat(run * m, starts) for m in _MULTIPLIERS]
-            for least, (sorted_, own) in zip(blocks[n, k], tables):
-                window = np.minimum(least[:-1], least[1:]) if len(least) > 1 else least
-                at = np.searchsorted(sorted_, window)
-                hit = np.flatnonzero(sorted_[np.minimum(at, len(sorted_) - 1)] == window)
-                for value in np.unique(window[hit]):
-                    lo, hi = np.searchsorted(sorted_, value, "left"), np.searchsorted(sorted_, value, "right")
-                    found.update(own[lo:hi].tolist())
-        out = []
-        for i in sorted(found):
-            shared = int(np.isin(self.sets[i], runs[self.words[i]]).sum())
-            if shared >= threshold * len(self.sets[i]):
-                out.append((self.ids[i], shared / len(self.sets[i]), shared))
-        return out
-
-
-class _FastSearch:
-    """The minima of many documents at once: most documents have none in common with any item and are done then."""
+    def contained(self, i: int, runs: dict[int, np.ndarray], threshold: float) -> tuple[int, float, int] | None:
+        """(item id, containment, shared shingles) of item i in a document, if it reaches the threshold. runs: the document's shingles, by their words."""
+        shared = int(np.isin(self.sets[i], runs[self.words[i]]).sum())
+        return (self.ids[i], shared / len(self.sets[i]), shared) if shared >= threshold * len(self.sets[i]) else None
+
+
+class _WindowSearch:
+    """The window minima of many documents at once, looked up among those of the items: first in a bitmap, then in the sorted table."""
 
     def __init__(self, index: ItemIndex):
         self.index = index
@@ -107,10 +86,10 @@ class _FastSearch:
                 bits[(mix(least) >> np.uint64(44)).astype(np.int64)] = True
             self.filters[key] = bits
 
-    def candidates(self, words: np.ndarray, at: np.ndarray) -> tuple[set[int], dict[int, np.ndarray]]:
-        """Documents of a chunk in which some minimum may be an item's, and the chunk's shingles by their words."""
+    def candidates(self, words: np.ndarray, at: np.ndarray) -> tuple[set[tuple[int, int]], dict[int, np.ndarray]]:
+        """(document of the chunk, item) pairs with a minimum in common, and the chunk's shingles by their words."""
         runs = {n: rolling(words, n) for n in {n for n, _ in self.index.classes}}
-        out: set[int] = set()
+        out: set[tuple[int, int]] = set()
         for (n, k), bits in self.filters.items():
             run = runs[n]
             size = np.maximum(0, np.diff(at) - n + 1)
@@ -128,21 +107,22 @@ class _FastSearch:
             edges = edges[:-1] if edges[-1] == len(run) else edges
             last = np.zeros(len(owner), dtype=bool)
             last[np.cumsum(count) - 1] = True
-            hit = np.zeros(len(owner), dtype=bool)
-            for m in _MULTIPLIERS:
+            pair = ~last[:-1]
+            for m, (minima, items) in zip(_MULTIPLIERS, self.index.minima[n, k]):
                 least = np.minimum.reduceat(run * m, edges)[::2]
                 window = least.copy()
-                pair = ~last[:-1]
                 window[:-1][pair] = np.minimum(least[:-1][pair], least[1:][pair])
-                hit |= bits[(mix(window) >> np.uint64(44)).astype(np.int64)]
-            out.update(np.unique(owner[hit]).tolist())
+                hit = np.flatnonzero(bits[(mix(window) >> np.uint64(44)).astype(np.int64)])
+                lo, hi = np.searchsorted(minima, window[hit], "left"), np.searchsorted(minima, window[hit], "right")
+                for j in np.flatnonzero(hi > lo):
+                    out.update((int(owner[hit[j]]), int(i)) for i in items[lo[j] : hi[j]])
         return out, runs
 
 
 class _Finder:
     def __init__(self, items: list[tuple[int, str | None]], threshold: float):
         self.index = ItemIndex(items)
-        self.fast = _FastSearch(self.index)
+        self.fast = _WindowSearch(self.index)
         self.threshold = threshold
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int]]:
@@ -151,10 +131,10 @@ class _Finder:
         for chunk in in_chunks([_bytes(t) for t in texts]):
             words, at = word_hashes(chunk, _SEPARATORS)
             near, runs = self.fast.candidates(words, at)
-            for d in sorted(near):
+            for d, i in sorted(near):
                 a, b = int(at[d]), int(at[d + 1])
-                own = {n: r[a : max(a, b - n + 1)] for n, r in runs.items()}
-                for found in self.index.search(own, self.threshold):
+                found = self.index.contained(i, {n: r[a : max(a, b - n + 1)] for n, r in runs.items()}, self.threshold)
+                if found:
                     yield begin + d, *found
             begin += len(chunk)
 
