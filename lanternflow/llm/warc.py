@@ -3,7 +3,8 @@
 Writing: each page row becomes three records, a request, a response or revisit, and a metadata record,
 one after the other in one file. Which payloads are repeated is found on digests and lengths alone; the
 payloads themselves meet only the list of revisits, by page id. Files are written by Spark's text
-writer, whose line separator is the two line ends that close a record, so any file system will do.
+writer, whose line separator is the two line ends that close a record, so any file system will do; they
+are compressed with gzip.
 
 Reading: whole files, a bounded number of records each, are cut by Content-Length. The records of a
 capture are then joined through their concurrent-to identifiers into one nested row a capture.
@@ -11,6 +12,7 @@ capture are then joined through their concurrent-to identifiers into one nested
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -95,7 +97,7 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_
         ("Content-Type", F.lit("application/warc-fields")),
     )
     out = rows.select(F.concat(request, F.lit(CRLF * 2), main, F.lit(CRLF * 2), metadata).alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", max(1, records_per_file // 3)).text(path)
+    out.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", max(1, records_per_file // 3)).option("compression", "gzip").text(path)
 
 
 def cut_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -140,7 +142,8 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> Data
         schema = pa.schema([(n, pa.binary() if n == "payload" else pa.string() if n in ("record_id", "warc_type", "concurrent_to", "target_uri", "payload_digest", "payload_sha256") else pa.int64()) for n in _NAMES])
         for batch in batches:
             for content in batch.column(0):
-                rows = [parse_record(h, b, keep_payload) for h, b in cut_records(content.as_py())]
+                data = content.as_py()
+                rows = [parse_record(h, b, keep_payload) for h, b in cut_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
