@@ -31,8 +31,8 @@ from lanternflow.llm.shared import materialise
 
 CAPACITY = 2048
 GROUPS = 512
-#: Documents of more than this share of the capacity are large.
-SMALL_SHARE = 2
+#: Documents of more than capacity // SMALL_SHARE are large: up to five of them are in one configuration.
+SMALL_SHARE = 6
 END_ID = b"\0\0\0\0"
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -91,41 +91,28 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _fullest(sizes: np.ndarray, left: np.ndarray, room: int) -> list[int]:
-    """Indexes of sizes (downwards) whose sum is as close to room as a subset-sum table finds, no more often than left."""
-    usable = [i for i in range(len(sizes)) if left[i] > 0 and sizes[i] <= room]
-    if not usable:
-        return []
-    #: from_[s]: the last size added on a way to the sum s, the largest that does it.
-    from_ = np.full(room + 1, -1, dtype=np.int64)
-    reach = np.zeros(room + 1, dtype=bool)
-    reach[0] = True
-    for i in usable:
-        s = int(sizes[i])
-        for _ in range(min(int(left[i]), room // s)):
-            new = np.zeros_like(reach)
-            new[s:] = reach[:-s]
-            new &= ~reach
-            if not new.any():
+    """Indexes of sizes (downwards) whose sum is as close to room as a subset-sum table finds, no more often than left.
+
+    The table is the bits of an integer. Each step adds one more copy of a size; a sum is noted where it is first
+    reached, so the way back takes every step once at most.
+    """
+    within, reach = (1 << (room + 1)) - 1, 1
+    steps: list[tuple[int, int, int]] = []
+    for i, (size, n) in enumerate(zip(sizes.tolist(), left.tolist())):
+        for _ in range(min(n, room // size)):
+            new = (reach << size) & within & ~reach
+            if not new:
                 break
-            from_[new] = i
+            steps.append((i, size, new))
             reach |= new
-    out: list[int] = []
-    used: dict[int, int] = {}
-    at = int(np.flatnonzero(reach)[-1])
-    while at:
-        i = int(from_[at])
-        used[i] = used.get(i, 0) + 1
-        if used[i] > left[i]:
+        if reach >> room & 1:
             break
-        out.append(i)
-        at -= int(sizes[i])
-    if at:  # the way used a size too often: take what fits, the largest first
-        out, used = [], {}
-        for i in usable:
-            while sizes[i] <= room and used.get(i, 0) < left[i]:
-                used[i] = used.get(i, 0) + 1
-                out.append(i)
-                room -= int(sizes[i])
+    at = reach.bit_length() - 1
+    out: list[int] = []
+    for i, size, new in reversed(steps):
+        if new >> at & 1:
+            out.append(i)
+            at -= size
     return sorted(out)
 
 

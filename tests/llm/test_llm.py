@@ -238,6 +238,32 @@ def test_packing(spark):
     assert packing.pack(frame(spark, rows[:0])).count() == 0
 
 
+def test_packing_configurations(monkeypatch):
+    rng = random.Random(9)
+    histogram = {n: rng.randrange(1, 40) for n in rng.sample(range(1, 2048), 900)} | {2048: 500}
+    intervals, sequences = packing.plan(histogram)
+    large = 2048 // packing.SMALL_SHARE
+    held, ranks = {}, {}
+    for length, lo, hi, base, each, offset in intervals:
+        for rank in range(lo, hi):
+            ranks.setdefault(length, []).append(rank)
+            held.setdefault(base + (rank - lo) // each, []).append((offset + (rank - lo) % each * length, length))
+    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in histogram.items()}
+    assert sorted(held) == list(range(sequences))
+    for own in held.values():
+        ends = [0]
+        for offset, length in sorted(own):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+    many = [own for own in held.values() if sum(length > large for _, length in own) >= 2]
+    assert len(many) > sequences // 4 and any(len({length for _, length in own if length > large}) >= 2 for own in many)
+    monkeypatch.setattr(packing, "SMALL_SHARE", 1)  # nothing is large: best-fit decreasing
+    assert sequences <= 1.01 * packing.plan(histogram)[1]
+    sizes, left = np.array([900, 500, 300]), np.array([1, 1, 3])
+    assert packing._fullest(sizes, left, 1100) == [1, 2, 2] and packing._fullest(sizes, left, 299) == []
+
+
 def test_token_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
