@@ -6,6 +6,11 @@ against those with their anchor. Anchors that occur once cannot hold a repeat; t
 and dropped by a filter of fixed size before any text travels. Of the rest, a segment is sent: all 100-byte
 strings of the document that have this anchor there, about 35 of them in 135 bytes.
 
+Anchors that are in very many segments are not held by one task. Their segments are dealt out by their bytes and
+a salt: all copies of a segment but the first are repeats as a whole, and are marked as they stream by. The first
+ones meet once more without salt. Distinct segments of an anchor are sorted in one task if there are few;
+if there are many, they are cut into their 100-byte strings, which are dealt out in the same way.
+
 How they are sorted: deep-shallow. A multikey quicksort (eight bytes a key) orders the suffixes to a shallow
 depth of 24 bytes; suffixes that are alone by then are done. The groups that remain have long common
 prefixes. Blind tries order these: all members of a group are compared with its first; the place where
@@ -34,6 +39,10 @@ _PLACE_BITS = 28
 #: Bits of the filter of repeated anchors: 8 MB, whatever the corpus holds. Beyond its capacity more anchors pass and are dropped after the shuffle.
 FILTER_BITS = 1 << 26
 _BATCH_SEGMENTS = 20_000
+#: An anchor in more segments than this is frequent; one with more than SPLIT distinct segments is cut into strings.
+FREQUENT, SPLIT, SALTS = 4_000, 20_000, 64
+_FOUND = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("key", pa.int64()), ("segment", pa.binary())])
+_FOUND_SQL = "doc long, row long, lo long, hi long, key long, segment binary"
 _LAST = [*range(0, LENGTH - 8, 8), LENGTH - 8]
 
 
@@ -78,9 +87,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "n"])
 
 
-def _segments(bits):
+def _segments(known):
+    """known: the filter of repeated anchors, and the frequent ones in order. The salt of other anchors is -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = np.frombuffer(bits.value, dtype=np.uint8)
+        repeated, frequent = np.frombuffer(known.value[0], dtype=np.uint8), np.frombuffer(known.value[1], dtype=np.int64)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
@@ -90,15 +101,23 @@ def _segments(bits):
                 keep = np.flatnonzero((repeated[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
                 data = b"".join(chunk)
                 own = text[keep]
+                doc = np.array([ids[at + t] for t in own], dtype=np.int64)
+                row = np.array([rows[at + t] for t in own], dtype=np.int64)
+                salt = np.full(len(keep), -1, dtype=np.int32)
+                if len(frequent):
+                    among = np.minimum(np.searchsorted(frequent, key[keep]), len(frequent) - 1)
+                    of = np.flatnonzero(frequent[among] == key[keep])
+                    salt[of] = mix((doc[of] ^ row[of]).view(np.uint64)) % np.uint64(SALTS)
                 columns = [
                     pa.array(key[keep], pa.int64()),
-                    pa.array([ids[at + t] for t in own], pa.int64()),
-                    pa.array([rows[at + t] for t in own], pa.int64()),
+                    pa.array(salt, pa.int32()),
+                    pa.array(doc, pa.int64()),
+                    pa.array(row, pa.int64()),
                     pa.array(first[keep] - begins[own], pa.int64()),
                     pa.array([data[a : b + LENGTH] for a, b in zip(first[keep].tolist(), last[keep].tolist())], pa.binary()),
                 ]
                 at += len(chunk)
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "row", "start", "segment"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "salt", "doc", "row", "start", "segment"])
 
     return run
 
@@ -174,13 +193,33 @@ def _marked(t: pa.Table) -> pa.RecordBatch | None:
     new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)])
     lo = np.flatnonzero(new)
     hi = np.concatenate([lo[1:] - 1, [len(at) - 1]])
-    return pa.RecordBatch.from_arrays([pa.array(doc[seg[lo]]), pa.array(row[seg[lo]]), pa.array(at[lo]), pa.array(at[hi] + LENGTH)], names=["doc", "row", "lo", "hi"])
+    found = [pa.array(doc[seg[lo]]), pa.array(row[seg[lo]]), pa.array(at[lo]), pa.array(at[hi] + LENGTH)]
+    return pa.RecordBatch.from_arrays([*found, pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.binary())], schema=_FOUND)
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole key groups of a partition that is sorted by key, in batches; groups of one segment are passed over."""
+    """What is found in a partition that is dealt and sorted by _dealt().
+
+    Without salt: whole key groups, in batches; groups of one segment are passed over. With salt: the first of equal
+    segments goes on with its key and bytes, the other ones are marked as they come, and nothing is held.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
+    first: tuple = (None, None, None)
+
+    def copies(t: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal first
+        out = []
+        for key, h, salt, doc, row, start, segment in zip(*(c.to_pylist() for c in t.columns)):
+            group, place = (key, h, salt), (doc, row, start)
+            if group != first[0]:
+                first = (group, place, segment)
+                out.append((*place, None, key, segment))
+            elif segment != first[2]:  # another segment of the same hash
+                out.append((*place, None, key, segment))
+            elif place != first[1]:
+                out.append((*place, start + len(segment), None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(_FOUND), _FOUND)], schema=_FOUND)
 
     def cut(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, size
@@ -197,6 +236,10 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield found
 
     for batch in batches:
+        salted = batch["salt"].to_numpy() >= 0
+        if salted.any():
+            yield copies(batch.filter(pa.array(salted)))
+            batch = batch.filter(pa.array(~salted))
         if batch.num_rows:
             held.append(batch)
             size += batch.num_rows
@@ -227,19 +270,49 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def _dealt(segments: DataFrame) -> DataFrame:
+    """What _sorted_groups finds. segments: key, salt, doc, row, start and segment; those without salt (-1) meet by key alone."""
+    h = F.when(F.col("salt") >= 0, F.xxhash64("segment")).otherwise(0)
+    columns = ["key", "h", "salt", "doc", "row", "start"]
+    dealt = segments.withColumn("h", h).select(*columns, "segment").repartition("key", "h", "salt")
+    return dealt.sortWithinPartitions(*columns).mapInArrow(_sorted_groups, _FOUND_SQL)
+
+
+def repeated_ranges(docs: DataFrame, frequent: int = FREQUENT, split: int = SPLIT) -> DataFrame:
     """doc, row, lo, hi: byte ranges that repeated strings cover; ranges of a document may touch and overlap. docs: doc, row, text."""
     spark = docs.sparkSession
     keys = docs.select("text").mapInArrow(_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
     place = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    blocks = keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits")).collect()  # FILTER_BITS / 32768 rows at most
+    placed = keys.select(place.alias("p"), F.when(F.col("n") > frequent, F.col("key")).alias("often"))
+    # FILTER_BITS / 32768 rows at most; of frequent keys, one for each `frequent` segments at most.
+    blocks = placed.groupBy(F.expr("p div 32768").alias("block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"), F.collect_list("often").alias("often")).collect()
     bits = bytearray(FILTER_BITS // 8)
     for r in blocks:
         bits[r["block"] * 4096 : r["block"] * 4096 + 4096] = r["bits"]
-    known = spark.sparkContext.broadcast(bytes(bits))
-    segments = docs.select("doc", "row", "text").mapInArrow(_segments(known), "key long, doc long, row long, start long, segment binary")
-    ordered = segments.repartition("key").sortWithinPartitions("key", "doc", "row", "start")
-    return ordered.mapInArrow(_sorted_groups, "doc long, row long, lo long, hi long")
+    often = np.array(sorted(k for r in blocks for k in r["often"]), dtype=np.int64)
+    known = spark.sparkContext.broadcast((bytes(bits), often.tobytes()))
+    segments = docs.select("doc", "row", "text").mapInArrow(_segments(known), "key long, salt int, doc long, row long, start long, segment binary")
+    parts: list[DataFrame] = []
+
+    def firsts(found: DataFrame, salt: int) -> DataFrame:
+        parts.append(found.filter("segment is null").select("doc", "row", "lo", "hi"))
+        return found.filter("segment is not null").select("key", F.lit(salt).alias("salt"), "doc", "row", F.col("lo").alias("start"), "segment")
+
+    found = firsts(materialise(_dealt(segments), "ranges"), 0)
+    if len(often):
+        distinct = firsts(materialise(_dealt(found), "distinct"), -1)
+        many = F.broadcast(materialise(distinct.groupBy("key").count().filter(F.col("count") > split).select("key"), "many"))  # a key for each `split` segments at most
+        firsts(_dealt(distinct.join(many, "key", "left_anti")), -1)
+        if not many.isEmpty():
+            cut = distinct.join(many, "key", "left_semi").withColumn("p", F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH)))
+            strings = cut.select("doc", "row", (F.col("start") + F.col("p")).alias("start"), F.substring("segment", F.col("p") + 1, F.lit(LENGTH)).alias("segment"))
+            salted = strings.withColumn("key", F.xxhash64("segment")).withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int"))
+            # A string has a first one for each salt at most; these meet by its hash.
+            firsts(_dealt(firsts(materialise(_dealt(salted), "strings"), -1)), -1)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +325,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     least = -(2**63)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    ranges = materialise(repeated_ranges(source), "ranges")
+    ranges = repeated_ranges(source)
     by_text = ranges.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = source.join(by_text, ["doc", "row"], "left").select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), "text", "ranges")
     return joined.mapInArrow(_rewrite, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -204,6 +204,49 @@ def test_suffix_dedup(spark):
     assert sorted(r["n_removed"] for r in again) == [119, 119, 149]
 
 
+def test_suffix_dedup_of_frequent_anchors(spark):
+    rng = random.Random(11)
+    line, passage = "".join(rng.choice("abcdefgh ") for _ in range(75)), "".join(rng.choice("stuvwxyz ") for _ in range(400))
+    noise = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(k, noise(70) + line + noise(70)) for k in range(60)]  # distinct segments with one anchor
+    rows += [(100 + k, noise(70) + line + "=" * (k % 2 * 40) + noise(70)) for k in range(60)]
+    rows += [(200 + k, (passage if k % 3 else noise(90) + passage + noise(50))) for k in range(60)] + [(400, passage * 2), (100, rows[60][1])]
+    want = {}
+    seen: dict[bytes, tuple] = {}
+    places = sorted((i, k, t.encode()[k : k + 100]) for i, t in set(rows) for k in range(len(t) - 99))
+    for i, k, x in places:
+        if seen.setdefault(x, (i, k)) != (i, k):
+            want.setdefault(i, set()).update(range(k, k + 100))
+    docs = spark.createDataFrame(rows, "doc long, text string").select("doc", F.xxhash64("text").alias("row"), "text")
+    for frequent, split in ((2, 3), (2, 1000), (10**6, 10**6)):
+        got: dict[int, set] = {}
+        for r in suffix_dedup.repeated_ranges(docs, frequent, split).collect():
+            got.setdefault(r["doc"], set()).update(range(r["lo"], r["hi"]))
+        assert got == want, (frequent, split)
+
+
+def test_copies_of_a_frequent_segment_are_not_held(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "_marked", lambda t: pytest.fail("segments of a frequent anchor were sorted in one batch"))
+    names = ["key", "h", "salt", "doc", "row", "start", "segment"]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, ([5] * 1000, [9] * 1000, [0] * 1000, range(k, k + 1000), [1] * 1000, [7] * 1000, [b"x" * 120] * 1000)))) for k in range(0, 50_000, 1000)]
+    read = 0
+
+    def source():
+        nonlocal read
+        for b in batches:
+            read += 1
+            yield b
+
+    found = suffix_dedup._sorted_groups(source())
+    head = next(found)
+    assert read == 1 and head.num_rows == 1000  # each batch is answered before the next is read
+    rows = [r for b in [head, *found] for r in b.to_pylist()]
+    assert [r["doc"] for r in rows if r["segment"]] == [0]
+    assert [(r["doc"], r["lo"], r["hi"]) for r in rows[1:]] == [(k, 7, 127) for k in range(1, 50_000)]
+
+
 def test_equal_classes():
     rng = random.Random(6)
     base = bytes(rng.randrange(97, 99) for _ in range(400))
