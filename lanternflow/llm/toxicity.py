@@ -35,8 +35,8 @@ THRESHOLD = 0.7
 #: Bounds of the training sample: documents of each label, and words of clean documents.
 MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES = 1500, 3500, 24_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 120, 60
-#: Disguised forms of each common toxic word in the training.
-DISGUISED = 4
+#: Disguised forms of each common toxic word in the training, and the weight of all of them to that of the word.
+DISGUISED, DISGUISED_WEIGHT = 8, 1.0
 
 #: Characters that stand for letters in disguised words.
 _STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "@": "a", "$": "s"})
@@ -154,10 +154,11 @@ class Scorer:
     def __init__(self, model: Model, most: int = 400_000):
         self.model, self.most, self.known = model, most, {}
 
-    def values(self, texts: list[str]) -> np.ndarray:
+    def values(self, texts: list) -> np.ndarray:
+        """texts: texts, or the sets of their tokens."""
         out = np.full(len(texts), self.lowest)
         for at in range(0, len(texts), 128):
-            sets = [tokens(t) for t in texts[at : at + 128]]
+            sets = [t if isinstance(t, set) else tokens(t) for t in texts[at : at + 128]]
             new = list(set().union(*sets) - self.known.keys())
             if new and len(self.known) > self.most:
                 self.known = {}
@@ -256,11 +257,11 @@ def _platt(values: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.1)), float(w[1])
 
 
-def fit(texts: list[str], toxic: list[bool]) -> Model:
-    """A model of labelled texts. Without toxic or without clean ones it scores 0."""
+def fit(texts: list[set[str]], toxic: list[bool]) -> Model:
+    """A model of labelled texts, each the set that tokens() gives. Without toxic or without clean ones it scores 0."""
     none = Model(None, 0.0, 1.0, 0.0, [])
     # Equal words of the documents are one object.
-    docs = [{sys.intern(p) for t in tokens(x or "") if len(w := plain(t)) >= 3 for p in pieces(w)} for x in texts]
+    docs = [{sys.intern(p) for t in x if len(w := plain(t)) >= 3 for p in pieces(w)} for x in texts]
     part = [k % 4 == 3 for k in range(len(docs))]
     use = [k for k in range(len(docs)) if not part[k]]
     patterns = _patterns([docs[k] for k in use], [toxic[k] for k in use])
@@ -278,7 +279,7 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
     common = [(w, n) for w, n in zip(positives, often) if n >= max(3, sum(toxic) // 100) and len(w) >= 4]
     disguised = [(w[:at] + chr(97 + int(rng.integers(26))) + w[at:], n) for w, n in common for at in rng.integers(1, len(w), DISGUISED)]
     positives = [*positives, *(w for w, _ in disguised)]
-    often = np.concatenate([often, [0.5 * n / DISGUISED for _, n in disguised]])
+    often = np.concatenate([often, [DISGUISED_WEIGHT * n / DISGUISED for _, n in disguised]])
     landmarks: list[str] = []
     for depth in range(4):
         for words in patterns:
@@ -316,7 +317,7 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
         rest = [w for i, w in enumerate(rest) if i not in hard]
         out = model(*train(chosen))
     held = [k for k in range(len(docs)) if part[k]]
-    best = Scorer(out).values([texts[k] or "" for k in held])
+    best = Scorer(out).values([texts[k] for k in held])
     truth = np.array([toxic[k] for k in held], dtype=bool)
     if truth.any() and not truth.all():
         out.slope, out.shift = _platt(best, truth)
@@ -336,10 +337,16 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     chosen = known.filter("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_toxic).union(known.filter("not toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_clean))
     # Bounded by max_toxic + max_clean rows of an id and a flag.
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    distinct = F.array_join(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")), " ")
-    rows = joined.select("doc_id", "toxic", distinct.alias("words")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # What scoring reads; a token holds no white space.
+            words = [" ".join(sorted(tokens(t or ""))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string())], names=["doc_id", "toxic", "words"])
+
+    rows = joined.select("doc_id", "toxic", F.col("text").cast("string")).mapInArrow(run, "doc_id long, toxic boolean, words string").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return fit([r["words"] for r in rows], [r["toxic"] for r in rows])
+    return fit([set(r["words"].split()) for r in rows], [r["toxic"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -184,6 +184,16 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_trains_on_what_scoring_reads(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.update(zip(map(frozenset, texts), toxic)))
+    texts = ["er a on i d i o t the", "the m o r o n, er\x0bti", None, "a  an\u2003a"]
+    rows = [(k, texts[k % 4]) for k in range(40)]
+    toxicity.train(frame(spark, rows), spark.createDataFrame([(k, 1, int(k % 4 < 2)) for k in range(40)], "doc_id long, quality int, toxic int"))
+    assert seen == {frozenset(toxicity.tokens(t or "")): k < 2 for k, t in enumerate(texts)}
+    assert any("idiot" in words for words in seen)
+
+
 def test_suffix_dedup(spark):
     rows = [r for r in sample(5) if r[0] is not None][:-2]
     rows += [(2000, "ab" * 300), (2001, "x" * 99), (2002, "x" * 100), (2003, "x" * 101), (2004, "é" * 120)]
