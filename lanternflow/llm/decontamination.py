@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.shared import SHINGLE_WORDS, in_chunks, materialise, mix, rolling, word_hashes
+from lanternflow.llm.shared import SHINGLE_WORDS, in_chunks, materialise, mix, rolling, small_batches, word_hashes
 
 HASHES = 64
 THRESHOLD = 0.8
@@ -142,7 +142,7 @@ class _Finder:
 def _searcher(items: list[tuple[int, str | None]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Finder(items, threshold)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids = batch.column(0).to_pylist()
             rows = [(ids[row], *found) for row, *found in find(batch.column(1).to_pylist())]
             columns = list(zip(*rows)) or [[]] * 4
@@ -187,7 +187,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     def keep(block: list[tuple[int, str | None]], at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = _Finder(block, threshold)
-            for batch in batches:
+            for batch in small_batches(batches, at):
                 mask = np.ones(batch.num_rows, dtype=bool)
                 mask[[row for row, *_ in find(batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(mask))

@@ -2,16 +2,19 @@
 
 1. One pass over the texts makes, for each document, the size and digest of its shingle set, a hashed
    bitmap whose width grows with the set, and 40 keys, each of four minimum hashes. Two sets at the
-   threshold share no key with a probability of (1 - 0.8**4)**40 = 7e-10.
-2. Equal sets are one node from here on, so copies are never paired.
-3. Star pass: each node is tried against the smallest node of each of its keys. The bitmaps bound the
-   overlap from above (|A| + |B| - differing bits) / 2; of the nodes that the bound leaves, the closest
-   is verified on the sorted shingle arrays. This joins nearly all of a large group with one pair a node.
-4. Tile pass: what still lies in different classes but shares a key is compared completely. The sets of a
-   rare key are one tile; those of a frequent key are cut into tiles of a part of a size band against a
-   part of the same or a neighbouring band, as a set links only with sizes that near, and only sets that
-   are not of the key's largest class are dealt out over all parts. Pairs that the bitmaps leave are verified on the arrays. No pair is dropped; pairs inside one class are not needed.
+   threshold share no key with a probability of (1 - 0.8**4)**40 = 7e-10. Equal sets are one node from here on.
+2. The sets of a key are cut into size bands; a set links only with sizes of its own and the two next bands.
+   All pairs are found in tiles of a part of a band against a part of such a band: the bitmaps bound the overlap
+   from above, (|A| + |B| - differing bits) / 2, and what the bound leaves is verified on the sorted shingle arrays.
+3. Leader tiles come first: one set of each band of a key (its leader) against all sets of the bands next to it. Of the
+   leaders that the bound leaves to a set, the closest is verified. That joins nearly all of a large group.
+4. Full tiles follow for all sets that share a key and still lie in different classes. Sets of the key's largest
+   class need not meet each other, so only the others (strays) are dealt out over all parts. No pair is dropped;
+   pairs inside one class are not needed.
 5. Classes are the connected components of all verified links (alternating large and small stars).
+
+Counts and leaders of keys are aggregated before the shuffle, and frequent keys are joined apart, so no task holds
+all sets of a key.
 """
 
 from __future__ import annotations
@@ -23,11 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.shared import in_chunks, materialise, mix, popcount, shingle_runs
+from lanternflow.llm.shared import drop_rows, hot_join, materialise, mix, popcount, row_key, shingle_runs, small_batches, split_by_bitmap
 
 BANDS, ROWS = 40, 4
 #: Two documents link when 100 * |intersection| >= PERCENT * |union|.
@@ -36,8 +38,7 @@ TILE_ROWS = 512
 #: Width of a bitmap: this many bits for each shingle, rounded up to a power of two. Wider ones bound closer.
 BITS_PER_SHINGLE = 4
 _MIN_BITS, _MAX_BITS = 64, 1 << 18
-#: Bits of the fixed-size filter that finds the texts to read again: 1 MB.
-_FILTER_BITS = 1 << 23
+_CHUNK = 1 << 19
 
 _MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -67,38 +68,32 @@ def _least_hashes(runs: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_SIGNED = "doc_id long, n long, digest binary, sig binary, keys array<long>"
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+_SIGNED = "n long, digest binary, sig binary, keys array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        at = 0
-        for chunk in in_chunks(texts):
-            own, at = ids[at : at + len(chunk)], at + len(chunk)
-            runs = shingle_runs(chunk)
-            full = [k for k, r in enumerate(runs) if len(r)]
-            keys = dict(zip(full, _least_hashes([runs[k] for k in full]))) if full else {}
-            rows = []
-            for k, (doc, run) in enumerate(zip(own, runs)):
-                if len(run):
-                    run = np.unique(run)
-                    rows.append((doc, len(run), hashlib.blake2b(run.tobytes(), digest_size=16).digest(), bitmap(run), keys[k]))
-                else:
-                    rows.append((doc, 0, None, None, None))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n", "digest", "sig", "keys"])
+    """For rows of text and other columns: the other columns and what _SIGNED names."""
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    for batch in small_batches(batches, 0, _CHUNK):
+        runs = shingle_runs([(t or "").encode() for t in batch.column(0).to_pylist()])
+        full = [k for k, r in enumerate(runs) if len(r)]
+        keys = dict(zip(full, _least_hashes([runs[k] for k in full]))) if full else {}
+        rows = []
+        for k, run in enumerate(runs):
+            run = np.unique(run)
+            rows.append((len(run), _digest(run), bitmap(run), keys[k]) if len(run) else (0, None, None, None))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*batch.schema.names[1:], "n", "digest", "sig", "keys"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        at = 0
-        for chunk in in_chunks([(t or "").encode() for t in batch.column(1).to_pylist()]):
-            own, at = ids[at : at + len(chunk)], at + len(chunk)
-            sets = [np.unique(r).tobytes() for r in shingle_runs(chunk)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+    for batch in small_batches(batches, 0, _CHUNK):
+        sets = [np.unique(r) for r in shingle_runs([(t or "").encode() for t in batch.column(0).to_pylist()])]
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(r) for r in sets], pa.binary()), pa.array([r.tobytes() for r in sets], pa.binary())], names=["node", "shingles"])
 
 
 def _differing(a: bytes, b: bytes) -> int:
@@ -112,14 +107,21 @@ def _differing(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def _bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose bitmaps still allow the threshold, with the differing bits for each shingle of the two."""
+def _leader_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of tiles whose leader comes first: pairs whose bitmaps still allow the threshold, with the differing bits for each shingle of the two."""
+    leader: tuple[bytes, int, bytes] | None = None
     for f in frames:
-        differ = np.array([_differing(x, y) for x, y in zip(f["sig_a"], f["sig_b"])], dtype=np.int64)
-        both = (f["n_a"].to_numpy() + f["n_b"].to_numpy() - differ) // 2
-        keep = enough(both, f["n_a"].to_numpy(), f["n_b"].to_numpy())
-        out = f.loc[keep, ["a", "b"]]
-        yield out.assign(far=differ[keep] / (f["n_a"] + f["n_b"]).to_numpy()[keep])
+        out = []
+        for hub, guest, node, n, sig in zip(f["hub"], f["guest"], f["node"], f["n"], f["sig"]):
+            if not guest:
+                leader = hub, n, sig
+            elif leader is not None and leader[0] == hub:
+                size, other = leader[1:]
+                if 100 * min(n, size) >= PERCENT * max(n, size):
+                    differ = _differing(sig, other)
+                    if enough((n + size - differ) // 2, n, size):
+                        out.append((hub, node, differ / (n + size)))
+        yield pd.DataFrame(out, columns=["a", "b", "far"])
 
 
 def _fold(sigs: list[bytes], width: int) -> np.ndarray:
@@ -130,15 +132,11 @@ def _fold(sigs: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _tile(rep: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, sigs: list[bytes]) -> list[np.ndarray]:
-    """Pairs of a tile, home rows against guest rows of other classes, that the bitmaps leave. guest: 0 home, 1 guest, 2 both."""
-    home, visit = np.flatnonzero(guest != 1), np.flatnonzero(guest != 0)
-    if not len(home) or not len(visit) or comp.min() == comp.max():
-        return []
+def _tile(n: np.ndarray, comp: np.ndarray, home: np.ndarray, visit: np.ndarray, sigs: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Row numbers of pairs of a tile, home rows against visiting rows of other classes, that the bitmaps leave."""
     wide = np.array([len(x) for x in sigs])
-    pairs: list[np.ndarray] = []
 
-    def cross(home: np.ndarray, visit: np.ndarray, width: int) -> None:
+    def cross(home: np.ndarray, visit: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
         if not len(home) or not len(visit):
             return
         one, two = _fold([sigs[k] for k in home], width), _fold([sigs[k] for k in visit], width)
@@ -148,31 +146,32 @@ def _tile(rep: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, s
             differ = popcount(one[k : k + step, None, :] ^ two[None, :, :]).sum(axis=2, dtype=np.int64)
             x, y = n[i][:, None], n[visit][None, :]
             both = np.minimum((x + y - differ) // 2, np.minimum(x, y))
-            keep = enough(both, x, y) & (comp[i][:, None] != comp[visit][None, :])
-            keep &= (guest[i][:, None] != 2) | (rep[i][:, None] < rep[visit][None, :])
-            h, g = np.nonzero(keep)
-            a, b = rep[i][h], rep[visit][g]
-            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            h, g = np.nonzero(enough(both, x, y) & (comp[i][:, None] != comp[visit][None, :]))
+            yield from zip(i[h].tolist(), visit[g].tolist())
 
     for w in np.unique(wide):
-        cross(home[wide[home] == w], visit[wide[visit] == w], w)
+        yield from cross(home[wide[home] == w], visit[wide[visit] == w], w)
         # A set twice as wide may still be near; one four times as wide is more than twice as large.
-        cross(home[wide[home] == 2 * w], visit[wide[visit] == w], w)
-        cross(home[wide[home] == w], visit[wide[visit] == 2 * w], w)
-    return pairs
+        yield from cross(home[wide[home] == 2 * w], visit[wide[visit] == w], w)
+        yield from cross(home[wide[home] == w], visit[wide[visit] == 2 * w], w)
 
 
-def _tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _full_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of all tiles of a partition that is sorted by tile. A tile that a batch ends in waits for the next one."""
     held: pd.DataFrame | None = None
 
     def pairs(f: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
-        columns = [f[c].to_numpy() for c in ("rep", "n", "comp", "guest")]
-        sigs = f["sig"].tolist()
-        found = [p for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 for p in _tile(*(c[a:b] for c in columns), sigs[a:b])]
+        n, guest, node, sigs = f["n"].to_numpy(), f["guest"].to_numpy(), f["node"].tolist(), f["sig"].tolist()
+        comp = np.unique(np.array(f["comp"].tolist(), dtype=object), return_inverse=True)[1] if len(f) else np.zeros(0, int)
+        found: set[tuple[bytes, bytes]] = set()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            home, visit = np.flatnonzero(guest[a:b] == 0), np.flatnonzero(guest[a:b] == 1)
+            if len(home) and len(visit) and comp[a:b].min() != comp[a:b].max():
+                for i, j in _tile(n[a:b], comp[a:b], home, visit, sigs[a:b]):
+                    x, y = node[a + i], node[a + j]
+                    found.add((x, y) if x < y else (y, x))
         if found:
-            out = np.unique(np.concatenate(found), axis=0)
-            yield pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+            yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
     for f in frames:
         f = pd.concat([held, f], ignore_index=True) if held is not None else f
@@ -185,32 +184,36 @@ def _tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that reach the threshold. Rows are sorted by a and part: the array of a comes first, then those of its partners."""
+    own: tuple[bytes, np.ndarray] | None = None
     for f in frames:
-        keep = []
-        for x, y in zip(f["shingles_a"], f["shingles_b"]):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            keep.append(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-        yield f.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
-
-def _shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Sorted shingle arrays of the documents in ids, and of a few others.
-
-    A bitmap of fixed size (1 MB) selects the texts during the scan, so that texts are not shuffled.
+        found = []
+        for a, b, shingles in zip(f["a"], f["b"], f["shingles"]):
+            if b is None:
+                own = a, np.frombuffer(shingles, dtype=np.uint64)
+            elif own is not None and own[0] == a:
+                x, y = own[1], np.frombuffer(shingles, dtype=np.uint64)
+                if enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                    found.append((a, b))
+        yield pd.DataFrame(found, columns=["a", "b"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, source: DataFrame) -> DataFrame:
+    """The written pairs (a, b) whose shingle sets reach the threshold.
+
+    sets: node and place (of one of its rows in source). Texts that may be wanted are read again and made into sorted
+    arrays; a set meets its partners in parts of TILE_ROWS.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-    blocks = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    near = docs.withColumn("p", place).withColumn("block", F.expr("bitmap_bucket_number(p)")).join(F.broadcast(blocks), "block")
-    bit = F.expr("shiftright(conv(hex(substring(bits, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10), cast(bitmap_bit_position(p) % 8 as int)) % 2 = 1")
-    return materialise(near.filter(bit).select("id", "text").mapInArrow(_arrays, "id long, shingles binary"), "shingles")
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold. docs: id, text."""
-    sets = _shingles_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b").mapInPandas(_exact, "a long, b long")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "place"), "node")
+    near, _ = split_by_bitmap(source.select("text", "place"), F.col("place"), materialise(wanted.select(F.col("place").alias("k")), "wanted"))
+    arrays = materialise(near.select("text").mapInArrow(_arrays, "node binary, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("c")).withColumn("parts", F.ceil(F.col("c") / TILE_ROWS).cast("int"))
+    dealt = hot_join(pairs, materialise(counts, "partners"), "a", "c").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    dealt = materialise(dealt, "dealt")
+    first = dealt.select("a", "part").distinct().join(arrays.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("binary").alias("b"), "part", "shingles")
+    rest = dealt.join(arrays.withColumnRenamed("node", "b"), "b").select("a", "b", "part", "shingles")
+    rows = first.unionByName(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return rows.select("a", "b", "shingles").mapInPandas(_exact, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,54 +242,92 @@ def components(links: DataFrame) -> DataFrame:
         if new == state:
             break
         state = new
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
+    ids = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
+    return ids.union(ids.select(F.col("comp").alias("id"), "comp").distinct())
+
+
+def _leaders(members: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of each set with the closest leader that its bitmap allows: a (leader), b."""
+    met = hot_join(members, keys, "key", "c").select("node", "band", "c", F.explode("hubs").alias("hub"))
+    met = met.filter((F.abs(F.col("hub.band") - F.col("band")) <= 1) & (F.col("hub.node") != F.col("node")))
+    met = met.groupBy(F.col("hub.node").alias("hub"), "node").agg(F.max(F.ceil(F.col("c") / TILE_ROWS)).cast("int").alias("parts"))
+    met = materialise(met.withColumn("h", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "met")
+    tile = ["hub", "parts", "h"]
+    guests = met.join(sets.select("node", "n", "sig"), "node").select(*tile, F.lit(1).alias("guest"), "node", "n", "sig")
+    homes = met.select(*tile).distinct().join(sets.select(F.col("node").alias("hub"), "n", "sig"), "hub").select(*tile, F.lit(0).alias("guest"), F.col("hub").alias("node"), "n", "sig")
+    near = homes.unionByName(guests).repartition(*tile).sortWithinPartitions(*tile, "guest").mapInPandas(_leader_tiles, "a binary, b binary, far double")
+    return near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b")
+
+
+def _stray_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different classes that share a key and that the bitmaps leave."""
+    rows = materialise(members.join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("alike")).groupBy("key").agg(F.sum("alike").alias("c"), F.max(F.struct("alike", "comp")).alias("most"))
+    per = per.select("key", "c", (F.col("c") - F.col("most.alike")).alias("strays"), F.col("most.comp").alias("largest")).filter("strays > 0")
+    rest = hot_join(rows, materialise(per, "split"), "key", "c").withColumn("stray", F.col("comp") != F.col("largest"))
+    parts = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node"), parts(c)).cast("int")
+    each = lambda c, f: F.transform(F.sequence(F.lit(0), parts(c) - 1), f)
+    tile = lambda band, h, g, guest: F.struct(band.alias("tile_band"), h.alias("h"), g.alias("g"), F.lit(guest).alias("guest"))
+    visits = each("strays", lambda o: tile(F.col("band"), o, own("c"), 1))
+    homes = F.concat(*(each("c", lambda o: tile(F.col("band") + k, own("strays"), o, 0)) for k in (-1, 0, 1)))  # noqa: B023
+    placed = rest.withColumn("tile", F.explode(F.when(F.col("stray"), F.concat(visits, homes)).otherwise(visits))).select("key", "node", "comp", "tile.*")
+    placed = placed.join(sets.select("node", "n", "sig"), "node")
+    by = ["key", "tile_band", "h", "g"]
+    return placed.repartition(*by).sortWithinPartitions(*by).mapInPandas(_full_tiles, "a binary, b binary").distinct()
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs.
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of docs, and the columns in carry.
 
     Words are what lies between white space (0x20, 0x09 to 0x0D), with A-Z in lower case. A text of one to
     four words has its whole sequence as the only shingle; a null, empty or blank text has none and links
-    with nothing, its class is itself. Rows that repeat an id share its links. A row with a null id is listed
-    with the class of its copies, if it has any. Other columns are not read. An empty table gives no rows.
+    with nothing, its class is itself. Each row is a document of its own, also if its id repeats. component_id is
+    the smallest id of the class; it is null where all ids of the class are. Other columns are not read, unless carry
+    names them. An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(docs.mapInArrow(_sign, _SIGNED), "signed")
+    carry = carry or {}
+    text, row = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    place = F.xxhash64(row, text)
+    source = docs.select(text.alias("text"), row.alias("doc_id"), place.alias("place"), *(c.alias(n) for n, c in carry.items()))
+    kind = ", ".join(f"{n} {t}" for n, t in source.dtypes[1:])
+    signed = materialise(source.mapInArrow(_sign, f"{kind}, {_SIGNED}"), "signed")
     # Copies of one set are equal in n, sig and keys, too.
-    reps = signed.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sig", "keys")))
-    reps = materialise(reps, "sets")
-    keys = reps.select("rep", F.explode("keys").alias("key")).withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1")
-    shared = materialise(keys.join(reps.select("rep", "n", "sig"), "rep"), "shared")
-
-    first = F.min(F.struct("rep", "n", "sig")).over(Window.partitionBy("key"))
-    stars = shared.withColumn("hub", first).filter("rep != hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"), F.col("hub.sig").alias("sig_a"), F.col("sig").alias("sig_b"))
-    stars = stars.filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").mapInPandas(_bounded, "a long, b long, far double")
-    stars = materialise(stars.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b"), "stars")
-    links = materialise(verified(stars, docs), "links")
+    sets = signed.filter("n > 0").groupBy(F.col("digest").alias("node")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "sig", "keys")))
+    sets = materialise(sets, "sets")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / PERCENT)).cast("int")
+    every = sets.select("node", band.alias("band"), F.explode("keys").alias("key"))
+    per = every.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    keys = materialise(per.groupBy("key").agg(F.sum("c").alias("c"), F.collect_list(F.struct("band", "node")).alias("hubs")).filter("c > 1"), "keys")
+    members = materialise(hot_join(every, keys.select("key", "c"), "key", "c").drop("c"), "shared")
+
+    links = materialise(verified(materialise(_leaders(members, keys, sets), "closest"), sets, source), "links")
     classes = materialise(components(links), "classes")
-
-    rest = shared.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    w = Window.partitionBy("key")
-    rest = rest.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo != hi").drop("lo", "hi")
-    # Two sets of different classes are not both of the key's largest class: the others (strays) meet all, and nobody else need meet.
-    alike = F.count("*").over(Window.partitionBy("key", "comp"))
-    rest = rest.withColumn("alike", alike).withColumn("largest", F.max(F.struct("alike", "comp")).over(w)["comp"])
-    rest = rest.withColumn("stray", F.col("comp") != F.col("largest")).withColumn("strays", F.sum(F.col("stray").cast("long")).over(w))
-    rest = rest.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(101 / PERCENT)).cast("int"))
-    parts = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("rep"), parts(c)).cast("int")
-    each = lambda c, f: F.transform(F.sequence(F.lit(0), parts(c) - 1), f)
-    tile = lambda band, h, g, guest: F.struct(band.alias("tile_band"), h.alias("h"), g.alias("g"), F.lit(guest).alias("guest"))
-    met = each("strays", lambda o: tile(F.col("band"), o, own("c"), 1))
-    meets = F.concat(*(each("c", lambda o: tile(F.col("band") + k, own("strays"), o, 0)) for k in (-1, 0, 1)))  # noqa: B023
-    whole = F.array(tile(F.lit(0), F.lit(0), F.lit(0), 2))
-    cut = F.when(F.col("c") <= TILE_ROWS, whole).when(F.col("stray"), F.concat(met, meets)).otherwise(met)
-    placed = rest.withColumn("tile", F.explode(cut)).select("key", "rep", "n", "sig", "comp", "tile.*")
-    by = ["key", "tile_band", "h", "g"]
-    pairs = placed.repartition(*by).sortWithinPartitions(*by).mapInPandas(_tiles, "a long, b long").distinct()
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(_stray_pairs(members, classes, sets), "pairs")
     if not pairs.isEmpty():
-        links = links.union(materialise(verified(pairs, docs), "more_links"))
+        links = links.union(materialise(verified(pairs, sets, source), "more_links"))
         classes = materialise(components(links), "classes")
-    named = reps.select("digest", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
-    return signed.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    return _labelled(signed, sets, classes, list(carry))
+
+
+def _labelled(signed: DataFrame, sets: DataFrame, classes: DataFrame, carry: list[str]) -> DataFrame:
+    """Rows with the smallest id of their class. Only sets that are linked or have copies are looked up."""
+    linked = sets.select("node", "copies", "least").join(classes.select(F.col("id").alias("node"), "comp"), "node", "left")
+    linked = materialise(linked.filter("comp is not null or copies > 1").withColumn("comp", F.coalesce("comp", "node")), "linked")
+    least = materialise(linked.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "least")
+    named = materialise(hot_join(linked, least, "comp", "members").select(F.col("node").alias("digest"), "copies", "comp", "component_id"), "named")
+    out = hot_join(signed, named, "digest", "copies", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *carry, F.coalesce("comp", "digest").alias("class"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one row of each class left, that of the smallest id (null last), with all their columns."""
+    carry = dict(zip(("own_id", "own_sha"), row_key(id_col, text_col)))
+    marked = materialise(jaccard_classes(docs, id_col, text_col, carry).filter("class is not null"), "marked")
+    rest = marked.filter("not (doc_id <=> component_id)").select("own_id", "own_sha").distinct()
+    first = marked.filter("doc_id <=> component_id").groupBy("class", "own_id", "own_sha").agg(F.count("*").alias("n"))
+    first = materialise(first, "first")
+    least = materialise(first.groupBy("class").agg(F.min("own_sha").alias("chosen"), F.count("*").alias("m")), "chosen")
+    first = materialise(hot_join(first, least, "class", "m").withColumn("stays", F.col("own_sha") == F.col("chosen")), "staying")
+    gone = materialise(rest.unionByName(first.filter("not stays").select("own_id", "own_sha")).distinct(), "gone")
+    return drop_rows(docs, gone, materialise(first.filter("stays and n > 1").select("own_id", "own_sha"), "once"), id_col, text_col)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternflow.llm.shared import materialise
+from lanternflow.llm.shared import materialise, small_batches
 
 CAPACITY = 2048
 GROUPS = 512
@@ -63,10 +64,16 @@ class TokenIds:
         return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
+@functools.lru_cache(maxsize=1)
+def token_ids(path: str | None) -> TokenIds:
+    """One vocabulary a worker, however many tasks it runs."""
+    return TokenIds(path)
+
+
 def _pieces(capacity: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds(path)
-        for batch in batches:
+        tokens = token_ids(path)
+        for batch in small_batches(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             for doc, text in zip(ids, texts):

@@ -1,13 +1,19 @@
-"""What the operators of this subpackage share: a shared scratch folder and word shingles."""
+"""What the operators of this subpackage share: the scratch folder, word shingles, and batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lanternflow.sources.scratch import materialise, scratch_path
+
+__all__ = ["materialise", "scratch_path"]
 
 SHINGLE_WORDS = 5
 
@@ -20,27 +26,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: An odd multiplier and its inverse modulo 2**64, so that a word's hash does not depend on its place.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
-_CHUNK_BYTES = 1 << 21
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = found.get() if found.isDefined() else None
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,45 +36,75 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as long as the longest chunk so far."""
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            steps = np.full(size, _BASE, dtype=np.uint64)
-            steps[0] = 1
-            cls.up = np.cumprod(steps)
-            steps = np.full(size, _BASE_INVERSE, dtype=np.uint64)
-            steps[0] = 1
-            cls.down = np.cumprod(steps)
-        return cls.up, cls.down
+#: Texts are hashed in blocks of this many bytes, so the tables and the working memory do not grow with a text.
+BLOCK_BYTES = 1 << 16
+UP, DOWN = _powers(_BASE, BLOCK_BYTES + 1), _powers(_BASE_INVERSE, BLOCK_BYTES + 1)
+
+
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """total[k]: hash of the first k bytes of a block, so that (total[b] - total[a]) * DOWN[a] is that of bytes a to b."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data + np.uint64(1)) * UP[: len(data)], out=total[1:])
+    return total
 
 
 def word_hashes(texts: list[bytes], separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and for each text the number of words before it (one more entry at the end)."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    """Hashes of all words of the texts, and for each text the number of words before it (one more entry at the end).
+
+    A block ends with a word. A word longer than a block is hashed by itself, so equal words always have equal hashes.
+    """
+    joined = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(joined, dtype=np.uint8)
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    space = separators[data]
-    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    up, down = _Powers.of(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    return mix((total[end] - total[start]) * down[start]), np.searchsorted(start, begins)
+    counts = np.zeros(len(begins), dtype=np.int64)
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(data):
+        block = data[at : at + BLOCK_BYTES]
+        space = separators[block]
+        if at + len(block) < len(data):
+            ends = np.flatnonzero(space)
+            if len(ends):
+                block, space = block[: ends[-1] + 1], space[: ends[-1] + 1]
+            else:  # the middle of one word
+                stop = at + len(block)
+                while not separators[data[stop]]:
+                    stop += 1
+                counts += begins > at
+                out.append(_long_word(joined[at:stop]))
+                at = stop
+                continue
+        start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+        total = running_hash(_LOWER[block])
+        out.append(mix((total[end] - total[start]) * DOWN[start]))
+        counts += np.searchsorted(start, begins - at)
+        at += len(block)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64), counts
+
+
+def _long_word(word: bytes) -> np.ndarray:
+    lower = _LOWER[np.frombuffer(word, dtype=np.uint8)].tobytes()
+    return np.frombuffer(hashlib.blake2b(lower, digest_size=8).digest(), dtype=np.uint64)
 
 
 def rolling(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n words; it has n - 1 entries fewer than words."""
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(len(words) - n + 1, n, dtype=np.uint64)
-    for k in range(n):
-        out = out * np.uint64(_BASE) + words[k : len(words) - n + 1 + k]
-    return mix(out)
+    out = np.empty(len(words) - n + 1, dtype=np.uint64)
+    for at in range(0, len(out), BLOCK_BYTES):
+        part = np.full(min(BLOCK_BYTES, len(out) - at), n, dtype=np.uint64)
+        for k in range(n):
+            part = part * np.uint64(_BASE) + words[at + k : at + k + len(part)]
+        out[at : at + len(part)] = mix(part)
+    return out
 
 
 def shingle_runs(texts: list[bytes], separators: np.ndarray = _SPACE) -> list[np.ndarray]:
@@ -118,5 +134,78 @@ def in_chunks(texts: Iterable[bytes], limit: int = _CHUNK_BYTES) -> Iterator[lis
         yield chunk
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], column: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose text (or bytes) column holds about limit bytes; a longer text is alone."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+#: A key with more than this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """left joined to right by key, no task holding more than HOT_SHARE of left for one key.
+
+    right: written rows, one for each key, with the number of rows of left in the column weight. Hot keys are at most
+    1 / HOT_SHARE rows, so they are sent to all tasks; the rest is an ordinary join. how: inner or left.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    limit = max(1000, int(HOT_SHARE * total))
+    hot = right.filter(F.col(weight) > limit)
+    cold = right.filter(F.col(weight) <= limit)
+    if hot.isEmpty():
+        return left.join(cold, key, how)
+    few = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return few.unionByName(rest)
+
+
+#: Bounds of a bitmap that tasks get, in bits: 128 KB to 16 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+
+def split_by_bitmap(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key (a long) may be in keys (one written column, k), and those whose key is not.
+
+    A bitmap of bounded size tells them apart while the rows are read, so the others are not shuffled. It has eight bits for
+    each key; beyond MOST_BITS more rows pass that are not in keys.
+    """
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n + 1).bit_length()))
+    place = lambda c: F.pmod(c, F.lit(bits))
+    blocks = keys.select(place(F.col("k")).alias("p")).groupBy(F.expr("p div 32768").alias("bit_block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bit_set"))
+    marked = rows.withColumn("bit_place", place(key)).withColumn("bit_block", F.expr("bit_place div 32768")).join(F.broadcast(blocks), "bit_block", "left")
+    byte = F.expr("conv(hex(substring(bit_set, cast((bit_place % 32768) div 8 as int) + 1, 1)), 16, 10)")
+    marked = marked.withColumn("bit_near", F.coalesce(F.call_function("shiftright", byte.cast("int"), (F.col("bit_place") % 8).cast("int")) % 2 == 1, F.lit(False)))
+    names = rows.columns
+    return marked.filter("bit_near").select(*names), marked.filter("not bit_near").select(*names)
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, once: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose (id, text) is in gone, and with one row of each (id, text) in once.
+
+    gone and once: written tables of own_id and own_sha, as row_key() gives them. Other rows are not shuffled.
+    """
+    keyed = docs.withColumns(dict(zip(("own_id", "own_sha"), row_key(id_col, text_col))))
+    hashed = F.xxhash64("own_id", "own_sha")
+    near, other = split_by_bitmap(keyed, hashed, materialise(gone.unionByName(once).select(hashed.alias("k")), "places"))
+    out = other.unionByName(near.join(gone.unionByName(once), ["own_id", "own_sha"], "left_anti"))
+    if not once.isEmpty():
+        out = out.unionByName(near.join(once, ["own_id", "own_sha"], "left_semi").dropDuplicates(["own_id", "own_sha"]))
+    return out.select(*docs.columns)
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """What tells rows of documents apart: the id as text (null: empty) and the SHA-256 of the text (null: empty)."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)

@@ -11,13 +11,15 @@ a salt: all copies of a segment but the first are repeats as a whole, and are ma
 ones meet once more without salt. Distinct segments of an anchor are sorted in one task if there are few;
 if there are many, they are cut into their 100-byte strings, which are dealt out in the same way.
 
-How they are sorted: deep-shallow. A multikey quicksort (eight bytes a key) orders the suffixes to a shallow
-depth of 24 bytes; suffixes that are alone by then are done. The groups that remain have long common
-prefixes. Blind tries order these: all members of a group are compared with its first; the place where
-each leaves it is its branch, and members that leave at the same place by the same key are a subtrie.
-What all members share is never read again. All groups of a batch are split at once, in numpy.
-
-Suffixes that are equal to depth 100 are one string; all but the first in the corpus are marked.
+Equal segments of an anchor are found first: all but the earliest are repeats as a whole, and only the distinct
+ones are sorted. How they are sorted: deep-shallow. A multikey quicksort (eight bytes a key, three-way
+partitions by a pivot) orders the suffixes to a shallow depth of 24 bytes; suffixes that are alone by then are done. The
+groups that remain have long common prefixes. Blind tries order these: all members of a group are compared with its
+first; the place where each leaves it is its branch, and members that leave at the same place by the same
+key are a subtrie. What all members share is never read again. All groups of a batch are split at once, in numpy.
+
+In the suffix array of the batch, suffixes that are equal to depth 100 are neighbours and one string; all but the
+first in the corpus are marked.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.shared import _Powers, in_chunks, materialise, mix
+from lanternflow.llm.shared import BLOCK_BYTES, DOWN, materialise, mix, running_hash, small_batches
 
 LENGTH, ANCHOR = 100, 32
 SHALLOW = 3
 _SPAN = LENGTH - ANCHOR + 1
-_PLACE_BITS = 28
-#: Bits of the filter of repeated anchors: 8 MB, whatever the corpus holds. Beyond its capacity more anchors pass and are dropped after the shuffle.
-FILTER_BITS = 1 << 26
+#: Places within a block of text are below BLOCK_BYTES.
+_PLACE_BITS = BLOCK_BYTES.bit_length()
+#: Bounds of the filter of repeated anchors, in bits: 128 KB to 32 MB. It has eight bits for each repeated anchor; beyond that more anchors pass and are dropped after the shuffle.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+_CHUNK = 1 << 19
 _BATCH_SEGMENTS = 20_000
 #: An anchor in more segments than this is frequent; one with more than SPLIT distinct segments is cut into strings.
 FREQUENT, SPLIT, SALTS = 4_000, 20_000, 64
@@ -46,44 +50,47 @@ _FOUND_SQL = "doc long, row long, lo long, hi long, key long, segment binary"
 _LAST = [*range(0, LENGTH - 8, 8), LENGTH - 8]
 
 
-def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of the texts: number of the text, first and last start within all bytes, anchor's place, anchor's hash; and where texts begin."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    n = len(data) - LENGTH + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none, none, none, none, none, begins
-    up, down = _Powers.of(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    m = len(data) - ANCHOR + 1
-    hashes = mix((total[ANCHOR:] - total[:m]) * down[:m])
-    low = np.uint64(_PLACE_BITS)
-    least = (hashes >> low << low) | np.arange(m, dtype=np.uint64)
-    width = 1
-    while 2 * width <= _SPAN:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < _SPAN:
-        rest = _SPAN - width
-        least = np.minimum(least[:-rest], least[rest:])
-    place = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-    starts = np.arange(n)
-    text = np.searchsorted(begins, starts, side="right") - 1
-    whole = starts + LENGTH <= begins[text + 1]
-    starts, text, place = starts[whole], text[whole], place[whole]
-    if not len(starts):
-        return none, none, none, none, none, begins
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
-    return text[first], starts[first], starts[last], place[first], hashes[place[first]].view(np.int64), begins
+def _anchors(data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Segments of texts that lie one after the other in data, a block of bytes at a time: number of the text, first and last start within data, anchor's hash.
+
+    begins: where texts begin, and the end of the last. Blocks overlap by what a string needs, so each string is in one of them.
+    """
+    step = BLOCK_BYTES - LENGTH + 1
+    for at in range(0, len(data) - LENGTH + 1, step):
+        block = data[at : at + BLOCK_BYTES]
+        total = running_hash(block)
+        m = len(block) - ANCHOR + 1
+        hashes = mix((total[ANCHOR:] - total[:m]) * DOWN[:m])
+        low = np.uint64(_PLACE_BITS)
+        least = (hashes >> low << low) | np.arange(m, dtype=np.uint64)
+        width = 1
+        while 2 * width <= _SPAN:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < _SPAN:
+            rest = _SPAN - width
+            least = np.minimum(least[:-rest], least[rest:])
+        place = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        starts = np.arange(at, at + len(place))
+        text = np.searchsorted(begins, starts, side="right") - 1
+        whole = starts + LENGTH <= begins[text + 1]
+        starts, text, place = starts[whole], text[whole], place[whole]
+        if len(starts):
+            first = np.flatnonzero(_runs(place, text))
+            last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
+            yield text[first], starts[first], starts[last], hashes[place[first]].view(np.int64)
+
+
+def _joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    parts = [(t or "").encode() for t in texts]
+    return b"".join(parts), np.concatenate([[0], np.cumsum([len(t) for t in parts])]).astype(np.int64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk in in_chunks([(t or "").encode() for t in batch.column(0).to_pylist()]):
-            keys, counts = np.unique(_anchors(chunk)[4], return_counts=True)
+    for batch in small_batches(batches, 0, _CHUNK):
+        data, begins = _joined(batch.column(0).to_pylist())
+        for _, _, _, key in _anchors(np.frombuffer(data, dtype=np.uint8), begins):
+            keys, counts = np.unique(key, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "n"])
 
 
@@ -92,31 +99,26 @@ def _segments(known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, frequent = np.frombuffer(known.value[0], dtype=np.uint8), np.frombuffer(known.value[1], dtype=np.int64)
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            for chunk in in_chunks([(t or "").encode() for t in batch.column(2).to_pylist()]):
-                text, first, last, _, key, begins = _anchors(chunk)
-                p = key & (FILTER_BITS - 1)
+        for batch in small_batches(batches, 2, _CHUNK):
+            ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, begins = _joined(batch.column(2).to_pylist())
+            for text, first, last, key in _anchors(np.frombuffer(data, dtype=np.uint8), begins):
+                p = key & (8 * len(repeated) - 1)
                 keep = np.flatnonzero((repeated[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
-                data = b"".join(chunk)
-                own = text[keep]
-                doc = np.array([ids[at + t] for t in own], dtype=np.int64)
-                row = np.array([rows[at + t] for t in own], dtype=np.int64)
+                own, key = text[keep], key[keep]
+                doc, row = ids[own].astype(np.int64), rows[own].astype(np.int64)
                 salt = np.full(len(keep), -1, dtype=np.int32)
                 if len(frequent):
-                    among = np.minimum(np.searchsorted(frequent, key[keep]), len(frequent) - 1)
-                    of = np.flatnonzero(frequent[among] == key[keep])
+                    of = np.flatnonzero(frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key)
                     salt[of] = mix((doc[of] ^ row[of]).view(np.uint64)) % np.uint64(SALTS)
                 columns = [
-                    pa.array(key[keep], pa.int64()),
+                    pa.array(key, pa.int64()),
                     pa.array(salt, pa.int32()),
                     pa.array(doc, pa.int64()),
                     pa.array(row, pa.int64()),
                     pa.array(first[keep] - begins[own], pa.int64()),
                     pa.array([data[a : b + LENGTH] for a, b in zip(first[keep].tolist(), last[keep].tolist())], pa.binary()),
                 ]
-                at += len(chunk)
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "salt", "doc", "row", "start", "segment"])
 
     return run
@@ -132,69 +134,110 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def equal_classes(group: np.ndarray, places: np.ndarray, data: bytes) -> np.ndarray:
-    """For each suffix (place in data, of 100 bytes) the lowest index of an equal one in its group, by deep-shallow sorting."""
+def _sizes(label: np.ndarray) -> np.ndarray:
+    """Of each row, how many rows have its label. label: rising numbers from 0."""
+    return np.bincount(label)[label] if len(label) else label
+
+
+def suffix_order(group: np.ndarray, places: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a batch: row numbers by group and then by the 100 bytes at their place in data, equal ones by number.
+
+    Also, for each row of it, whether its string differs from that of the row before.
+    """
     raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8)
     words = np.zeros(len(data) + 1, dtype=np.uint64)
     for k in range(8):
         words = (words << np.uint64(8)) | raw[k : k + len(words)]
-    out = np.arange(len(places))
-    live = np.arange(len(places))
-    label = group
-    for depth in range(SHALLOW):  # multikey quicksort: split every group by its next eight bytes
-        key = words[places[live] + _LAST[depth]]
-        order = np.lexsort((key, label))
-        live, key, label = live[order], key[order], label[order]
-        new = _runs(label, key)
-        label = np.cumsum(new)
-        size = np.bincount(label)[label]
-        live, label = live[size > 1], label[size > 1]
-    order = np.lexsort((live, label))
-    live, label = live[order], label[order]
-    while len(live):  # blind tries: a level of branches of all groups
-        leader = live[np.maximum.accumulate(np.where(_runs(label), np.arange(len(live)), 0))]
-        depth = np.full(len(live), len(_LAST))
-        left = np.arange(len(live))
-        for d in range(SHALLOW, len(_LAST)):
-            same = words[places[live[left]] + _LAST[d]] == words[places[leader[left]] + _LAST[d]]
-            depth[left[~same]] = d
+    last = np.array(_LAST)
+    order = np.argsort(group, kind="stable")
+    new = np.ones(len(order), dtype=bool)
+    # Places of order that lie in a bucket of more than one row, the bucket of each, and how many words all of a bucket share.
+    label = np.cumsum(_runs(group[order])) - 1
+    at = np.flatnonzero(_sizes(label) > 1)
+    label = np.cumsum(_runs(label[at])) - 1
+    depth = np.zeros(len(at), dtype=np.int64)
+    deep: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(at):  # multikey quicksort: every bucket is parted by its pivot, what equals it goes one word deeper
+        key = words[places[order[at]] + last[depth]]
+        begin = np.flatnonzero(_runs(label))
+        pivot = key[begin + np.bincount(label) // 2][label]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        by = np.argsort(label * 3 + side, kind="stable")
+        order[at] = order[at][by]
+        side, depth = side[by], depth[by] + (side[by] == 1)
+        label = np.cumsum(_runs(label[by], side)) - 1
+        many = _sizes(label) > 1
+        down = many & (depth == SHALLOW)
+        if down.any():
+            deep.append((at[down], np.cumsum(_runs(label[down])) - 1))
+        stay = many & ~down
+        at, depth = at[stay], depth[stay]
+        label = np.cumsum(_runs(label[stay])) - 1
+    shift = np.cumsum([0, *(int(x[1][-1]) + 1 for x in deep)])
+    at = np.concatenate([x[0] for x in deep]) if deep else np.zeros(0, np.int64)
+    label = np.concatenate([x[1] + k for x, k in zip(deep, shift)]) if deep else at
+    depth = np.full(len(at), SHALLOW)
+    while len(at):  # blind tries: a level of branches of all buckets
+        rows = order[at]
+        leader = rows[np.flatnonzero(_runs(label))][label]
+        leave = np.full(len(at), len(_LAST))
+        left = np.flatnonzero(depth < len(_LAST))
+        while len(left):
+            d = last[depth[left]]
+            same = words[places[rows[left]] + d] == words[places[leader[left]] + d]
+            leave[left[~same]] = depth[left[~same]]
             left = left[same]
-            if not len(left):
-                break
-        equal = depth == len(_LAST)
-        out[live[equal]] = leader[equal]
-        live, label, depth = live[~equal], label[~equal], depth[~equal]
-        key = words[places[live] + np.array(_LAST)[depth]]
-        order = np.lexsort((live, key, depth, label))
-        live, label, depth, key = live[order], label[order], depth[order], key[order]
-        label = np.cumsum(_runs(label, depth, key))
-        size = np.bincount(label)[label] if len(label) else label
-        live, label = live[size > 1], label[size > 1]
-    return out
+            depth[left] += 1
+            left = left[depth[left] < len(_LAST)]
+        equal = leave == len(_LAST)
+        d = last[np.minimum(leave, len(_LAST) - 1)]
+        key, other = words[places[rows] + d], words[places[leader] + d]
+        key[equal] = 0
+        side = np.where(equal, 1, np.where(key < other, 0, 2))
+        # Smaller ones that leave the leader early come first; greater ones that leave it late.
+        by = np.lexsort((rows, key, np.where(side == 0, leave, -leave), side, label))
+        order[at] = rows[by]
+        side, leave = side[by], leave[by]
+        branch = _runs(label[by], side, leave, key[by])
+        new[at[(side == 1) & ~branch]] = False
+        label = np.cumsum(branch) - 1
+        stay = (_sizes(label) > 1) & (side != 1)
+        at, depth = at[stay], leave[stay] + 1
+        label = np.cumsum(_runs(label[stay])) - 1
+    return order, new
 
 
 def _marked(t: pa.Table) -> pa.RecordBatch | None:
     """Byte ranges of strings that also start earlier. t: segments of whole key groups, sorted by key and place."""
     segments = t["segment"].to_pylist()
     key, doc, row, start = (t[c].to_numpy() for c in ("key", "doc", "row", "start"))
-    count = np.array([len(s) for s in segments]) - LENGTH + 1
-    offset = np.concatenate([[0], np.cumsum([len(s) for s in segments])[:-1]])
-    own = np.repeat(np.arange(len(segments)), count)
-    nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    _, group = np.unique(key, return_inverse=True)
-    first = equal_classes(group[own], offset[own] + nth, b"".join(segments))
-    a, b = own, own[first]
-    here, there = start[a] + nth, start[b] + nth[first]
-    earlier = (doc[a] != doc[b]) | (row[a] != row[b]) | (here != there)
-    marked = np.flatnonzero(earlier)
-    if not len(marked):
+    seen: dict[bytes, int] = {}
+    head = np.array([seen.setdefault(s, k) for k, s in enumerate(segments)])
+    length = np.array([len(s) for s in segments])
+    copy = np.flatnonzero((doc != doc[head]) | (row != row[head]) | (start != start[head]))
+    of, lo, hi = [copy], [start[copy]], [start[copy] + length[copy]]
+    distinct = np.flatnonzero(head == np.arange(len(head)))
+    _, group = np.unique(key[distinct], return_inverse=True)
+    distinct = distinct[np.bincount(group)[group] > 1]
+    if len(distinct):
+        count = length[distinct] - LENGTH + 1
+        offset = np.concatenate([[0], np.cumsum(length[distinct])[:-1]])
+        own = np.repeat(np.arange(len(distinct)), count)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        order, new = suffix_order(key[distinct][own], offset[own] + nth, b"".join(segments[k] for k in distinct))
+        again = np.sort(order[~new])  # the first of equal strings is the one with the smallest place
+        if len(again):
+            seg, at = distinct[own[again]], (start[distinct[own]] + nth)[again]
+            new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)])
+            first = np.flatnonzero(new)
+            of.append(seg[first])
+            lo.append(at[first])
+            hi.append(at[np.concatenate([first[1:] - 1, [len(at) - 1]])] + LENGTH)
+    seg = np.concatenate(of)
+    if not len(seg):
         return None
-    seg, at = own[marked], here[marked]
-    new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)])
-    lo = np.flatnonzero(new)
-    hi = np.concatenate([lo[1:] - 1, [len(at) - 1]])
-    found = [pa.array(doc[seg[lo]]), pa.array(row[seg[lo]]), pa.array(at[lo]), pa.array(at[hi] + LENGTH)]
-    return pa.RecordBatch.from_arrays([*found, pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.binary())], schema=_FOUND)
+    found = [pa.array(doc[seg]), pa.array(row[seg]), pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi))]
+    return pa.RecordBatch.from_arrays([*found, pa.nulls(len(seg), pa.int64()), pa.nulls(len(seg), pa.binary())], schema=_FOUND)
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +293,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         rows = []
         for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             data = (text or "").encode()
@@ -282,11 +325,13 @@ def repeated_ranges(docs: DataFrame, frequent: int = FREQUENT, split: int = SPLI
     """doc, row, lo, hi: byte ranges that repeated strings cover; ranges of a document may touch and overlap. docs: doc, row, text."""
     spark = docs.sparkSession
     keys = docs.select("text").mapInArrow(_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    place = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    keys = materialise(keys, "anchors")
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count() + 1).bit_length()))
+    place = F.col("key").bitwiseAND(F.lit(n_bits - 1))
     placed = keys.select(place.alias("p"), F.when(F.col("n") > frequent, F.col("key")).alias("often"))
-    # FILTER_BITS / 32768 rows at most; of frequent keys, one for each `frequent` segments at most.
+    # n_bits / 32768 rows at most; of frequent keys, one for each `frequent` segments at most.
     blocks = placed.groupBy(F.expr("p div 32768").alias("block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"), F.collect_list("often").alias("often")).collect()
-    bits = bytearray(FILTER_BITS // 8)
+    bits = bytearray(n_bits // 8)
     for r in blocks:
         bits[r["block"] * 4096 : r["block"] * 4096 + 4096] = r["bits"]
     often = np.array(sorted(k for r in blocks for k in r["often"]), dtype=np.int64)

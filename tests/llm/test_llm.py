@@ -89,6 +89,9 @@ def test_jaccard_classes(spark):
             assert (r["component_id"], r["n_shingles"]) == (comp[r["doc_id"]], size[r["doc_id"]]), r
         else:
             assert r["component_id"] == comp[0]
+    jaccard = ngram_join.jaccard_classes(frame(spark, [(7, "a b c d e f"), (7, "g h i j k"), (None, "x y"), (None, "X  y"), (9, "A b c d e f")]), carry={"own": F.col("key")})
+    assert by_row(jaccard, "doc_id", "component_id", "own") == sorted([(7, 7, 1), (7, 7, 1), (None, None, 1), (None, None, 1), (9, 7, 1)], key=repr)
+    assert jaccard.select("class").distinct().count() == 3
     assert ngram_join.jaccard_classes(frame(spark, rows[:0])).count() == 0
 
 
@@ -257,16 +260,31 @@ def test_copies_of_a_frequent_segment_are_not_held(monkeypatch):
     assert [(r["doc"], r["lo"], r["hi"]) for r in rows[1:]] == [(k, 7, 127) for k in range(1, 50_000)]
 
 
-def test_equal_classes():
+def test_suffix_order():
     rng = random.Random(6)
-    base = bytes(rng.randrange(97, 99) for _ in range(400))
-    data = base + base[50:350] + base[:200]
-    places = np.array([k for k in range(len(data) - 99)])
-    group = places % 2
-    got = suffix_dedup.equal_classes(group, places, data)
-    first: dict = {}
-    for k, p in enumerate(places):
-        assert got[k] == first.setdefault((group[k], data[p : p + 100]), k)
+    for letters, n in (("ab", 400), ("abcdefgh", 300), ("a", 250)):
+        base = bytes(map(ord, (rng.choice(letters) for _ in range(n))))
+        data = base + base[50:200] + base[:180]
+        places = np.array([rng.randrange(len(data) - 99) for _ in range(700)])
+        group = np.array([rng.randrange(3) for _ in places])
+        order, new = suffix_dedup.suffix_order(group, places, data)
+        strings = [(int(g), data[p : p + 100]) for g, p in zip(group, places)]
+        assert order.tolist() == sorted(range(len(places)), key=lambda k: (strings[k], k))
+        assert new.tolist() == [k == 0 or strings[order[k]] != strings[order[k - 1]] for k in range(len(order))]
+    assert suffix_dedup.suffix_order(np.zeros(0, int), np.zeros(0, int), b"")[0].tolist() == []
+
+
+def test_anchors_of_a_long_text_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 8_000_000, dtype=np.uint8)
+    tracemalloc.start()
+    covered = 0
+    for _, first, last, _ in suffix_dedup._anchors(data, np.array([0, len(data)])):
+        covered += int((last - first + 1).sum())
+    assert covered == len(data) - 99 and tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
 
 
 def test_packing(spark):
