@@ -12,7 +12,8 @@ has `capacity` entries at most, whatever the corpus holds. On it:
 
 All of it works on runs of equal lengths, so the plan is a table of a bounded number of intervals:
 the documents of rank lo to hi among those of one length lie in these sequences at this offset.
-Ranks come from counts by (length, bucket), so a length that many documents share is no hot key.
+Ranks come from counts by (length, bucket); a length has as many buckets as its count asks for, so one that many
+documents share is no hot key.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternflow.llm.shared import materialise, small_batches
@@ -34,6 +35,8 @@ CAPACITY = 2048
 GROUPS = 512
 #: Documents of more than capacity // SMALL_SHARE are large: up to five of them are in one configuration.
 SMALL_SHARE = 6
+#: Rows of a bucket in which pieces of one length are numbered.
+BUCKET_ROWS = 50_000
 END_ID = b"\0\0\0\0"
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -202,36 +205,48 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return intervals, sequence
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, buckets: int = 64, tokenizer_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, bucket_rows: int = BUCKET_ROWS, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset: where each piece of each document lies.
 
     A null text is an empty one: its only id is 0. Null and repeated ids are kept, each row is packed. Other
     columns of docs are not read. An empty table gives no rows.
+
+    Pieces of one length are numbered in buckets of about bucket_rows rows.
     """
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
-    pieces = materialise(token_pieces(docs, id_col, text_col, capacity, tokenizer_path).withColumn("bucket", bucket), "pieces")
-    counts = pieces.groupBy("length", "bucket").count()
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
+    pieces = materialise(token_pieces(docs, id_col, text_col, capacity, tokenizer_path), "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     intervals, _ = plan(histogram, capacity, groups)
-    places = spark.createDataFrame(intervals or [(0, 0, 0, 0, 1, 0)], "length long, lo long, hi long, base long, each long, at long")
+    # The plan is bounded by capacity and groups, not by the corpus: one row a length.
+    by_length: dict[int, list[tuple[int, ...]]] = {n: [] for n in histogram}
+    for length, *rest in sorted(intervals):
+        by_length[length].append(tuple(rest))
+    rows = [(n, -(-histogram[n] // bucket_rows), own) for n, own in by_length.items()]
+    kind = "length long, buckets long, places array<struct<lo:long,hi:long,base:long,each:long,at:long>>"
+    places = F.broadcast(spark.createDataFrame(rows, kind))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))
+    dealt = pieces.join(places.select("length", "buckets"), "length").withColumn("bucket", bucket)
+    counts = dealt.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = (
-        pieces.withColumn("own", F.row_number().over(own) - 1)
-        .join(firsts, ["length", "bucket"])
-        .withColumn("rank", F.col("own") + F.col("first"))
-    )
-    # The plan is bounded by capacity and groups, not by the corpus.
-    placed = ranked.join(F.broadcast(places), "length").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    nth = F.col("rank") - F.col("lo")
+    ranked = dealt.withColumn("own", F.row_number().over(own) - 1).join(firsts, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("first"))
+    placed = ranked.join(places.select("length", "places"), "length").withColumn("place", _interval(F.col("places"), F.col("rank")))
+    nth = F.col("rank") - F.col("place.lo")
     return placed.select(
         "doc_id",
         "piece",
         "start",
         "length",
         "ids_crc32",
-        (F.col("base") + F.floor(nth / F.col("each"))).alias("sequence_id"),
-        (F.col("at") + (nth % F.col("each")) * F.col("length")).alias("offset"),
+        (F.col("place.base") + F.floor(nth / F.col("place.each"))).alias("sequence_id"),
+        (F.col("place.at") + (nth % F.col("place.each")) * F.col("length")).alias("offset"),
     )
+
+
+def _interval(places: Column, rank: Column) -> Column:
+    """The entry of places (rising, without gaps) that holds the rank, by halving: 16 steps are enough for 65,536 entries."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(16))))
+    start = lambda k: F.get(places, k)["lo"]
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < F.size(places)) & (start(at + step) <= rank), at + step).otherwise(at))
+    return F.get(places, found)

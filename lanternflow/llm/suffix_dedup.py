@@ -44,7 +44,7 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _CHUNK = 1 << 19
 _BATCH_SEGMENTS = 20_000
 #: An anchor in more segments than this is frequent; one with more than SPLIT distinct segments is cut into strings.
-FREQUENT, SPLIT, SALTS = 4_000, 20_000, 64
+FREQUENT, SPLIT, SALTS = 1_000, 1_000, 64
 _FOUND = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("key", pa.int64()), ("segment", pa.binary())])
 _FOUND_SQL = "doc long, row long, lo long, hi long, key long, segment binary"
 _LAST = [*range(0, LENGTH - 8, 8), LENGTH - 8]

@@ -197,6 +197,57 @@ def test_toxicity_trains_on_what_scoring_reads(spark, monkeypatch):
     assert any("idiot" in words for words in seen)
 
 
+def naive_features(word):
+    """All subsequences of two to four letters of ^word$ within eight characters, by listing every choice of places."""
+    from itertools import combinations
+
+    text, out = f"^{word}$", {}
+    for n, weight in ((2, 0.1), (3, 0.5), (4, 1.0)):
+        for places in combinations(range(len(text)), n):
+            if places[-1] - places[0] < 8:
+                u = tuple(text[p] for p in places)
+                out[u] = out.get(u, 0.0) + weight * 0.7 ** (places[-1] - places[0] + 1 - n)
+    return out
+
+
+def naive_kernel(a, b):
+    x, y = naive_features(a), naive_features(b)
+    dot = lambda p, q: sum(v * q.get(u, 0.0) for u, v in p.items())
+    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+
+def test_kernel_against_listing():
+    words = ["banana", "aaaaaaa", "idiot", "idxiot", "on", "a", "worthless", "wourthless", "mississippi" * 2]
+    got = toxicity.landmark_kernel(words, words)
+    want = np.array([[naive_kernel(a, b) for b in words] for a in words])
+    assert np.abs(got - want).max() < 1e-5 and np.abs(np.diag(got) - 1).max() < 1e-5
+    model = toxicity.Model(np.zeros(toxicity._TABLE, np.float32), -0.3, 1.0, 0.0, [])
+    for w, alpha in (("idiot", 1.5), ("banana", -0.7)):
+        for codes, weights in toxicity.features([w]):
+            model.table[codes] += alpha * weights
+    value = [max(toxicity.FLOOR, 1.5 * naive_kernel(w, "idiot") - 0.7 * naive_kernel(w, "banana") - 0.3) for w in words]
+    assert np.abs(model.values(words) - value).max() < 1e-4
+
+
+def test_toxicity_tolerates_inserted_letters():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["an", "the", "er", "on", "ti", "st", "re", "or"]) for _ in range(rng.randrange(1, 4)))
+    bad = ["idiot", "worthless", "pathetic", "moron"]
+    texts, labels = [], []
+    for k in range(600):
+        text = [word() for _ in range(30)]
+        if k % 3 == 0:
+            text[rng.randrange(30)] = rng.choice(bad)
+        texts.append(toxicity.tokens(" ".join(text)))
+        labels.append(k % 3 == 0)
+    scorer = toxicity.Scorer(toxicity.fit(texts, labels))
+    plain = scorer([f"you are a {w} man" for w in bad])
+    inserted = scorer([f"you are a {w[:k]}{c}{w[k:]} man" for w in bad for k in range(1, len(w)) for c in "xqkzaeu"])
+    spelled = scorer([f"you are {sep.join(w)} now" for w in bad for sep in (" ", ".", "-")])
+    clean = scorer([" ".join(word() for _ in range(50)) for _ in range(300)])
+    assert (plain >= 0.7).all() and (spelled >= 0.7).all() and (inserted >= 0.7).mean() >= 0.9 and (clean >= 0.7).mean() <= 0.01
+
+
 def test_suffix_dedup(spark):
     rows = [r for r in sample(5) if r[0] is not None][:-2]
     rows += [(2000, "ab" * 300), (2001, "x" * 99), (2002, "x" * 100), (2003, "x" * 101), (2004, "é" * 120)]
@@ -289,7 +340,7 @@ def test_anchors_of_a_long_text_take_bounded_memory():
 
 def test_packing(spark):
     rows = [(i, t) for i, t in sample(7)] + [(5000 + k, "word " * (k * 37 % 900)) for k in range(120)]
-    got = packing.pack(frame(spark, rows), capacity=256, buckets=4).toPandas()
+    got = packing.pack(frame(spark, rows), capacity=256, bucket_rows=5).toPandas()
     from tokenizers import Tokenizer
 
     public = pytest.importorskip("public_tokenizers")
