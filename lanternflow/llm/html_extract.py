@@ -1,14 +1,15 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is read as the sequence of its leaf blocks. Each block has a vector: its tag path (tags, class and
-id words, hashed), its words (hashed), its length, share of link text, share of punctuation, and place. A
-bidirectional LSTM in numpy reads the whole sequence in both directions, so that a block is judged with
-all of the document around it, and says main text or not for every block.
+id words, hashed, and how the path lies to that of the block's page where most text is), its words (hashed), its
+length, share of link text, share of punctuation, and place. A bidirectional LSTM in numpy reads the whole sequence in
+both directions, so that a block is judged with all of the document around it, and says main text or not for every block.
 
 The labeller is trained here, on a bounded sample of pages. Their own markup is the teacher: blocks below
 article or main are main text, unless they are below navigation, forms and the like. As markup differs
-from site to site, each training page is also seen in other dress: other containers and class names, with
-headers, sidebars, notices, adverts, forms and reader comments around and inside it.
+from site to site, each training page is also seen in other dress: other containers, with
+headers, sidebars, notices, adverts, forms and reader comments around and inside it. Most class and id names of a dress are
+invented or left out, so that the labeller has to judge by structure, lengths and neighbours, not by names.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIM, WORD_DIM, EXTRA_DIM = 128, 24, 5
+TAG_DIM, NAME_DIM, WORD_DIM, EXTRA_DIM = 48, 24, 24, 11
+PATH_DIM = 2 * TAG_DIM + NAME_DIM
 DIM = PATH_DIM + WORD_DIM + EXTRA_DIM
 HIDDEN = 16
 SAMPLE_PAGES = 300
+#: Blocks that are read at once.
+LONG_PAGE = 8192
 
 #: Fixed values of HTML: elements that end a block, have no content, or hold no text of the page.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -106,34 +110,73 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
+#: Fixed values of HTML: elements that hold a run of text, or the parts of a list, table or quotation; without a name they are no container.
+_FLOW = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tr td th caption blockquote pre figure figcaption summary".split())
+_PATHS: dict[tuple[tuple[str, ...], tuple[str, ...]], np.ndarray] = {}
+#: A container with this share of the text of the fullest one may be that of the main text; the first of them is taken.
+_NEARLY_FULLEST = 0.4
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    found = _PATHS.get(path)
+def container_of(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path without its last element, if that holds a run of text, and without nameless lists and the like around it."""
+    end = len(path)
+    if end and path[end - 1].split(" ")[0] in _FLOW:
+        end -= 1
+    while end and path[end - 1] in _FLOW:
+        end -= 1
+    return path[:end]
+
+
+def main_container(page: list[Block]) -> tuple[str, ...]:
+    """The first container that holds nearly as much text outside links as the fullest one; article and main count four times."""
+    mass: dict[tuple[str, ...], float] = {}
+    for b in page:
+        c = container_of(b.path)
+        tags = {x.split(" ")[0] for x in c}
+        mass[c] = mass.get(c, 0.0) + (len(b.text) - b.link_chars) * (4 if tags & {"article", "main"} else 1) * (not tags & {"head", "nav", "footer", "aside", "form"})
+    most = max(mass.values(), default=0.0)
+    return next((c for c, m in mass.items() if m >= _NEARLY_FULLEST * most), ())
+
+
+def _path_vector(path: tuple[str, ...], main: tuple[str, ...]) -> np.ndarray:
+    """Tags of the path, tags beyond what it shares with the main container, names, and how far it is from that container."""
+    found = _PATHS.get((path, main))
     if found is None:
-        found = np.zeros(PATH_DIM, dtype=np.float32)
+        found = np.zeros(PATH_DIM + 5, dtype=np.float32)
+        shared = 0
+        while shared < min(len(path), len(main)) and path[shared] == main[shared]:
+            shared += 1
+        own = len(container_of(path))
         for depth, element in enumerate(path):
             tag, *names = re.split(r"[\s_-]+", element)
-            last = depth == len(path) - 1
-            for feature in (f"t:{tag}", *(f"n:{n}" for n in names), *([f"last:{tag}"] if last else [])):
-                found[zlib.crc32(feature.encode()) % PATH_DIM] += 1.0
+            found[zlib.crc32(tag.encode()) % TAG_DIM] += 1.0
+            if depth >= shared:
+                found[TAG_DIM + zlib.crc32((tag + ":named" * (bool(names) and depth < own)).encode()) % TAG_DIM] += 1.0
+            for n in names:
+                found[2 * TAG_DIM + zlib.crc32(n.encode()) % NAME_DIM] += 1.0
         found = np.minimum(found, 2.0)
-        if len(_PATHS) > 50_000:
+        beyond = [x for x in path[shared:own]]
+        found[PATH_DIM:] = (own == shared == len(main), shared == len(main), len(beyond) / 3, sum(" " in x for x in beyond) / 2, (len(main) - shared) / 3)
+        if len(_PATHS) > 20_000:
             _PATHS.clear()
-        _PATHS[path] = found
+        _PATHS[path, main] = found
     return found
 
 
-def vectors(page: list[Block]) -> np.ndarray:
+def vectors(page: list[Block], main: tuple[str, ...] | None = None, first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each block. Of a part of a page: main container, number of the first block and of all blocks of the page."""
+    main = main_container(page) if main is None else main
+    total = total or len(page)
     out = np.zeros((len(page), DIM), dtype=np.float32)
     for k, b in enumerate(page):
-        out[k, :PATH_DIM] = _path_vector(b.path)
+        path = _path_vector(b.path, main)
+        out[k, :PATH_DIM] = path[:PATH_DIM]
         words = b.text.lower().encode().split()
         hashed = np.bincount([zlib.crc32(w) % WORD_DIM for w in words], minlength=WORD_DIM)
         n = len(b.text)
+        at = first + k
         out[k, PATH_DIM : PATH_DIM + WORD_DIM] = hashed / (1 + len(words))
-        out[k, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 5, b.link_chars / n, sum(map(b.text.count, ".,;:!?")) / n, k / len(page), 1 / (1 + k))
+        out[k, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 5, b.link_chars / n, sum(map(b.text.count, ".,;:!?")) / n, at / total, 1 / (1 + at), 1 / (total - at), *path[PATH_DIM:])
     return out
 
 
@@ -160,14 +203,16 @@ class Labeller:
         w["bias"] = np.zeros(1, dtype=np.float32)
         return Labeller(w)
 
-    def _scan(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """States of one direction. x: steps, pages, DIM; a step past a page's end leaves its state as it is."""
+    def _scan(self, x: np.ndarray, mask: np.ndarray, side: str, state: tuple | None = None, tape: list | None = None) -> tuple[np.ndarray, tuple]:
+        """States of one direction and the last state. x: steps, pages, DIM; a step past a page's end leaves its state as it is.
+
+        state: where to begin. tape: filled with what _back() needs; labelling keeps none.
+        """
         steps, n, _ = x.shape
         order = range(steps) if side == "f" else range(steps - 1, -1, -1)
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out = np.zeros((steps, n, HIDDEN), np.float32)
         into = x @ self.w[f"x{side}"] + self.w[f"c{side}"]
-        tape = []
         for t in order:
             z = into[t] + h @ self.w[f"h{side}"]
             gates = _sigmoid(z[:, : 3 * HIDDEN])
@@ -177,10 +222,11 @@ class Labeller:
             new_c = m * (f * c + i * g) + (1 - m) * c
             tanh_c = np.tanh(new_c)
             new_h = m * (o * tanh_c) + (1 - m) * h
-            tape.append((t, i, f, o, g, c, tanh_c, h, m))
+            if tape is not None:
+                tape.append((t, i, f, o, g, c, tanh_c, h, m))
             h, c = new_h, new_c
             out[t] = h
-        return out, tape
+        return out, (h, c)
 
     def _back(self, x: np.ndarray, d_out: np.ndarray, tape: list, side: str) -> dict[str, np.ndarray]:
         d_z = np.zeros((*x.shape[:2], 4 * HIDDEN), np.float32)
@@ -198,17 +244,21 @@ class Labeller:
         flat = d_z.reshape(-1, 4 * HIDDEN)
         return {f"x{side}": x.reshape(-1, DIM).T @ flat, f"h{side}": d_wh, f"c{side}": flat.sum(axis=0)}
 
-    def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """How likely each block of each page is main text."""
+    def probabilities(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """How likely each block of each page is main text. Pages of like length are read together, a long page in parts."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         at = 0
         while at < len(order):
+            if len(pages[order[at]]) > LONG_PAGE:
+                out[order[at]] = self._long(pages[order[at]])
+                at += 1
+                continue
             end = at + 1
-            while end < len(order) and end - at < 256 and (end - at + 1) * len(pages[order[end]]) <= 16_384:
+            while end < len(order) and end - at < 256 and (end - at + 1) * len(pages[order[end]]) <= LONG_PAGE:
                 end += 1
             own = order[at:end]
-            x, mask = _padded([pages[k] for k in own])
+            x, mask = _padded([vectors(pages[k]) for k in own])
             states = np.concatenate([self._scan(x, mask, s)[0] for s in ("f", "b")], axis=2)
             p = _sigmoid(states @ self.w["out"] + self.w["bias"])[:, :, 0]
             for k, i in enumerate(own):
@@ -216,8 +266,23 @@ class Labeller:
             at = end
         return out
 
+    def _long(self, page: list[Block]) -> np.ndarray:
+        """One page, LONG_PAGE blocks at a time in each direction; the state goes on from part to part."""
+        main = main_container(page)
+        total = np.zeros(len(page), np.float32) + self.w["bias"]
+        for side, weights in (("f", self.w["out"][:HIDDEN]), ("b", self.w["out"][HIDDEN:])):
+            state = None
+            begins = range(0, len(page), LONG_PAGE)
+            for k in begins if side == "f" else reversed(begins):
+                x = vectors(page[k : k + LONG_PAGE], main, k, len(page))[:, None, :]
+                states, state = self._scan(x, np.ones(x.shape[:2], np.float32), side, state)
+                total[k : k + len(x)] += (states @ weights)[:, 0, 0]
+        return _sigmoid(total)
+
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        (hf, tf), (hb, tb) = self._scan(x, mask, "f"), self._scan(x, mask, "b")
+        tf: list = []
+        tb: list = []
+        hf, hb = self._scan(x, mask, "f", tape=tf)[0], self._scan(x, mask, "b", tape=tb)[0]
         states = np.concatenate([hf, hb], axis=2)
         p = _sigmoid(states @ self.w["out"] + self.w["bias"])[:, :, 0]
         total = max(1.0, float(mask.sum()))
@@ -259,27 +324,48 @@ def teacher(page: list[Block]) -> np.ndarray:
     return out
 
 
+#: What invented names are made of.
+_SYLLABLES = "ba ce di fo gu ha ji ko lu me na pi ro su te vo wa xy zo bri cla dro fle gno pra sti tru".split()
+
+
 def dressed(page: list[Block], truth: np.ndarray, rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     """The page in other markup: other containers for the main text, and boilerplate of all kinds around and in it."""
     pick = lambda options: str(options[int(rng.integers(len(options)))])
+    invented: dict[str, str] = {}
+
+    def renamed(path: tuple[str, ...], bare: float) -> tuple[str, ...]:
+        """The path with its names left out (this often), kept (a fifth), or each replaced by an invented one, the same on the whole page."""
+        out = []
+        for element in path:
+            tag, *names = element.split(" ", 1)
+            if names and names[0] not in invented:
+                r = rng.random()
+                word = "".join(pick(_SYLLABLES) for _ in range(int(rng.integers(2, 5))))
+                invented[names[0]] = names[0] if r < 0.2 else word if r < 0.8 else f"{word}-{pick(_SYLLABLES)}"
+            out.append(tag if not names or rng.random() < bare else f"{tag} {invented[names[0]]}")
+        return tuple(out)
+
     outer = pick(["", "div page", "div wrapper", "div container"])
     base = ("html", "body", *([outer] if outer else []))
 
     def pick_path(options: list[tuple[str, ...]]) -> tuple[str, ...]:
         return options[int(rng.integers(len(options)))]
 
-    main = base + pick_path([("article",), ("main",), ("main", "article"), ("div content", "article"), ("div post",), ("div entry-content",), ("div article-body",), ("section story",), ("div main-content",), ("article post",)])
+    main = base + renamed(pick_path([("article",), ("main",), ("main", "article"), ("div content", "article"), ("div post",), ("div entry-content",), ("div article-body",), ("section story",), ("div main-content",), ("article post",), ("div left", "div text"), ("section",), ("article",), ("article",)]), 0.3)
     texts = [b.text for b in page]
     some = lambda most: " ".join(pick(texts).split()[: int(rng.integers(1, most))]) or "x"
 
     def junk(where: tuple[str, ...], most: int, count: int, link: bool) -> list[Block]:
+        # Inside the main text only a name or the kind of element sets it apart, so names stay there.
+        inside = where[: len(main)] == main
+        where = (*main, *renamed(where[len(main) :], 0.0)) if inside else (*base, *renamed(where[len(base) :], 0.25))
         rows = [some(most) for _ in range(count)]
         return [Block(where, t, len(t) if link else 0) for t in rows]
 
     menu = lambda: junk(base + pick_path([("nav", "ul", "li"), ("div menu", "ul", "li"), ("header", "nav", "li"), ("header",), ("header site-header", "div"), ("div navbar", "a")]), 3, int(rng.integers(1, 9)), True)
     notice = lambda: junk(base + pick_path([("div cookie-notice", "p"), ("div notice",), ("div banner", "p"), ("dialog", "p"), ("div ad",), ("div advert",), ("div promo",), ("aside ad",), ("div sponsored", "p"), ("div newsletter", "form"), ("form", "label"), ("form", "button"), ("form search",)]), 30, int(rng.integers(1, 3)), False)
     side = lambda: junk(base + pick_path([("aside", "p"), ("aside sidebar", "ul", "li"), ("div sidebar", "p"), ("div widget", "li"), ("div related", "ul", "li"), ("aside",)]), 25, int(rng.integers(1, 5)), bool(rng.integers(2)))
-    comments = lambda where: junk(where + pick_path([("div comments", "p"), ("section comments", "div comment", "p"), ("ol comment-list", "li comment", "p"), ("div comment",), ("section#comments", "p")]), 40, int(rng.integers(1, 6)), False)
+    comments = lambda where: junk(where + pick_path([("div comments", "p"), ("section comments", "div comment", "p"), ("ol comment-list", "li comment", "p"), ("div comment",), ("section comments", "p"), ("div replies", "div", "p"), ("div replies", "ul", "li")]), 60, int(rng.integers(1, 7)), False)
     foot = lambda: junk(base + pick_path([("footer",), ("footer", "p"), ("div footer", "p"), ("footer site-footer", "ul", "li")]), 12, int(rng.integers(1, 4)), False)
     rows: list[tuple[Block, int]] = [(Block(("html", "head", "title"), some(10)), 0)] if rng.integers(2) else []
     for part in (menu, notice, side):
@@ -291,21 +377,24 @@ def dressed(page: list[Block], truth: np.ndarray, rng: np.random.Generator) -> t
         good = good[: int(rng.integers(1, len(good) + 1))]
     for b in good:
         leaf = (b.path[-1].split()[0] if b.path else "p",)
-        if rng.random() < 0.2:
-            leaf = pick_path([("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("div",), ("figure", "figcaption")])
+        if rng.random() < 0.25:
+            leaf = pick_path([("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("div",), ("div", "p"), ("section", "p"), ("figure", "figcaption"), ("p lead",), ("h2 part",), ("li item",)])
+            leaf = renamed(leaf, 0.3)
         text = some(12) if leaf[0] in ("h2", "h3") or rng.random() < 0.1 else b.text
         rows.append((Block(main + inner + leaf, text, min(b.link_chars, len(text))), 1))
-        if rng.random() < 0.05:
-            rows += [(x, 0) for x in junk(main + pick_path([("div ad",), ("aside",), ("div share", "ul", "li"), ("form",), ("figure ad",), ("div notice",)]), 25, 1, bool(rng.integers(2)))]
-    if rng.random() < 0.5:
-        rows += [(b, 0) for b in comments(main if rng.random() < 0.5 else base)]
+        if rng.random() < 0.08:
+            rows += [(x, 0) for x in junk(main + pick_path([("div ad",), ("aside",), ("aside", "p"), ("aside", "ul", "li"), ("div share", "ul", "li"), ("form",), ("form", "label"), ("figure ad",), ("div notice",), ("div notice", "p"), ("nav", "ul", "li"), ("footer",)]), 40, int(rng.integers(1, 3)), rng.random() < 0.3)]
+    if rng.random() < 0.3:
+        rows += [(x, 0) for x in junk(main + pick_path([("aside",), ("aside", "p"), ("aside note", "p")]), 50, int(rng.integers(1, 4)), False)]
+    if rng.random() < 0.6:
+        rows += [(b, 0) for b in comments(main if rng.random() < 0.6 else base)]
     for part in (side, notice, foot):
         if rng.random() < 0.7:
             rows += [(b, 0) for b in part()]
     return [b for b, _ in rows], np.array([y for _, y in rows], np.float32)
 
 
-def fit(pages: list[str], epochs: int = 8, dresses: int = 5, longest: int = 96, seed: int = 5) -> Labeller:
+def fit(pages: list[str], epochs: int = 8, dresses: int = 7, longest: int = 96, seed: int = 5) -> Labeller:
     """A labeller trained on sample pages. Long pages are trained on in parts of `longest` blocks; labelling reads them whole."""
     rng = np.random.default_rng(seed)
     examples: list[tuple[np.ndarray, np.ndarray]] = []
@@ -367,7 +456,7 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 read = [blocks(h or "") for h in part.column(2).to_pylist()]
-                marks = model.probabilities([vectors(b) for b in read])
+                marks = model.probabilities(read)
                 texts = [main_text(b, p) for b, p in zip(read, marks)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

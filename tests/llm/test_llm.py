@@ -485,6 +485,72 @@ def test_html(spark):
     assert [b.text for b in html_extract.blocks("x<p>a<div>b</p>c<br/>d")] == ["x", "a", "b", "c d"]
 
 
+def invented_pages(n, seed):
+    rng = random.Random(seed)
+    text = lambda most: " ".join("".join(rng.choice(["an", "the", "er", "on", "ti"]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(5, most))) + "."
+    parts = [[text(12)] + [text(60) for _ in range(rng.randrange(2, 8))] for _ in range(n)]
+    return [page(f"<h1>{p[0]}</h1>" + "".join(f"<p>{x}</p>" for x in p[1:])) for p in parts], ["\n\n".join(p) for p in parts]
+
+
+def test_names_that_no_training_page_has():
+    model = html_extract.fit(invented_pages(120, 1)[0])
+    pages, want = invented_pages(100, 2)
+    remark = "<p>Thanks for this, a good read!</p><p>I saw it otherwise, and so did a friend of mine.</p>"
+    extra = {
+        "responses in the article": lambda h: h.replace("</article>", f'<div class="responses">{remark}</div></article>'),
+        "discussion after it": lambda h: h.replace("</article>", f'</article><section id="discussion">{remark}</section>'),
+        "alert": lambda h: h.replace("<article>", '<div class="alert">Something went wrong with your order.</div><article>'),
+        "gdpr before it": lambda h: h.replace("<article>", '<div class="gdpr"><p>We and others keep data about you.</p></div><article>'),
+        "aside in the article": lambda h: h.replace("</p>", f"</p><aside>{remark}</aside>", 1),
+        "another container": lambda h: h.replace("<article>", '<div class="zq7">').replace("</article>", "</div>"),
+    }
+    for name, change in extra.items():
+        blocks = [html_extract.blocks(change(h)) for h in pages]
+        got = [html_extract.main_text(b, p) for b, p in zip(blocks, model.probabilities(blocks))]
+        assert sum(a != b for a, b in zip(got, want)) <= 2, name
+    listed = [html_extract.blocks(h.replace("</article>", "<ul><li>One more point of it.</li></ul></article>")) for h in pages]
+    got = [html_extract.main_text(b, p) for b, p in zip(listed, model.probabilities(listed))]
+    assert sum(a != b + "\n\nOne more point of it." for a, b in zip(got, want)) <= 2
+
+
+def test_labeller_against_a_naive_forward_pass(monkeypatch):
+    from math import exp, tanh
+
+    model = html_extract.Labeller.new(4)
+    pages = [html_extract.blocks(h) for h in invented_pages(6, 3)[0]]
+    sigmoid = lambda v: 1 / (1 + exp(-v))
+
+    def naive(x):
+        n, sides = html_extract.HIDDEN, []
+        for side in ("f", "b"):
+            w, u, bias = (model.w[k + side].astype(float) for k in ("x", "h", "c"))
+            h, c, states = [0.0] * n, [0.0] * n, []
+            for row in x if side == "f" else x[::-1]:
+                z = [sum(row[i] * w[i, j] for i in np.flatnonzero(row)) + sum(h[i] * u[i, j] for i in range(n)) + bias[j] for j in range(4 * n)]
+                c = [sigmoid(z[n + j]) * c[j] + sigmoid(z[j]) * tanh(z[3 * n + j]) for j in range(n)]
+                h = [sigmoid(z[2 * n + j]) * tanh(c[j]) for j in range(n)]
+                states.append(h)
+            sides.append(states if side == "f" else states[::-1])
+        return [sigmoid(sum(v * model.w["out"][k, 0] for k, v in enumerate([*f, *b])) + model.w["bias"][0]) for f, b in zip(*sides)]
+
+    want = [naive(html_extract.vectors(b).astype(float)) for b in pages]
+    for longest in (8192, 3):  # whole pages, and parts of three blocks
+        monkeypatch.setattr(html_extract, "LONG_PAGE", longest)
+        got = model.probabilities(pages)
+        assert all(np.abs(np.array(a) - b).max() < 1e-4 for a, b in zip(want, got))
+
+
+def test_html_of_any_length(spark):
+    rows = [(k, "u", h) for k, h in enumerate(invented_pages(30, 5)[0])]
+    body = "".join(f"<p>Paragraph {k} of a page without end, so to say.</p>" for k in range(12_000))
+    rows += [(500, None, page(body)), (501, "u", page("<p>" + "word " * 300_000 + "</p>")), rows[0], rows[0]]
+    model = html_extract.fit([r[2] for r in rows[:30]])
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
+    by_id = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(rows) and sum(r["page_id"] == 0 for r in got) == 3 and len({r["text"] for r in got if r["page_id"] == 0}) == 1
+    assert by_id[500].count("Paragraph") >= 11_900 and len(by_id[501]) in (0, 1_499_999)
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(1)
     model = html_extract.Labeller.new(3)
