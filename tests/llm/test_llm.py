@@ -415,6 +415,57 @@ def test_warc(spark):
     kept = {bytes(r["payload"]) for r in warc.read_warc(spark, path).filter("payload is not null and warc_type = 'response'").collect()}
     assert kept == {(h or "").encode() for _, _, h in rows}
     assert warc.round_trip(pages.limit(0)).count() == 0
+    import gzip
+    import pathlib
+
+    for file in pathlib.Path(path.removeprefix("file://")).glob("part-*"):  # any reader of gzip can read the files
+        assert gzip.decompress(file.read_bytes()).startswith(b"WARC/1.1\r\n")
+    ids = {r["record_id"]: r["page_id"] for r in warc.read_warc(spark, path, False).collect()}
+    again = warc.read_warc(spark, path, False).filter("warc_type = 'revisit'").collect()
+    assert again and all(ids[r["refers_to"]] == r["refers_to_page"] for r in again)
+
+
+def test_warc_of_any_length(spark):
+    rows = [(1, "u", "é" * 9_000_000), (2, "u", "é" * 9_000_000), (3, "v", "x" * 3_000_000), (4, None, "a b\n" * 50)]
+    got = by_row(warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "payload_bytes", "record_type", "refers_to")
+    assert got == [(1, 18_000_000, "response", None), (2, 18_000_000, "revisit", 1), (3, 3_000_000, "response", None), (4, 200, "response", None)]
+
+
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    def record(kind, name, block, *headers, length=None):
+        lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: " + name, *headers, b"Content-Length: %d" % (len(block) if length is None else length)]
+        return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n"
+    a, b, c = (b"<urn:uuid:%d>" % k for k in (1, 2, 3))
+    records = [
+        record(b"warcinfo", b"<urn:uuid:0>", b"software: x\r\n"),
+        record(b"request", b"<urn:uuid:9>", b"GET / HTTP/1.1\r\n\r\n", b"WARC-Concurrent-To: <urn:uuid:77>", b"WARC-Concurrent-To: " + a),
+        record(b"response", a, http + b"hello", b"WARC-Target-URI: http://a/"),
+        record(b"revisit", b, http, b"WARC-Refers-To: " + a, b"WARC-Concurrent-To: <urn:uuid:8>", b"WARC-Payload-Digest: sha1:ABC"),
+        record(b"metadata", b"<urn:uuid:8>", b"x: y\r\n"),
+        record(b"response", c, http + b"wrong", b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"right").hexdigest().encode()),
+        record(b"response", b"<urn:uuid:4>", b"abc", length=5000)[:-4],
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(map(gzip.compress, records[:3]))[:-30])
+    (tmp_path / "junk.warc").write_bytes(b"nothing of the kind\r\n\r\n")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    for name in ("plain.warc", "whole.warc.gz", "members.warc.gz"):
+        read = warc.read_warc(spark, f"file://{tmp_path}/{name}")
+        got = {r["record_id"]: r for r in read.collect()}
+        assert len(got) == 7 and {r["problem"] for r in got.values()} == {None, "digest", "truncated"}
+        assert got["<urn:uuid:2>"]["refers_to"] == "<urn:uuid:1>" and got["<urn:uuid:2>"]["page_id"] is None
+        assert got["<urn:uuid:9>"]["concurrent_to"] == ["<urn:uuid:77>", "<urn:uuid:1>"] and got["<urn:uuid:4>"]["problem"] == "truncated"
+        whole = {r["record_id"]: (r["request"] and r["request"]["record_id"], r["metadata"] and r["metadata"]["record_id"]) for r in warc.assemble(read).collect()}
+        assert whole == {"<urn:uuid:1>": ("<urn:uuid:9>", None), "<urn:uuid:2>": (None, "<urn:uuid:8>")}
+    assert [r["problem"] for r in warc.read_warc(spark, f"file://{tmp_path}/cut.warc.gz").collect()] == [None, None, "truncated"]
+    assert [r["problem"] for r in warc.read_warc(spark, f"file://{tmp_path}/junk.warc").collect()] == ["no record"]
+    assert warc.read_warc(spark, f"file://{tmp_path}/empty.warc").count() == 0
 
 
 def test_url_filter(spark):
