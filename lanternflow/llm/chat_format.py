@@ -1,18 +1,21 @@
 """Chat formatting with schema fingerprints.
 
 A record is JSON of any known layout: messages with roles, prompt and completion, instruction, input and
-output, or one row a turn. The nested field paths that mean something in some layout are sorted and
+output, or one row a turn. The nested field paths that mean something in a layout are sorted and
 hashed; the hash selects a declarative mapping, which says where the conversation's id, the turns, their
-roles and texts lie. No code is chosen by trial, and a further layout is a further table entry.
+roles and texts lie. A further layout is a further table entry. A record that fits no mapping is listed with its problem.
 
 Turns become text by a template. Control strings inside texts get a backslash, which reading back takes
-away again. A conversation is a run of rows, sorted by turn, and its digests are carried along from row to
-row, so that even a conversation of very many turns is never held in memory.
+away again. The text of a conversation is cut into pieces of bounded size, with the loss spans of each; reading back joins
+the pieces and finds the turns by the template's marks alone. A digest of a conversation can only be made from its
+beginning to its end, so a conversation streams through one task; no more than a piece and a turn of it is held.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -42,6 +45,12 @@ class Mapping:
             return {self.conv, *(p for _, p, _ in self.fixed)}
         return {p for p in (self.conv, self.role, self.text, self.order) if p}
 
+    def fingerprints(self) -> set[str]:
+        """Of all field paths, with any of the optional ones left out; of a list of turns also without an entry."""
+        optional = [p for _, p, required in self.fixed if not required]
+        out = {fingerprint(self.paths() - set(some)) for n in range(len(optional) + 1) for some in itertools.combinations(optional, n)}
+        return out | ({fingerprint({self.conv, f"{self.turns}[]"})} if self.turns else set())
+
 
 MAPPINGS = [
     Mapping("turn_rows", "conv_id", role="role", text="text", order="turn"),
@@ -64,14 +73,13 @@ START, END = "<|im_start|>", "<|im_end|>"
 _REST = "|".join(re.escape(c[1:]) for c in CONTROL)
 _ESCAPE = re.compile(rf"([<\[])(\\*)({_REST})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_REST})")
-_VOCABULARY = set().union(*(m.paths() for m in MAPPINGS))
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-_BY_FINGERPRINT = {fingerprint(m.paths()): m for m in MAPPINGS}
+_FINGERPRINTS = [(m, m.paths() | ({f"{m.turns}[]"} if m.turns else set()), m.fingerprints()) for m in MAPPINGS]
 
 
 def field_paths(value: object, at: str = "") -> set[str]:
@@ -83,15 +91,20 @@ def field_paths(value: object, at: str = "") -> set[str]:
     return {at}
 
 
+@functools.lru_cache(maxsize=4096)
+def _mapping_of(own: frozenset[str]) -> Mapping | None:
+    """The mapping whose fingerprints hold that of the paths in own that mean something to it; of several the one that reads most. A text may be a list of parts, and the id may be absent."""
+    found: list[tuple[int, Mapping]] = []
+    for m, known, fingerprints in _FINGERPRINTS:
+        meant = {k for k in known for p in own if p == k or (not k.endswith("[]") and p.startswith(k + "["))} | {m.conv}
+        meant -= {f"{m.turns}[]"} if len(meant) > 2 else set()
+        if fingerprint(meant) in fingerprints:
+            found.append((len(meant), m))
+    return max(found, key=lambda x: x[0])[1] if found else None
+
+
 def select_mapping(record: object) -> Mapping | None:
-    """The mapping whose paths are those of the record that mean something in any layout."""
-    own = field_paths(record)
-    known = own & _VOCABULARY
-    found = _BY_FINGERPRINT.get(fingerprint(known))
-    if found is None:  # a list without entries has no leaf paths
-        empty = [m for m in MAPPINGS if m.turns and f"{m.turns}[]" in own and m.conv in own]
-        found = empty[0] if len(empty) == 1 else None
-    return found
+    return _mapping_of(frozenset(field_paths(record)))
 
 
 def _at(value: object, path: str) -> object:
@@ -101,45 +114,83 @@ def _at(value: object, path: str) -> object:
 
 
 def _text(value: object) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A text as it is, null as empty, a list of parts as the texts of its parts, anything else as JSON. Half surrogate pairs become U+FFFD."""
+    if isinstance(value, list):
+        return "".join(_text(part["text"] if isinstance(part, dict) and "text" in part else part) for part in value)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
 
+def _whole(value: object) -> int | None:
+    """A whole number of 64 bits, also written as text or with a decimal point."""
+    if isinstance(value, str):
+        value = int(value) if re.fullmatch(r"-?\d{1,19}", value) else None
+    if isinstance(value, float):
+        value = int(value) if value.is_integer() else None
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63 else None
 
-def canonical(record: object) -> list[tuple[int | None, int | None, str, str, str]]:
-    """(conv_id, turn, role, text, layout) of the record's turns; a record of no known layout has none."""
+
+def _turn(conv: object, turn: object, role: object, text: object, name: str) -> tuple:
+    number = _whole(conv)
+    key = None if conv is None else str(number) if number is not None else _text(conv)
+    said = _text(role)
+    return number, key, _whole(turn), ROLES.get(said, said), _text(text), name, None
+
+
+def canonical(record: object) -> list[tuple]:
+    """(conv_id, conv_key, turn, role, text, layout, None) of the record's turns; one row with its problem instead if it has no known layout or no id."""
     m = select_mapping(record)
     if m is None:
-        return []
+        return [(None, None, None, None, None, None, "layout")]
     conv = _at(record, m.conv)
-    role = lambda r: ROLES.get(_text(r), _text(r))
+    if conv is None and (m.turns or m.fixed):
+        return [(None, None, None, None, None, m.name, "id")]
     if m.turns:
-        return [(conv, k, role(_at(t, m.role)), _text(_at(t, m.text)), m.name) for k, t in enumerate(_at(record, m.turns) or [])]
+        return [_turn(conv, k, _at(t, m.role), _at(t, m.text), m.name) for k, t in enumerate(_at(record, m.turns) or [])]
     if m.fixed:
-        return [(conv, k, r, _text(_at(record, p)), m.name) for k, (r, p, required) in enumerate(m.fixed) if required or _at(record, p)]
-    return [(conv, _at(record, m.order), role(_at(record, m.role)), _text(_at(record, m.text)), m.name)]
+        return [_turn(conv, k, r, _at(record, p), m.name) for k, (r, p, required) in enumerate(m.fixed) if required or _at(record, p)]
+    return [_turn(conv, _at(record, m.order), _at(record, m.role), _at(record, m.text), m.name)]
+
 
+TURN = "conv_id long, conv_key string, turn long, role string, text string, layout string, problem string"
+FORMATTED = "conv_id long, conv_key string, part long, formatted string, loss array<struct<start:long,length:long>>"
+DIGEST = "conv_id long, conv_key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+#: Characters of a piece of a conversation's text.
+PIECE_CHARS = 1 << 16
 
-TURN = "conv_id long, turn long, role string, text string, layout string"
-FORMATTED = "conv_id long, part long, formatted string, loss_start long, loss_length long"
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
-    """The turns of JSON records. Broken JSON and unknown layouts give no turns."""
+    """The turns of JSON records. problem is null; a record that gives no turns has one row, its text is the record, and its problem is
+
+    json (null or broken JSON), layout (no known layout) or id (the conversation has no id; rows of a turn may have none).
+    A list of turns without an entry gives no row.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
+            rows: list[tuple] = []
             for text in f[column]:
                 try:
-                    rows += canonical(json.loads(text))
-                except (TypeError, ValueError):
-                    continue
-            out = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "layout"])
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+                    found = canonical(json.loads(text))
+                except (TypeError, ValueError, RecursionError):
+                    found = [(None, None, None, None, None, None, "json")]
+                if len(found) == 1 and found[0][-1]:
+                    found = [(*found[0][:4], text, *found[0][5:])]
+                rows += found
+            yield pd.DataFrame(rows, columns=_names(TURN), dtype=object).astype({"conv_id": "Int64", "turn": "Int64"})
 
     return records.select(column).mapInPandas(run, TURN)
 
 
+def rejects(records: DataFrame, column: str = "record") -> DataFrame:
+    """The records that give no turns: record, problem and, where one is known, layout."""
+    return canonical_turns(records, column).filter("problem is not null").select(F.col("text").alias("record"), "problem", "layout")
+
+
 def escape(text: str) -> str:
     return _ESCAPE.sub(r"\1\\\2\3", text)
 
@@ -156,6 +207,7 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def parse_turn(formatted: str) -> tuple[str, str]:
+    """Role and text of one turn between its marks."""
     head, _, rest = formatted.removeprefix(START).partition("\n")
     role = re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], head)
     return unescape(role), unescape(rest.removesuffix(END + "\n"))
@@ -163,67 +215,123 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 
 def by_conversation(turns: DataFrame) -> DataFrame:
     """Turns with the rows of a conversation next to each other, in order. Equal turn numbers go by role and text; null comes first."""
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return turns.repartition("conv_key").sortWithinPartitions("conv_key", "turn", "role", "text")
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
-    """The formatted text of each conversation in parts, one a turn, and the loss span within the part."""
+def format_turns(turns: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """The formatted text of each conversation in pieces of piece_chars, and the loss spans of each piece. Rows with a problem are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv: object = run
-        part = 0
-        for f in frames:
-            rows = []
-            for c, r, t in zip(f["conv_id"], f["role"], f["text"]):
-                c = None if pd.isna(c) else int(c)
-                part = part + 1 if c == conv else 0
-                conv = c
-                rows.append((c, part, *format_turn(r, t)))
-            out = pd.DataFrame(rows, columns=["conv_id", "part", "formatted", "loss_start", "loss_length"])
-            yield out.astype({"conv_id": "Int64"})
+        now: tuple | None = None
+        part, text = 0, ""
+        loss: list[tuple[int, int]] = []  # spans within text
+
+        def pieces(least: int) -> Iterator[tuple]:
+            nonlocal part, text, loss
+            at = 0
+            while len(text) - at >= least and at < len(text):
+                end = min(at + piece_chars, len(text))
+                spans = [(max(a, at), min(b, end)) for a, b in loss if a < end and b > at]
+                yield (*now, part, text[at:end], [{"start": a - at, "length": b - a} for a, b in spans])
+                part, at = part + 1, end
+            text, loss = text[at:], [(a - at, b - at) for a, b in loss if b > at]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=_names(FORMATTED), dtype=object).astype({"conv_id": "Int64"})
 
-    return by_conversation(turns).select("conv_id", "role", "text").mapInPandas(run, FORMATTED)
+        for f in frames:
+            rows: list[tuple] = []
+            for number, key, role, said in zip(f["conv_id"], f["conv_key"], f["role"], f["text"]):
+                own = (None if pd.isna(number) else int(number), key)
+                if own != now:
+                    if now is not None:
+                        rows += pieces(1)
+                    now, part = own, 0
+                whole, start, length = format_turn(role, said)
+                if length:
+                    loss.append((len(text) + start, len(text) + start + length))
+                text += whole
+                if len(text) >= piece_chars:
+                    rows += pieces(piece_chars)
+            yield frame(rows)
+        if now is not None:
+            yield frame(list(pieces(1)))
+
+    rows = by_conversation(turns.filter("problem is null"))
+    return rows.select("conv_id", "conv_key", "role", "text").mapInPandas(run, FORMATTED)
+
+
+class _Reader:
+    """Digests of one conversation from the pieces of its text, in order."""
+
+    def __init__(self) -> None:
+        self.n = self.loss_chars = self.chars = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.text, self.masked = "", ""
+
+    def add(self, piece: str, spans: list) -> None:
+        self.chars += len(piece)
+        self.text += piece
+        at = 0
+        for span in spans:
+            start, length = int(span["start"]), int(span["length"])
+            if start > at:  # what was masked before has ended
+                self._said()
+            self.masked += piece[start : start + length]
+            at = start + length
+        if at < len(piece):
+            self._said()
+        end = self.text.rfind(END + "\n")
+        if end >= 0:
+            whole, self.text = self.text[: end + len(END) + 1], self.text[end + len(END) + 1 :]
+            for turn in whole.split(END + "\n")[:-1]:
+                role, said = parse_turn(turn)
+                self.n += 1
+                self.turns.update(f"{role}\n{said}\n".encode())
+
+    def _said(self) -> None:
+        said, self.masked = unescape(self.masked), ""
+        self.loss_chars += len(said)
+        self.loss.update(said.encode())
+
+    def done(self) -> tuple:
+        self._said()
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its formatted parts, which lie next to each other and in order."""
+    """Digests of each conversation, from the pieces of its text, which lie next to each other and in order. Turns are found by their marks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv: object = run
-        state: list = []
-        names = [x.split()[0] for x in DIGEST.split(", ")]
+        now: tuple | None = None
+        reader = _Reader()
 
-        def done() -> tuple:
-            n, turns, loss_chars, loss, chars = state
-            return conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=_names(DIGEST), dtype=object).astype({"conv_id": "Int64"})
 
         for f in frames:
-            rows = []
-            for c, text, start, length in zip(f["conv_id"], f["formatted"], f["loss_start"], f["loss_length"]):
-                c = None if pd.isna(c) else int(c)
-                if c != conv:
-                    if state:
-                        rows.append(done())
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, said = parse_turn(text)
-                loss = unescape(text[start : start + length])
-                state[0] += 1
-                state[1].update(f"{role}\n{said}\n".encode())
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += len(text)
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
-        if state:
-            yield pd.DataFrame([done()], columns=names).astype({"conv_id": "Int64"})
-
-    return formatted.mapInPandas(run, DIGEST)
+            rows: list[tuple] = []
+            for number, key, piece, loss in zip(f["conv_id"], f["conv_key"], f["formatted"], f["loss"]):
+                own = (None if pd.isna(number) else int(number), key)
+                if own != now:
+                    if now is not None:
+                        rows.append((*now, *reader.done()))
+                    now, reader = own, _Reader()
+                reader.add(piece, loss)
+            yield frame(rows)
+        if now is not None:
+            yield frame([(*now, *reader.done())])
+
+    return formatted.select("conv_id", "conv_key", "formatted", "loss").mapInPandas(run, DIGEST)
 
 
 def format_records(records: DataFrame, column: str = "record") -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of every conversation in JSON records.
 
-    Null texts and roles are empty. Rows that repeat a conversation and turn are turns of their own. All turns
-    without a conversation id are one conversation. Extra fields are not read. No records, no rows.
+    Null texts and roles are empty. Rows that repeat a conversation and turn are turns of their own. All rows of a turn
+    without a conversation id are one conversation. conv_key is the id as text; conv_id is null where that is no whole
+    number of 64 bits. Records that give no turns are left out: rejects() lists them. Extra fields and columns are not
+    read. No records, no rows.
     """
     return read_back(format_turns(canonical_turns(records, column)))
 
@@ -244,7 +352,7 @@ WITH t AS (
 ), e AS (
   SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])')) AS escaped FROM t
 )
-SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(conv_id AS VARCHAR) AS conv_key, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -503,7 +503,9 @@ def test_chat_records(spark):
         '{"conv_id": 5, "turn": 0, "role": "user", "text": null}',
         '{"id": 6, "messages": []}', "broken", '{"nothing": 1}', None,
     ]
-    turns = chat_format.canonical_turns(spark.createDataFrame([(r,) for r in records], "record string"))
+    every = chat_format.canonical_turns(spark.createDataFrame([(r,) for r in records], "record string"))
+    assert by_row(every.filter("problem is not null"), "text", "problem") == sorted([("broken", "json"), ('{"nothing": 1}', "layout"), (None, "json")], key=repr)
+    turns = every.filter("problem is null")
     assert by_row(turns, "conv_id", "turn", "role", "text", "layout") == sorted(
         [(1, 0, "user", "q", "messages"), (1, 1, "assistant", "", "messages"), (2, 0, "user", "p", "prompt_completion"), (2, 1, "assistant", "c", "prompt_completion"), (3, 0, "system", "i", "instruction_input"), (3, 2, "assistant", "o", "instruction_input"), (4, 0, "user", "h", "conversations"), (4, 1, "assistant", "g", "conversations"), (5, 0, "user", "", "turn_rows"), (5, 1, "assistant", "second", "turn_rows")],
         key=repr,
@@ -513,6 +515,46 @@ def test_chat_records(spark):
     assert (got[5]["n_turns"], got[5]["loss_chars"], got[5]["loss_sha256"]) == (2, 6, hashlib.sha256(b"second").hexdigest())
 
 
+def test_chat_records_of_all_kinds(spark):
+    records = [
+        '{"id": "abc", "messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}]}',
+        '{"id": 1.5, "prompt": "p", "completion": "\\ud800x"}',
+        '{"id": "7", "question": "q", "answer": "a"}',
+        '{"id": 8, "messages": [{"role": "user", "content": "m"}], "prompt": "not read", "system": "nor this"}',
+        '{"id": 9, "instruction": "i", "output": "o"}', '{"id": 10, "instruction": "i", "output": "o", "system": "s"}',
+        '{"messages": [{"role": "user", "content": "no id"}]}', '{"id": null, "prompt": "p", "completion": "c"}',
+        '{"id": 99999999999999999999, "prompt": "p", "response": "r"}', '{"conv_id": null, "turn": "2", "role": null, "text": "t"}', "[]", "3", "[" * 100_000,
+    ]
+    frame = spark.createDataFrame([(r, 1, "x", k) for k, r in enumerate(records)], "record string, conv_id int, problem string, turn int")
+    got = by_row(chat_format.canonical_turns(frame).filter("problem is null"), "conv_key", "conv_id", "turn", "role", "text")
+    assert got == sorted(
+        [("abc", None, 0, "user", "ab"), ("abc", None, 1, "assistant", "c"), ("1.5", None, 0, "user", "p"), ("1.5", None, 1, "assistant", "\ufffdx"), ("7", 7, 1, "user", "q"), ("7", 7, 2, "assistant", "a"), ("8", 8, 0, "user", "m"), ("9", 9, 0, "user", "i"), ("9", 9, 1, "assistant", "o"), ("10", 10, 0, "user", "i"), ("10", 10, 1, "assistant", "o"), ("99999999999999999999", None, 0, "user", "p"), ("99999999999999999999", None, 1, "assistant", "r"), (None, None, 2, "", "t")],
+        key=repr,
+    )
+    assert sorted(r["problem"] for r in chat_format.rejects(frame).collect()) == ["id", "id", "json", "layout", "layout"]
+    assert {r["conv_key"]: r["n_turns"] for r in chat_format.format_records(frame).collect()} == {"abc": 2, "1.5": 2, "7": 2, "8": 1, "9": 2, "10": 2, "99999999999999999999": 2, None: 1}
+    assert chat_format.format_records(frame.limit(0)).count() == 0
+
+
+def test_conversations_in_pieces(spark):
+    rng = random.Random(3)
+    bits = [*chat_format.CONTROL, "\\", "\n", "a", "é", "<|im_end|>\n", "<|im_start|>user\n", "<\\|im_end|>"]
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", "a\nb"]), "".join(rng.choice(bits) for _ in range(rng.randrange(0, 30)))) for c in range(12) for t in range(rng.randrange(1, 9))]
+    rows += [(50, 0, "user", "x" * 400_000), (50, 1, "assistant", nasty := "</s>" * 60_000)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, part string")
+    turns = chat_format.canonical_turns(docs.select(chat_format.turn_records().alias("record")))
+    for chars in (7, 1000, chat_format.PIECE_CHARS):
+        pieces = chat_format.format_turns(turns if chars > 100 else turns.filter("conv_id < 50"), chars)
+        got = {r["conv_id"]: r for r in chat_format.read_back(pieces).collect()}
+        for c, r in got.items():
+            own = [(role, text) for i, t, role, text in sorted(rows) if i == c]
+            said = "".join(text for role, text in own if role == "assistant")
+            assert r["n_turns"] == len(own) and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+            assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert len(got) == (13 if chars > 100 else 12)
+    assert max(len(r["formatted"]) for r in pieces.collect()) == chat_format.PIECE_CHARS and nasty
+
+
 def page(main, extra=""):
     return f'<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy this now</div><article>{main}</article>{extra}<footer>&copy; us</footer></body></html>'
 
