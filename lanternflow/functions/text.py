@@ -13,7 +13,7 @@ SYNONYMS = [["myway", "prepay", "prepaid"]]
 GLOSSARY = ["Glossary: 'Prepay' and 'MyWay' refer to the same program; treat them as identical terms."]
 
 
-def strip(c: Column) -> Column:
+def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -2,33 +2,80 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternflow.functions import elements as E
 from lanternflow.functions import markup as M
+from lanternflow.functions import text as T
 from lanternflow.operators.tables import upsert
 
-#: Rules of a site: rule is sections, tabs or whole.
-SITE_RULES = "site_id long, root_url string, name string, container string, breadcrumb string, rule string"
+#: Rules of a site. container and breadcrumb are selectors of tags, #ids and .classes, joined by blanks and >; rule is
+#: sections (accordions, then headings), tabs (tabs, then headings) or whole; crumb_text: a breadcrumb without items is cut at >.
+SITE_RULES = "site_id long, root_url string, name string, container string, breadcrumb string, rule string, crumb_text boolean"
+_PARTS = "page_id long, rule string, body string, intro string, steps array<struct<n:string,html:string>>, items array<string>, crumbs array<string>"
+_ITEM = "\n\nAccordion Item\n\nClosed Title:"
+
+
+def seed_rules(rules: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The rules after seeding: a seed replaces the rule of its site, others are added."""
+    return upsert(rules, seeds, ["site_id"])
+
+
+def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The parts that the rules name, as source. A page without its container gives no row."""
+    for f in frames:
+        rows = []
+        for page_id, html, container, breadcrumb, rule, crumb_text in f.itertuples(index=False):
+            page = E.Page(html or "")
+            box = next(page.select(container), None)
+            if box is None:
+                continue
+            intro, steps, items, gone = None, [], [], []
+            if rule == "sections":
+                gone = E.accordions(page, box)
+                items = [page.outer(e) for e in gone]
+            elif rule == "tabs":
+                intro, steps, gone = E.tabs(page, box)
+            body = page.without(box, gone)
+            rows.append((page_id, rule, body, intro, [{"n": n, "html": h} for n, h in steps], items, E.crumbs(page, breadcrumb, bool(crumb_text))))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARTS.split(", ")])
+
+
+def page_parts(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """The parts of each page (page_id, site_id, html) that its site's rules name: body, intro, steps of tabs, accordion items and breadcrumbs."""
+    if "crumb_text" not in rules.columns:
+        rules = rules.withColumn("crumb_text", F.lit(False))
+    joined = pages.select("page_id", "site_id", "html").join(rules.select("site_id", "container", "breadcrumb", "rule", "crumb_text"), "site_id")
+    return joined.select("page_id", "html", "container", "breadcrumb", "rule", "crumb_text").mapInPandas(_parts, _PARTS)
+
+
+def _filled(pieces: Column) -> Column:
+    return F.filter(F.transform(pieces, T.strip), lambda x: x != "")
+
+
+def pieces(min_len: int = 100, max_len: int = 100_000) -> Column:
+    """The packed pieces of a page's parts: accordion items, or introduction and steps of tabs, then what lies between headings."""
+    items = _filled(F.flatten(F.transform("items", lambda x: F.split(M.to_markdown(x), _ITEM))))
+    steps = F.transform("steps", lambda x: F.struct(x["n"].alias("n"), T.strip(M.to_markdown(x["html"])).alias("text")))
+    told = F.transform(F.filter(steps, lambda x: x["text"] != ""), lambda x: F.concat(F.lit("Step "), x["n"], F.lit(": "), x["text"]))
+    first = F.array_join(F.concat(F.filter(F.array("intro"), lambda x: x.isNotNull()), told), "\n\n")
+    lead = F.when(F.col("rule") == "tabs", _filled(F.array(first))).otherwise(items)
+    return M.pack_sections(F.concat(lead, M.split_headings(M.to_markdown(F.col("body")))), min_len, max_len)
 
 
 def extracts(pages: DataFrame, rules: DataFrame, limit: int = 100_000) -> DataFrame:
     """page_id, extract_index and text of the pages (page_id, site_id, html) of known sites.
 
-    The breadcrumb stands before each extract. Rule sections reorders by headings and packs short pieces; any other
-    rule takes the container whole. A page without its container gives no rows.
+    The breadcrumb stands before each extract. A page without its container gives no rows.
     """
-    joined = pages.join(rules, "site_id")
-    body = M.to_markdown(M.container(F.col("html")))
-    sections = F.array_join(M.pack_sections(M.split_headings(body), 100, 100_000), "\n\n")
-    text = F.when(F.col("rule") == "sections", sections).otherwise(body)
-    windows = M.extract_windows(text, M.breadcrumb_context(F.col("html")), limit)
-    return joined.select("page_id", F.posexplode(windows).alias("extract_index", "text"))
+    context = F.when(F.size("crumbs") > 0, F.concat(F.lit("Context: "), F.array_join("crumbs", " > "), F.lit("\n\n"))).otherwise(F.lit(""))
+    whole = F.when(F.col("rule").isin("sections", "tabs"), F.array_join(pieces(), "\n\n")).otherwise(M.to_markdown(F.col("body")))
+    texts = page_parts(pages, rules).select("page_id", whole.alias("whole"), context.alias("context"))
+    return texts.select("page_id", F.posexplode(M.extract_windows(F.col("whole"), F.col("context"), limit)).alias("extract_index", "text"))
 
 
 def chunks(rows: DataFrame, limit: int = 1000) -> DataFrame:
@@ -37,73 +84,26 @@ def chunks(rows: DataFrame, limit: int = 1000) -> DataFrame:
 
 
 def pages_to_chunks(pages: DataFrame, rules: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """All chunks anew, or, with old ones, those of the given pages replaced."""
+    """All chunks anew; or, with old ones, all chunks of the given pages of known sites replaced, however many they had."""
     new = chunks(extracts(pages, rules))
-    return new if old is None else upsert(old, new, ["page_id", "extract_index", "chunk_index"])
-
-
-class _Tree(HTMLParser):
-    """Text of marked parts of a page, in order: tabs by number, intro, accordion items, and the rest."""
-
-    VOID = {"br", "img", "hr", "input", "meta", "link"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str | None]] = []
-        self.parts: list[tuple[str, list[str]]] = [("rest", [])]
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in self.VOID:
-            self.parts[-1][1].append("\n")
-            return
-        names = dict(attrs).get("class") or ""
-        found = re.search(r"kt-inner-tab-(\w+)", names)
-        kind = f"tab {found[1]}" if found else "titles" if "kt-tabs-title-list" in names else "accordion" if tag == "details" or "accordion" in names or "collapse" in names else None
-        if kind:
-            self.parts.append((kind, []))
-        self.stack.append((tag, kind))
-        if tag in ("p", "div", "li", "summary", "h1", "h2", "h3"):
-            self.parts[-1][1].append("\n\n" + {"h1": "# ", "h2": "## ", "h3": "### "}.get(tag, ""))
-
-    def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                closed = self.stack[k:]
-                del self.stack[k:]
-                if any(kind for _, kind in closed):
-                    outer = next((kind for _, kind in reversed(self.stack) if kind), None)
-                    self.parts.append((outer or "rest", []))
-                break
-
-    def handle_data(self, data: str) -> None:
-        self.parts[-1][1].append(data)
-
-
-def marked_parts(html: str) -> list[tuple[str, str]]:
-    """(kind, text) of the parts of a page: tab n, titles, accordion, rest; neighbours of a kind are one."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    out: list[tuple[str, str]] = []
-    for kind, pieces in tree.parts:
-        text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(pieces))).strip()
-        if text:
-            out.append((kind, text))
-    return out
-
-
-def tab_split(pages: DataFrame) -> DataFrame:
-    """page_id, part and text: the steps of tabs as one text, then accordion items, then the rest; titles of tabs are dropped."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for page, html in zip(f["page_id"], f["html"]):
-                parts = marked_parts(html)
-                steps = [f"Step {k[4:]}: {t}" for k, t in parts if k.startswith("tab ")]
-                texts = (["\n\n".join(steps)] if steps else []) + [t for k, t in parts if k == "accordion"]
-                rest = "\n\n".join(t for k, t in parts if k == "rest")
-                rows += [(page, n, t) for n, t in enumerate([*texts, *([rest] if rest else [])])]
-            yield pd.DataFrame(rows, columns=["page_id", "part", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, part long, text string")
+    if old is None:
+        return new
+    again = pages.join(rules.select("site_id"), "site_id", "left_semi").select("page_id").distinct()
+    return old.join(again, "page_id", "left_anti").unionByName(new)
+
+
+def pipeline_totals(pages: DataFrame, extracts: DataFrame, chunks: DataFrame, embedded: DataFrame, captured: DataFrame) -> DataFrame:
+    """One row: pages, extracts and chunks in all, chunks without a vector (embedded: chunk_id), and captures that are new (state)."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    waiting = chunks.join(embedded.select("chunk_id"), "chunk_id", "left_anti")
+    parts = [count(pages, "n_pages"), count(extracts, "n_extracts"), count(chunks, "n_chunks"), count(waiting, "n_pending"), count(captured.filter("state = 'new'"), "n_new")]
+    rows = parts[0].select(F.lit("n_pages").alias("name"), F.col("n_pages").alias("n"))
+    for part in parts[1:]:
+        rows = rows.union(part.select(F.lit(part.columns[0]).alias("name"), F.col(part.columns[0]).alias("n")))
+    return rows
+
+
+def tab_split(pages: DataFrame, rules: DataFrame, max_len: int = 1000) -> DataFrame:
+    """page_id, part and text of the packed pieces of the pages of sites with tabs."""
+    parts = page_parts(pages, rules.filter("rule = 'tabs'"))
+    return parts.select("page_id", F.posexplode(pieces(100, max_len)).alias("part", "text")).withColumn("part", F.col("part").cast("long"))

@@ -97,29 +97,61 @@ def extract_windows(spark, d):
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), "extract")
 
 
+def _rules(spark, d):
+    """A rule for each site of the pages: sections, tabs or whole by the length of its address. A site's number is its smallest page."""
+    sites = _t(spark, d, "pages").groupBy(_root(F.col("url")).alias("root_url")).agg(F.min("page_id").alias("site_id"))
+    rule = F.element_at(F.array(F.lit("sections"), F.lit("tabs"), F.lit("whole")), (F.length("root_url") % 3 + 1).cast("int"))
+    return sites.select("site_id", "root_url", U.url_host(F.col("root_url")).alias("name"), F.lit("body > article").alias("container"), F.lit("body > nav ul").alias("breadcrumb"), rule.alias("rule"), (F.length("root_url") % 2 == 0).alias("crumb_text"))
+
+
 def site_rules(spark, d):
-    """A rule for each site of the pages."""
-    sites = _t(spark, d, "pages").select(_root(F.col("url")).alias("root_url")).distinct()
-    return sites.select(F.xxhash64("root_url").alias("site_id"), "root_url", U.url_host(F.col("root_url")).alias("name"), F.lit("article").alias("container"), F.lit("nav").alias("breadcrumb"), F.when(F.length("root_url") % 2 == 0, F.lit("sections")).otherwise(F.lit("whole")).alias("rule"))
+    """The rules after seeding: seeds for some of the sites, and for one that has no page."""
+    rules = _rules(spark, d)
+    seeds = rules.filter(F.length("root_url") % 5 == 0).withColumns({"rule": F.lit("whole"), "breadcrumb": F.lit("nav#none")})
+    extra = spark.range(1).select((-F.col("id") - 1).alias("site_id"), *(F.lit(x).alias(c) for c, x in (("root_url", "https://seed.example"), ("name", "seed.example"), ("container", "#main"), ("breadcrumb", "nav"), ("rule", "tabs"))), F.lit(True).alias("crumb_text"))
+    return P.seed_rules(rules, seeds.unionByName(extra))
 
 
 def _site_pages(spark, d):
-    return _t(spark, d, "pages").withColumn("site_id", F.xxhash64(_root(F.col("url"))))
+    """The pages with their site; those of sites with sections get an accordion, those of sites with tabs tabs, below the container."""
+    rules = _rules(spark, d)
+    pages = _t(spark, d, "pages").withColumn("root_url", _root(F.col("url"))).join(F.broadcast(rules.select("site_id", "root_url", "rule")), "root_url")
+    accordion = F.concat(F.lit('<div class="x-accordion"><p>Accordion Item</p><p>Closed Title:</p><p>'), "url", F.lit("</p></div>"))
+    tabs = F.concat(F.lit('<div class="doc-content-wrap"><p>How to</p></div><ul class="kt-tabs-title-list"><li>T</li></ul><div class="kt-tabs-content-wrap"><div class="x kt-inner-tab-1"><p>'), "url", F.lit('</p></div><div class="kt-inner-tab-2"><b>end</b></div></div>'))
+    more = F.when(F.col("rule") == "sections", accordion).when(F.col("rule") == "tabs", tabs).otherwise(F.lit(""))
+    return pages.select("page_id", "site_id", "url", F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), more)).alias("html"))
 
 
 def pages_to_chunks(spark, d):
-    return P.pages_to_chunks(_site_pages(spark, d), site_rules(spark, d))
+    out = P.pages_to_chunks(_site_pages(spark, d), _rules(spark, d))
+    return out.select("page_id", F.col("extract_index").cast("long").alias("extract_index"), F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+def chunks_replaced(spark, d):
+    """Every third page is parsed anew, cut to its heading; its old chunks go, however many they were."""
+    pages, rules = _site_pages(spark, d), _rules(spark, d)
+    short = pages.filter("page_id % 3 = 0").withColumn("html", F.regexp_replace("html", r"(?s)</h1>.*?</article>", "</h1></article>"))
+    out = P.pages_to_chunks(short, rules, P.pages_to_chunks(pages, rules))
+    return out.groupBy("page_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_index").cast("long").alias("last"))
 
 
 def pipeline_counts(spark, d):
-    e = P.extracts(_site_pages(spark, d), site_rules(spark, d))
+    e = P.extracts(_site_pages(spark, d), _rules(spark, d))
     c = P.chunks(e)
     per = e.groupBy("page_id").agg(F.count("*").alias("n_extracts")).join(c.groupBy("page_id").agg(F.count("*").alias("n_chunks")), "page_id", "left")
     return per.select("page_id", "n_extracts", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
+def pipeline_totals(spark, d):
+    """The chunks of every second page have a vector."""
+    pages, rules = _site_pages(spark, d), _rules(spark, d)
+    e = P.extracts(pages, rules)
+    c = P.chunks(e).withColumn("chunk_id", F.concat_ws("/", "page_id", "extract_index", "chunk_index"))
+    return P.pipeline_totals(pages, e, c, c.filter("page_id % 2 = 0"), snapshot_merge(spark, d))
+
+
 def tab_split(spark, d):
-    return P.tab_split(_t(spark, d, "pages"))
+    return P.tab_split(_site_pages(spark, d), _rules(spark, d), 100_000)
 
 
 def pending_urls(spark, d):
@@ -183,6 +215,44 @@ def add_missing_columns(spark, d):
     return B.add_missing_columns(_t(spark, d, "nation"), {"n_comment": "string", "n_rank": "bigint"})
 
 
+_MARKDOWN = r"""
+a AS (SELECT page_id, nullif(regexp_extract(html, '(?s)<article(?: [^>]*)?>(.*?)</article>', 1), '') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '\s*\n\s*', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<h1(?: [^>]*)?>', chr(10) || chr(10) || '# ', 'g'), '<h2(?: [^>]*)?>', chr(10) || chr(10) || '## ', 'g'), '</h[1-6]>|</?(?:p|div|section)(?: [^>]*)?>', chr(10) || chr(10), 'g') AS t FROM b),
+e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<br ?/?>', chr(10), 'g'), '<li(?: [^>]*)?>', chr(10) || '  * ', 'g'), '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', '[\2](\1)', 'g') AS t FROM c),
+f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '</?(?:b|strong)>', '**', 'g'), '</?(?:i|em)>', '_', 'g'), '<[^>]+>', '', 'g') AS t FROM e),
+g AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&amp;', '&') AS t FROM f),
+md AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS markdown FROM g)
+"""
+_SECTIONS = r"""
+dm AS (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '(?m)^([TD])', '## \1', 'g') AS text FROM documents),
+sp AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(#{1,3}\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS pieces FROM dm)
+"""
+#: Cuts x (k, txt) into f (k, n, part): chunks in order.
+_FOLD = r"""
+pre AS (SELECT k, txt, CASE WHEN starts_with(txt, 'Context:') AND strpos(txt, chr(10) || chr(10)) > 1 THEN substr(txt, 1, strpos(txt, chr(10) || chr(10)) + 1) ELSE '' END AS prefix FROM x),
+cut(k, prefix, n, part, rest) AS (
+  SELECT k, prefix, 0, '', CASE WHEN prefix <> '' THEN regexp_replace(substr(txt, length(prefix) + 1), '^\s+|\s+$', '', 'g') ELSE txt END FROM pre
+  UNION ALL
+  SELECT k, prefix, n + 1, regexp_replace(substr(rest, 1, stop), '^\s+|\s+$', '', 'g'), regexp_replace(substr(rest, stop + 1), '^\s+|\s+$', '', 'g') FROM (
+    SELECT *, CASE WHEN regexp_matches(w, HEADING) THEN CASE WHEN length(regexp_extract(w, '(?sm)\A(.*)^#{1,6}\s', 1)) > LIMIT * 0.3 THEN length(regexp_extract(w, '(?sm)\A(.*)^#{1,6}\s', 1)) ELSE LIMIT END
+      WHEN contains(w, chr(10) || chr(10)) AND length(regexp_extract(w, '(?s)\A(.*)\n\n', 1)) > LIMIT * 0.5 THEN length(regexp_extract(w, '(?s)\A(.*)\n\n', 1)) + 2 ELSE LIMIT END AS stop
+    FROM (SELECT *, substr(rest, 1, LIMIT) AS w FROM cut WHERE length(rest) > LIMIT)) AS windows
+),
+f AS (SELECT k, n, prefix || part AS part FROM cut WHERE part <> '' UNION ALL SELECT k, 1000000 + n, prefix || rest FROM cut WHERE length(rest) <= LIMIT AND rest <> '')
+"""
+_CHUNKS = _FOLD.replace("LIMIT", "1000").replace("HEADING", r"'(?m)^#{1,6}\s'")
+_WINDOWS = _FOLD.replace("LIMIT", "2000").replace("HEADING", "'[^\\s\\S]'")
+_RULES = r"""
+r AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root_url, min(page_id) AS site_id FROM pages GROUP BY 1),
+rules AS (SELECT site_id, root_url, regexp_extract(root_url, '://([^:]*)', 1) AS name, 'body > article' AS container, 'body > nav ul' AS breadcrumb, ['sections', 'tabs', 'whole'][length(root_url) % 3 + 1] AS rule, length(root_url) % 2 = 0 AS crumb_text FROM r),
+told AS (SELECT page_id, url, rule, 'Context: ' || array_to_string(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1), lambda x: trim(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&amp;', '&'))), ' > ') || chr(10) || chr(10) AS context
+  FROM pages JOIN rules ON root_url = regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)),
+lead AS (SELECT page_id, rule, context, CASE rule WHEN 'sections' THEN 'Accordion Item' || chr(10) || chr(10) || 'Closed Title:' || chr(10) || chr(10) || url || chr(10) || chr(10) WHEN 'tabs' THEN 'How to' || chr(10) || chr(10) || 'Step 1: ' || url || chr(10) || chr(10) || 'Step 2: **end**' || chr(10) || chr(10) ELSE '' END AS first FROM told),
+x AS (SELECT page_id AS k, context || first || markdown AS txt FROM lead JOIN md USING (page_id) WHERE markdown <> '')
+"""
+_SITE_CHUNKS = "WITH RECURSIVE " + _MARKDOWN.replace("f AS (", "f0 AS (").replace("FROM f)", "FROM f0)") + "," + _RULES + "," + _CHUNKS
+
 ORACLES = {
     "keyed_scan": "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 7",
     "content_hash": "SELECT page_id, md5(html) AS content_hash FROM pages",
@@ -198,14 +268,20 @@ f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '</?(?:b|s
 g AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&amp;', '&') AS t FROM f)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS markdown FROM g""",
     "breadcrumbs": r"SELECT page_id, 'Context: ' || array_to_string(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1), lambda x: trim(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&amp;', '&'))), ' > ') || chr(10) || chr(10) AS context FROM pages",
-    "site_rules": None,
-    "section_split": None,
-    "pack_sections": None,
-    "chunk_extracts": None,
-    "extract_windows": None,
-    "pages_to_chunks": None,
-    "pipeline_counts": None,
-    "tab_split": None,
+    "site_rules": "WITH " + _RULES.split("told AS")[0].rstrip().rstrip(",") + " SELECT site_id, root_url, name, container, CASE WHEN length(root_url) % 5 = 0 THEN 'nav#none' ELSE breadcrumb END AS breadcrumb, CASE WHEN length(root_url) % 5 = 0 THEN 'whole' ELSE rule END AS rule, crumb_text FROM rules UNION ALL SELECT -1, 'https://seed.example', 'seed.example', '#main', 'nav', 'tabs', true",
+    "section_split": "WITH " + _SECTIONS + " SELECT doc_id, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS n, length(unnest(pieces)) AS n_chars, md5(unnest(pieces)) AS piece_md5 FROM sp",
+    "pack_sections": "WITH " + _SECTIONS + r""",
+paras AS (SELECT doc_id, list_transform(pieces, lambda p: list_reduce(list_transform(string_split(p, chr(10) || chr(10)), lambda q: {'done': []::VARCHAR[], 'held': q}), lambda s, q: CASE WHEN length(s.held) + length(q.held) > 1000 AND s.held <> '' THEN {'done': list_append(s.done, regexp_replace(s.held, '^\s+|\s+$', '', 'g')), 'held': q.held} ELSE {'done': s.done, 'held': CASE WHEN s.held <> '' THEN s.held || chr(10) || chr(10) || q.held ELSE q.held END} END)) AS ends, pieces FROM sp),
+ready AS (SELECT doc_id, list_transform(list_zip(pieces, ends), lambda z: [z[1]] || CASE WHEN z[2].held <> '' THEN list_append(z[2].done, regexp_replace(z[2].held, '^\s+|\s+$', '', 'g')) ELSE z[2].done END) AS parts FROM paras),
+packed AS (SELECT doc_id, list_reduce(parts, lambda s, z: CASE WHEN length(s) > 0 AND length(s[-1]) < 100 THEN s[:-2] || [s[-1] || chr(10) || chr(10) || z[1]] WHEN length(z[1]) > 1000 THEN s || z[2:] ELSE s || [z[1]] END, []::VARCHAR[]) AS pieces FROM ready)
+SELECT doc_id, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS n, unnest(pieces) AS piece FROM packed""",
+    "chunk_extracts": "WITH RECURSIVE " + _SECTIONS + ", x AS (SELECT doc_id AS k, text AS txt FROM dm)," + _CHUNKS + r" SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS chunk_index, part AS chunk FROM f WHERE regexp_matches(part, '\S')",
+    "extract_windows": "WITH RECURSIVE " + _SECTIONS + ", x AS (SELECT doc_id AS k, text AS txt FROM dm)," + _WINDOWS + " SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS n, 'Context: A' || chr(10) || chr(10) || part AS extract FROM f",
+    "pages_to_chunks": _SITE_CHUNKS + " SELECT k AS page_id, 0::BIGINT AS extract_index, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS chunk_index, part AS text FROM f",
+    "chunks_replaced": _SITE_CHUNKS + " SELECT k AS page_id, CASE WHEN k % 3 = 0 THEN 1 ELSE count(*) END AS n_chunks, CASE WHEN k % 3 = 0 THEN 0 ELSE count(*) - 1 END AS last FROM f GROUP BY k",
+    "pipeline_counts": _SITE_CHUNKS + " SELECT k AS page_id, 1::BIGINT AS n_extracts, count(*) AS n_chunks FROM f GROUP BY k",
+    "pipeline_totals": _SITE_CHUNKS + " SELECT 'n_pages' AS name, count(*) AS n FROM pages UNION ALL SELECT 'n_extracts', count(*) FROM x UNION ALL SELECT 'n_chunks', count(*) FROM f UNION ALL SELECT 'n_pending', count(*) FROM f WHERE k % 2 = 1 UNION ALL SELECT 'n_new', count(DISTINCT url) FROM pages WHERE page_id % 11 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 <> 0)",
+    "tab_split": "WITH " + _MARKDOWN + "," + _RULES + " SELECT page_id, 0::BIGINT AS part, first || markdown AS text FROM lead JOIN md USING (page_id) WHERE rule = 'tabs'",
     "pending_urls": r"WITH r AS (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || replace(unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)), '&amp;', '&') AS url FROM pages) SELECT url FROM r WHERE length(url) % 3 <> 0 AND length(url) > 10",
     "discovered_upsert": "WITH n AS (SELECT url, min(CASE WHEN length(url) % 2 = 0 THEN 'pdf' ELSE 'html' END) AS kind, bool_or(page_id % 2 = 0) AS known FROM pages GROUP BY url) SELECT url, kind, CAST(CASE WHEN known THEN 1 ELSE 2 END AS BIGINT) AS discovered_at FROM n",
     "snapshot_merge": """

@@ -41,7 +41,7 @@ def ingest_stream(spark, d):
     """Pages to chunks to vectors, without pages of content that was seen before. State: one hash a page, without end."""
     pages = content._site_pages(spark, d)
     stream, path = _staged(pages, "ingest", "page_id")
-    rules = content.site_rules(spark, d)
+    rules = content._rules(spark, d)
     fresh = stream.withColumn("hash", T.content_hash(F.col("html"))).dropDuplicates(["hash"])
 
     def chunked(batch: DataFrame) -> DataFrame:
