@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lanternflow.functions import text as T
 from lanternflow.operators import retrieval as R
 
+#: Fixed value: what the answering model is told.
 SYSTEM = "Answer the question using only the provided context. If the answer is not in the context, say you don't know."
 K = 10
 
@@ -84,7 +85,7 @@ def bm25_scores(spark, d):
 
 
 def topk_per_query(spark, d):
-    return R.top_k(R.bm25(_corpus(spark, d), _queries(spark, d)), "bm25", 5)
+    return R.bm25_top_k(R.Index(_corpus(spark, d)), _queries(spark, d), 5)
 
 
 def vector_search(spark, d):

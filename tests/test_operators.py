@@ -47,6 +47,24 @@ def test_vector_blocks(spark, corpus):
     assert rows(R.vector_top_k(corpus, vectors, 2)) == rows(R.vector_top_k(corpus, vectors, 2, block=2))
 
 
+def test_bm25_top_k(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    words = ["the"] * 20 + [f"w{k}" for k in range(40)]
+    data = [(k, k, "u", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))), [1.0]) for k in range(200)] + [(500, 1, "u", None, None)]
+    rows_ = spark.createDataFrame(data, "chunk_id long, extract_id long, url string, text string, embedding array<float>")
+    queries = spark.createDataFrame([(q, f"the w{q} w{q + 1} unknown") for q in range(20)] + [(99, "nowhere")], "query_id long, text string")
+    index = R.Index(rows_, f"file://{tmp_path}/index")
+    want = rows(R.top_k(R.bm25(index, queries), "bm25", 7))
+    for block in (4096, 6):
+        assert rows(R.bm25_top_k(index, queries, 7, block)) == want
+    assert len(want) == 140 and R.bm25_top_k(index, queries, 0).count() == 0
+    assert R.bm25_top_k(R.Index(rows_.limit(0)), queries, 3).count() == 0
+    pairs = R.bm25(index, queries).select("query_id", "chunk_id").filter("chunk_id % 3 = 0")
+    assert rows(R.bm25_of(index, queries, pairs)) == rows(R.bm25(index, queries).filter("chunk_id % 3 = 0"))
+
+
 def test_bm25_by_hand(spark, corpus):
     import math
 
@@ -118,12 +136,41 @@ def test_ingest(spark):
 def test_parsing(spark):
     html = "<nav><li>A</li><li>B</li></nav><article><h2>One</h2><p>" + "x" * 1500 + "</p></article>"
     pages = spark.createDataFrame([(1, 1, html), (2, 9, html), (3, 1, "<p>none</p>"), (4, 1, None)], "page_id long, site_id long, html string")
-    rules = spark.createDataFrame([(1, "r", "n", "article", "nav", "sections")], P.SITE_RULES)
+    rules = spark.createDataFrame([(1, "r", "n", "article", "nav", "sections", False)], P.SITE_RULES)
     out = P.pages_to_chunks(pages, rules).orderBy("chunk_index").collect()
     assert {r["page_id"] for r in out} == {1} and len(out) == 2 and all(r["text"].startswith("Context: A > B\n\n") for r in out)
-    tabs = '<div class="kt-tabs-title-list">T</div><div class="kt-tabs-content-wrap"><div class="kt-inner-tab-1"><p>one</p></div><div class="kt-inner-tab-2">two</div></div><details><summary>S</summary>D</details><p>rest</p>'
-    got = P.tab_split(spark.createDataFrame([(1, tabs), (2, None)], "page_id long, html string")).orderBy("part").collect()
-    assert [r["text"] for r in got] == ["Step 1: one\n\nStep 2: two", "SD", "rest"]
+    short = pages.filter("page_id = 1").withColumn("html", F.lit("<article>short</article>"))
+    left = P.pages_to_chunks(short, rules, P.pages_to_chunks(pages, rules)).collect()
+    assert [r["text"] for r in left] == ["short"]
+    seeds = rules.withColumn("rule", F.lit("whole")).unionByName(rules.withColumn("site_id", F.lit(5).cast("long")))
+    assert rows(P.seed_rules(rules, seeds), "site_id", "rule") == [(1, "whole"), (5, "sections")]
+
+
+def test_rules_of_sites(spark):
+    item = lambda n: f"<details><p>Accordion Item</p><p>Closed Title: {n}</p><div class='collapse'><p>Accordion Item inside {n}</p></div></details>"
+    html = {
+        1: f"<div id=side><div><div class='box cf'>{item('a')}<h2>Head</h2><p>Text</p><div class=accordion>plain</div>{item('b')}</div></div></div><nav id=n>Home &gt; Rates</nav>",
+        2: "<nav id=n><ul><li> Home </li><li></li><li>A &amp; <b>B</b></li></ul></nav><div id=side><p>not the container</p></div>",
+        3: "<div id=post><div class='scroll content'><div class=doc-content-wrap><p>Intro <i>text</i></p><p>rest</p></div><ul class=kt-tabs-title-list><li>T</li></ul>"
+        "<div class=kt-tabs-content-wrap><div class='x kt-inner-tab-1'><p>one</p></div><div class='kt-inner-tab-2'>two<br>lines</div><div class='kt-inner-tab-3'> </div></div><h2>After</h2><p>end</p></div></div><nav id=n>no items</nav>",
+        4: "<main><p>all &lt;of&gt; it</p></main>",
+    }
+    pages = spark.createDataFrame([(k, k, h) for k, h in html.items()] + [(5, 9, "<main>unknown site</main>"), (6, 4, None), (7, 4, "")], "page_id long, site_id long, html string")
+    box = "#side > div > div.box.cf"
+    rules = [(1, "", "", box, "#n", "sections", True), (2, "", "", box, "#n", "sections", True), (3, "", "", "#post div.scroll.content", "nav", "tabs", False), (4, "", "", "main", None, "whole", False)]
+    rules = spark.createDataFrame(rules, P.SITE_RULES)
+    got = {r["page_id"]: r["text"] for r in P.extracts(pages, rules).collect()}
+    part = lambda n: f"Accordion Item\n\nClosed Title: {n}\n\nAccordion Item inside {n}"
+    assert got == {
+        1: f"Context: Home > Rates\n\n{part('a')}\n\n{part('b')}\n\n## Head\n\nText\n\nplain",
+        3: "Intro text\n\nStep 1: one\n\nStep 2: two\nlines\n\nrest\n\n## After\n\nend",
+        4: "all <of> it",
+    }
+    parts = P.page_parts(pages, rules.withColumn("container", F.lit("nav, div")).withColumn("container", F.lit("div")))
+    assert {r["page_id"]: r["crumbs"] for r in parts.collect()} == {1: ["Home", "Rates"], 2: ["Home", "A &B"], 3: []}
+    long_tabs = pages.filter("page_id = 3").withColumn("html", F.replace("html", F.lit("<p>one</p>"), F.lit("<p>" + "word " * 30 + "</p><p>" + "more " * 250 + "</p>")))
+    out = [r["text"] for r in P.tab_split(long_tabs, rules).orderBy("part").collect()]
+    assert out[0].startswith("Intro text") and all(len(t) <= 1300 for t in out) and len(out) == 3
 
 
 def test_schemas(spark):
