@@ -48,11 +48,6 @@ def clean_title(c: Column) -> Column:
     return F.substring(squeeze(F.coalesce(c, F.lit(""))), 1, 80)
 
 
-def first_filled(*columns: Column) -> Column:
-    """The first column that is neither null nor empty, else an empty text."""
-    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns), F.lit(""))
-
-
 def query_variants(c: Column, groups: list[list[str]] | None = None) -> Column:
     """Distinct rewritings of a query: every alias hit of a group becomes each alias of it; the query itself if none is hit."""
 
@@ -92,12 +87,13 @@ def l2_normalize(v: Column) -> Column:
 
 
 def clean_ip(c: Column) -> Column:
-    """An address from a header value: no quotes, what follows for=, the first of a list, no brackets, no port."""
-    text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^[\"' ]+|[\"' ]+$", ""))
-    after = F.when(F.instr(F.lower(text), "for=") > 0, F.substring_index(F.regexp_replace(text, "(?i)^.*?for=", ""), ";", 1)).otherwise(text)
-    first = F.trim(F.regexp_replace(F.trim(F.substring_index(after, ",", 1)), "^[\"']+|[\"']+$", ""))
-    inner = F.when(first.startswith("["), F.regexp_extract(first, r"^\[([^\]]*)", 1)).otherwise(F.regexp_replace(first, r"^([^:]*):[0-9]+$", "$1"))
-    return F.trim(inner)
+    """An address from a header value: no quotes, what follows for=, the first of a list, no closed brackets, no port."""
+    unquoted = lambda x: F.regexp_replace(F.regexp_replace(strip(x), '^"+|"+$', ""), "^'+|'+$", "")
+    text = unquoted(F.coalesce(c, F.lit("")))
+    after = F.when(text.contains("for="), strip(F.substring_index(F.regexp_replace(text, r"(?s)^.*?for=", ""), ";", 1))).otherwise(text)
+    first = unquoted(F.substring_index(after, ",", 1))
+    bare = F.regexp_replace(first, r"^([^:]*):[0-9]+$", "$1")
+    return F.when(first.startswith("[") & first.contains("]"), F.regexp_extract(first, r"^\[([^\]]*)", 1)).otherwise(bare)
 
 
 def client_ip(headers: list[Column], peer: Column) -> Column:

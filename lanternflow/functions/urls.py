@@ -54,10 +54,20 @@ def resolve(href: Column, base: Column) -> Column:
         .when(href == "", base)
         .otherwise(F.concat(folder, href))
     )
-    out = joined
-    for _ in range(4):
-        out = F.regexp_replace(F.regexp_replace(out, r"/\./", "/"), r"(://[^?#]*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
-    return out
+    return without_dots(joined)
+
+
+def without_dots(url: Column) -> Column:
+    """The URL without ./ and ../ steps in its path, however many; steps above the root are dropped."""
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$"
+    site, path, rest = (F.regexp_extract(url, "(?s)" + pattern, k) for k in (1, 2, 3))
+    steps = F.split(path, "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+    step = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.array_append(done, x))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), step)
+    ends = F.element_at(steps, -1).isin(".", "..")
+    plain = F.array_join(F.when(ends, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(site, plain, rest)).otherwise(url)
 
 
 def canonical(url: Column, root: Column) -> Column:

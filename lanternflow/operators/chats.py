@@ -6,10 +6,13 @@ feedback events: question, answer, rating, ts, event_id. cache: question_hash, g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import text as T
+from lanternflow.sources.scratch import materialise
 
 
 def last_messages(messages: DataFrame, most: int = 20) -> DataFrame:
@@ -67,11 +70,21 @@ def search_titles(chats: DataFrame, query: str) -> DataFrame:
     return chats.filter(shown.contains(wanted)) if wanted else chats
 
 
-def resolve_users(visits: DataFrame) -> DataFrame:
-    """A user for each address, numbered by first sight (address, ts, id): the first address is user 1."""
-    seen = visits.groupBy("address").agg(F.min(F.struct("ts", "id")).alias("first"))
-    # One row an address is numbered, not one a visit.
-    return seen.select("address", F.col("first.ts").alias("first_seen"), F.row_number().over(Window.orderBy("first.ts", "first.id")).cast("long").alias("user_id"))
+def resolve_users(visits: DataFrame, parts: int | None = None) -> DataFrame:
+    """A user for each address, numbered by first sight (address, ts, id): the first address is user 1.
+
+    Addresses are dealt out by ranges of first sight, numbered within their range, and moved up by the sizes of the ranges before.
+    """
+    spark = visits.sparkSession
+    seen = visits.groupBy("address").agg(F.min(F.struct("ts", "id")).alias("first")).select("address", "first.ts", "first.id")
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(seen.repartitionByRange(n, "ts", "id").withColumn("part", F.spark_partition_id()), "first_seen")
+    sizes = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # one row a range
+    before = [(k, sum(c for j, c in sizes.items() if j < k)) for k in sizes]
+    offsets = F.broadcast(spark.createDataFrame(before or [(0, 0)], "part int, before long"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("ts", "id"))
+    numbered = ranged.withColumn("own", own).join(offsets, "part")
+    return numbered.select("address", F.col("ts").alias("first_seen"), (F.col("own") + F.col("before")).alias("user_id"))
 
 
 def json_list(column, element: str):
@@ -80,25 +93,84 @@ def json_list(column, element: str):
     return F.coalesce(F.from_json(column, kind), F.array().cast(kind))
 
 
-def feedback_cache(events: DataFrame) -> DataFrame:
-    """The cache after all ratings, in order (ts, event_id): +1 creates or confirms an entry and replaces its answer, -1 counts only against an entry that is there."""
+def message_view(messages: DataFrame, most: int = 20) -> DataFrame:
+    """The newest messages of each chat as they are shown: decoded sources (none if malformed) and whether there is debug text.
+
+    messages have sources_json and debug_json, too.
+    """
+    sources = F.from_json("sources_json", "array<map<string,string>>")
+    none = F.array().cast("array<map<string,string>>")
+    return last_messages(messages, most).select("chat_id", "position", "id", "role", "content", F.coalesce(sources, none).alias("sources"), (F.coalesce("debug_json", F.lit("")) != "").alias("has_debug"), "created_at")
+
+
+def feedback_events(ratings: DataFrame, messages: DataFrame, chats: DataFrame) -> DataFrame:
+    """Ratings that reach the cache: question, answer, sources_json, rating, ts, event_id.
+
+    ratings: id, message_id, user_id, rating, created_at. A rating counts if its message exists and lies in a chat of the
+    rater, if an assistant wrote it, and if a user asked before; the question is the newest one.
+    """
+    asked = previous_question(messages).filter("question_id is not null").select(F.col("id").alias("message_id"), "question")
+    said = messages.select(F.col("id").alias("message_id"), "chat_id", F.col("content").alias("answer"), "sources_json")
+    own = chats.select(F.col("id").alias("chat_id"), "user_id")
+    rated = ratings.select(F.col("id").alias("event_id"), "message_id", "user_id", "rating", F.col("created_at").alias("ts"))
+    return rated.join(said, "message_id").join(own, ["chat_id", "user_id"]).join(asked, "message_id").select("question", "answer", "sources_json", "rating", "ts", "event_id")
+
+
+def feedback_cache(events: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """The cache after all ratings, in order (ts, event_id): +1 creates or confirms an entry and replaces its answer and sources, -1 counts only against an entry that is there.
+
+    cache: what earlier events made; the events are later ones. The first +1 of each question is found by aggregation and joined back.
+    """
     norm = T.normalize_question(F.col("question"))
+    if "sources_json" not in events.columns:
+        events = events.withColumn("sources_json", F.lit(None).cast("string"))
     rows = events.filter("rating in (1, -1)").withColumn("question_norm", norm).withColumn("question_hash", T.hash_question(norm))
     place = F.struct("ts", "event_id")
-    first = F.min(F.when(F.col("rating") == 1, place)).over(Window.partitionBy("question_hash"))
-    live = rows.withColumn("first", first).filter(F.col("first").isNotNull() & (place >= F.col("first")))
     good = F.col("rating") == 1
-    return live.groupBy("question_hash", "question_norm").agg(
+    first = rows.filter(good).groupBy("question_hash").agg(F.min(place).alias("first"))
+    if cache is not None:  # an entry that is there was made before all events
+        known = cache.select("question_hash", F.lit(True).alias("known"))
+        first = first.join(known, "question_hash", "full").withColumn("known", F.coalesce("known", F.lit(False)))
+    else:
+        first = first.withColumn("known", F.lit(False))
+    live = rows.join(first, "question_hash").filter(F.col("known") | (place >= F.col("first")))
+    new = live.groupBy("question_hash", "question_norm").agg(
         F.count_if(good).alias("good_count"),
         F.count_if(~good).alias("bad_count"),
         F.max_by("answer", F.when(good, place)).alias("answer_text"),
+        F.max_by("sources_json", F.when(good, place)).alias("sources_json"),
         F.min("ts").alias("created_at"),
         F.max("ts").alias("updated_at"),
+        F.max(F.when(good, F.col("ts"))).alias("last_used_at"),
+    )
+    if cache is None:
+        return new
+    both = cache.select(*(F.col(c).alias(c if c == "question_hash" else "old_" + c) for c in new.columns)).join(new, "question_hash", "full")
+    count = lambda c: F.coalesce("old_" + c, F.lit(0)) + F.coalesce(c, F.lit(0))
+    again = F.coalesce("good_count", F.lit(0)) > 0
+    return both.select(
+        "question_hash",
+        F.coalesce("old_question_norm", "question_norm").alias("question_norm"),
+        *(count(c).alias(c) for c in ("good_count", "bad_count")),
+        *(F.when(again, F.col(c)).otherwise(F.col("old_" + c)).alias(c) for c in ("answer_text", "sources_json")),
+        F.coalesce("old_created_at", "created_at").alias("created_at"),
+        *(F.greatest("old_" + c, c).alias(c) for c in ("updated_at", "last_used_at")),
     )
 
 
+def touched(cache: DataFrame, questions: DataFrame) -> DataFrame:
+    """The cache with last_used_at raised where a question (text, asked_at) was answered from it."""
+    asked = questions.groupBy(T.hash_question(T.normalize_question(F.col("text"))).alias("question_hash")).agg(F.max("asked_at").alias("asked_at"))
+    used = F.when(_is_eligible(), F.greatest("last_used_at", "asked_at")).otherwise(F.col("last_used_at"))
+    return cache.join(asked, "question_hash", "left").withColumn("last_used_at", used).drop("asked_at")
+
+
+def _is_eligible():
+    return (F.col("good_count") >= 1) & (F.col("bad_count") == 0)
+
+
 def eligible(cache: DataFrame) -> DataFrame:
-    return cache.filter("good_count >= 1 and bad_count = 0")
+    return cache.filter(_is_eligible())
 
 
 def cache_lookup(questions: DataFrame, cache: DataFrame) -> DataFrame:
@@ -112,3 +184,18 @@ def cache_routing(questions: DataFrame, cache: DataFrame) -> DataFrame:
     keyed = questions.withColumn("question_hash", T.hash_question(T.normalize_question(F.col("text"))))
     joined = keyed.join(eligible(cache).select("question_hash", "answer_text"), "question_hash", "left")
     return joined.withColumn("route", F.when(F.col("answer_text").isNull(), F.lit("retrieval")).otherwise(F.lit("cache")))
+
+
+#: Fixed value: the answer where retrieval finds nothing.
+NO_CONTEXT = "I couldn't find relevant context in the embeddings database."
+
+
+def answered(questions: DataFrame, cache: DataFrame, retrieve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """query_id, route and text of all questions (query_id, text): the cached answer, else what retrieval gives for the misses alone.
+
+    retrieve: from questions to query_id, prompt and has_context. A question without context gets a fixed answer.
+    """
+    routed = materialise(cache_routing(questions, cache), "routed")
+    hits = routed.filter("route = 'cache'").select("query_id", "route", F.col("answer_text").alias("text"))
+    found = retrieve(routed.filter("route = 'retrieval'").select("query_id", "text"))
+    return hits.unionByName(found.select("query_id", F.when(F.col("has_context"), F.lit("retrieval")).otherwise(F.lit("none")).alias("route"), F.when(F.col("has_context"), F.col("prompt")).otherwise(F.lit(NO_CONTEXT)).alias("text")))

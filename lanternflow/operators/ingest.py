@@ -5,14 +5,12 @@ pages: page_id, url, html, content_hash, last_scraped, last_changed. links: src,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternflow.functions import markup as M
 from lanternflow.functions import urls as U
+from lanternflow.sources.scratch import scratch_path
 
 
 def pending(discovered: DataFrame, pages: DataFrame, url_filter: Column | None = None) -> DataFrame:
@@ -52,32 +50,32 @@ def snapshot_merge(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
 
 
 def duplicate_content(pages: DataFrame) -> DataFrame:
-    """Each capture (id, url, html) with the first one of equal content, and whether it is a duplicate."""
-    w = Window.partitionBy("hash").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hashed = pages.select("id", "url", F.md5("html").alias("hash"))
-    return hashed.withColumn("canonical_id", F.first("id").over(w)).withColumn("is_duplicate", F.col("id") != F.col("canonical_id"))
+    """Each capture (id, url, html) with the first one of equal content, and whether it is a duplicate.
+
+    The first one is found by aggregation, and only content that repeats is joined back; null content is content like other.
+    """
+    hashed = pages.select("id", "url", F.coalesce(F.md5("html"), F.lit("")).alias("hash"))
+    first = hashed.groupBy("hash").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    joined = hashed.join(first, "hash", "left").withColumn("canonical_id", F.coalesce("first_id", "id"))
+    return joined.select("id", "url", "hash", "canonical_id", (F.col("id") != F.col("canonical_id")).alias("is_duplicate"))
 
 
-def link_frontier(links: DataFrame, root: str, max_pages: int, max_depth: int = 1000) -> DataFrame:
+def link_frontier(links: DataFrame, root: str, max_pages: int) -> DataFrame:
     """node and depth of the first max_pages nodes from the root, breadth first, by (depth, node).
 
     Each level is a join of the frontier with the links, without what was seen; a level is written to the shared
-    folder, so the plan does not grow with the depth.
+    folder, so the plan does not grow with the depth. It ends when a level is empty or enough nodes are seen.
     """
     spark = links.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-frontier-")
-    path = f"{top.rstrip('/')}/frontier-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "frontier")
     kind = "node string, depth int"
+    level = lambda *k: spark.read.schema(kind).parquet(*(f"{path}/level={j}" for j in k))
     spark.createDataFrame([(root, 0)], kind).write.parquet(f"{path}/level=0")
-    count = 1
-    for depth in range(1, max_depth + 1):
-        seen = spark.read.schema(kind).parquet(*(f"{path}/level={k}" for k in range(depth)))
-        last = spark.read.schema(kind).parquet(f"{path}/level={depth - 1}").select(F.col("node").alias("src"))
-        level = links.join(last, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        level.select("node", F.lit(depth).alias("depth")).write.parquet(f"{path}/level={depth}")
-        new = spark.read.schema(kind).parquet(f"{path}/level={depth}").count()
+    depth, count, new = 0, 1, 1
+    while new and count < max_pages:
+        depth += 1
+        reached = links.join(level(depth - 1).select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        reached.join(level(*range(depth)), "node", "left_anti").select("node", F.lit(depth).alias("depth")).write.parquet(f"{path}/level={depth}")
+        new = level(depth).count()
         count += new
-        if not new or count >= max_pages:
-            break
-    every = spark.read.schema(kind).parquet(*(f"{path}/level={k}" for k in range(depth + 1)))
-    return every.orderBy("depth", "node").limit(max_pages)
+    return level(*range(depth + 1)).orderBy("depth", "node").limit(max_pages)

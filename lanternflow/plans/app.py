@@ -16,7 +16,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _messages(spark, d):
     """Two turns of a conversation share a minute, so that ties occur."""
     at = F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("turn") / 2) * 60 + F.col("conv_id"))
-    return _t(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("chat_id"), "role", F.col("text").alias("content"), at.alias("created_at"))
+    rows = _t(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("chat_id"), "role", F.col("text").alias("content"), at.alias("created_at"))
+    # Every fifth value is cut off, and so malformed.
+    sources = F.concat(F.lit('[{"title": "t", "url": "u'), F.col("id").cast("string"), F.when(F.col("id") % 5 == 0, F.lit('"')).otherwise(F.lit('"}]')))
+    return rows.withColumns({"sources_json": F.when(F.col("id") % 5 != 1, sources), "debug_json": F.when(F.col("id") % 3 == 0, F.lit("{}")).when(F.col("id") % 3 == 1, F.lit(""))})
 
 
 def _chats(spark, d):
@@ -63,6 +66,31 @@ def recent_messages(spark, d):
     return C.last_messages(_messages(spark, d), 3).select("chat_id", "position", "id", "role", F.length("content").cast("long").alias("n_chars"))
 
 
+def message_view(spark, d):
+    view = C.message_view(_messages(spark, d), 3)
+    return view.select("chat_id", "position", "id", "role", F.size("sources").cast("long").alias("n_sources"), F.get("sources", F.lit(0))["url"].alias("url"), "has_debug")
+
+
+def _ratings(spark, d):
+    """A rating of each message, five seconds later; some by another user, some of a message that is not there."""
+    at = F.col("created_at") + F.expr("INTERVAL 5 SECONDS")
+    user = F.col("chat_id") % 50 + F.when(F.col("id") % 11 == 0, 1).otherwise(0)
+    rating = F.when(F.col("id") % 4 == 0, -1).when(F.col("id") % 4 == 3, 0).otherwise(1)
+    return _messages(spark, d).select("id", (F.col("id") + F.when(F.col("id") % 17 == 0, 10**9).otherwise(0)).alias("message_id"), user.alias("user_id"), rating.alias("rating"), at.alias("created_at"))
+
+
+def rated_cache(spark, d):
+    """The cache that ratings of messages make."""
+    events = C.feedback_events(_ratings(spark, d), _messages(spark, d), _chats(spark, d))
+    return C.feedback_cache(events).select("question_hash", "good_count", "bad_count", F.md5("answer_text").alias("answer_md5"), "sources_json")
+
+
+def cache_touch(spark, d):
+    """The cache after all questions were asked."""
+    asked = _questions(spark, d).withColumn("asked_at", F.timestamp_seconds(F.lit(1_900_000_000) + F.col("query_id")))
+    return C.touched(C.feedback_cache(_feedback(spark, d)), asked).select("question_hash", F.unix_seconds("last_used_at").alias("used_s"))
+
+
 def owned_messages(spark, d):
     users = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("user_id"))
     return C.owned(_messages(spark, d), _chats(spark, d), users).select("id", "chat_id", "role")
@@ -151,6 +179,22 @@ ORACLES = {
     "clean_ip": _VISITS + "SELECT id, cleaned, address FROM w",
     "resolve_users": _VISITS + "SELECT address, row_number() OVER (ORDER BY ts, id) AS user_id FROM (SELECT address, min(ts) AS ts, arg_min(id, {'ts': ts, 'id': id}) AS id FROM w GROUP BY address)",
     "recent_messages": _MESSAGES + "SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY n DESC) AS position, id, role, length(content) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC, id) AS n FROM m) WHERE n <= 3",
+    "message_view": _MESSAGES + "SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY n DESC) AS position, id, role, CASE WHEN id % 5 IN (0, 1) THEN 0 ELSE 1 END::BIGINT AS n_sources, CASE WHEN id % 5 NOT IN (0, 1) THEN 'u' || id END AS url, id % 3 = 0 AS has_debug FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC, id) AS n FROM m) WHERE n <= 3",
+    "rated_cache": _MESSAGES + r""", q AS (
+  SELECT a.id, any_value(a.content) AS answer, any_value(a.created_at) + 5 AS ts, arg_min(u.content, {'t': -u.created_at, 'i': u.id}) AS question, CASE a.id % 4 WHEN 0 THEN -1 WHEN 3 THEN 0 ELSE 1 END AS rating
+  FROM m a JOIN m u ON a.chat_id = u.chat_id AND u.role = 'user' AND u.created_at <= a.created_at WHERE a.role = 'assistant' AND a.id % 17 <> 0 AND a.id % 11 <> 0 GROUP BY a.id
+), k AS (
+  SELECT *, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS norm FROM q WHERE rating <> 0
+), g AS (
+  SELECT *, min(CASE WHEN rating = 1 THEN {'ts': ts, 'e': id} END) OVER (PARTITION BY norm) AS first FROM k
+)
+SELECT sha256(norm) AS question_hash, count(*) FILTER (rating = 1) AS good_count, count(*) FILTER (rating = -1) AS bad_count, md5(arg_max(answer, {'ts': ts, 'e': id}) FILTER (rating = 1)) AS answer_md5,
+       arg_max(CASE WHEN id % 5 <> 1 THEN '[{"title": "t", "url": "u' || id || CASE WHEN id % 5 = 0 THEN '"' ELSE '"}]' END END, {'ts': ts, 'e': id}) FILTER (rating = 1 AND id % 5 <> 1) AS sources_json
+FROM g WHERE first IS NOT NULL AND {'ts': ts, 'e': id} >= first GROUP BY norm""",
+    "cache_touch": _CACHE + """, t AS (
+  SELECT norm, epoch(max(ts) FILTER (rating = 1)) AS used FROM g WHERE first IS NOT NULL AND {'ts': ts, 'e': event_id} >= first GROUP BY norm
+), a AS (SELECT norm, 1900000000 + max(query_id) AS asked FROM q GROUP BY norm)
+SELECT sha256(norm) AS question_hash, CAST(floor(CASE WHEN norm IN (SELECT question_norm FROM ok) THEN coalesce(asked, used) ELSE used END) AS BIGINT) AS used_s FROM t LEFT JOIN a USING (norm)""",
     "owned_messages": _MESSAGES + "SELECT m.id, chat_id, role FROM m WHERE chat_id IN (SELECT id FROM c WHERE user_id IN (SELECT n_nationkey FROM nation))",
     "prev_user_message": _MESSAGES + "SELECT a.id, arg_min(u.id, {'t': -u.created_at, 'i': u.id}) AS question_id, md5(arg_min(u.content, {'t': -u.created_at, 'i': u.id})) AS question_md5 FROM m a LEFT JOIN m u ON a.chat_id = u.chat_id AND u.role = 'user' AND u.created_at <= a.created_at WHERE a.role = 'assistant' GROUP BY a.id",
     "recent_chats": _MESSAGES + "SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY last_s DESC, id) AS position, id, last_s FROM (SELECT c.id, user_id, max(created_at) AS last_s FROM c JOIN m ON chat_id = c.id GROUP BY ALL)) WHERE position <= 5",

@@ -2,53 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternflow.functions import text as T
 from lanternflow.operators import parsing as P
 from lanternflow.plans import app, content
 from lanternflow.sources import schemas as S
+from lanternflow.sources.scratch import scratch_path
 from lanternflow.streaming import streams as W
 
 
-def _path(spark: SparkSession, name: str) -> str:
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _staged(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
-    """A table as a stream of files, and a path for what comes of it."""
-    spark = df.sparkSession
-    path = _path(spark, name)
-    (df.repartitionByRange(4, by) if by else df).write.parquet(f"{path}/source")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 100).parquet(f"{path}/source"), path
+def _feed(parts: list[DataFrame], name: str, run: Callable[[DataFrame, str], None]) -> str:
+    """Writes parts of a table one after the other, and after each lets the stream take up what is new, from its checkpoint; the path of what comes of it."""
+    spark = parts[0].sparkSession
+    path = scratch_path(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/source")
+        run(spark.readStream.schema(part.schema).parquet(f"{path}/source"), path)
+    return path
 
 
 def feedback_cache_stream(spark, d):
-    """The same rows as feedback_cache, by state."""
-    stream, path = _staged(app._feedback(spark, d), "feedback", "ts")
-    W.run_to_table(W.feedback_states(stream), path, "update")
-    rows = spark.read.parquet(f"{path}/table")
-    last = Window.partitionBy("question_hash").orderBy(F.desc("batch"))
-    return rows.withColumn("n", F.row_number().over(last)).filter("n = 1").select("question_hash", "question_norm", "good_count", "bad_count", "answer_text")
+    """The same rows as feedback_cache, from the events in four parts of their time."""
+    events = app._feedback(spark, d)
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    edges = [lo + (hi - lo) * k / 4 for k in range(5)]
+    parts = [events.filter((F.col("ts") >= a) & ((F.col("ts") < b) if b < hi else F.lit(True))) for a, b in zip(edges, edges[1:])]
+    path = _feed(parts, "feedback", W.fold_feedback)
+    return W.last_state(spark, path).select("question_hash", "question_norm", "good_count", "bad_count", "answer_text")
 
 
 def ingest_stream(spark, d):
-    """Pages to chunks to vectors, without pages of content that was seen before. State: one hash a page, without end."""
+    """Pages to chunks to vectors, without pages of content that was seen before: every seventh page comes again under another number.
+
+    State: one hash a page, without end.
+    """
     pages = content._site_pages(spark, d)
-    stream, path = _staged(pages, "ingest", "page_id")
+    again = pages.filter("page_id % 7 = 0").withColumn("page_id", F.col("page_id") + 1_000_000)
     rules = content._rules(spark, d)
-    fresh = stream.withColumn("hash", T.content_hash(F.col("html"))).dropDuplicates(["hash"])
 
     def chunked(batch: DataFrame) -> DataFrame:
         chunks = P.pages_to_chunks(batch, rules).withColumn("chunk_id", F.xxhash64("page_id", "extract_index", "chunk_index"))
         return chunks.join(W.embed(chunks), "chunk_id")
 
-    W.run_to_table(fresh, path, "append", chunked)
+    def run(stream: DataFrame, path: str) -> None:
+        fresh = stream.withColumn("hash", T.content_hash(F.col("html"))).dropDuplicates(["hash"])
+        W.run_to_table(fresh, path, "append", chunked)
+
+    path = _feed([pages.filter("page_id % 2 = 0"), pages.filter("page_id % 2 = 1"), again], "ingest", run)
     out = spark.read.parquet(f"{path}/table")
     return out.select("page_id", F.col("extract_index").cast("long").alias("extract_index"), F.col("chunk_index").cast("long").alias("chunk_index"), "text", F.size("embedding").cast("long").alias("dim"))
 
@@ -60,6 +64,16 @@ def embed_pending(spark, d):
     return out.select("chunk_id", F.round(T.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
 
 
+def append_rows(spark, d):
+    """Labels appended in two parts to a table that was empty."""
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    path = scratch_path(spark, "labels")
+    S.append(S.empty(spark, "labels"), path, "labels")
+    for part in (0, 1):
+        S.append(labels.filter(F.pmod("doc_id", F.lit(2)) == part), path, "labels")
+    return S.read(spark, path, "labels")
+
+
 def decode_vectors(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
     back = rows.select("vec_id", "embedding", S.encode_vector("embedding").alias("bytes")).select("vec_id", "embedding", F.octet_length("bytes").cast("long").alias("n_bytes"), S.decode_vector("bytes").alias("again"))
@@ -81,8 +95,9 @@ _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows, 0::BIGI
 
 ORACLES = {
     "feedback_cache_stream": app.ORACLES["feedback_cache"],
-    "ingest_stream": None,
+    "ingest_stream": content._SITE_CHUNKS + " SELECT k AS page_id, 0::BIGINT AS extract_index, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS chunk_index, part AS text, 64::BIGINT AS dim FROM f",
     "embed_pending": "SELECT doc_id AS chunk_id, 1.0::DOUBLE AS norm FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND regexp_matches(lower(text), '[a-z0-9]') UNION ALL SELECT doc_id, 0.0 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND NOT regexp_matches(lower(text), '[a-z0-9]')",
+    "append_rows": "SELECT doc_id, quality, toxic FROM labels",
     "decode_vectors": "SELECT vec_id, 4 * len(embedding) AS n_bytes, true AS same FROM embeddings",
     "schema_contract": _COUNTS,
 }

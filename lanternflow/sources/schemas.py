@@ -54,8 +54,12 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, name: str) -> None:
+    """Adds rows to the table at path, with the declared types and order of columns; rows with other columns are refused, and nothing is written."""
+    wrong = differences(df, name)
+    if wrong:
+        raise ValueError(f"rows for {name} are not as declared: {wrong}")
+    df.select(*(F.col(f.name).cast(f.dataType) for f in schema(name))).write.mode("append").parquet(path)
 
 
 @F.pandas_udf(BinaryType())

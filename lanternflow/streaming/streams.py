@@ -6,39 +6,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
-from lanternflow.functions import text as T
+from lanternflow.operators.chats import feedback_cache
 
-_STATE = "good_count long, bad_count long, answer_text string"
-_OUT = f"question_hash string, question_norm string, {_STATE}"
+def fold_feedback(events: DataFrame, path: str) -> None:
+    """Runs a stream of ratings (question, answer, rating, ts, event_id) over all that is available now; the cache after each micro-batch goes to path/state.
 
+    Ratings of a batch are reduced to a row a question before they meet the state, so a question with very many
+    ratings is held by no task. The state after batch n is made from that after the batch before; a batch that is run again
+    after a failure makes the same state again. Events that arrive in a later batch count as later.
+    """
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Ratings of one question in order: +1 creates or confirms and replaces the answer, -1 counts against what is there."""
-    good, bad, answer = state.get if state.exists else (0, 0, None)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    for rating, said in zip(rows["rating"], rows["answer"]):
-        if rating == 1:
-            good, answer = good + 1, said
-        elif rating == -1 and good:
-            bad += 1
-    if good:
-        state.update((int(good), int(bad), answer))
-        yield pd.DataFrame([(*key, good, bad, answer)], columns=["question_hash", "question_norm", "good_count", "bad_count", "answer_text"])
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{path}/state/batch={number - 1}") if number else None
+        feedback_cache(batch, before).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
 
+    _run(events.writeStream.foreachBatch(fold), path)
 
-def feedback_states(events: DataFrame) -> DataFrame:
-    """The cache entry of each question after the events so far (question, answer, rating, ts, event_id), in update mode.
 
-    State is one small row a question. Within a micro-batch events are taken in order; events that arrive in a later
-    batch count as later.
-    """
-    norm = T.normalize_question(F.col("question"))
-    keyed = events.filter("rating in (1, -1)").select(T.hash_question(norm).alias("question_hash"), norm.alias("question_norm"), "answer", "rating", "ts", "event_id")
-    return keyed.groupBy("question_hash", "question_norm").applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+def last_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state below path."""
+    states = spark.read.parquet(f"{path}/state")
+    return states.filter(F.col("batch") == states.agg(F.max("batch")).first()[0]).drop("batch")
 
 
 def hashed_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -85,5 +78,9 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append", each: Calla
     def write(df: DataFrame, number: int) -> None:
         (each(df) if each else df).write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    _run(stream.writeStream.outputMode(mode).foreachBatch(write), path)
+
+
+def _run(writer: DataStreamWriter, path: str) -> None:
+    query = writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

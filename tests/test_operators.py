@@ -100,14 +100,61 @@ def test_feedback(spark):
     assert rows(users, "address", "user_id") == [("a", 2), ("b", 1)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    e = [(k, f"q{k % 5}", f"a{k}", (1, -1, 1, -1, 0)[k * 7 % 5], k) for k in range(60)]
+def test_users_are_numbered_over_ranges(spark):
+    visits = spark.createDataFrame([(f"a{k % 97}", (k * 31) % 500, k) for k in range(1000)], "address string, ts long, id long")
+    for parts in (1, 7):
+        users = sorted((r["first_seen"], r["user_id"]) for r in C.resolve_users(visits, parts).collect())
+        assert [n for _, n in users] == list(range(1, 98))
+    assert C.resolve_users(visits.limit(0)).count() == 0
+
+
+def test_ratings_of_messages(spark):
+    m = [(1, 1, "user", "Q", 10, None, None), (2, 1, "assistant", "A", 11, '[{"url": "u"}]', "{}"), (3, 2, "assistant", "alone", 5, "broken", ""), (4, 1, "user", "never rated", 12, None, None), (5, 1, "assistant", "B", 13, None, None)]
+    messages = spark.createDataFrame(m, "id long, chat_id long, role string, content string, created_at long, sources_json string, debug_json string")
+    chats = spark.createDataFrame([(1, 7), (2, 7)], "id long, user_id long")
+    r = [(1, 2, 7, 1, 20), (2, 2, 8, -1, 21), (3, 3, 7, 1, 22), (4, 1, 7, -1, 23), (5, 99, 7, 1, 24), (6, 2, 7, -1, 25), (7, 5, 7, -1, 26)]
+    ratings = spark.createDataFrame(r, "id long, message_id long, user_id long, rating int, created_at long")
+    events = C.feedback_events(ratings, messages, chats)
+    assert rows(events, "event_id", "question", "answer", "rating") == [(1, "Q", "A", 1), (6, "Q", "A", -1), (7, "never rated", "B", -1)]
+    cache = C.feedback_cache(events)
+    assert rows(cache, "question_norm", "good_count", "bad_count", "answer_text", "sources_json", "last_used_at") == [("q", 1, 1, "A", '[{"url": "u"}]', 20)]
+    view = {r["id"]: (r["sources"], r["has_debug"]) for r in C.message_view(messages).collect()}
+    assert view[2] == ([{"url": "u"}], True) and view[3] == ([], False) and view[1] == ([], False)
+    asked = spark.createDataFrame([("q ", 99), ("Q", 50)], "text string, asked_at long")
+    good = C.feedback_cache(events.filter("event_id = 1"))
+    assert rows(C.touched(good, asked), "question_norm", "last_used_at") == [("q", 99)] and rows(C.touched(cache, asked), "last_used_at") == [(20,)]
+    questions = spark.createDataFrame([(1, " q"), (2, "else"), (3, "nothing known")], "query_id long, text string")
+    seen = []
+
+    def retrieve(misses):
+        seen.extend(r["query_id"] for r in misses.collect())
+        return misses.select("query_id", F.lit("p").alias("prompt"), (F.col("query_id") == 2).alias("has_context"))
+
+    assert rows(C.answered(questions, good, retrieve), "query_id", "route", "text") == [(1, "cache", "A"), (2, "retrieval", "p"), (3, "none", C.NO_CONTEXT)]
+    assert sorted(seen) == [2, 3]
+
+
+def test_stream_carries_state_over_batches(spark, tmp_path):
+    rng = __import__("random").Random(3)
+    e = [(k, f"q{rng.randrange(9)}", f"a{k}", rng.choice([1, 1, -1, 0]), k) for k in range(300)]
     events = spark.createDataFrame(e, "event_id long, question string, answer string, rating int, ts long")
-    events.repartitionByRange(3, "ts").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
-    W.run_to_table(W.feedback_states(stream), f"file://{tmp_path}/out", "update")
-    columns = ("question_norm", "good_count", "bad_count", "answer_text")
-    assert rows(spark.read.parquet(f"{tmp_path}/out/table"), *columns) == rows(C.feedback_cache(events), *columns)
+    columns = ("question_norm", "good_count", "bad_count", "answer_text", "created_at", "updated_at", "last_used_at")
+    path = f"file://{tmp_path}/out"
+    for k in range(5):  # each part is taken up by a query of its own, from the checkpoint of the one before
+        events.filter(F.col("ts").between(k * 60, k * 60 + 59)).write.mode("append").parquet(f"{tmp_path}/in")
+        W.fold_feedback(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), path)
+        assert rows(W.last_state(spark, path), *columns) == rows(C.feedback_cache(events.filter(F.col("ts") < k * 60 + 60)), *columns)
+    assert spark.read.parquet(f"{path}/state").select("batch").distinct().count() == 5
+
+
+def test_duplicates_over_batches(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"html {k % 4}") for k in range(12)], "page_id long, html string")
+    path = f"file://{tmp_path}/out"
+    for k in range(3):
+        pages.filter(F.floor(F.col("page_id") / 4) == k).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{tmp_path}/in")
+        W.run_to_table(stream.dropDuplicates(["html"]), path)
+    assert rows(spark.read.parquet(f"{path}/table"), "page_id") == [(0,), (1,), (2,), (3,)]
 
 
 def test_tables(spark):
@@ -128,6 +175,10 @@ def test_ingest(spark):
     links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("x", "y")], "src string, dst string")
     assert rows(I.link_frontier(links, "a", 10)) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
     assert rows(I.link_frontier(links, "a", 2)) == [("a", 0), ("b", 1)]
+    line = spark.createDataFrame([(str(k), str(k + 1)) for k in range(12)], "src string, dst string")
+    assert I.link_frontier(line, "0", 100).count() == 13 and I.link_frontier(line, "none", 5).count() == 1
+    copies = spark.createDataFrame([(k, "u", "same" if k < 5 else None if k < 7 else str(k)) for k in range(9)], "id long, url string, html string")
+    assert rows(I.duplicate_content(copies), "id", "canonical_id", "is_duplicate") == [(k, 0 if k < 5 else 5 if k < 7 else k, k in (1, 2, 3, 4, 6)) for k in range(9)]
     old = spark.createDataFrame([("u", "html", 1)], "url string, kind string, discovered_at long")
     found = spark.createDataFrame([("u", "pdf", 5), ("v", "html", 6)], "url string, kind string, discovered_at long")
     assert rows(I.discovered_upsert(old, found)) == [("u", "pdf", 1), ("v", "html", 6)]
@@ -173,6 +224,21 @@ def test_rules_of_sites(spark):
     assert out[0].startswith("Intro text") and all(len(t) <= 1300 for t in out) and len(out) == 3
 
 
+def test_declared_tables(spark, tmp_path):
+    empty = S.empty(spark, "pages")
+    assert empty.count() == 0 and not S.differences(empty, "pages")
+    path = f"file://{tmp_path}/pages"
+    good = spark.createDataFrame([(1, "u", "h")], S.schema("pages"))
+    S.append(good, path, "pages")
+    S.append(good.withColumn("page_id", F.lit(2).cast("int")), path, "pages")
+    assert rows(S.read(spark, path, "pages"), "page_id") == [(1,), (2,)]
+    with pytest.raises(ValueError):
+        S.append(good.drop("html"), path, "pages")
+    with pytest.raises(ValueError):
+        S.append(good.withColumn("more", F.lit(1)), path, "pages")
+    assert S.read(spark, path, "pages").count() == 2
+
+
 def test_schemas(spark):
     df = spark.createDataFrame([(1, [0.5, -1.0, 3.0])], "vec_id long, embedding array<float>")
     assert S.differences(df, "embeddings") == [("label", "int", None)]
