@@ -198,9 +198,3 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         docs = docs.mapInArrow(keep(_block(wanted, k, n_blocks), docs.columns.index(text_col)), docs.schema)
     return docs
 
-
-def share_by_item(pairs: DataFrame) -> DataFrame:
-    """How many documents hold each item: item_id, n_docs."""
-    return pairs.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
-
-

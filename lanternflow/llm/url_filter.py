@@ -6,7 +6,7 @@ they are shrunk: the rate of a suffix (com) is a beta-binomial posterior under t
 a registered domain (example.com) under its suffix's rate, that of a host under its domain's. How much
 a level is shrunk, the strength of its prior in pages, is estimated by moments from how its members'
 rates scatter. A page is blocked when even the lower bound of the host's posterior (mean minus z
-standard deviations) is above the limit, so a host of which little is known is allowed.
+standard deviations, a normal approximation) is above the limit, so a host of which little is known is allowed.
 
 Only DataFrame functions are used.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.shared import materialise
+from lanternflow.llm.shared import hot_join, materialise
 
 #: (rule, verdict); a rule is host/path.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -24,9 +24,6 @@ LIMIT, Z = 0.25, 1.645
 #: What is believed without any labelled page: so many bad pages of so many.
 PRIOR_BAD, PRIOR_PAGES = 1, 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A host with more than this share of all pages is hot; there are at most 1 / HOT_SHARE such hosts.
-HOT_SHARE = 0.001
-
 
 #: Suffixes of two labels under which names are registered.
 _DOUBLE = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "ac.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "co.za"]
@@ -107,15 +104,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
         .select("host", domain.alias("domain"), suffix.alias("suffix"), "pages", "n", "k")
     )
     reputation = materialise(host_reputation(materialise(hosts, "hosts"), z), "reputation")
-    total = reputation.agg(F.sum("pages")).first()[0] or 0
-    hot = F.col("pages") > HOT_SHARE * total
-    # At most 1 / HOT_SHARE rows, whatever the table holds.
-    often = F.broadcast(reputation.filter(hot).select("host", F.col("rate").alias("hot_rate"), F.col("bound").alias("hot_bound")))
-    rare = reputation.filter(~hot).select(F.col("host").alias("key"), "rate", "bound")
-    # Pages of hot hosts meet no row of the others, and are dealt out by their id.
-    key = F.when(F.col("hot_rate").isNull(), F.col("host")).otherwise(F.concat(F.lit("\u0000"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    judged = urls.join(often, "host", "left").withColumn("key", key).join(rare, "key", "left")
-    judged = judged.withColumn("bound", F.coalesce("hot_bound", "bound")).withColumn("rate", F.coalesce("hot_rate", "rate"))
+    # Every host is in the table; pages of hot hosts are joined apart.
+    judged = hot_join(urls, reputation, "host", "pages")
     judged = judged.withColumn("best", best_rule(F.col("host"), F.col("path"), RULES if rules is None else rules))
     return judged.select(
         "page_id",

@@ -95,6 +95,24 @@ def test_jaccard_classes(spark):
     assert ngram_join.jaccard_classes(frame(spark, rows[:0])).count() == 0
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity of 0.80 to 0.85, the hardest ones, against brute force."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.018, 0.024)))):
+            other[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = {i: shingles(t) for i, t in rows}
+    hard = [k for k in range(150) if 0.8 <= len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) <= 0.85]
+    assert len(hard) >= 40
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_classes(frame(spark, rows)).collect()}
+    comp, _ = classes(rows)
+    assert got == comp and all(got[2 * k + 1] == 2 * k for k in hard)
+
+
 def test_bitmaps_bound_from_above():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -158,6 +176,19 @@ def test_decontamination(spark):
     assert decontamination.contaminated_pairs(frame(spark, rows[:0]), table).count() == 0
 
 
+def test_scattered_and_repetitive_items_are_found():
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for pieces in (1, 3, 8, 0):
+        found = 0
+        for _ in range(40):
+            item = words(60) if pieces else (words(1) + words(5)) * 10
+            step = 60 // max(1, pieces)
+            doc = [w for p in range(max(1, pieces)) for w in [*words(5000 // max(1, pieces)), *item[max(0, p * step - 4) : (p + 1) * step]]]
+            found += bool(list(decontamination._Finder([(1, " ".join(item))], 0.8)([" ".join(doc)])))
+        assert found >= 39, pieces
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["an", "the", "er", "on", "ti", "st", "re"]) for _ in range(rng.randrange(1, 4)))
@@ -481,6 +512,11 @@ def test_url_filter(spark):
     assert (got[4]["host"], got[4]["path"], got[5]["host"]) == ("", "", "")
     assert got[6]["verdict"] == "block" and got[7]["host"] == "b:" and got[8]["rule"] == "org/"
     assert got[150]["verdict"] == "block" and got[210]["verdict"] == "allow" and got[150]["bound"] < got[150]["rate"]
+    odd = [(900 + k, u) for k, u in enumerate(["http://" + "a" * 5000 + ".co.uk/" + "p" * 100_000, "http://user:pw@x.com:8080/p", "http://10.0.0.1/", "://", "http://?q", "HTTP://É.org/ü"])] + [(None, "http://bad.net/x")] * 3
+    clashing = spark.createDataFrame([(i, u, "h", 1.0, True) for i, u in odd], "page_id long, url string, host string, rate double, bad boolean")
+    more = {r["page_id"]: (r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in url_filter.filter_urls(clashing, outcomes).collect()}
+    assert more[900][1] == 100_001 and more[901] == ("user:pw@x.com:8080", 2, None, "allow") and more[903][0] == more[904][0] == "" and more[905] == ("É.org", 2, "org/", "allow")
+    assert more[None][0] == "bad.net"
     none = url_filter.filter_urls(pages, outcomes.limit(0))
     assert {r["verdict"] for r in none.filter("rule is null").collect()} == {"allow"}
     assert url_filter.filter_urls(pages.limit(0), outcomes).count() == 0
