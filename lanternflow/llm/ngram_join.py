@@ -9,8 +9,9 @@
 3. Leader tiles come first: one set of each band of a key (its leader) against all sets of the bands next to it. Of the
    leaders that the bound leaves to a set, the closest is verified. That joins nearly all of a large group.
 4. Full tiles follow for all sets that share a key and still lie in different classes. Sets of the key's largest
-   class need not meet each other, so only the others (strays) are dealt out over all parts. No pair is dropped;
-   pairs inside one class are not needed.
+   class need not meet each other, so only the others (strays) are dealt out over all parts. First each tile
+   gives a spanning forest of its classes by its closest pairs, as long as that links classes; then all pairs of different
+   classes that the bitmaps leave. No pair is dropped; pairs inside one class are not needed.
 5. Classes are the connected components of all verified links (alternating large and small stars).
 
 Counts and leaders of keys are aggregated before the shuffle, and frequent keys are joined apart, so no task holds
@@ -34,7 +35,8 @@ from lanternflow.llm.shared import drop_rows, hot_join, materialise, mix, popcou
 BANDS, ROWS = 40, 4
 #: Two documents link when 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 80
-TILE_ROWS = 512
+#: Rows of a part of a band, and of a leader's tile.
+TILE_ROWS, LEADER_ROWS = 512, 128
 #: Width of a bitmap: this many bits for each shingle, rounded up to a power of two. Wider ones bound closer.
 BITS_PER_SHINGLE = 4
 _MIN_BITS, _MAX_BITS = 64, 1 << 18
@@ -93,7 +95,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, 0, _CHUNK):
         sets = [np.unique(r) for r in shingle_runs([(t or "").encode() for t in batch.column(0).to_pylist()])]
-        yield pa.RecordBatch.from_arrays([pa.array([_digest(r) for r in sets], pa.binary()), pa.array([r.tobytes() for r in sets], pa.binary())], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(r) for r in sets], pa.binary()), pa.array([r.tobytes() for r in sets], pa.binary())], names=["digest", "shingles"])
 
 
 def _differing(a: bytes, b: bytes) -> int:
@@ -109,7 +111,7 @@ def _differing(a: bytes, b: bytes) -> int:
 
 def _leader_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of tiles whose leader comes first: pairs whose bitmaps still allow the threshold, with the differing bits for each shingle of the two."""
-    leader: tuple[bytes, int, bytes] | None = None
+    leader: tuple[int, int, bytes] | None = None
     for f in frames:
         out = []
         for hub, guest, node, n, sig in zip(f["hub"], f["guest"], f["node"], f["n"], f["sig"]):
@@ -132,11 +134,11 @@ def _fold(sigs: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _tile(n: np.ndarray, comp: np.ndarray, home: np.ndarray, visit: np.ndarray, sigs: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Row numbers of pairs of a tile, home rows against visiting rows of other classes, that the bitmaps leave."""
+def _tile(n: np.ndarray, comp: np.ndarray, home: np.ndarray, visit: np.ndarray, sigs: list[bytes]) -> Iterator[tuple[float, int, int]]:
+    """Row numbers of pairs of a tile, home rows against visiting rows of other classes, that the bitmaps leave, and how far they are apart."""
     wide = np.array([len(x) for x in sigs])
 
-    def cross(home: np.ndarray, visit: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    def cross(home: np.ndarray, visit: np.ndarray, width: int) -> Iterator[tuple[float, int, int]]:
         if not len(home) or not len(visit):
             return
         one, two = _fold([sigs[k] for k in home], width), _fold([sigs[k] for k in visit], width)
@@ -147,7 +149,7 @@ def _tile(n: np.ndarray, comp: np.ndarray, home: np.ndarray, visit: np.ndarray,
             x, y = n[i][:, None], n[visit][None, :]
             both = np.minimum((x + y - differ) // 2, np.minimum(x, y))
             h, g = np.nonzero(enough(both, x, y) & (comp[i][:, None] != comp[visit][None, :]))
-            yield from zip(i[h].tolist(), visit[g].tolist())
+            yield from zip((differ[h, g] / (x + y)[h, g]).tolist(), i[h].tolist(), visit[g].tolist())
 
     for w in np.unique(wide):
         yield from cross(home[wide[home] == w], visit[wide[visit] == w], w)
@@ -156,18 +158,36 @@ def _tile(n: np.ndarray, comp: np.ndarray, home: np.ndarray, visit: np.ndarray,
         yield from cross(home[wide[home] == w], visit[wide[visit] == 2 * w], w)
 
 
-def _full_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of all tiles of a partition that is sorted by tile. A tile that a batch ends in waits for the next one."""
+def _forest(pairs: Iterator[tuple[float, int, int]], comp: np.ndarray) -> Iterator[tuple[float, int, int]]:
+    """The closest pairs that join all classes which pairs join."""
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    for far, i, j in sorted(pairs):
+        a, b = find(int(comp[i])), find(int(comp[j]))
+        if a != b:
+            above[a] = b
+            yield far, i, j
+
+
+def _full_tiles(frames: Iterator[pd.DataFrame], spanning: bool) -> Iterator[pd.DataFrame]:
+    """Pairs of all tiles of a partition that is sorted by tile, or a spanning forest of each tile's. A tile that a batch ends in waits for the next one."""
     held: pd.DataFrame | None = None
 
     def pairs(f: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
         n, guest, node, sigs = f["n"].to_numpy(), f["guest"].to_numpy(), f["node"].tolist(), f["sig"].tolist()
-        comp = np.unique(np.array(f["comp"].tolist(), dtype=object), return_inverse=True)[1] if len(f) else np.zeros(0, int)
-        found: set[tuple[bytes, bytes]] = set()
+        comp = f["comp"].to_numpy()
+        found: set[tuple[int, int]] = set()
         for a, b in zip(cuts[:-1], cuts[1:]):
             home, visit = np.flatnonzero(guest[a:b] == 0), np.flatnonzero(guest[a:b] == 1)
             if len(home) and len(visit) and comp[a:b].min() != comp[a:b].max():
-                for i, j in _tile(n[a:b], comp[a:b], home, visit, sigs[a:b]):
+                near = _tile(n[a:b], comp[a:b], home, visit, sigs[a:b])
+                for _, i, j in _forest(near, comp[a:b]) if spanning else near:
                     x, y = node[a + i], node[a + j]
                     found.add((x, y) if x < y else (y, x))
         if found:
@@ -185,16 +205,16 @@ def _full_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs that reach the threshold. Rows are sorted by a and part: the array of a comes first, then those of its partners."""
-    own: tuple[bytes, np.ndarray] | None = None
+    own: tuple[int, np.ndarray] | None = None
     for f in frames:
-        found = []
+        found: list[tuple[int, int]] = []
         for a, b, shingles in zip(f["a"], f["b"], f["shingles"]):
-            if b is None:
+            if pd.isna(b):
                 own = a, np.frombuffer(shingles, dtype=np.uint64)
             elif own is not None and own[0] == a:
                 x, y = own[1], np.frombuffer(shingles, dtype=np.uint64)
                 if enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                    found.append((a, b))
+                    found.append((int(a), int(b)))
         yield pd.DataFrame(found, columns=["a", "b"])
 
 
@@ -204,16 +224,18 @@ def verified(pairs: DataFrame, sets: DataFrame, source: DataFrame) -> DataFrame:
     sets: node and place (of one of its rows in source). Texts that may be wanted are read again and made into sorted
     arrays; a set meets its partners in parts of TILE_ROWS.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "place"), "node")
-    near, _ = split_by_bitmap(source.select("text", "place"), F.col("place"), materialise(wanted.select(F.col("place").alias("k")), "wanted"))
-    arrays = materialise(near.select("text").mapInArrow(_arrays, "node binary, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "digest", "place"), "node")
+    wanted = materialise(wanted, "wanted")
+    near, _ = split_by_bitmap(source.select("text", "place"), F.col("place"), wanted.select(F.col("place").alias("k")))
+    arrays = near.select("text").mapInArrow(_arrays, "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"])
+    arrays = materialise(arrays.select("node", "shingles"), "shingles")
     counts = pairs.groupBy("a").agg(F.count("*").alias("c")).withColumn("parts", F.ceil(F.col("c") / TILE_ROWS).cast("int"))
     dealt = hot_join(pairs, materialise(counts, "partners"), "a", "c").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     dealt = materialise(dealt, "dealt")
-    first = dealt.select("a", "part").distinct().join(arrays.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("binary").alias("b"), "part", "shingles")
+    first = dealt.select("a", "part").distinct().join(arrays.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "part", "shingles")
     rest = dealt.join(arrays.withColumnRenamed("node", "b"), "b").select("a", "b", "part", "shingles")
     rows = first.unionByName(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    return rows.select("a", "b", "shingles").mapInPandas(_exact, "a binary, b binary")
+    return rows.select("a", "b", "shingles").mapInPandas(_exact, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,20 +269,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _leaders(members: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of each set with the closest leader that its bitmap allows: a (leader), b."""
+    """Pairs of each set with the closest leader that its bitmap allows: a (leader), b.
+
+    A leader has the smallest number of its band, and only leaders with a smaller number than the set's are tried, so
+    links lead from set to set to the smallest one of a group.
+    """
     met = hot_join(members, keys, "key", "c").select("node", "band", "c", F.explode("hubs").alias("hub"))
-    met = met.filter((F.abs(F.col("hub.band") - F.col("band")) <= 1) & (F.col("hub.node") != F.col("node")))
-    met = met.groupBy(F.col("hub.node").alias("hub"), "node").agg(F.max(F.ceil(F.col("c") / TILE_ROWS)).cast("int").alias("parts"))
+    met = met.filter((F.abs(F.col("hub.band") - F.col("band")) <= 1) & (F.col("hub.node") < F.col("node")))
+    met = met.groupBy(F.col("hub.node").alias("hub"), "node").agg(F.max(F.ceil(F.col("c") / LEADER_ROWS)).cast("int").alias("parts"))
     met = materialise(met.withColumn("h", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "met")
     tile = ["hub", "parts", "h"]
     guests = met.join(sets.select("node", "n", "sig"), "node").select(*tile, F.lit(1).alias("guest"), "node", "n", "sig")
     homes = met.select(*tile).distinct().join(sets.select(F.col("node").alias("hub"), "n", "sig"), "hub").select(*tile, F.lit(0).alias("guest"), F.col("hub").alias("node"), "n", "sig")
-    near = homes.unionByName(guests).repartition(*tile).sortWithinPartitions(*tile, "guest").mapInPandas(_leader_tiles, "a binary, b binary, far double")
+    near = homes.unionByName(guests).repartition(*tile).sortWithinPartitions(*tile, "guest").mapInPandas(_leader_tiles, "a long, b long, far double")
     return near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b")
 
 
-def _stray_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different classes that share a key and that the bitmaps leave."""
+def _stray_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of sets of different classes that share a key and that the bitmaps leave; spanning: a forest of each tile's."""
     rows = materialise(members.join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("alike")).groupBy("key").agg(F.sum("alike").alias("c"), F.max(F.struct("alike", "comp")).alias("most"))
     per = per.select("key", "c", (F.col("c") - F.col("most.alike")).alias("strays"), F.col("most.comp").alias("largest")).filter("strays > 0")
@@ -274,7 +300,7 @@ def _stray_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame) -> Dat
     placed = rest.withColumn("tile", F.explode(F.when(F.col("stray"), F.concat(visits, homes)).otherwise(visits))).select("key", "node", "comp", "tile.*")
     placed = placed.join(sets.select("node", "n", "sig"), "node")
     by = ["key", "tile_band", "h", "g"]
-    return placed.repartition(*by).sortWithinPartitions(*by).mapInPandas(_full_tiles, "a binary, b binary").distinct()
+    return placed.repartition(*by).sortWithinPartitions(*by).mapInPandas(lambda frames: _full_tiles(frames, spanning), "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -293,31 +319,46 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = ", ".join(f"{n} {t}" for n, t in source.dtypes[1:])
     signed = materialise(source.mapInArrow(_sign, f"{kind}, {_SIGNED}"), "signed")
     # Copies of one set are equal in n, sig and keys, too.
-    sets = signed.filter("n > 0").groupBy(F.col("digest").alias("node")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "sig", "keys")))
-    sets = materialise(sets, "sets")
+    sets = signed.filter("n > 0").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "sig", "keys")))
+    # Numbers of the sets; they are fixed when the table is written.
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / PERCENT)).cast("int")
     every = sets.select("node", band.alias("band"), F.explode("keys").alias("key"))
-    per = every.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    # Keys of one set alone go no further.
+    often = materialise(sets.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k"), "often")
+    near, _ = split_by_bitmap(every, F.col("key"), often)
+    near = materialise(near, "near")
+    per = near.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("node").alias("node"))
     keys = materialise(per.groupBy("key").agg(F.sum("c").alias("c"), F.collect_list(F.struct("band", "node")).alias("hubs")).filter("c > 1"), "keys")
-    members = materialise(hot_join(every, keys.select("key", "c"), "key", "c").drop("c"), "shared")
+    members = materialise(hot_join(near, keys.select("key", "c"), "key", "c").drop("c"), "shared")
 
     links = materialise(verified(materialise(_leaders(members, keys, sets), "closest"), sets, source), "links")
     classes = materialise(components(links), "classes")
-    pairs = materialise(_stray_pairs(members, classes, sets), "pairs")
-    if not pairs.isEmpty():
-        links = links.union(materialise(verified(pairs, sets, source), "more_links"))
-        classes = materialise(components(links), "classes")
+    spanning = True
+    while True:  # each turn links classes, or is the last but one
+        pairs = materialise(_stray_pairs(members, classes, sets, spanning), "pairs")
+        if pairs.isEmpty():
+            break
+        new = materialise(verified(pairs, sets, source), "more_links")
+        if not new.isEmpty():
+            links = links.union(new)
+            classes = materialise(components(links), "classes")
+        elif spanning:
+            spanning = False
+            continue
+        if not spanning:
+            break
     return _labelled(signed, sets, classes, list(carry))
 
 
 def _labelled(signed: DataFrame, sets: DataFrame, classes: DataFrame, carry: list[str]) -> DataFrame:
     """Rows with the smallest id of their class. Only sets that are linked or have copies are looked up."""
-    linked = sets.select("node", "copies", "least").join(classes.select(F.col("id").alias("node"), "comp"), "node", "left")
+    linked = sets.select("node", "digest", "copies", "least").join(classes.select(F.col("id").alias("node"), "comp"), "node", "left")
     linked = materialise(linked.filter("comp is not null or copies > 1").withColumn("comp", F.coalesce("comp", "node")), "linked")
     least = materialise(linked.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "least")
-    named = materialise(hot_join(linked, least, "comp", "members").select(F.col("node").alias("digest"), "copies", "comp", "component_id"), "named")
+    named = materialise(hot_join(linked, least, "comp", "members").select("digest", "copies", "comp", "component_id"), "named")
     out = hot_join(signed, named, "digest", "copies", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *carry, F.coalesce("comp", "digest").alias("class"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *carry, F.coalesce(F.col("comp").cast("string"), F.hex("digest")).alias("class"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -180,10 +180,12 @@ def split_by_bitmap(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[Data
     n = keys.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n + 1).bit_length()))
     place = lambda c: F.pmod(c, F.lit(bits))
-    blocks = keys.select(place(F.col("k")).alias("p")).groupBy(F.expr("p div 32768").alias("bit_block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bit_set"))
+    blocks = keys.select(place(F.col("k")).alias("p")).groupBy(F.expr("p div 32768").alias("bit_block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
+    # As 512 longs, from which one is picked by number.
+    blocks = blocks.select("bit_block", F.expr("transform(sequence(0, 511), k -> cast(conv(hex(substring(bits, k * 8 + 1, 8)), 16, -10) as bigint))").alias("bit_set"))
     marked = rows.withColumn("bit_place", place(key)).withColumn("bit_block", F.expr("bit_place div 32768")).join(F.broadcast(blocks), "bit_block", "left")
-    byte = F.expr("conv(hex(substring(bit_set, cast((bit_place % 32768) div 8 as int) + 1, 1)), 16, 10)")
-    marked = marked.withColumn("bit_near", F.coalesce(F.call_function("shiftright", byte.cast("int"), (F.col("bit_place") % 8).cast("int")) % 2 == 1, F.lit(False)))
+    shift = ((F.lit(7) - F.expr("(bit_place % 64) div 8")) * 8 + F.expr("bit_place % 8")).cast("int")
+    marked = marked.withColumn("bit_near", F.coalesce(F.call_function("shiftrightunsigned", F.get("bit_set", F.expr("cast((bit_place % 32768) div 64 as int)")), shift).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
     names = rows.columns
     return marked.filter("bit_near").select(*names), marked.filter("not bit_near").select(*names)
 
