@@ -11,7 +11,7 @@
 4. Full tiles follow for all sets that share a key and still lie in different classes. Sets of the key's largest
    class need not meet each other, so only the others (strays) are dealt out over all parts. First each tile
    gives a spanning forest of its classes by its closest pairs, as long as that links classes; then all pairs of different
-   classes that the bitmaps leave. No pair is dropped; pairs inside one class are not needed.
+   classes that the bitmaps leave, but for those that were verified. No pair is dropped; pairs inside one class are not needed.
 5. Classes are the connected components of all verified links (alternating large and small stars).
 
 Counts and leaders of keys are aggregated before the shuffle, and frequent keys are joined apart, so no task holds
@@ -242,7 +242,7 @@ def components(links: DataFrame) -> DataFrame:
     """id and comp (the smallest id that links reach) of every id in links (a, b).
 
     Each round takes the large star and then the small star of every node (Kiveris et al. 2014); minima are
-    aggregated before the shuffle. It ends when a round changes nothing.
+    aggregated before the shuffle. Each star is written, as the next one reads it twice. It ends when a round changes nothing.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -259,7 +259,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     state = None
     while True:
-        edges = materialise(star(star(edges, True), False), "edges")
+        for large in (True, False):
+            edges = materialise(star(edges, large), "edges")
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if new == state:
             break
@@ -334,20 +335,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = materialise(verified(materialise(_leaders(members, keys, sets), "closest"), sets, source), "links")
     classes = materialise(components(links), "classes")
-    spanning = True
-    while True:  # each turn links classes, or is the last but one
-        pairs = materialise(_stray_pairs(members, classes, sets, spanning), "pairs")
-        if pairs.isEmpty():
-            break
-        new = materialise(verified(pairs, sets, source), "more_links")
-        if not new.isEmpty():
+    tested = None
+    for spanning in (True, False):
+        while True:
+            pairs = _stray_pairs(members, classes, sets, spanning)
+            pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            if pairs.isEmpty():
+                break
+            tested = pairs if tested is None else tested.union(pairs)
+            new = materialise(verified(pairs, sets, source), "more_links")
+            if new.isEmpty():
+                break
             links = links.union(new)
             classes = materialise(components(links), "classes")
-        elif spanning:
-            spanning = False
-            continue
-        if not spanning:
-            break
+            if not spanning:
+                break
     return _labelled(signed, sets, classes, list(carry))
 
 

@@ -156,12 +156,12 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     right: written rows, one for each key, with the number of rows of left in the column weight. Hot keys are at most
     1 / HOT_SHARE rows, so they are sent to all tasks; the rest is an ordinary join. how: inner or left.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    limit = max(1000, int(HOT_SHARE * total))
+    total, most = right.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(1000, int(HOT_SHARE * (total or 0)))
+    if (most or 0) <= limit:
+        return left.join(right, key, how)
     hot = right.filter(F.col(weight) > limit)
     cold = right.filter(F.col(weight) <= limit)
-    if hot.isEmpty():
-        return left.join(cold, key, how)
     few = left.join(F.broadcast(hot), key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return few.unionByName(rest)
