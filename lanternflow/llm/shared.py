@@ -195,13 +195,14 @@ def drop_rows(docs: DataFrame, gone: DataFrame, once: DataFrame, id_col: str = "
 
     gone and once: written tables of own_id and own_sha, as row_key() gives them. Other rows are not shuffled.
     """
-    keyed = docs.withColumns(dict(zip(("own_id", "own_sha"), row_key(id_col, text_col))))
+    own_id, own_sha = row_key(id_col, text_col)
+    keyed = docs.select(F.struct("*").alias("row"), own_id.alias("own_id"), own_sha.alias("own_sha"))
     hashed = F.xxhash64("own_id", "own_sha")
     near, other = split_by_bitmap(keyed, hashed, materialise(gone.unionByName(once).select(hashed.alias("k")), "places"))
     out = other.unionByName(near.join(gone.unionByName(once), ["own_id", "own_sha"], "left_anti"))
     if not once.isEmpty():
         out = out.unionByName(near.join(once, ["own_id", "own_sha"], "left_semi").dropDuplicates(["own_id", "own_sha"]))
-    return out.select(*docs.columns)
+    return out.select("row.*")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
