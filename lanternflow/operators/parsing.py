@@ -17,6 +17,7 @@ from lanternflow.operators.tables import upsert
 #: sections (accordions, then headings), tabs (tabs, then headings) or whole; crumb_text: a breadcrumb without items is cut at >.
 SITE_RULES = "site_id long, root_url string, name string, container string, breadcrumb string, rule string, crumb_text boolean"
 _PARTS = "page_id long, rule string, body string, intro string, steps array<struct<n:string,html:string>>, items array<string>, crumbs array<string>"
+#: Fixed value: what stands between the items of an accordion.
 _ITEM = "\n\nAccordion Item\n\nClosed Title:"
 
 
