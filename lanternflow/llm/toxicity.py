@@ -20,7 +20,7 @@ import itertools
 import string
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -232,13 +232,13 @@ class Scorer:
         return self.model.score(self.values([t or "" for t in texts]))
 
 
-def _explaining(bags: list[set[str]], toxic: list[bool]) -> list[str]:
+def _explaining(bags: list[tuple[str, ...]], toxic: list[bool]) -> list[str]:
     """Words that explain toxic documents, best first: in many of them, and in hardly any clean one.
 
     A document counts half after each word that explains it, so words of documents that no other word explains come in.
     """
     clean = Counter(w for bag, bad in zip(bags, toxic) if not bad for w in bag)
-    left = [bag for bag, bad in zip(bags, toxic) if bad]
+    left = [set(bag) for bag, bad in zip(bags, toxic) if bad]
     count = Counter(w for bag in left for w in bag)
     open_count = {w: float(n) for w, n in count.items() if n >= LEAST_DOCUMENTS and n >= LEAST_PURITY * (n + clean[w])}
     weight = [1.0] * len(left)
@@ -302,11 +302,12 @@ def _platt(values: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.1)), float(w[1])
 
 
-def fit(texts: list[set[str]], toxic: list[bool]) -> Model:
+def fit(texts: Iterable[set[str]], toxic: list[bool]) -> Model:
     """A model of labelled texts, each the set that tokens() gives. Without toxic or without clean ones it scores 0."""
     none = Model(None, 0.0, 1.0, 0.0, [])
-    # Equal words of the documents are one object.
-    bags = [{sys.intern(p) for t in x if (w := letters(t)) for p in pieces(w)} for x in texts]
+    # Equal words of the documents are one object, and a bag is no larger than its list.
+    words_of: dict[str, str] = {}
+    bags = [tuple(sorted({words_of.setdefault(p, p) for t in x if (w := letters(t)) for p in pieces(w)})) for x in texts]
     part = [k % 4 == 3 for k in range(len(bags))]
     use = [k for k in range(len(bags)) if not part[k]]
     worst = _explaining([bags[k] for k in use], [toxic[k] for k in use])
@@ -336,7 +337,7 @@ def fit(texts: list[set[str]], toxic: list[bool]) -> Model:
         new = [w for w in words if w not in kept]
         if new:
             kept.update(zip(new, landmark_kernel(new, landmarks) @ whiten))
-        return np.stack([kept[w] for w in words])
+        return np.stack([kept[w] for w in words]).astype(np.float32)
 
     def train(positive: Counter, negative: list[str]) -> Model:
         forms = {w: [with_insertion(w, rng, k) for k in range(1, len(w)) for _ in range(2)] or [w] for w in positive}
@@ -350,7 +351,7 @@ def fit(texts: list[set[str]], toxic: list[bool]) -> Model:
             table[codes] += weight * weights
         return Model(table.astype(np.float32), float(w[-1]), 1.0, 0.0, landmarks)
 
-    explained = Counter(w for k in use if toxic[k] for w in worst if w in bags[k])
+    explained = Counter(w for k in use if toxic[k] for w in set(bags[k]).intersection(worst))
     out = train(explained, negative)
     for turn in range(ROUNDS - 1):
         if rest:
@@ -362,15 +363,15 @@ def fit(texts: list[set[str]], toxic: list[bool]) -> Model:
             rest = [w for i, w in enumerate(rest) if i not in hard]
         scorer = Scorer(out, most=sys.maxsize)  # the sample is bounded
         bad = [bags[k] for k in use if toxic[k] and bags[k]]
-        scorer.values(bad)
-        best = [max(sorted(bag), key=scorer.known.__getitem__) for bag in bad]
+        scorer.values([set(bag) for bag in bad])
+        best = [max(bag, key=scorer.known.__getitem__) for bag in bad]
         found = Counter(w for w in best if scorer.known[w] > 0)
         out = train(explained | found, negative)
     held = [k for k in range(len(bags)) if part[k]]
     scorer = Scorer(out, most=sys.maxsize)
-    best = scorer.values([bags[k] for k in held])
+    best = scorer.values([set(bags[k]) for k in held])
     # The same documents with a letter inserted in every word that looks toxic.
-    forms = [{with_insertion(w, rng) if scorer.known[w] > 0 else w for w in sorted(bags[k])} for k in held]
+    forms = [{with_insertion(w, rng) if scorer.known[w] > 0 else w for w in bags[k]} for k in held]
     best = np.concatenate([best, scorer.values(forms)])
     truth = np.array([toxic[k] for k in held] * 2, dtype=bool)
     if truth.any() and not truth.all():
@@ -402,7 +403,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     # Of an id that repeats, one row, so that the bound holds.
     rows = texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("words").alias("words")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return fit([set(r["words"].split()) for r in rows], [r["toxic"] for r in rows])
+    return fit((set(r["words"].split()) for r in rows), [r["toxic"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
