@@ -240,7 +240,15 @@ def _explaining(bags: list[tuple[str, ...]], toxic: list[bool]) -> list[str]:
     clean = Counter(w for bag, bad in zip(bags, toxic) if not bad for w in bag)
     left = [set(bag) for bag, bad in zip(bags, toxic) if bad]
     count = Counter(w for bag in left for w in bag)
-    open_count = {w: float(n) for w, n in count.items() if n >= LEAST_DOCUMENTS and n >= LEAST_PURITY * (n + clean[w])}
+    share = len(left) / max(1, len(bags))
+    # Of so many words some are in toxic documents by chance: the likelihood ratio has to make up for their number.
+    chance = np.log(len(count) + 1) + 3
+
+    def gain(n: int, c: int) -> float:
+        return n * np.log(n / (n + c) / share) + (c * np.log(c / (n + c) / (1 - share)) if c else 0.0)
+
+    pure = {w: n for w, n in count.items() if n >= LEAST_DOCUMENTS and n >= LEAST_PURITY * (n + clean[w])}
+    open_count = {w: float(n) for w, n in pure.items() if gain(n, clean[w]) >= chance}
     weight = [1.0] * len(left)
     out: list[str] = []
     worth = lambda w: open_count[w] * count[w] / (count[w] + 5 * clean[w])
@@ -351,7 +359,8 @@ def fit(texts: Iterable[set[str]], toxic: list[bool]) -> Model:
             table[codes] += weight * weights
         return Model(table.astype(np.float32), float(w[-1]), 1.0, 0.0, landmarks)
 
-    explained = Counter(w for k in use if toxic[k] for w in set(bags[k]).intersection(worst))
+    # In a fixed order, so that a model does not depend on how Python's sets are ordered.
+    explained = Counter(w for k in use if toxic[k] for own in [set(bags[k])] for w in worst if w in own)
     out = train(explained, negative)
     for turn in range(ROUNDS - 1):
         if rest:
