@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternflow.llm import chat_format, decontamination, embedding_dedup, exact_dedup, html_extract, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
+from lanternflow.llm import chat_format, decontamination, embedding_dedup, exact_dedup, html_extract, ngram_join, packing, prefix_trie, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_embedding_near_dedup": op11_embedding_near_dedup,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
@@ -87,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_formatting": chat_format.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
         "op11_embedding_near_dedup": embedding_dedup.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
     }
