@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternflow.llm import chat_format, decontamination, embedding_dedup, exact_dedup, html_extract, ngram_join, packing, prefix_trie, suffix_dedup, toxicity, url_filter, warc
+from lanternflow.llm import chat_format, decontamination, embedding_dedup, exact_dedup, html_extract, ngram_join, packing, prefix_trie, structure_repair, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_embedding_near_dedup": op11_embedding_near_dedup,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_structure_repair": op13_structure_repair,
     }
 
 
@@ -93,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_exact_dedup": exact_dedup.ORACLE,
         "op11_embedding_near_dedup": embedding_dedup.ORACLE,
         "op12_prefix_trie": prefix_trie.ORACLE,
+        "op13_structure_repair": structure_repair.ORACLE,
     }
