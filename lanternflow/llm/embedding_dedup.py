@@ -108,8 +108,9 @@ def _sign(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBat
 class _Found:
     """Links of a block: how many each node has, and which nodes they join."""
 
-    def __init__(self, table: pa.Table, k: int):
-        self.k = k
+    def __init__(self, table: pa.Table, window: int):
+        self.k = table.column("pass")[0].as_py()
+        self.window = window
         self.node = table.column("node").to_numpy()
         self.copies = table.column("copies").to_numpy()
         self.ranks, self.runs = (table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, PASSES) for c in ("ranks", "runs"))
@@ -125,7 +126,7 @@ class _Found:
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         """Linked pairs of this pass; those that an earlier pass compared have been counted there."""
         for q in range(self.k):
-            known = np.abs(self.ranks[i, q] - self.ranks[j, q]) <= WINDOW
+            known = np.abs(self.ranks[i, q] - self.ranks[j, q]) <= self.window
             known |= (self.runs[i, q] >= 0) & (self.runs[i, q] == self.runs[j, q])
             i, j = i[~known], j[~known]
         np.add.at(self.n, i, self.copies[j])
@@ -158,29 +159,27 @@ def _segments(vectors: list[bytes]) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
 
-def _window(table: pa.Table, kind: str) -> pa.Table:
-    """The links of a block's nodes with the WINDOW nodes after each; nodes with halo belong to the next block."""
-    k = table.column("pass")[0].as_py()
+def _window(table: pa.Table, kind: str, window: int) -> pa.Table:
+    """The links of a block's nodes with those of the window after each; nodes with halo belong to the next block."""
     table = table.sort_by("rank")
-    found = _Found(table, k)
+    found = _Found(table, window)
     home = ~table.column("halo").to_numpy()
     vectors = table.column("vec").to_pylist()
     for a, b in _segments(vectors):
         x = unit(vectors[a:b], kind)
-        for at in range(0, b - a, WINDOW):
-            near = x[at : at + WINDOW] @ x[at : at + 2 * WINDOW].T
+        for at in range(0, b - a, window):
+            near = x[at : at + window] @ x[at : at + 2 * window].T
             i, j = np.nonzero(near >= THRESHOLD)
-            good = (j > i) & (j - i <= WINDOW) & home[a + at + i]
+            good = (j > i) & (j - i <= window) & home[a + at + i]
             if good.any():
                 found.add(a + at + i[good], a + at + j[good])
     return found.table()
 
 
-def _tile(table: pa.Table, kind: str) -> pa.Table:
+def _tile(table: pa.Table, kind: str, window: int) -> pa.Table:
     """The links of two parts of a run that are farther apart than a window."""
-    k = table.column("pass")[0].as_py()
     table = table.sort_by("rank")
-    found = _Found(table, k)
+    found = _Found(table, window)
     rank, side = table.column("rank").to_numpy(), table.column("side").to_numpy()
     x = unit(table.column("vec").to_pylist(), kind)
     one = table.column("one")[0].as_py()
@@ -190,15 +189,15 @@ def _tile(table: pa.Table, kind: str) -> pa.Table:
         own = home[at : at + 256]
         i, j = np.nonzero(x[own] @ x[visit].T >= THRESHOLD)
         i, j = own[i], visit[j]
-        good = rank[j] - rank[i] > WINDOW
+        good = rank[j] - rank[i] > window
         found.add(i[good], j[good])
     return found.table()
 
 
-def _ranked(keys: DataFrame, n_nodes: int) -> DataFrame:
+def _ranked(keys: DataFrame, n_nodes: int, window: int) -> DataFrame:
     """node, pass, rank (place in the pass' order) and run (rank of the first node of a run longer than a window; else -1) of node, dim and keys."""
     spark = keys.sparkSession
-    depth = min(HASHES, max(1, math.ceil(math.log(max(2, n_nodes / WINDOW)) / math.log(2 * _DIRECTIONS))))
+    depth = min(HASHES, max(1, math.ceil(math.log(max(2, n_nodes / window)) / math.log(2 * _DIRECTIONS))))
     order = ["pass", "dim", "key", "node"]
     rows = keys.select("node", "dim", F.posexplode("keys").alias("pass", "key"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_nodes * PASSES // 1_000_000)
@@ -213,13 +212,13 @@ def _ranked(keys: DataFrame, n_nodes: int) -> DataFrame:
     moved = F.broadcast(spark.createDataFrame(offsets or [(0, 0, 0)], "pass int, part int, move long"))
     cell = F.concat_ws("/", "pass", "dim", F.shiftright("key", _BITS * (HASHES - depth)))
     ranked = materialise(rows.join(moved, ["pass", "part"]).select("node", "pass", (F.col("place") + F.col("move")).alias("rank"), cell.alias("cell")), "ranked")
-    long_runs = ranked.groupBy("cell").agg(F.count("*").alias("c"), F.min("rank").alias("run")).filter(F.col("c") > WINDOW + 1)
+    long_runs = ranked.groupBy("cell").agg(F.count("*").alias("c"), F.min("rank").alias("run")).filter(F.col("c") > window + 1)
     out = hot_join(ranked, materialise(long_runs, "runs"), "cell", "c", "left")
     return out.select("node", "pass", "rank", F.coalesce("run", F.lit(-1)).alias("run"), F.coalesce("c", F.lit(0)).alias("c"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of vectors.
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", window: int = WINDOW, block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of vectors. block_rows is not under window.
 
     A vector that is null, empty, zero, or holds a null or a number that is not finite links with nothing, and so do vectors of
     different lengths with each other; such a row's class is itself. Each row is a vector of its own, also if its id repeats:
@@ -237,26 +236,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_nodes = sets.count()
 
     keys = sets.select("node", "vec").mapInArrow(lambda b: _sign(b, kind), "node long, dim long, keys array<long>")
-    ranked = materialise(_ranked(keys, n_nodes), "ranks")
+    ranked = materialise(_ranked(keys, n_nodes, window), "ranks")
     per = F.array_sort(F.collect_list(F.struct("pass", "rank", "run", "c")))
     places = ranked.groupBy("node").agg(per.alias("at"))  # PASSES entries each
     placed = sets.select("node", "copies", "vec").join(places, "node")
     placed = materialise(placed.select("node", "copies", "vec", "at", F.col("at.rank").alias("ranks"), F.col("at.run").alias("runs")), "placed")
     every = placed.select("node", "copies", "vec", "ranks", "runs", F.explode("at").alias("p"))
 
-    block = F.expr(f"p.rank div {BLOCK_ROWS}")
-    both = F.when((F.col("p.rank") % BLOCK_ROWS < WINDOW) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    block = F.expr(f"p.rank div {block_rows}")
+    both = F.when((F.col("p.rank") % block_rows < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
     blocks = every.select("node", "copies", "vec", "ranks", "runs", F.col("p.pass").alias("pass"), F.col("p.rank").alias("rank"), block.alias("own"), F.explode(both).alias("block"))
     blocks = blocks.withColumn("halo", F.col("own") != F.col("block")).drop("own")
     out = "node long, n long, root long"
-    near = blocks.groupBy("pass", "block").applyInArrow(lambda t: _window(t, kind), out)
+    near = blocks.groupBy("pass", "block").applyInArrow(lambda t: _window(t, kind, window), out)
 
-    part = F.expr(f"(p.rank - p.run) div {TILE_ROWS}")
-    last = F.expr(f"(p.c - 1) div {TILE_ROWS}")
+    part = F.expr(f"(p.rank - p.run) div {tile_rows}")
+    last = F.expr(f"(p.c - 1) div {tile_rows}")
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda o: F.struct(F.least(o, part).alias("one"), F.greatest(o, part).alias("two")))
     tiled = every.filter("p.run >= 0").select("node", "copies", "vec", "ranks", "runs", F.col("p.pass").alias("pass"), F.col("p.rank").alias("rank"), F.col("p.run").alias("run"), part.alias("side"), F.explode(tiles).alias("t"))
     tiled = tiled.select("node", "copies", "vec", "ranks", "runs", "pass", "rank", "run", "side", "t.one", "t.two")
-    near = near.unionByName(tiled.groupBy("pass", "run", "one", "two").applyInArrow(lambda t: _tile(t, kind), out))
+    near = near.unionByName(tiled.groupBy("pass", "run", "one", "two").applyInArrow(lambda t: _tile(t, kind, window), out))
 
     near = materialise(near, "links")
     classes = components(near.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
