@@ -1,24 +1,34 @@
 """HTML and Markdown as Column expressions: main content, breadcrumbs, links, sections, extracts and chunks.
 
-Texts are folded piece by piece with aggregate, so all of it stays in the JVM. The fold's sequence is bounded
-by the text's length over the least that a cut takes.
+Texts are folded piece by piece with aggregate, so all of it stays in the JVM.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lanternflow.functions.text import strip
+from lanternflow.functions.text import SPACES, strip
 
-#: Entities that are decoded, & last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&")]
+#: Names of character references, with the semicolon, and what they stand for.
+_NAMED = json.dumps({name: value for name, value in html5.items() if name.endswith(";")}).replace("'", "\\u0027")
 
 
 def decode_entities(c: Column) -> Column:
-    for name, value in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
+    """Character references as what they stand for, decoded once: decimal and hexadecimal ones, and names that end with a semicolon."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)&#[0-9]{1,12};|&#[xX][0-9a-fA-F]{1,9};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), F.lit(0))
+    body = lambda x, n: F.substring(x, F.lit(n), F.length(x) - n)
+    code = lambda x: F.when(F.substring(x, 3, 1).isin("x", "X"), F.conv(body(x, 4), 16, 10)).otherwise(body(x, 3)).cast("long")
+    # Zero, half surrogates and what is beyond Unicode become U+FFFD.
+    valid = lambda n: F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), n).otherwise(F.lit(0xFFFD))
+    number = lambda x: F.decode(F.unhex(F.lpad(F.hex(valid(code(x))), 8, "0")), "UTF-32")
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    one = lambda x: F.when(x.startswith("&#"), number(x)).when(x.startswith("&") & (F.length(x) > 1), F.coalesce(F.try_element_at(named, F.substring(x, F.lit(2), F.length(x))), x)).otherwise(x)
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
 def container(html: Column, tag: str = "article") -> Column:
@@ -41,7 +51,7 @@ def to_markdown(html: Column) -> Column:
     ]
     for pattern, value in steps:
         html = F.regexp_replace(html, pattern, value)
-    html = decode_entities(html)
+    html = F.replace(decode_entities(html), F.lit("\u00a0"), F.lit(" "))
     for pattern, value in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
         html = F.regexp_replace(html, pattern, value)
     return html
@@ -58,9 +68,27 @@ def breadcrumb_context(html: Column, tag: str = "nav", split_text: bool = False)
     return F.when(F.size(items) > 0, F.concat(F.lit("Context: "), F.array_join(items, " > "), F.lit("\n\n"))).otherwise(F.lit(""))
 
 
+#: A tag, whose quoted values may hold >.
+_TAG_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>"
+#: Comments, texts that hold no tags, and the tags of links.
+_LINKS = rf"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b[^>]*+>.*?(?:</\1\s*>|\z)|<a(?=[\s/]){_TAG_REST}"
+#: An attribute: its name, and its value in double, single or no quotes.
+_ATTRIBUTE = r"(?s)([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The decoded value of a tag's first attribute of this name, in any case and quoting; null without one."""
+    rest = F.regexp_replace(tag, r"\A<[^\s/>]+", "")
+    part = lambda k: F.regexp_extract_all(rest, F.lit(_ATTRIBUTE), F.lit(k))
+    all_parts = F.arrays_zip(part(1).alias("name"), part(2).alias("a"), part(3).alias("b"), part(4).alias("c"))
+    own = F.filter(all_parts, lambda x: F.lower(x["name"]) == name)
+    return _let(F.get(own, F.lit(0)), lambda x: decode_entities(F.concat(x["a"], x["b"], x["c"])))
+
+
 def hrefs(html: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?s)<a [^>]*href=\"([^\"]*)\""), F.lit(1))
-    return F.transform(found, decode_entities)
+    """The targets of a page's links, in any case and quoting; none from comments, scripts and other texts that hold no tags."""
+    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_LINKS), F.lit(0)), lambda t: F.lower(F.substring(t, 1, 2)) == "<a")
+    return F.filter(F.transform(tags, lambda t: attribute(t, "href")), lambda x: x.isNotNull())
 
 
 def split_headings(markdown: Column) -> Column:
@@ -92,24 +120,53 @@ def pack_sections(pieces: Column, min_len: int = 100, max_len: int = 1000) -> Co
     return F.aggregate(pieces, texts, add)
 
 
-def _cut(text: Column, limit: int, least: float, place) -> Column:
-    """Parts of a text: while more than limit is left, what place(window) says is cut off; parts are stripped, and none is empty."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), text.alias("rest"))
-    rounds = F.sequence(F.lit(1), (F.ceil(F.length(text) / (least * limit)) + 1).cast("int"))
+#: Characters of a piece of a long text that is cut at once.
+PIECE_CHARS = 4096
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cut(text: Column, limit: int, least: float, place: Callable[[Column], Column]) -> Column:
+    """Parts of a text: while more than limit is left, what place(window) says is cut off; parts are stripped, and none is empty.
+
+    place() sees the first limit characters of what is left, and cuts off at least least * limit of them. So only
+    a short rest is carried from one piece of a long text to the next: the work grows with the text, not with its square.
+    """
+    none = F.array().cast("array<string>")
     push = lambda out, x: F.when(x != "", F.array_append(out, x)).otherwise(out)
 
-    def step(s: Column, _: Column) -> Column:
-        at = place(F.substring(s["rest"], 1, limit))
-        more = F.length(s["rest"]) > limit
-        part, rest = strip(F.substring(s["rest"], F.lit(1), at)), strip(F.substring(s["rest"], at + 1, F.length(s["rest"])))
-        return F.when(more, F.struct(push(s["done"], part).alias("done"), rest.alias("rest"))).otherwise(s)
+    def off(s: Column) -> Column:
+        """The state after one cut."""
+        rest = s["rest"]
+        tail = lambda at: F.ltrim(F.substring(rest, at + 1, F.length(rest)), F.lit(SPACES))
+        return _let(place(F.substring(rest, 1, limit)), lambda at: F.struct(push(s["done"], strip(F.substring(rest, F.lit(1), at))).alias("done"), tail(at).alias("rest")))
+
+    def cuts(rest: Column) -> Column:
+        """What is cut off a rest while it is longer than limit."""
+        rounds = F.sequence(F.lit(1), (F.ceil(F.length(rest) / (least * limit)) + 1).cast("int"))
+        start = F.struct(none.alias("done"), rest.alias("rest"))
+        return F.aggregate(rounds, start, lambda s, _: F.when(F.length(s["rest"]) > limit, off(s)).otherwise(s))
+
+    # White space at the end counts for the first cut alone; after it, what is left is stripped.
+    first = F.struct(none.alias("done"), text.alias("rest"))
+    first = F.when(F.length(text) > limit, _let(first, off)).otherwise(first)
+
+    def whole(s: Column) -> Column:
+        pieces = F.regexp_extract_all(F.rtrim(s["rest"], F.lit(SPACES)), F.lit(f"(?s).{{1,{max(PIECE_CHARS, limit)}}}"), F.lit(0))
+        begin = F.struct(F.array(s["done"]).alias("done"), F.lit("").alias("rest"))
+        step = lambda t, piece: _let(cuts(F.ltrim(F.concat(t["rest"], piece), F.lit(SPACES))), lambda c: F.struct(F.array_append(t["done"], c["done"]).alias("done"), c["rest"].alias("rest")))
+        return F.aggregate(pieces, begin, step, lambda t: push(F.flatten(t["done"]), t["rest"]))
 
-    return F.aggregate(rounds, start, step, lambda s: push(s["done"], s["rest"]))
+    # A text that was not cut is left as it is.
+    return F.when(F.length(text) > limit, _let(first, whole)).otherwise(push(none, text))
 
 
 def _last_blank_line(window: Column) -> Column:
-    """Characters before the last blank line of a window, -1 without one."""
-    return F.when(window.contains("\n\n"), F.length(F.regexp_extract(window, r"(?s)\A(.*)\n\n", 1))).otherwise(F.lit(-1))
+    """Characters before the last blank line of a window, negative without one."""
+    return F.length(window) - F.length(F.substring_index(window, "\n\n", -1)) - 2
 
 
 def extract_windows(text: Column, prefix: Column, limit: int = 100_000) -> Column:
@@ -117,7 +174,7 @@ def extract_windows(text: Column, prefix: Column, limit: int = 100_000) -> Colum
 
     def place(window: Column) -> Column:
         blank = _last_blank_line(window)
-        return F.when(blank > limit * 0.5, blank + 2).otherwise(F.lit(limit)).cast("int")
+        return _let(blank, lambda n: F.when(n > limit * 0.5, n + 2).otherwise(F.lit(limit))).cast("int")
 
     return F.transform(_cut(F.coalesce(text, F.lit("")), limit, 0.5, place), lambda x: F.concat(F.coalesce(prefix, F.lit("")), x))
 
@@ -136,11 +193,12 @@ def chunk_extract(text: Column, limit: int = 1000) -> Column:
 
     def place(window: Column) -> Column:
         seen = F.substring(window, skipped + 1, limit) if skipped else window
-        heading = seen.rlike(r"(?md)^#{1,6}\s")
-        at = F.length(F.regexp_extract(seen, r"(?smd)\A(.*)^#{1,6}\s", 1)) + skipped
+        # What stands before the last heading, in front of a mark; empty without a heading.
+        found = F.when(seen.contains("#"), F.regexp_extract(F.concat(F.lit("."), seen), r"(?sd)\A(\..*(?<=^\.|\n))#{1,6}\s", 1)).otherwise(F.lit(""))
         blank = _last_blank_line(window)
-        cut = F.when(heading, F.when(at > limit * 0.3, at)).otherwise(F.when(blank > limit * 0.5, blank + 2))
-        return F.coalesce(cut, F.lit(limit)).cast("int")
+        with_heading = lambda n: F.when(n + skipped > limit * 0.3, n + skipped).otherwise(F.lit(limit))
+        without = F.when(blank > limit * 0.5, blank + 2).otherwise(F.lit(limit))
+        return _let(F.length(found), lambda n: F.when(n > 0, with_heading(n - 1)).otherwise(without)).cast("int")
 
     chunks = F.transform(_cut(body, limit, 0.3, place), lambda x: F.concat(prefix, x))
     return F.filter(chunks, lambda x: strip(x) != "")

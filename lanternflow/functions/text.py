@@ -13,9 +13,13 @@ SYNONYMS = [["myway", "prepay", "prepaid"]]
 GLOSSARY = ["Glossary: 'Prepay' and 'MyWay' refer to the same program; treat them as identical terms."]
 
 
+#: White space of any kind, as Unicode has it.
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:

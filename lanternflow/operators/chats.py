@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import text as T
+from lanternflow.operators.tables import last_of
 from lanternflow.sources.scratch import materialise
 
 
@@ -56,10 +57,10 @@ def derived_titles(chats: DataFrame, messages: DataFrame) -> DataFrame:
     return chats.join(first, "id", "left").withColumn("title", F.when(old.isin("", "New chat"), F.coalesce("said", "title")).otherwise(F.col("title"))).drop("said")
 
 
-def rename(chats: DataFrame, changes: DataFrame) -> DataFrame:
-    """New titles (id, user_id, new_title) by the owner; blank ones are refused."""
-    new = T.clean_title(F.col("new_title"))
-    good = changes.select("id", "user_id", new.alias("new_title")).filter("new_title != ''")
+def rename(chats: DataFrame, changes: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """New titles (id, user_id, new_title) by the owner; blank ones are refused. Of several of a chat the last by the order columns counts."""
+    good = changes.withColumn("new_title", T.clean_title(F.col("new_title"))).filter("new_title != ''")
+    good = last_of(good, ["id", "user_id"], order).select("id", "user_id", "new_title")
     return chats.join(good, ["id", "user_id"], "left").withColumn("title", F.coalesce("new_title", "title")).drop("new_title")
 
 

@@ -11,6 +11,7 @@ from lanternflow.functions import urls as U
 from lanternflow.operators import ingest as I
 from lanternflow.operators import parsing as P
 from lanternflow.operators import tables as B
+from lanternflow.sources.scratch import scratch_path
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -25,6 +26,13 @@ def _links(spark, d):
     return I.internal_links(_t(spark, d, "pages"), _root(F.col("url")))
 
 
+def _with_links(spark, d):
+    """The pages, each with links in single and no quotes, in capitals, and in a comment and a script."""
+    n = F.col("page_id").cast("string")
+    more = F.concat(F.lit("<A CLASS=x HREF='/s"), n, F.lit("?a=1&amp;b=2'>s</A><a href=/u"), n, F.lit('>u</a><!-- <a href="/c">c</a> --><script>"<a href=\'/j\'>"</script><a title=" href=\'/t\'>" href = "./d#'), n, F.lit('">d</a>'))
+    return _t(spark, d, "pages").withColumn("html", F.concat("html", more))
+
+
 def _old(spark, d):
     """Captures before the scrape: two thirds of the pages."""
     stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -60,7 +68,7 @@ def link_kind(spark, d):
 
 
 def internal_links(spark, d):
-    return _links(spark, d)
+    return I.internal_links(_with_links(spark, d), _root(F.col("url")))
 
 
 def html_to_markdown(spark, d):
@@ -192,15 +200,23 @@ def unique_violations(spark, d):
 
 
 def upsert_by_key(spark, d):
-    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"))
-    new = orders.filter("o_orderkey % 4 = 0").select((F.col("o_orderkey") * 2).alias("o_orderkey"), F.lit("U").alias("o_orderstatus"), "price")
-    return B.upsert(orders, new, ["o_orderkey"])
+    """A stored table that takes the orders, and then changes: three of each key they concern, of which the one of the greatest number wins."""
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"))
+    changed = orders.filter("o_orderkey % 4 = 0").select((F.col("o_orderkey") * 2).alias("o_orderkey"), "price", F.explode(F.array(*map(F.lit, (2, 3, 1)))).alias("nth"))
+    new = changed.select("o_orderkey", F.concat(F.lit("U"), F.col("nth").cast("string")).alias("o_orderstatus"), (F.col("price") + F.col("nth")).alias("price"), "nth")
+    table = B.KeyedTable(spark, scratch_path(spark, "orders"), "o_orderkey bigint, o_orderstatus string, price double", ["o_orderkey"], 8)
+    table.upsert(orders)
+    table.upsert(new, ["nth"])
+    return table.read().withColumn("price", F.round("price", 2))
 
 
 def partial_update(spark, d):
+    """Two changes of every third customer: the later one supplies a name to even ones alone, the earlier one names all and a segment."""
     old = _t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    new = _t(spark, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("*"))).alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"))
-    return B.partial_update(old, new, ["c_custkey"])
+    some = _t(spark, d, "customer").filter("c_custkey % 3 = 0")
+    early = some.select("c_custkey", F.concat("c_name", F.lit("-")).alias("c_name"), F.lit("early").alias("c_mktsegment"), F.lit(1).alias("nth"))
+    late = some.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("*"))).alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"), F.lit(2).alias("nth"))
+    return B.partial_update(old, late.union(early), ["c_custkey"], ["nth"])
 
 
 def cascade_delete(spark, d):
@@ -258,7 +274,7 @@ ORACLES = {
     "content_hash": "SELECT page_id, md5(html) AS content_hash FROM pages",
     "url_host": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages",
     "link_kind": "SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 5 = 0 THEN 'pdf' ELSE 'html' END AS kind FROM pages",
-    "internal_links": r"WITH r AS (SELECT url AS src, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT DISTINCT src, root || replace(href, '&amp;', '&') AS url FROM r WHERE href LIKE '/%'",
+    "internal_links": r"WITH r AS (SELECT url AS src, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT DISTINCT src, root || replace(href, '&amp;', '&') AS url FROM r WHERE href LIKE '/%' UNION SELECT url, unnest([regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/s' || page_id || '?a=1&b=2', regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/u' || page_id, regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || 'd#' || page_id]) FROM pages",
     "html_to_markdown": r"""
 WITH a AS (SELECT page_id, nullif(regexp_extract(html, '(?s)<article(?: [^>]*)?>(.*?)</article>', 1), '') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '\s*\n\s*', ' ', 'g') AS t FROM a),
@@ -300,8 +316,8 @@ WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (
 )
 SELECT lpad(node::VARCHAR, 8, '0') AS node, CAST(depth AS BIGINT) AS depth FROM (SELECT node, min(depth) AS depth FROM walk GROUP BY node) ORDER BY depth, node LIMIT 100""",
     "unique_violations": "SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root_url, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1",
-    "upsert_by_key": "WITH n AS (SELECT o_orderkey * 2 AS o_orderkey, 'U' AS o_orderstatus, o_totalprice AS price FROM orders WHERE o_orderkey % 4 = 0) SELECT o_orderkey, o_orderstatus, o_totalprice AS price FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n",
-    "partial_update": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN c_name || '*' ELSE c_name END AS c_name, c_mktsegment FROM customer",
+    "upsert_by_key": "WITH n AS (SELECT o_orderkey * 2 AS o_orderkey, 'U3' AS o_orderstatus, round(CAST(o_totalprice AS DOUBLE) + 3, 2) AS price FROM orders WHERE o_orderkey % 4 = 0) SELECT o_orderkey, o_orderstatus, round(CAST(o_totalprice AS DOUBLE), 2) AS price FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n",
+    "partial_update": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN c_name || '*' WHEN c_custkey % 3 = 0 THEN c_name || '-' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 = 0 THEN 'early' ELSE c_mktsegment END AS c_mktsegment FROM customer",
     "cascade_delete": "SELECT 'parent' AS level, c_custkey::VARCHAR AS id FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'child', o_orderkey::VARCHAR FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT 'grandchild', l_orderkey || '/' || l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 3 = 0)",
     "add_missing_columns": "SELECT *, CAST(NULL AS VARCHAR) AS n_comment, CAST(NULL AS BIGINT) AS n_rank FROM nation",
 }
