@@ -6,17 +6,17 @@ query_id and vector (several for a query with variants).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import text as T
+from lanternflow.operators.lexical import Index, postings, term_stats
+from lanternflow.operators.ranking import top_k
+from lanternflow.operators.vectors import VectorIndex
 from lanternflow.sources.scratch import materialise
 
+__all__ = ["Index", "VectorIndex", "postings", "term_stats", "top_k"]
+
 #: Queries (or their vectors) of one pass over the corpus; more of them take more passes.
 QUERY_BLOCK = 4096
 
@@ -26,49 +26,12 @@ def corpus(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     return chunks.join(embeddings, "chunk_id")
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, doc_len."""
-    tokens = rows.select("chunk_id", T.tokenize(F.col("text")).alias("tokens"))
-    every = tokens.select("chunk_id", F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
-    return every.groupBy("chunk_id", "term", "doc_len").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "doc_len")
-
-
-class Index:
-    """A lexical index that is built once and read by many searches: postings (written, sorted by term) and the corpus' numbers.
-
-    Terms of a search select postings while they are read, so the corpus is not tokenised again.
-    """
-
-    def __init__(self, rows: DataFrame, path: str | None = None):
-        """rows: chunk_id and text. path: where the postings go; a new path in the scratch folder if not given."""
-        posts = postings(rows).sortWithinPartitions("term")
-        if path:
-            posts.write.parquet(path)
-            posts = rows.sparkSession.read.parquet(path)
-        else:
-            posts = materialise(posts, "postings")
-        self.postings = posts
-        self.n_docs = rows.count()
-        total = posts.agg(F.sum("tf")).first()[0] or 0
-        self.avg_len = total / self.n_docs if total else 1.0
-
-    def terms(self, wanted: DataFrame) -> DataFrame:
-        """term, df and idf of the wanted terms (term)."""
-        return term_stats(self.postings.join(wanted.select("term").distinct(), "term", "left_semi"), self.n_docs)
-
-
 def corpus_stats(rows: DataFrame) -> DataFrame:
     """One row: n_docs and avg_len (1 where it would be 0)."""
     avg = F.avg(F.size(T.tokenize(F.col("text"))))
     return rows.agg(F.count("*").alias("n_docs"), F.when(avg > 0, avg).otherwise(F.lit(1.0)).alias("avg_len"))
 
 
-def term_stats(posts: DataFrame, n_docs: int) -> DataFrame:
-    """term, df, idf."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", T.idf(F.lit(n_docs), F.col("df")))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term: distinct tokens of a query and of its variants."""
     variants = T.query_variants(F.col("text"))
@@ -90,142 +53,36 @@ def _scored(matches: DataFrame, index: Index) -> DataFrame:
 
 
 def bm25_of(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """query_id, chunk_id and bm25 of the pairs (query_id, chunk_id) that share a term."""
-    wanted = query_terms(queries)
-    terms = pairs.select("query_id", "chunk_id").join(wanted, "query_id").join(index.terms(wanted), "term")
-    return _scored(index.postings.join(terms, ["chunk_id", "term"]), index)
-
-
-class _Best:
-    """The k best chunks of each query so far; ties go to the smaller id."""
-
-    def __init__(self, k: int):
-        self.k, self.size = k, 0
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
-        self.parts.append((query, chunk, score))
-        self.size += len(query)
-        if self.size > 400_000:
-            self.parts = [self.best()]
-            self.size = len(self.parts[0][0])
-
-    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        query, chunk, score = (np.concatenate(c) for c in zip(*self.parts))
-        order = np.lexsort((chunk, -score, query))
-        query, chunk, score = query[order], chunk[order], score[order]
-        begin = np.searchsorted(query, query)
-        keep = np.arange(len(query)) - begin < self.k
-        return query[keep], chunk[keep], score[keep]
-
-
-def _bm25_best(terms: list[str], idf: np.ndarray, askers: list[np.ndarray], ids: np.ndarray, avg_len: float, k: int):
-    """Scores the postings of a task, whose chunks are whole and next to each other, and keeps k chunks a query."""
-    lookup = pd.Index(terms)
-    width = np.array([len(a) for a in askers])
-    flat = np.concatenate(askers)
-    begin = np.cumsum(width) - width
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(k)
-        held: pd.DataFrame | None = None
-
-        def score(f: pd.DataFrame) -> None:
-            if not len(f):
-                return
-            term = lookup.get_indexer(f["term"])
-            tf, length = f["tf"].to_numpy(float), f["doc_len"].to_numpy(float)
-            weight = idf[term] * tf * (T.BM25_K1 + 1) / (tf + T.BM25_K1 * (1 - T.BM25_B + T.BM25_B * length / avg_len))
-            chunks, own = np.unique(f["chunk_id"].to_numpy(), return_inverse=True)
-            n = width[term]
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pair = np.repeat(own, n) * len(ids) + flat[np.repeat(begin[term], n) + nth]
-            found, at = np.unique(pair, return_inverse=True)
-            best.add(ids[found % len(ids)], chunks[found // len(ids)], np.round(np.bincount(at, np.repeat(weight, n)), 6))
-
-        for f in frames:
-            f = pd.concat([held, f], ignore_index=True) if held is not None else f
-            last = f["chunk_id"].to_numpy() == f["chunk_id"].iloc[-1] if len(f) else np.zeros(0, bool)
-            score(f[~last])
-            held = f[last]
-        if held is not None:
-            score(held)
-        yield pd.DataFrame(dict(zip(("query_id", "chunk_id", "bm25"), best.best())))
-
-    return run
+    """query_id, chunk_id and bm25 of the written pairs (query_id, chunk_id) that share a term."""
+    return index.scores(index.weights(query_terms(queries)), pairs)
 
 
 def bm25_top_k(index: Index, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, chunk_id, bm25 and rank: the k best chunks of each query among those that share a term with it.
 
-    Queries are a stated set, taken in blocks of about `block`; their terms and weights go to all tasks. A task holds
-    whole chunks, scores them against all queries and keeps k of them a query, so a term that is in most chunks
-    and most queries makes no rows of its own.
+    Queries are a stated set, taken in blocks of about `block`; their terms and weights go to all tasks. A task holds a
+    bucket of chunks, and keeps k of them a query; blocks of postings that cannot lead to the k-th score are not read.
     """
-    spark = queries.sparkSession
-    schema = "query_id long, chunk_id long, bm25 double"
+    out = queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, bm25 double")
     n_blocks = max(1, -(-queries.count() // block))
-    out = spark.createDataFrame([], schema)
     for b in range(n_blocks if k > 0 else 0):
-        asked = query_terms(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b))
-        rows = asked.groupBy("term").agg(F.collect_set("query_id").alias("q")).join(index.terms(asked), "term").orderBy("term").collect()
-        if not rows:
-            continue
-        ids = np.array(sorted({q for r in rows for q in r["q"]}), dtype=np.int64)
-        askers = [np.searchsorted(ids, np.array(sorted(r["q"]))) for r in rows]
-        run = _bm25_best([r["term"] for r in rows], np.array([r["idf"] for r in rows]), askers, ids, float(index.avg_len), k)
-        known = F.broadcast(spark.createDataFrame([(r["term"],) for r in rows], "term string"))  # the terms of a block of queries
-        used = index.postings.join(known, "term", "left_semi").repartition("chunk_id").sortWithinPartitions("chunk_id")
-        out = out.union(used.select("chunk_id", "term", "tf", "doc_len").mapInPandas(run, schema))
+        asked = materialise(query_terms(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)), "asked")
+        out = out.union(index.top_k(asked, k))
     return top_k(out, "bm25", k)
 
 
-def top_k(scores: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:
-    """The k highest rows of each query, ties by chunk_id; none if k is not positive."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("chunk_id"))
-    return scores.withColumn(rank, F.row_number().over(w).cast("long")).filter(F.col(rank) <= k)
-
-
-def _nearest(vectors: np.ndarray, owners: np.ndarray, ids: np.ndarray, k: int):
-    """Keeps k chunks a query of a task's chunks. vectors: rows sorted by their query's number in ids, which owners holds."""
-    first = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                chunk = part.column(0).to_numpy(zero_copy_only=False)
-                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), -1).astype(np.float64)
-                scores = np.round(np.maximum.reduceat(vectors @ matrix.T, first, axis=0), 6)
-                least = np.partition(scores, -k, axis=1)[:, -k][:, None] if len(chunk) > k else -np.inf
-                q, c = np.nonzero(scores >= least)
-                best.add(ids[q], chunk[c], scores[q, c])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.best()], names=["query_id", "chunk_id", "vector_score"])
-
-    return run
-
-
-def vector_top_k(rows: DataFrame, query_vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_top_k(rows: DataFrame | VectorIndex, query_vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, chunk_id, vector_score and rank: the k nearest chunks of each query by dot product.
 
-    A query's score is the best of its vectors. Queries are a stated set, taken in blocks of about `block`
-    vectors; each task keeps k chunks a query, so k rows a query and task are shuffled. Chunks without a vector are passed over.
+    A query's score is the best of its vectors. rows without an index are indexed here. Chunks without a vector are passed over.
     """
-    spark = rows.sparkSession
-    schema = "query_id long, chunk_id long, vector_score double"
-    out = spark.createDataFrame([], schema)
-    source = rows.select(F.col("chunk_id").cast("long"), "embedding").filter("embedding is not null")
-    n_blocks = max(1, -(-query_vectors.count() // block)) if k > 0 else 0
-    for b in range(n_blocks):
-        part = query_vectors.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).orderBy("query_id").collect()
-        if part:
-            ids = np.array(sorted({r["query_id"] for r in part}), dtype=np.int64)
-            owners = np.searchsorted(ids, np.array([r["query_id"] for r in part]))
-            out = out.union(source.mapInArrow(_nearest(np.array([list(r["vector"]) for r in part], dtype=np.float64), owners, ids, k), schema))
-    return top_k(out, "vector_score", k)
+    index = rows if isinstance(rows, VectorIndex) else VectorIndex(rows)
+    return top_k(index.search(query_vectors, k, block), "vector_score", k)
+
+
+def with_text(ranked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ranked chunks with extract_id, url and text."""
+    return ranked.join(rows.select("chunk_id", "extract_id", "url", "text"), "chunk_id")
 
 
 def zero_filled(scores: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -238,13 +95,13 @@ def zero_filled(scores: DataFrame, rows: DataFrame, queries: DataFrame, k: int)
     return scores.unionByName(fill)
 
 
-def candidates(rows: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int, index: Index | None = None) -> DataFrame:
+def candidates(rows: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int, index: Index | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """query_id, chunk_id, vector_score, bm25, from_vector, from_bm25 of the union of both candidate sets.
 
-    Both scores of a candidate are its own, whichever side found it. index: of the rows; built here if not given.
+    Both scores of a candidate are its own, whichever side found it. index, vectors: of the rows; built here if not given.
     """
     index = index or Index(rows)
-    near = vector_top_k(rows, query_vectors, max(k, T.VECTOR_CANDIDATES)).select("query_id", "chunk_id", F.lit(True).alias("v"))
+    near = vector_top_k(vectors or rows, query_vectors, max(k, T.VECTOR_CANDIDATES)).select("query_id", "chunk_id", F.lit(True).alias("v"))
     wide = max(k, T.BM25_CANDIDATES)
     found = bm25_top_k(index, queries, wide).drop("rank")
     words = top_k(zero_filled(found, rows, queries, wide), "bm25", wide).select("query_id", "chunk_id", F.lit(True).alias("w"))
@@ -269,17 +126,20 @@ def fuse(found: DataFrame) -> DataFrame:
     return out.select("*", score.alias("score")).withColumn("vector_norm", F.round("vector_norm", 6)).withColumn("bm25_norm", F.round("bm25_norm", 6))
 
 
-def hybrid_search(rows: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 10, index: Index | None = None) -> DataFrame:
+def hybrid_search(rows: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 10, index: Index | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """The k best chunks of each query with the full explanation of their scores. An empty corpus gives no rows."""
     if k < 0:
         raise ValueError("k must not be negative")
-    best = top_k(fuse(candidates(rows, queries, query_vectors, k, index)), "score", k)
+    best = top_k(fuse(candidates(rows, queries, query_vectors, k, index, vectors)), "score", k)
     details = rows.select("chunk_id", "extract_id", "url", T.preview(F.col("text")).alias("chunk_preview"))
     return best.join(details, "chunk_id").select("query_id", "rank", "score", "chunk_id", "extract_id", "url", "from_vector", "from_bm25", "vector_score", "bm25", "vector_norm", "bm25_norm", "chunk_preview")
 
 
-def parent_extracts(scored: DataFrame, extracts: DataFrame, most: int | None = None) -> DataFrame:
-    """The extracts of ranked chunks, each once with its best chunk, in rank order. A cap of 0 still leaves one."""
+def parent_extracts(scored: DataFrame, extracts: DataFrame, most: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """The extracts of ranked chunks, each once with its best chunk, in rank order. A cap of 0 still leaves one.
+
+    max_chars: what follows so many characters of a text is cut off.
+    """
     own = Window.partitionBy("query_id", "extract_id").orderBy("rank")
     first = scored.withColumn("n", F.row_number().over(own)).filter("n = 1")
     position = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
@@ -287,6 +147,8 @@ def parent_extracts(scored: DataFrame, extracts: DataFrame, most: int | None = N
     if most is not None:
         first = first.filter(F.col("position") <= max(most, 1))
     text = extracts.select("extract_id", T.strip(F.coalesce("text", F.lit(""))).alias("text"))
+    if max_chars is not None:
+        text = text.withColumn("text", F.substring("text", 1, max_chars))
     return first.select("query_id", "position", "score", "chunk_id", "extract_id").join(text, "extract_id")
 
 

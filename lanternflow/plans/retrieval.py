@@ -6,6 +6,8 @@ texts are the questions, with the vector of the same number.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,17 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return R.corpus(_chunks(spark, d), _vectors(spark, d))
 
 
+@functools.lru_cache(maxsize=8)
+def _indexes(app: str, d: str) -> tuple[R.Index, R.VectorIndex]:
+    rows = _corpus(SparkSession.getActiveSession(), d)
+    return R.Index(rows), R.VectorIndex(rows)
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[R.Index, R.VectorIndex]:
+    """The corpus' stored indexes; all queries of a session share them."""
+    return _indexes(spark.sparkContext.applicationId, d)
+
+
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -49,7 +62,7 @@ def _variant_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return R.candidates(_corpus(spark, d), _queries(spark, d), _query_vectors(spark, d), K)
+    return R.candidates(_corpus(spark, d), _queries(spark, d), _query_vectors(spark, d), K, *_indexed(spark, d))
 
 
 def tokenize(spark, d):
@@ -81,19 +94,36 @@ def query_variants(spark, d):
 
 
 def bm25_scores(spark, d):
-    return R.bm25(_corpus(spark, d), _queries(spark, d))
+    return R.bm25(_indexed(spark, d)[0], _queries(spark, d))
 
 
 def topk_per_query(spark, d):
-    return R.bm25_top_k(R.Index(_corpus(spark, d)), _queries(spark, d), 5)
+    return R.bm25_top_k(_indexed(spark, d)[0], _queries(spark, d), 5)
+
+
+def index_refresh(spark, d):
+    """An index of half of the corpus, its texts in capitals and turned round for every fifth, that takes up the other half, loses every
+    eleventh chunk, gets the changed ones as they are now, and is compacted and opened again before a last chunk goes."""
+    rows = _corpus(spark, d).select("chunk_id", "text")
+    old = rows.withColumn("text", F.when(F.col("chunk_id") % 5 == 0, F.reverse(F.upper("text"))).otherwise(F.col("text")))
+    index = R.Index(old.filter("chunk_id % 2 = 0"))
+    index.add(old.filter("chunk_id % 2 = 1"))
+    index.delete(rows.filter("chunk_id % 11 = 3"))
+    index.replace(rows.filter("chunk_id % 5 = 0 AND chunk_id % 11 != 3"))
+    index.compact()
+    index = R.Index.open(spark, index.path)
+    index.delete(rows.filter("chunk_id = 0"))
+    return R.bm25_top_k(index, _queries(spark, d), 5)
 
 
 def vector_search(spark, d):
-    return R.vector_top_k(_corpus(spark, d), _query_vectors(spark, d), K)
+    rows = _corpus(spark, d)
+    best = R.vector_top_k(_indexed(spark, d)[1], _query_vectors(spark, d), K)
+    return R.with_text(best, rows).select("query_id", "chunk_id", "vector_score", "rank", F.md5("text").alias("text_md5"))
 
 
 def vector_variants(spark, d):
-    return R.vector_top_k(_corpus(spark, d), _variant_vectors(spark, d), K)
+    return R.vector_top_k(_indexed(spark, d)[1], _variant_vectors(spark, d), K)
 
 
 def candidate_union(spark, d):
@@ -110,16 +140,17 @@ def minmax_normalize(spark, d):
 
 
 def hybrid_search(spark, d):
-    return R.hybrid_search(_corpus(spark, d), _queries(spark, d), _query_vectors(spark, d), K)
+    return R.hybrid_search(_corpus(spark, d), _queries(spark, d), _query_vectors(spark, d), K, *_indexed(spark, d))
 
 
 def _extracts(spark, d):
-    """The first document of each three is the extract's text."""
-    return _chunks(spark, d).groupBy("extract_id").agg(F.min_by("text", "chunk_id").alias("text"))
+    """Three documents in a row, joined by blank lines, are an extract's text."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
+    return _chunks(spark, d).groupBy("extract_id").agg(F.array_join(parts.getField("text"), "\n\n").alias("text"))
 
 
 def provenance(spark, d):
-    best = R.vector_top_k(_corpus(spark, d), _query_vectors(spark, d), K)
+    best = R.vector_top_k(_indexed(spark, d)[1], _query_vectors(spark, d), K)
     return best.join(_chunks(spark, d).select("chunk_id", "extract_id", "url"), "chunk_id").select("query_id", "rank", "chunk_id", "extract_id", "url")
 
 
@@ -128,6 +159,13 @@ def parent_extracts(spark, d):
     return out.select("query_id", "position", "score", "chunk_id", "extract_id", F.md5("text").alias("text_md5"))
 
 
+def short_extracts(spark, d):
+    """Parent extracts of the vector search, 100 characters of each."""
+    best = R.vector_top_k(_indexed(spark, d)[1], _query_vectors(spark, d), K).withColumnRenamed("vector_score", "score")
+    scored = best.join(_chunks(spark, d).select("chunk_id", "extract_id"), "chunk_id")
+    return R.parent_extracts(scored, _extracts(spark, d), None, 100).select("query_id", "position", "score", "chunk_id", "extract_id", "text")
+
+
 def build_context(spark, d):
     parents = R.parent_extracts(hybrid_search(spark, d), _extracts(spark, d), 6)
     return R.build_context(parents, T.GLOSSARY).select("query_id", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("context_md5"))
@@ -203,7 +241,7 @@ WITH chunks AS (
 ), best AS (
   SELECT hybrid.*, extract_id, url, text FROM hybrid JOIN chunks USING (chunk_id) WHERE rank <= 10
 ), extracts AS (
-  SELECT extract_id, regexp_replace(arg_min(text, chunk_id), '^\s+|\s+$', '', 'g') AS text FROM chunks GROUP BY extract_id
+  SELECT extract_id, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY chunk_id), '^\s+|\s+$', '', 'g') AS text FROM chunks GROUP BY extract_id
 ), firsts AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, extract_id ORDER BY rank) AS n FROM best) WHERE n = 1
@@ -229,7 +267,8 @@ WITH q AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY w) - 1 AS n, 'how does ' || w || ' work for ' || s || '?' AS variant FROM v""",
     "bm25_scores": _BASE + "SELECT query_id, chunk_id, bm25 FROM bm",
     "topk_per_query": _BASE + "SELECT * FROM (SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5",
-    "vector_search": _BASE + _VECTOR,
+    "index_refresh": _BASE.replace("FROM chunks c JOIN embeddings e ON c.chunk_id = e.vec_id", "FROM chunks c JOIN embeddings e ON c.chunk_id = e.vec_id WHERE chunk_id % 11 <> 3 AND chunk_id <> 0") + "SELECT * FROM (SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5",
+    "vector_search": _BASE + "SELECT query_id, chunk_id, vector_score, vr AS rank, md5(text) AS text_md5 FROM ranked JOIN chunks USING (chunk_id) WHERE vr <= 10",
     "vector_variants": _BASE.replace(
         "SELECT query_id, CAST(embedding AS DOUBLE[]) AS qvec FROM qs JOIN embeddings ON query_id = vec_id",
         "SELECT query_id, CAST(embedding AS DOUBLE[]) AS qvec FROM qs JOIN embeddings ON vec_id IN (query_id, query_id + 150, query_id + 300)",
@@ -240,6 +279,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY w) - 1 AS n,
     "hybrid_search": _BASE + "SELECT query_id, rank, score, chunk_id, extract_id, url, from_vector, from_bm25, vector_score, bm25, vector_norm, bm25_norm, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 220) AS chunk_preview FROM best".replace("\\\\", "\\"),
     "provenance": _BASE + "SELECT query_id, vr AS rank, chunk_id, extract_id, url FROM ranked JOIN chunks USING (chunk_id) WHERE vr <= 10",
     "parent_extracts": _BASE + "SELECT query_id, position, score, chunk_id, extract_id, md5(text) AS text_md5 FROM parents",
+    "short_extracts": _BASE + "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY vr) AS position, vector_score AS score, chunk_id, extract_id, substr(text, 1, 100) AS text FROM (SELECT r.*, e.extract_id, e.text, row_number() OVER (PARTITION BY query_id, e.extract_id ORDER BY vr) AS n FROM ranked r JOIN chunks c USING (chunk_id) JOIN extracts e ON c.extract_id = e.extract_id WHERE vr <= 10) WHERE n = 1",
     "build_context": _BASE + f"SELECT query_id, length(c) AS n_chars, md5(c) AS context_md5 FROM (SELECT query_id, '[glossary]' || chr(10) || '{T.GLOSSARY[0].replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {_BLOCKS} AS c FROM parents GROUP BY query_id)",
     "source_links": _BASE + "SELECT query_id, score, chunk_id, extract_id, url, from_vector, from_bm25, vector_score, bm25, vector_norm, bm25_norm, position FROM firsts WHERE position <= 3",
     "rag_prompts": _BASE + f"SELECT query_id, c IS NOT NULL AS has_context, length(p) AS n_chars, md5(p) AS prompt_md5 FROM (SELECT query_id, c, 'Question: ' || text || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(c, '') AS p FROM qs LEFT JOIN (SELECT query_id, {_BLOCKS} AS c FROM parents GROUP BY query_id) USING (query_id))",
