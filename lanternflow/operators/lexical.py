@@ -65,7 +65,6 @@ class Segment:
     n_docs: int
     total_len: int
     avg_len: float
-    deepest: int = 0
     dead: list[str] = field(default_factory=list)
     dead_docs: int = 0
     dead_len: int = 0
@@ -97,7 +96,7 @@ class Index:
     def _commit(self) -> None:
         self.version += 1
         text = json.dumps([s.__dict__ for s in self.segments])
-        self.spark.createDataFrame([(self.version, text)], "version long, manifest string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.spark.range(1).coalesce(1).select(F.lit(self.version).cast("long").alias("version"), F.lit(text).alias("manifest")).write.mode("append").parquet(f"{self.path}/manifest")
 
     # Counts
 
@@ -166,21 +165,20 @@ class Index:
         blocks.withColumn("tier", tier).write.partitionBy("tier").bucketBy(buckets, "bucket").sortBy("term").option("path", f"{path}/blocks").saveAsTable(name)
         self._tables[path] = name
         posts.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-        deepest = self.spark.table(name).agg(F.max("tier")).first()[0] or 0
-        self.segments.append(Segment(path, buckets, n_docs, int(total), float(avg), int(deepest)))
+        self.segments.append(Segment(path, buckets, n_docs, int(total), float(avg)))
 
     def add(self, rows: DataFrame) -> None:
         """A new segment of chunks (chunk_id, text). A chunk that is there already has to be deleted first."""
-        tokens = rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), T.tokenize(F.col("text")).alias("tokens"))
+        rows = rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
         path = f"{self.path}/segment-{uuid.uuid4().hex}"
         buckets = max(_LEAST_BUCKETS, -(-rows.count() // BUCKET_DOCS))
         bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int")
-        tokens.select(bucket.alias("bucket"), "chunk_id", F.size("tokens").cast("long").alias("doc_len"), "tokens").repartition(buckets, "bucket").write.parquet(f"{path}/tokens")
-        held = self.spark.read.parquet(f"{path}/tokens")
+        tokens = rows.withColumn("bucket", bucket).repartition(buckets, "bucket").select("bucket", "chunk_id", T.tokenize(F.col("text")).alias("tokens"))
+        tokens.select("bucket", "chunk_id", F.size("tokens").cast("long").alias("doc_len"), "tokens").write.parquet(f"{path}/docs")
+        held = self.spark.read.parquet(f"{path}/docs")
         every = held.select("bucket", "chunk_id", "doc_len", F.explode("tokens").alias("term"))
         every.groupBy("bucket", "chunk_id", "term", "doc_len").agg(F.count("*").alias("tf")).select("bucket", "chunk_id", "term", "tf", "doc_len").write.parquet(f"{path}/posts")
-        held.select("bucket", "chunk_id", "doc_len").write.parquet(f"{path}/docs")
-        self._write(self.spark.read.parquet(f"{path}/docs"), self.spark.read.schema(_POSTS).parquet(f"{path}/posts"), path, buckets)
+        self._write(held, self.spark.read.schema(_POSTS).parquet(f"{path}/posts"), path, buckets)
         self._commit()
 
     def delete(self, gone: DataFrame) -> None:
@@ -251,34 +249,36 @@ class Index:
             out = out.unionByName(found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * part), 6).alias("bm25")))
         return out
 
-    def top_k(self, asked: DataFrame, k: int) -> DataFrame:
-        """query_id, chunk_id and bm25 of at least the k best chunks of each query, from asked: query_id and term, a stated block of queries.
+    def top_k(self, weights: DataFrame, k: int) -> DataFrame:
+        """query_id, chunk_id and bm25 of at least the k best chunks of each query, from weights: those of a stated block of queries.
 
         A query's terms that together do not reach its k-th score are not essential: a chunk of the result has another term, too. Only essential
         terms find chunks; those that may still be in the result are then scored in full.
         """
-        weights = self.weights(asked)
         rows = weights.groupBy("term", "idf").agg(F.collect_list("query_id").alias("q")).orderBy("term").collect()  # terms of a block of queries
         if not rows:
             return self.spark.createDataFrame([], SCORES)
         kernel = _Kernel([r["term"] for r in rows], np.array([r["idf"] for r in rows]), [r["q"] for r in rows], float(self.avg_len), k)
-        known = self.spark.createDataFrame([(r["term"], float(r["idf"])) for r in rows], "term string, idf double")
+        known = weights.select("term", "idf").distinct()
         tops = None
         for s in self.segments:
             own = self._blocks(s).select("term", "block", "max_tf", "min_len").join(F.broadcast(known), "term")
             own = own.groupBy("term").agg(F.max(F.col("idf") * self._bound()).alias("most"), F.count("*").alias("n"), F.max("block").alias("last"))
             tops = own if tops is None else tops.unionByName(own)
         tops = tops.groupBy("term").agg(F.max("most").alias("most"), F.sum("n").alias("n"), F.max("last").alias("last")).collect()  # one row a term
-        least = np.full(len(rows), -np.inf)
-        if any(r["last"] for r in tops):
-            first = self._scored(kernel, known.withColumn("least", F.lit(float("-inf"))), True)
-            w = Window.partitionBy("query_id").orderBy(F.desc("bm25"))
-            kth = {r["query_id"]: r["bm25"] for r in first.withColumn("n", F.row_number().over(w)).filter(F.col("n") == k).collect()}  # one row a query
-            most = {r["term"]: r["most"] for r in tops}
-            kernel, least = kernel.pruned(np.array([most.get(t, 0.0) for t in kernel.terms]), kth)
+        n_blocks = sum(r["n"] for r in tops)
+        if not any(r["last"] for r in tops):  # first blocks alone
+            self.read_blocks = {"blocks": n_blocks, "read": n_blocks}
+            return self._scored(kernel, known.withColumn("least", F.lit(float("-inf"))), True)
+        first = self._scored(kernel, known.withColumn("least", F.lit(float("-inf"))), True)
+        w = Window.partitionBy("query_id").orderBy(F.desc("bm25"))
+        kth = {r["query_id"]: r["bm25"] for r in first.withColumn("n", F.row_number().over(w)).filter(F.col("n") == k).collect()}  # one row a query
+        most = {r["term"]: r["most"] for r in tops}
+        kernel, least = kernel.pruned(np.array([most.get(t, 0.0) for t in kernel.terms]), kth)
         known = self.spark.createDataFrame([(r["term"], float(r["idf"]), float(x)) for r, x in zip(rows, least)], "term string, idf double, least double")
-        self._count(known.filter(F.col("least") < float("inf")), sum(r["n"] for r in tops))
-        found = self._scored(kernel, known.filter(F.col("least") < float("inf")), False)
+        known = known.filter(F.col("least") < float("inf"))
+        self._count(known, n_blocks)
+        found = self._scored(kernel, known, False)
         open_ids = kernel.ids[kernel.slack > 0].tolist()
         if not open_ids:
             return found

@@ -57,17 +57,19 @@ def bm25_of(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     return index.scores(index.weights(query_terms(queries)), pairs)
 
 
-def bm25_top_k(index: Index, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def bm25_top_k(index: Index, queries: DataFrame, k: int, block: int = QUERY_BLOCK, weights: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, bm25 and rank: the k best chunks of each query among those that share a term with it.
 
     Queries are a stated set, taken in blocks of about `block`; their terms and weights go to all tasks. A task holds a
-    bucket of chunks, and keeps k of them a query; blocks of postings that cannot lead to the k-th score are not read.
+    bucket of chunks, and keeps k of them a query; blocks of postings that cannot lead to the k-th score are not read. weights: index.weights()
+    of the queries' terms, made here if not given.
     """
     out = queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, bm25 double")
-    n_blocks = max(1, -(-queries.count() // block))
-    for b in range(n_blocks if k > 0 else 0):
-        asked = materialise(query_terms(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)), "asked")
-        out = out.union(index.top_k(asked, k))
+    n_blocks = max(1, -(-queries.count() // block)) if k > 0 else 0
+    if n_blocks and weights is None:
+        weights = index.weights(query_terms(queries))
+    for b in range(n_blocks):
+        out = out.union(index.top_k(weights if n_blocks == 1 else weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b), k))
     return top_k(out, "bm25", k)
 
 
@@ -103,10 +105,11 @@ def candidates(rows: DataFrame, queries: DataFrame, query_vectors: DataFrame, k:
     index = index or Index(rows)
     near = vector_top_k(vectors or rows, query_vectors, max(k, T.VECTOR_CANDIDATES)).select("query_id", "chunk_id", F.lit(True).alias("v"))
     wide = max(k, T.BM25_CANDIDATES)
-    found = bm25_top_k(index, queries, wide).drop("rank")
+    weights = index.weights(query_terms(queries))
+    found = bm25_top_k(index, queries, wide, weights=weights).drop("rank")
     words = top_k(zero_filled(found, rows, queries, wide), "bm25", wide).select("query_id", "chunk_id", F.lit(True).alias("w"))
     both = materialise(near.join(words, ["query_id", "chunk_id"], "full"), "candidates")
-    both = both.join(bm25_of(index, queries, both), ["query_id", "chunk_id"], "left")
+    both = both.join(index.scores(weights, both), ["query_id", "chunk_id"], "left")
     exact = both.join(rows.select("chunk_id", "embedding"), "chunk_id").join(query_vectors, "query_id")
     score = F.round(F.max(T.dot(F.col("embedding"), F.col("vector"))), 6)
     return exact.groupBy("query_id", "chunk_id").agg(
