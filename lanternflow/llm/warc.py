@@ -198,9 +198,15 @@ def cut_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, list[str]],
         del held[: int(length)]
 
 
+def whole_number(text: str | None) -> int | None:
+    """A whole number of 64 bits."""
+    value = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return value if value is not None and -(2**63) <= value < 2**63 else None
+
+
 def parse_record(headers: dict[str, list[str]], block: bytes, problem: str | None, keep_payload: bool) -> tuple:
     one = lambda name: headers.get(name, [None])[0]
-    number = lambda name: int(v) if (v := one(name)) and re.fullmatch(r"-?\d{1,18}", v) else None
+    number = lambda name: whole_number(one(name))
     kind = (one("warc-type") or "").lower()
     http_length = payload = None
     if kind in ("response", "revisit", "resource"):
