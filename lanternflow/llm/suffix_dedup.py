@@ -95,21 +95,25 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(known):
-    """known: the filter of repeated anchors, and the frequent ones in order. The salt of other anchors is -1."""
+    """known: the filters of repeated and of frequent anchors, of one size. The salt of other anchors is -1.
+
+    An anchor that a filter lets through by chance takes the way of those it looks like; the result is the same.
+    """
+    has = lambda bits, p: (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, frequent = np.frombuffer(known.value[0], dtype=np.uint8), np.frombuffer(known.value[1], dtype=np.int64)
+        repeated, frequent = (np.frombuffer(bits, dtype=np.uint8) for bits in known.value)
         for batch in small_batches(batches, 2, _CHUNK):
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, begins = _joined(batch.column(2).to_pylist())
             for text, first, last, key in _anchors(np.frombuffer(data, dtype=np.uint8), begins):
                 p = key & (8 * len(repeated) - 1)
-                keep = np.flatnonzero((repeated[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
-                own, key = text[keep], key[keep]
+                keep = np.flatnonzero(has(repeated, p))
+                own, key, p = text[keep], key[keep], p[keep]
                 doc, row = ids[own].astype(np.int64), rows[own].astype(np.int64)
                 salt = np.full(len(keep), -1, dtype=np.int32)
                 if len(frequent):
-                    of = np.flatnonzero(frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key)
+                    of = np.flatnonzero(has(frequent, p))
                     salt[of] = mix((doc[of] ^ row[of]).view(np.uint64)) % np.uint64(SALTS)
                 columns = [
                     pa.array(key, pa.int64()),
@@ -321,6 +325,10 @@ def _dealt(segments: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions(*columns).mapInArrow(_sorted_groups, _FOUND_SQL)
 
 
+#: Keys of eight bytes that are sent to all tasks at most; more of them are joined by a shuffle.
+MOST_BROADCAST = 100_000
+
+
 def repeated_ranges(docs: DataFrame, frequent: int = FREQUENT, split: int = SPLIT) -> DataFrame:
     """doc, row, lo, hi: byte ranges that repeated strings cover; ranges of a document may touch and overlap. docs: doc, row, text."""
     spark = docs.sparkSession
@@ -328,14 +336,17 @@ def repeated_ranges(docs: DataFrame, frequent: int = FREQUENT, split: int = SPLI
     keys = materialise(keys, "anchors")
     n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count() + 1).bit_length()))
     place = F.col("key").bitwiseAND(F.lit(n_bits - 1))
-    placed = keys.select(place.alias("p"), F.when(F.col("n") > frequent, F.col("key")).alias("often"))
-    # n_bits / 32768 rows at most; of frequent keys, one for each `frequent` segments at most.
-    blocks = placed.groupBy(F.expr("p div 32768").alias("block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"), F.collect_list("often").alias("often")).collect()
-    bits = bytearray(n_bits // 8)
+    placed = keys.select(place.alias("p"), (F.col("n") > frequent).alias("often"))
+    bitmap = lambda only: F.expr(f"bitmap_construct_agg(p % 32768){only}")
+    # n_bits / 32768 rows at most, of 8 KB each: 32 MB for a corpus of any size.
+    blocks = placed.groupBy(F.expr("p div 32768").alias("block")).agg(bitmap("").alias("bits"), F.max("often").alias("has"), bitmap(" FILTER (WHERE often)").alias("often")).collect()
+    bits, often = bytearray(n_bits // 8), bytearray(n_bits // 8)
     for r in blocks:
         bits[r["block"] * 4096 : r["block"] * 4096 + 4096] = r["bits"]
-    often = np.array(sorted(k for r in blocks for k in r["often"]), dtype=np.int64)
-    known = spark.sparkContext.broadcast((bytes(bits), often.tobytes()))
+        if r["has"]:
+            often[r["block"] * 4096 : r["block"] * 4096 + 4096] = r["often"]
+    any_often = any(r["has"] for r in blocks)
+    known = spark.sparkContext.broadcast((bytes(bits), bytes(often) if any_often else b""))
     segments = docs.select("doc", "row", "text").mapInArrow(_segments(known), "key long, salt int, doc long, row long, start long, segment binary")
     parts: list[DataFrame] = []
 
@@ -344,9 +355,10 @@ def repeated_ranges(docs: DataFrame, frequent: int = FREQUENT, split: int = SPLI
         return found.filter("segment is not null").select("key", F.lit(salt).alias("salt"), "doc", "row", F.col("lo").alias("start"), "segment")
 
     found = firsts(materialise(_dealt(segments), "ranges"), 0)
-    if len(often):
+    if any_often:
         distinct = firsts(materialise(_dealt(found), "distinct"), -1)
-        many = F.broadcast(materialise(distinct.groupBy("key").count().filter(F.col("count") > split).select("key"), "many"))  # a key for each `split` segments at most
+        many = materialise(distinct.groupBy("key").count().filter(F.col("count") > split).select("key"), "many")
+        many = F.broadcast(many) if many.count() <= MOST_BROADCAST else many
         firsts(_dealt(distinct.join(many, "key", "left_anti")), -1)
         if not many.isEmpty():
             cut = distinct.join(many, "key", "left_semi").withColumn("p", F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH)))
