@@ -262,35 +262,43 @@ def format_turns(turns: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
 
 
 class _Reader:
-    """Digests of one conversation from the pieces of its text, in order."""
+    """Digests of one conversation from the pieces of its text, in order. A piece is searched once, with the few characters before it."""
+
+    MARK = END + "\n"
 
     def __init__(self) -> None:
         self.n = self.loss_chars = self.chars = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.text, self.masked = "", ""
+        self.held: list[str] = []
+        self.masked: list[str] = []
+        self.tail = ""
 
     def add(self, piece: str, spans: list) -> None:
         self.chars += len(piece)
-        self.text += piece
         at = 0
         for span in spans:
             start, length = int(span["start"]), int(span["length"])
             if start > at:  # what was masked before has ended
                 self._said()
-            self.masked += piece[start : start + length]
+            self.masked.append(piece[start : start + length])
             at = start + length
         if at < len(piece):
             self._said()
-        end = self.text.rfind(END + "\n")
+        seen = self.tail + piece
+        end = seen.rfind(self.MARK)
         if end >= 0:
-            whole, self.text = self.text[: end + len(END) + 1], self.text[end + len(END) + 1 :]
-            for turn in whole.split(END + "\n")[:-1]:
+            cut = end + len(self.MARK) - len(self.tail)
+            whole = "".join([*self.held, piece[:cut]])
+            self.held, piece, seen = [], piece[cut:], piece[cut:]
+            for turn in whole.split(self.MARK)[:-1]:
                 role, said = parse_turn(turn)
                 self.n += 1
                 self.turns.update(f"{role}\n{said}\n".encode())
+        self.held.append(piece)
+        self.tail = seen[-(len(self.MARK) - 1) :]
 
     def _said(self) -> None:
-        said, self.masked = unescape(self.masked), ""
+        said, self.masked = unescape("".join(self.masked)), []
         self.loss_chars += len(said)
         self.loss.update(said.encode())
 
