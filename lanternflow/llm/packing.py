@@ -245,8 +245,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 
 def _interval(places: Column, rank: Column) -> Column:
-    """The entry of places (rising, without gaps) that holds the rank, by halving: 16 steps are enough for 65,536 entries."""
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(16))))
+    """The entry of places (rising, without gaps) that holds the rank, by halving. 24 steps are enough for 16 million entries, more than a row can hold."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(24))))
     start = lambda k: F.get(places, k)["lo"]
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < F.size(places)) & (start(at + step) <= rank), at + step).otherwise(at))
     return F.get(places, found)
