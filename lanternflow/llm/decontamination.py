@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.shared import SHINGLE_WORDS, in_chunks, materialise, mix, rolling, small_batches, word_hashes
+from lanternflow.llm.shared import SHINGLE_WORDS, in_chunks, materialise, mix, rolling, small_batches, split_by_bitmap, word_hashes
 
 HASHES = 64
 THRESHOLD = 0.8
@@ -180,21 +180,34 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
-    """The rows of docs that contain no test item, with all their columns. The decision is made where a row is read."""
+    """The rows of docs that contain no test item, with all their columns. With one block of items the decision is made where a row is read."""
     wanted = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
     n_blocks = max(1, -(-wanted.count() // items_per_block))
 
-    def keep(block: list[tuple[int, str | None]], at: int):
+    def searched(block: list[tuple[int, str | None]], at: int, wanted_rows: bool):
+        """Rows without an item; or, of rows of digest and text, the digests of those with one."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = _Finder(block, threshold)
             for batch in small_batches(batches, at):
-                mask = np.ones(batch.num_rows, dtype=bool)
-                mask[[row for row, *_ in find(batch.column(at).to_pylist())]] = False
-                yield batch.filter(pa.array(mask))
+                mask = np.full(batch.num_rows, wanted_rows)
+                mask[[row for row, *_ in find(batch.column(at).to_pylist())]] = not wanted_rows
+                kept = batch.filter(pa.array(mask))
+                yield kept if wanted_rows else kept.select([0])
 
         return run
 
+    if n_blocks == 1:
+        return docs.mapInArrow(searched(_block(wanted, 0, 1), docs.columns.index(text_col), True), docs.schema)
+    # Many items: a pass for each block lists the texts that hold one, and then all go at once.
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digest = F.unhex(F.sha2(text, 256)).alias("text_sha")
+    gone = None
     for k in range(n_blocks):
-        docs = docs.mapInArrow(keep(_block(wanted, k, n_blocks), docs.columns.index(text_col)), docs.schema)
-    return docs
+        found = materialise(docs.select(digest, text.alias("text")).mapInArrow(searched(_block(wanted, k, n_blocks), 1, False), "text_sha binary"), "contaminated")
+        gone = found if gone is None else gone.union(found)
+    gone = materialise(gone.distinct(), "gone")
+    hashed = F.xxhash64("text_sha")
+    near, other = split_by_bitmap(docs.select(F.struct("*").alias("row"), digest), hashed, materialise(gone.select(hashed.alias("k")), "places"))
+    return other.unionByName(near.join(gone, "text_sha", "left_anti")).select("row.*")
 
