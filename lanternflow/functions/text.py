@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the retrieval model.
@@ -52,19 +52,47 @@ def clean_title(c: Column) -> Column:
     return F.substring(squeeze(F.coalesce(c, F.lit(""))), 1, 80)
 
 
-def query_variants(c: Column, groups: list[list[str]] | None = None) -> Column:
-    """Distinct rewritings of a query: every alias hit of a group becomes each alias of it; the query itself if none is hit."""
+def _rewritten(query: Column, aliases: Column) -> Column:
+    """A query with every alias hit replaced by each of the aliases; itself without a hit."""
+    literal = lambda x: F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    # An alias ends where no word goes on; one that begins or ends with another sign, as c++, has no word boundary there.
+    pattern = F.concat(F.lit(r"(?i)(?<!\w)(?:"), F.array_join(F.transform(aliases, literal), "|"), F.lit(r")(?!\w)"))
+    safe = lambda x: F.regexp_replace(x, r"([\\$])", r"\\$1")
+    return F.when(F.regexp_like(query, pattern), F.transform(aliases, lambda a: F.regexp_replace(query, pattern, safe(a)))).otherwise(F.array(query))
+
 
-    def rewritten(query: Column, aliases: list[str]) -> Column:
-        pattern = r"(?i)\b(" + "|".join(aliases) + r")\b"
-        return F.when(F.regexp_like(query, F.lit(pattern)), F.array(*[F.regexp_replace(query, pattern, a) for a in aliases])).otherwise(F.array(query))
+def query_variants(c: Column, groups: list[list[str]] | None = None) -> Column:
+    """Distinct rewritings of a query: every alias hit of a group becomes each alias of it; the query itself if none is hit.
 
+    For many groups take variants_of().
+    """
     out = F.array(c)
     for group in groups or SYNONYMS:
-        out = F.array_distinct(F.flatten(F.transform(out, lambda q: rewritten(q, group))))  # noqa: B023
+        aliases = F.array(*map(F.lit, sorted(group, key=len, reverse=True)))
+        out = F.array_distinct(F.flatten(F.transform(out, lambda q: _rewritten(q, aliases))))  # noqa: B023
     return F.array_sort(out)
 
 
+def variants_of(queries: DataFrame, groups: DataFrame) -> DataFrame:
+    """query_id and variants of queries (query_id, text), as query_variants() gives them, for any number of groups (group_id, aliases).
+
+    Runs of words of a query are looked up among the aliases, as long as the longest of these; only the groups that are hit rewrite it, by their number.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\w+"), F.lit(0))
+    known = groups.select("group_id", F.explode("aliases").alias("alias")).select("group_id", words(F.col("alias")).alias("w")).filter("size(w) > 0")
+    longest = known.agg(F.max(F.size("w"))).first()[0] or 0
+    known = known.select("group_id", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).distinct()
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda k: k)).alias("at")
+    runs = queries.select("query_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("query_id", "w", at)
+    runs = runs.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(max(1, longest))), lambda n: F.array_join(F.slice("w", F.col("at"), n), " "))).alias("run")).distinct()
+    hit = runs.join(known, "run").select("query_id", "group_id").distinct().join(groups.select("group_id", "aliases"), "group_id")
+    own = hit.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("group_id", "aliases"))).alias("own"))
+    longest_first = lambda a: F.array_sort(a, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).otherwise(F.when(x > y, 1).otherwise(0)))
+    step = lambda out, g: F.array_distinct(F.flatten(F.transform(out, lambda q: _rewritten(q, longest_first(g["aliases"])))))
+    joined = queries.join(own, "query_id", "left").withColumn("own", F.coalesce("own", F.array()))
+    return joined.select("query_id", F.array_sort(F.aggregate("own", F.array(F.col("text")), step)).alias("variants"))
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log1p((n_docs - df + 0.5) / (df + 0.5))
 

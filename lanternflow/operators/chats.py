@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanternflow.functions import text as T
-from lanternflow.operators.tables import last_of
+from lanternflow.operators.tables import KeyedTable, last_of
 from lanternflow.sources.scratch import materialise
 
 
@@ -29,12 +29,34 @@ def owned(messages: DataFrame, chats: DataFrame, user: DataFrame) -> DataFrame:
     return messages.join(own, "chat_id", "left_semi")
 
 
-def previous_question(messages: DataFrame) -> DataFrame:
-    """Each assistant message with the newest user message of its chat at or before it; of equal times the lowest id."""
-    w = Window.partitionBy("chat_id").orderBy("created_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    mine = F.when(F.col("role") == "user", F.struct(F.col("created_at"), (-F.col("id")).alias("down"), F.col("id").alias("qid"), F.col("content")))
-    out = messages.withColumn("q", F.max(mine).over(w)).filter(F.col("role") == "assistant")
-    return out.select("id", "chat_id", "created_at", F.col("q.qid").alias("question_id"), F.col("q.content").alias("question"))
+def previous_question(messages: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each assistant message with the newest user message of its chat at or before it; of equal times the lowest id.
+
+    Messages without their texts are dealt out by ranges of chat and time, so a long chat lies in many ranges. Each range is scanned by itself; the
+    newest user message of a chat that a range ends in is carried to those after it. Texts are joined last, by id.
+    """
+    spark = messages.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bare = messages.select("id", "chat_id", "created_at", "role").repartitionByRange(n, "chat_id", "created_at")
+    bare = materialise(bare.withColumn("part", F.spark_partition_id()), "ranges")
+    mine = F.when(F.col("role") == "user", F.struct("created_at", (-F.col("id")).alias("down")))
+    w = Window.partitionBy("part", "chat_id").orderBy("created_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = bare.withColumn("q", F.max(mine).over(w))
+    # For each range: its first and last chat, and the newest user message of the last one.
+    ends = bare.groupBy("part").agg(F.min("chat_id").alias("first"), F.max("chat_id").alias("last"))
+    newest = bare.join(F.broadcast(ends.select("part", F.col("last").alias("chat_id"))), ["part", "chat_id"]).groupBy("part").agg(F.max(mine)["down"].alias("down"))
+    carried, held = [], (None, None)
+    for r in ends.join(newest, "part").orderBy("part").collect():  # a row a range
+        carry = held[1] if held[0] == r["first"] else None
+        if carry is not None:
+            carried.append((r["part"], r["first"], carry))
+        held = (r["last"], r["down"] if r["down"] is not None else carry if r["first"] == r["last"] else None)
+    chat_type = dict(bare.dtypes)["chat_id"]
+    before = F.broadcast(spark.createDataFrame(carried, f"part int, chat_id {chat_type}, carry long"))
+    found = scanned.filter(F.col("role") == "assistant").join(before, ["part", "chat_id"], "left")
+    found = found.select("id", "chat_id", "created_at", (-F.coalesce("q.down", "carry")).alias("question_id"))
+    asked = messages.filter("role = 'user'").select(F.col("id").alias("question_id"), F.col("content").alias("question"))
+    return found.join(asked, "question_id", "left").select("id", "chat_id", "created_at", "question_id", "question")
 
 
 def recent_chats(chats: DataFrame, most: int = 50) -> DataFrame:
@@ -71,8 +93,8 @@ def search_titles(chats: DataFrame, query: str) -> DataFrame:
     return chats.filter(shown.contains(wanted)) if wanted else chats
 
 
-def resolve_users(visits: DataFrame, parts: int | None = None) -> DataFrame:
-    """A user for each address, numbered by first sight (address, ts, id): the first address is user 1.
+def resolve_users(visits: DataFrame, parts: int | None = None, after: int = 0) -> DataFrame:
+    """A user for each address, numbered by first sight (address, ts, id): the first address is user after + 1.
 
     Addresses are dealt out by ranges of first sight, numbered within their range, and moved up by the sizes of the ranges before.
     """
@@ -81,13 +103,33 @@ def resolve_users(visits: DataFrame, parts: int | None = None) -> DataFrame:
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialise(seen.repartitionByRange(n, "ts", "id").withColumn("part", F.spark_partition_id()), "first_seen")
     sizes = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # one row a range
-    before = [(k, sum(c for j, c in sizes.items() if j < k)) for k in sizes]
+    before = [(k, after + sum(c for j, c in sizes.items() if j < k)) for k in sizes]
     offsets = F.broadcast(spark.createDataFrame(before or [(0, 0)], "part int, before long"))
     own = F.row_number().over(Window.partitionBy("part").orderBy("ts", "id"))
     numbered = ranged.withColumn("own", own).join(offsets, "part")
     return numbered.select("address", F.col("ts").alias("first_seen"), (F.col("own") + F.col("before")).alias("user_id"))
 
 
+class Users:
+    """Users by their addresses, kept over runs: a known address keeps its user, new ones are numbered after the highest one there is."""
+
+    def __init__(self, spark: SparkSession, path: str, time_type: str = "timestamp", buckets: int = 64):
+        self.table = KeyedTable(spark, path, f"address string, user_id bigint, first_seen {time_type}", ["address"], buckets)
+
+    def read(self) -> DataFrame:
+        return self.table.read()
+
+    def resolve(self, visits: DataFrame) -> DataFrame:
+        """address and user_id of all addresses of a batch of visits (address, ts, id). The same batch again changes nothing."""
+        visits = materialise(visits.select("address", "ts", "id").filter("address is not null"), "visits")
+        asked = visits.select("address").distinct()
+        new = visits.join(self.read().select("address"), "address", "left_anti")
+        highest = self.read().agg(F.max("user_id")).first()[0] or 0
+        new = materialise(resolve_users(new, after=highest), "users")
+        self.table.upsert(new)
+        return self.read().join(asked, "address", "left_semi").select("address", "user_id")
+
+
 def json_list(column, element: str):
     """A JSON list of structs; malformed or missing text is an empty list."""
     kind = f"array<struct<{element}>>"

@@ -13,8 +13,10 @@ from lanternflow.functions import urls as U
 from lanternflow.sources.scratch import scratch_path
 
 
-def pending(discovered: DataFrame, pages: DataFrame, url_filter: Column | None = None) -> DataFrame:
-    """Discovered urls that are not captured yet, and that the filter lets through."""
+def pending(discovered: DataFrame, pages: DataFrame, url_filter: Column | None = None, site_id: int | None = None) -> DataFrame:
+    """Discovered urls that are not captured yet, and that the filter lets through; with site_id, those of that site (column site_id) alone."""
+    if site_id is not None:
+        discovered = discovered.filter(F.col("site_id") == site_id)
     out = discovered.join(pages.select("url"), "url", "left_anti")
     return out if url_filter is None else out.filter(url_filter)
 
@@ -60,22 +62,52 @@ def duplicate_content(pages: DataFrame) -> DataFrame:
     return joined.select("id", "url", "hash", "canonical_id", (F.col("id") != F.col("canonical_id")).alias("is_duplicate"))
 
 
+#: Parts of the stored links, and bits of the filter of visited nodes (128 KB to 16 MB).
+LINK_PARTS, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 27
+
+
+def _maybe_in(rows: DataFrame, column: str, bits: DataFrame, n_bits: int) -> DataFrame:
+    """rows with maybe: whether a filter of visited nodes has the node. bits: its blocks of 32,768 bits as 512 longs, n_bits / 32768 rows at most."""
+    place = F.pmod(F.xxhash64(column), F.lit(n_bits))
+    marked = rows.withColumn("place", place).withColumn("block", F.expr("place div 32768")).join(F.broadcast(bits), "block", "left")
+    shift = ((F.lit(7) - F.expr("(place % 64) div 8")) * 8 + F.expr("place % 8")).cast("int")
+    hit = F.call_function("shiftrightunsigned", F.get("words", F.expr("cast((place % 32768) div 64 as int)")), shift).bitwiseAND(F.lit(1)) == 1
+    return marked.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("place", "block", "words")
+
+
+def _bits(nodes: DataFrame, column: str, n_bits: int) -> DataFrame:
+    place = nodes.select(F.pmod(F.xxhash64(column), F.lit(n_bits)).alias("p"))
+    blocks = place.groupBy(F.expr("p div 32768").alias("block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
+    return blocks.select("block", F.expr("transform(sequence(0, 511), k -> cast(conv(hex(substring(bits, k * 8 + 1, 8)), 16, -10) as bigint))").alias("words"))
+
+
 def link_frontier(links: DataFrame, root: str, max_pages: int) -> DataFrame:
     """node and depth of the first max_pages nodes from the root, breadth first, by (depth, node).
 
-    Each level is a join of the frontier with the links, without what was seen; a level is written to the shared
-    folder, so the plan does not grow with the depth. It ends when a level is empty or enough nodes are seen.
+    Links (src, dst) are written once, in parts by the hash of their source; a level reads the parts of its nodes alone. A filter of visited
+    nodes, of bounded size, lets new nodes pass before anything is exchanged; only those that it may have seen are compared with
+    the levels before. Each level is written, so the plan does not grow with the depth. It ends when a level is empty or enough nodes are seen.
     """
     spark = links.sparkSession
     path = scratch_path(spark, "frontier")
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(LINK_PARTS)).cast("int")
+    edges = links.select("src", "dst").filter("src is not null and dst is not null").withColumn("part", part("src"))
+    edges.repartitionByRange("part", "src", "dst").sortWithinPartitions("part", "src").write.partitionBy("part").parquet(f"{path}/links")
+    stored = spark.read.schema("src string, dst string, part int").parquet(f"{path}/links")
     kind = "node string, depth int"
     level = lambda *k: spark.read.schema(kind).parquet(*(f"{path}/level={j}" for j in k))
-    spark.createDataFrame([(root, 0)], kind).write.parquet(f"{path}/level=0")
+    spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth")).write.parquet(f"{path}/level=0")
     depth, count, new = 0, 1, 1
     while new and count < max_pages:
         depth += 1
-        reached = links.join(level(depth - 1).select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        reached.join(level(*range(depth)), "node", "left_anti").select("node", F.lit(depth).alias("depth")).write.parquet(f"{path}/level={depth}")
+        front = level(depth - 1).select(F.col("node").alias("src"), part("node").alias("part"))
+        parts = [r["part"] for r in front.select("part").distinct().collect()]  # LINK_PARTS at most
+        n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * count + 1).bit_length()))
+        reached = stored.filter(F.col("part").isin(parts)).join(front, ["part", "src"]).select(F.col("dst").alias("node"))
+        seen = level(*range(depth))
+        marked = _maybe_in(reached, "node", _bits(seen, "node", n_bits), n_bits)
+        fresh = marked.filter("not maybe").select("node").unionByName(marked.filter("maybe").select("node").join(seen, "node", "left_anti"))
+        fresh.distinct().select("node", F.lit(depth).alias("depth")).write.parquet(f"{path}/level={depth}")
         new = level(depth).count()
         count += new
     return level(*range(depth + 1)).orderBy("depth", "node").limit(max_pages)

@@ -15,6 +15,13 @@ from pyspark.sql.types import StructType
 from lanternflow.sources.scratch import materialise
 
 
+def scan(df: DataFrame, equal: dict[str, object], limit: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Rows whose columns have these values (None: null); with a limit, the first so many by the order columns, else by all columns."""
+    for column, value in equal.items():
+        df = df.filter(F.col(column).isNull() if value is None else F.col(column) == F.lit(value))
+    return df if limit is None else df.orderBy(*(order or df.columns)).limit(max(0, limit))
+
+
 def last_of(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """One row of each key: the last by the order columns, null first; of equal ones (all, without order) the greatest by a hash of the row.
 
@@ -60,17 +67,17 @@ class KeyedTable:
     """A Parquet table with a unique key, in parts by the key's hash. A change reads and writes only the parts that hold its keys.
 
     Each change is first reduced to a row a key. The new parts are written to the scratch folder, checked for the unique key, and then take the
-    place of the old ones; a change that is applied again, as after a failure, gives the same table. buckets is fixed with
-    the first change; choose it so that a part fits in a task.
+    place of the old ones; a change that is applied again, as after a failure, gives the same table. by: the key columns that choose a
+    part, all of them if not given. by and buckets are fixed with the first change.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64):
-        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64, by: list[str] | None = None):
+        self.spark, self.path, self.keys, self.buckets, self.by = spark, path, keys, buckets, by or keys
         self.schema = StructType.fromDDL(schema)
         self._stored = StructType.fromDDL(f"{schema}, bucket int")
 
-    def bucket(self, *keys: Column | str) -> Column:
-        return F.pmod(F.xxhash64(*(keys or self.keys)), F.lit(self.buckets)).cast("int")
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
     def _all(self) -> DataFrame:
         jvm = self.spark._jvm
@@ -83,7 +90,7 @@ class KeyedTable:
         return self._all().select(*self.schema.names)
 
     def change(self, touched: DataFrame, make: Callable[[DataFrame], DataFrame]) -> list[int]:
-        """Replaces the parts that hold the keys in touched by make(what they held). Returns the numbers of these parts."""
+        """Replaces the parts that hold the keys in touched (the columns in by) by make(what they held). Returns the numbers of these parts."""
         numbers = sorted(r[0] for r in touched.select(self.bucket().alias("b")).distinct().collect())  # as many as parts at most
         if not numbers:
             return []
@@ -95,7 +102,7 @@ class KeyedTable:
             raise ValueError(f"more than one row of a key: {bad[0]}")
         # A part that has lost all its rows is replaced by an empty one.
         left = {r[0] for r in new.select("bucket").distinct().collect()}
-        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        new.repartitionByRange("bucket", *self.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         for number in numbers:
             if number not in left:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanternflow.functions import text as T
 from lanternflow.operators import chats as C
+from lanternflow.sources.scratch import scratch_path
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -59,7 +60,16 @@ def clean_ip(spark, d):
 
 
 def resolve_users(spark, d):
-    return C.resolve_users(_visits(spark, d).select("id", "ts", T.client_ip([F.col("forwarded")], F.col("peer")).alias("address"))).drop("first_seen")
+    """In two batches by time, the second of which holds a part of the first again; they are those of one batch."""
+    visits = _visits(spark, d).select("id", "ts", T.client_ip([F.col("forwarded")], F.col("peer")).alias("address"))
+    lo, hi = visits.select(F.min(F.col("ts").cast("string")), F.max(F.col("ts").cast("string"))).first()
+    kind = dict(visits.dtypes)["ts"]
+    micros = lambda x: F.unix_micros(F.lit(x).cast("timestamp"))
+    at = lambda part: F.timestamp_micros(F.floor((micros(lo) * (4 - part) + micros(hi) * part) / 4).cast("long")).cast(kind)
+    users = C.Users(spark, scratch_path(spark, "users"), kind, 8)
+    users.resolve(visits.filter(F.col("ts") < at(2)))
+    users.resolve(visits.filter(F.col("ts") >= at(1)))
+    return users.read().select("address", "user_id")
 
 
 def recent_messages(spark, d):
@@ -114,6 +124,15 @@ def chat_titles(spark, d):
     return C.derived_titles(_chats(spark, d), _messages(spark, d)).select("id", "title")
 
 
+def renamed_chats(spark, d):
+    """Three changes of every chat: the second one counts, but the third does where it is not blank; those of others' chats change nothing."""
+    chats = _chats(spark, d)
+    title = F.when(F.col("nth") == 3, F.when(F.col("id") % 2 == 0, F.lit("  "))).when(F.col("nth") == 2, F.concat(F.lit(" to  "), F.col("id").cast("string"))).otherwise(F.lit("first"))
+    owner = F.col("user_id") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)
+    changes = chats.select("id", "user_id", F.explode(F.array(*map(F.lit, (1, 3, 2)))).alias("nth")).select("id", owner.alias("user_id"), F.coalesce(title, F.lit("third")).alias("new_title"), "nth")
+    return C.rename(chats, changes, ["nth"]).select("id", "title")
+
+
 def title_search(spark, d):
     return C.search_titles(_chats(spark, d), " Chat 1 ").select("id")
 
@@ -200,6 +219,7 @@ SELECT sha256(norm) AS question_hash, CAST(floor(CASE WHEN norm IN (SELECT quest
     "recent_chats": _MESSAGES + "SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY last_s DESC, id) AS position, id, last_s FROM (SELECT c.id, user_id, max(created_at) AS last_s FROM c JOIN m ON chat_id = c.id GROUP BY ALL)) WHERE position <= 5",
     "recent_profiles": "SELECT user_id FROM (SELECT user_id, min(ts) AS t FROM events GROUP BY user_id ORDER BY t DESC, user_id LIMIT 100)",
     "chat_titles": _MESSAGES + r"SELECT c.id, CASE WHEN title LIKE 'Topic%' THEN title ELSE coalesce(said, title) END AS title FROM c LEFT JOIN (SELECT chat_id, substr(trim(regexp_replace(arg_min(content, {'t': created_at, 'i': id}), '\s+', ' ', 'g')), 1, 80) AS said FROM m WHERE role = 'user' AND trim(content) <> '' GROUP BY chat_id) ON chat_id = c.id",
+    "renamed_chats": _MESSAGES + "SELECT id, CASE WHEN id % 5 = 0 THEN title WHEN id % 2 = 0 THEN 'to ' || id ELSE 'third' END AS title FROM c",
     "title_search": _MESSAGES + "SELECT id FROM c WHERE contains(lower(coalesce(title, 'Chat ' || id)), 'chat 1')",
     "question_keys": r"SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS question_norm, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS question_hash FROM benchmark",
     "json_sources": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 END AS n_items, CASE WHEN event_id % 7 <> 0 THEN CAST(props ->> '$.k' AS BIGINT) END AS k, CASE WHEN event_id % 7 = 0 THEN '[]' ELSE '[{\"k\":' || (props ->> '$.k') || '}]' END AS again FROM events",

@@ -49,7 +49,11 @@ def _unique(df, keys=("url",)):
 
 
 def keyed_scan(spark, d):
-    return _t(spark, d, "conversations").filter(F.col("conv_id") == 7).select("conv_id", "turn", "role")
+    return B.scan(_t(spark, d, "conversations"), {"conv_id": 7}).select("conv_id", "turn", "role")
+
+
+def keyed_scan_limit(spark, d):
+    return B.scan(_t(spark, d, "conversations").select("conv_id", "turn", "role"), {"role": "system"}, 5, ["conv_id", "turn"])
 
 
 def content_hash(spark, d):
@@ -168,10 +172,22 @@ def pending_urls(spark, d):
     return I.pending(found, kept, F.length("url") > 10)
 
 
-def discovered_upsert(spark, d):
+def _discovered(spark, d):
+    """Urls that are known, of half of the pages, and those that are found, of all."""
     old = _unique(_t(spark, d, "pages").filter("page_id % 2 = 0").select("url", F.lit("html").alias("kind"), F.lit(1).cast("long").alias("discovered_at")))
     found = _t(spark, d, "pages").select("url", F.when(F.length("url") % 2 == 0, F.lit("pdf")).otherwise(F.lit("html")).alias("kind"), F.lit(2).cast("long").alias("discovered_at"))
-    return I.discovered_upsert(old, found)
+    return old, found
+
+
+def pending_of_site(spark, d):
+    """What is pending of the site of the smallest number: of its pages those that are even are captured."""
+    pages = _site_pages(spark, d).select("page_id", "site_id", "url")
+    site = pages.agg(F.min("site_id")).first()[0]
+    return I.pending(pages, pages.filter("page_id % 2 = 0"), None, site).select("url", "site_id").distinct()
+
+
+def discovered_upsert(spark, d):
+    return I.discovered_upsert(*_discovered(spark, d))
 
 
 def snapshot_merge(spark, d):
@@ -187,12 +203,11 @@ def duplicate_content(spark, d):
 
 
 def link_frontier(spark, d):
-    """Over the pages by number: each leads to three others."""
-    n = _t(spark, d, "pages").count()
-    node = F.col("page_id")
-    steps = F.array((node * 7 + 1) % n, (node * 3 + 2) % n, (node + 5) % n)
-    links = _t(spark, d, "pages").select(F.format_string("%08d", node).alias("src"), F.explode(F.transform(steps, lambda x: F.lpad(x.cast("string"), 8, "0"))).alias("dst"))
-    return I.link_frontier(links, "00000000", 100).select("node", F.col("depth").cast("long").alias("depth"))
+    """From the first page, over the links of the captured pages: a page leads to the paths that it links to, a path to the pages that do."""
+    held = _links(spark, d).select("src", U.url_path(F.col("url")).alias("dst"))
+    links = held.unionByName(held.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    root = _t(spark, d, "pages").agg(F.min("url")).first()[0]
+    return I.link_frontier(links, root, 400).select("node", F.col("depth").cast("long").alias("depth"))
 
 
 def unique_violations(spark, d):
@@ -271,6 +286,7 @@ _SITE_CHUNKS = "WITH RECURSIVE " + _MARKDOWN.replace("f AS (", "f0 AS (").replac
 
 ORACLES = {
     "keyed_scan": "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 7",
+    "keyed_scan_limit": "SELECT conv_id, turn, role FROM conversations WHERE role = 'system' ORDER BY conv_id, turn LIMIT 5",
     "content_hash": "SELECT page_id, md5(html) AS content_hash FROM pages",
     "url_host": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages",
     "link_kind": "SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 5 = 0 THEN 'pdf' ELSE 'html' END AS kind FROM pages",
@@ -299,6 +315,7 @@ SELECT doc_id, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS n, unnest(p
     "pipeline_totals": _SITE_CHUNKS + " SELECT 'n_pages' AS name, count(*) AS n FROM pages UNION ALL SELECT 'n_extracts', count(*) FROM x UNION ALL SELECT 'n_chunks', count(*) FROM f UNION ALL SELECT 'n_pending', count(*) FROM f WHERE k % 2 = 1 UNION ALL SELECT 'n_new', count(DISTINCT url) FROM pages WHERE page_id % 11 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 <> 0)",
     "tab_split": "WITH " + _MARKDOWN + "," + _RULES + " SELECT page_id, 0::BIGINT AS part, first || markdown AS text FROM lead JOIN md USING (page_id) WHERE rule = 'tabs'",
     "pending_urls": r"WITH r AS (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || replace(unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)), '&amp;', '&') AS url FROM pages) SELECT url FROM r WHERE length(url) % 3 <> 0 AND length(url) > 10",
+    "pending_of_site": "WITH p AS (SELECT page_id, url, min(page_id) OVER (PARTITION BY regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) AS site_id FROM pages) SELECT DISTINCT url, site_id FROM p WHERE site_id = (SELECT min(site_id) FROM p) AND url NOT IN (SELECT url FROM p WHERE page_id % 2 = 0)",
     "discovered_upsert": "WITH n AS (SELECT url, min(CASE WHEN length(url) % 2 = 0 THEN 'pdf' ELSE 'html' END) AS kind, bool_or(page_id % 2 = 0) AS known FROM pages GROUP BY url) SELECT url, kind, CAST(CASE WHEN known THEN 1 ELSE 2 END AS BIGINT) AS discovered_at FROM n",
     "snapshot_merge": """
 WITH o AS (SELECT url, min(md5(html)) AS h FROM pages WHERE page_id % 3 <> 0 GROUP BY url),
@@ -308,13 +325,12 @@ SELECT url, coalesce(n.h, o.h) AS content_hash, CAST(CASE WHEN n.h IS NULL THEN
        CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'missing' WHEN n.h = o.h THEN 'same' ELSE 'changed' END AS state
 FROM o FULL JOIN n USING (url)""",
     "duplicate_content": "WITH p AS (SELECT page_id AS id, md5(html) AS h FROM pages UNION ALL SELECT page_id + 1000000, md5(html) FROM pages WHERE page_id % 7 = 0) SELECT id, min(id) OVER (PARTITION BY h) AS canonical_id, id <> min(id) OVER (PARTITION BY h) AS is_duplicate FROM p",
-    "link_frontier": """
-WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (
-  SELECT page_id AS src, unnest([(page_id * 7 + 1) % n, (page_id * 3 + 2) % n, (page_id + 5) % n]) AS dst FROM pages, n
-), walk AS (
-  SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 12
-)
-SELECT lpad(node::VARCHAR, 8, '0') AS node, CAST(depth AS BIGINT) AS depth FROM (SELECT node, min(depth) AS depth FROM walk GROUP BY node) ORDER BY depth, node LIMIT 100""",
+    "link_frontier": r"""
+WITH RECURSIVE r AS (SELECT url AS page, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages),
+h AS (SELECT DISTINCT page, regexp_extract(replace(href, '&amp;', '&'), '^([^?#]*)', 1) AS path FROM r WHERE href LIKE '/%' AND NOT regexp_matches(lower(regexp_extract(href, '^([^?#]*)', 1)), '\.(jpg|png|gif|zip)$')),
+e AS (SELECT page AS src, path AS dst FROM h UNION ALL SELECT path, page FROM h),
+walk AS (SELECT min(url) AS node, 0 AS depth FROM pages UNION SELECT dst, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 16)
+SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node ORDER BY depth, node LIMIT 400""",
     "unique_violations": "SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root_url, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1",
     "upsert_by_key": "WITH n AS (SELECT o_orderkey * 2 AS o_orderkey, 'U3' AS o_orderstatus, round(CAST(o_totalprice AS DOUBLE) + 3, 2) AS price FROM orders WHERE o_orderkey % 4 = 0) SELECT o_orderkey, o_orderstatus, round(CAST(o_totalprice AS DOUBLE), 2) AS price FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n",
     "partial_update": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN c_name || '*' WHEN c_custkey % 3 = 0 THEN c_name || '-' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 = 0 THEN 'early' ELSE c_mktsegment END AS c_mktsegment FROM customer",

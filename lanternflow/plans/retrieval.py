@@ -93,6 +93,18 @@ def query_variants(spark, d):
     return ask.select("query_id", F.posexplode(T.query_variants(F.col("text"))).alias("n", "variant")).select("query_id", F.col("n").cast("long").alias("n"), "variant")
 
 
+def many_synonyms(spark, d):
+    """A group of synonyms for every part: its name's first two words, and the part's number in two forms; questions name parts in either way."""
+    parts = _t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("group_id"))
+    names = F.array(F.concat(F.lit("part no "), F.col("group_id").cast("string")), F.concat(F.lit("item"), F.col("group_id").cast("string")), F.concat(F.lit("p"), F.col("group_id").cast("string"), F.lit("++")))
+    groups = parts.select("group_id", names.alias("aliases"))
+    n = groups.count()
+    word = F.element_at(names, (F.col("query_id") % 3 + 1).cast("int"))
+    ask = _t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("query_id")).withColumn("group_id", F.col("query_id") % n)
+    ask = ask.select("query_id", F.concat(F.lit("Where is "), F.initcap(word), F.lit(" on the shelf?")).alias("text"))
+    return T.variants_of(ask, groups).select("query_id", F.posexplode("variants").alias("n", "variant")).select("query_id", F.col("n").cast("long").alias("n"), "variant")
+
+
 def bm25_scores(spark, d):
     return R.bm25(_indexed(spark, d)[0], _queries(spark, d))
 
@@ -265,6 +277,7 @@ WITH q AS (
   SELECT query_id, s, unnest(CASE word WHEN 'other' THEN ['other'] ELSE ['myway', 'prepaid', 'prepay'] END) AS w FROM q
 )
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY w) - 1 AS n, 'how does ' || w || ' work for ' || s || '?' AS variant FROM v""",
+    "many_synonyms": "WITH q AS (SELECT c_custkey AS query_id, c_custkey % (SELECT count(*) FROM part) AS g FROM customer), v AS (SELECT query_id, unnest(['part no ' || g, 'item' || g, 'p' || g || '++']) AS w FROM q) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY w) - 1 AS n, 'Where is ' || w || ' on the shelf?' AS variant FROM v",
     "bm25_scores": _BASE + "SELECT query_id, chunk_id, bm25 FROM bm",
     "topk_per_query": _BASE + "SELECT * FROM (SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5",
     "index_refresh": _BASE.replace("FROM chunks c JOIN embeddings e ON c.chunk_id = e.vec_id", "FROM chunks c JOIN embeddings e ON c.chunk_id = e.vec_id WHERE chunk_id % 11 <> 3 AND chunk_id <> 0") + "SELECT * FROM (SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5",

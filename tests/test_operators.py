@@ -134,19 +134,6 @@ def test_ratings_of_messages(spark):
     assert sorted(seen) == [2, 3]
 
 
-def test_stream_carries_state_over_batches(spark, tmp_path):
-    rng = __import__("random").Random(3)
-    e = [(k, f"q{rng.randrange(9)}", f"a{k}", rng.choice([1, 1, -1, 0]), k) for k in range(300)]
-    events = spark.createDataFrame(e, "event_id long, question string, answer string, rating int, ts long")
-    columns = ("question_norm", "good_count", "bad_count", "answer_text", "created_at", "updated_at", "last_used_at")
-    path = f"file://{tmp_path}/out"
-    for k in range(5):  # each part is taken up by a query of its own, from the checkpoint of the one before
-        events.filter(F.col("ts").between(k * 60, k * 60 + 59)).write.mode("append").parquet(f"{tmp_path}/in")
-        W.fold_feedback(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), path)
-        assert rows(W.last_state(spark, path), *columns) == rows(C.feedback_cache(events.filter(F.col("ts") < k * 60 + 60)), *columns)
-    assert spark.read.parquet(f"{path}/state").select("batch").distinct().count() == 5
-
-
 def test_duplicates_over_batches(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"html {k % 4}") for k in range(12)], "page_id long, html string")
     path = f"file://{tmp_path}/out"
