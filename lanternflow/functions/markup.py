@@ -5,7 +5,6 @@ Texts are folded piece by piece with aggregate, so all of it stays in the JVM.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from html.entities import html5
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from lanternflow.functions.text import SPACES, strip
 
 #: Names of character references, with the semicolon, and what they stand for.
-_NAMED = json.dumps({name: value for name, value in html5.items() if name.endswith(";")}).replace("'", "\\u0027")
+_NAMED = "\x02".join(f"{name}\x01{value}" for name, value in sorted(html5.items()) if name.endswith(";"))
 
 
 def decode_entities(c: Column) -> Column:
@@ -26,37 +25,11 @@ def decode_entities(c: Column) -> Column:
     # Zero, half surrogates and what is beyond Unicode become U+FFFD.
     valid = lambda n: F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), n).otherwise(F.lit(0xFFFD))
     number = lambda x: F.decode(F.unhex(F.lpad(F.hex(valid(code(x))), 8, "0")), "UTF-32")
-    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    named = F.str_to_map(F.lit(_NAMED), F.lit("\x02"), F.lit("\x01"))
     one = lambda x: F.when(x.startswith("&#"), number(x)).when(x.startswith("&") & (F.length(x) > 1), F.coalesce(F.try_element_at(named, F.substring(x, F.lit(2), F.length(x))), x)).otherwise(x)
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
-def container(html: Column, tag: str = "article") -> Column:
-    """What the first element of this name holds; null where there is none."""
-    return F.nullif(F.regexp_extract(F.coalesce(html, F.lit("")), rf"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>", 1), F.lit(""))
-
-
-def to_markdown(html: Column) -> Column:
-    """Markdown of an HTML fragment: headings, paragraphs, line breaks, list items, links, bold and italic text."""
-    steps = [(r"(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", ""), (r"\s*\n\s*", " ")]
-    steps += [(rf"<h{n}(?: [^>]*)?>", "\n\n" + "#" * n + " ") for n in range(1, 7)]
-    steps += [
-        (r"</h[1-6]>|</?(?:p|div|section)(?: [^>]*)?>", "\n\n"),
-        (r"<br ?/?>", "\n"),
-        (r"<li(?: [^>]*)?>", "\n  * "),
-        (r"(?s)<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"),
-        (r"</?(?:b|strong)>", "**"),
-        (r"</?(?:i|em)>", "_"),
-        (r"<[^>]+>", ""),
-    ]
-    for pattern, value in steps:
-        html = F.regexp_replace(html, pattern, value)
-    html = F.replace(decode_entities(html), F.lit("\u00a0"), F.lit(" "))
-    for pattern, value in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
-        html = F.regexp_replace(html, pattern, value)
-    return html
-
-
 def breadcrumb_context(html: Column, tag: str = "nav", split_text: bool = False) -> Column:
     """Context: A > B and a blank line, from the list items of the first such element; else, if asked for, from its text cut at >."""
     block = container(html, tag)
@@ -91,6 +64,63 @@ def hrefs(html: Column) -> Column:
     return F.filter(F.transform(tags, lambda t: attribute(t, "href")), lambda x: x.isNotNull())
 
 
+def container(html: Column, tag: str = "article") -> Column:
+    """What the first element of this name holds, up to its own end tag or the end of the page; null where there is none, or nothing in it."""
+    rest = F.regexp_extract(F.coalesce(html, F.lit("")), rf"(?is)<{tag}(?:\s[^>]*)?>(.*)\z", 1)
+    # Each piece but the first begins with a tag of this name; pieces are taken until as many are closed as were opened.
+    pieces = F.split(rest, rf"(?i)(?=</?{tag}(?:[\s/][^>]*)?>)")
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    deeper = lambda x: F.when(F.lower(F.substring(x, 1, len(tag) + 2)) == f"</{tag}", -1).when(F.lower(F.substring(x, 1, len(tag) + 1)) == f"<{tag}", 1).otherwise(0)
+    step = lambda s, x: F.when(s["depth"] <= 0, s).otherwise(_let(s["depth"] + deeper(x), lambda d: F.struct(d.alias("depth"), F.when(d > 0, s["n"] + 1).otherwise(s["n"]).alias("n"))))
+    return _let(pieces, lambda p: F.nullif(F.array_join(F.slice(p, F.lit(1), F.aggregate(p, start, step)["n"]), ""), F.lit("")))
+
+
+#: Rewriting steps; attribute values may hold > in quotes.
+_IN_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
+_VALUE = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_STEPS = [
+    *((rf"(?i)<h{n}(?:\s[^>]*)?>", "\n\n" + "#" * n + " ") for n in range(1, 7)),
+    (r"(?i)</h[1-6]>|</?(?:p|div|section|blockquote|table)(?:\s[^>]*)?>|</?pre>", "\n\n"),
+    (r"(?i)<br\s*/?>|</tr>", "\n"),
+    (r"(?i)<hr\s*/?>", "\n\n* * *\n\n"),
+    (r"(?i)<li(?:\s[^>]*)?>", "\n  * "),
+    (r"(?i)</t[dh]>\s*<t[dh](?:\s[^>]*)?>", " | "),
+    (rf"(?is)<img(?=[^>]*?\ssrc\s*=\s*{_VALUE})(?=[^>]*?\salt\s*=\s*{_VALUE}){_IN_TAG}", "![$4$5$6]($1$2$3)"),
+    (rf"(?is)<img(?=[^>]*?\ssrc\s*=\s*{_VALUE}){_IN_TAG}", "![]($1$2$3)"),
+    (rf"(?is)<a\b(?=[^>]*?\shref\s*=\s*{_VALUE}){_IN_TAG}(.*?)</a\s*>", "[$4]($1$2$3)"),
+    (r"(?i)</?(?:b|strong)>", "**"),
+    (r"(?i)</?(?:i|em)>", "_"),
+    (r"(?i)</?(?:code|tt)>", "`"),
+    (rf"</?[A-Za-z]{_IN_TAG}|<[!?/][^>]*>", ""),
+]
+#: Stands for a line end in preformatted text while others are taken away; of the private use area.
+_LINE = "\ue000"
+
+
+def _within(html: Column, tag: str, change: Callable[[Column], Column]) -> Column:
+    """html with change() made to each element of this name, up to its first end tag. Without such an element nothing is cut."""
+    parts = F.split(html, rf"(?i)(?=<{tag}[\s>])|(?<=</{tag}>)")
+    mine = lambda x: F.lower(F.substring(x, 1, len(tag) + 1)) == f"<{tag}"
+    return F.when(html.rlike(rf"(?i)<{tag}[\s>]"), F.array_join(F.transform(parts, lambda x: F.when(mine(x), change(x)).otherwise(x)), "")).otherwise(html)
+
+
+def to_markdown(html: Column) -> Column:
+    """Markdown of an HTML fragment: headings, paragraphs, line breaks, list items (those of ol numbered), links and images in any quoting, rows of
+    tables with | between cells, preformatted, bold and italic text and code; comments, scripts and styles are left out."""
+    html = F.regexp_replace(html, _HIDDEN, "")
+    html = _within(html, "pre", lambda x: F.replace(F.regexp_replace(x, r"(?i)<pre(?:\s[^>]*)?>", "<pre>    "), F.lit("\n"), F.lit(_LINE + "    ")))
+    html = F.regexp_replace(html, r"\s*\n\s*", " ")
+    items = lambda x: F.array_join(F.transform(F.split(x, r"(?i)<li(?:\s[^>]*)?>"), lambda y, n: F.when(n == 0, y).otherwise(F.concat(F.lit("\n  "), n.cast("string"), F.lit(". "), y))), "")
+    html = _within(html, "ol", items)
+    for pattern, value in _STEPS:
+        html = F.regexp_replace(html, pattern, value)
+    html = F.replace(F.replace(decode_entities(html), F.lit("\u00a0"), F.lit(" ")), F.lit(_LINE), F.lit("\n"))
+    for pattern, value in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+        html = F.regexp_replace(html, pattern, value)
+    return html
+
+
 def split_headings(markdown: Column) -> Column:
     """Pieces of a text, cut before headings of level 1 to 3; none is blank."""
     return F.filter(F.transform(F.split(markdown, r"(?md)(?=^#{1,3}\s)"), strip), lambda x: x != "")

@@ -1,6 +1,7 @@
 """Cutting of long texts, character references and links."""
 
 import html as stdlib_html
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -72,3 +73,22 @@ def test_links_in_any_form(spark):
     assert len(one(spark, many, M.hrefs)) == 20_000
     wide = "<a " + 'x="y" ' * 3000 + "href='/u'>"
     assert one(spark, wide, M.hrefs) == ["/u"]
+
+
+def shown(spark, html):
+    return one(spark, html, M.to_markdown)
+
+
+def test_markdown_of_lists_tables_and_links(spark):
+    assert shown(spark, "<ol><li>one</li><li class=x>two</li></ol><p>and</p><ul><li>x</li></ul><OL><LI>again</OL>") == "1. one\n  2. two\n\nand\n\n  * x\n  1. again"
+    assert shown(spark, "a<table><tr><th>h1</th><th>h2</th></tr>\n<tr><td>1</td> <td>2</td></tr></table>b") == "a\n\nh1 | h2\n 1 | 2\n\nb"
+    assert shown(spark, "a<pre>x\n  y</pre>b\nc") == "a\n\n    x\n      y\n\nb c"
+    assert shown(spark, "<A HREF='/u'>l</A> <a name=n>no</a> <a href=/v title='>'>v</a> <img src=/i.png alt=\"p &eacute;\"><img alt=q src='/j'><IMG SRC=/k>") == "[l](/u) no [v](/v) ![p é](/i.png)![q](/j)![](/k)"
+    assert shown(spark, "1 &lt; 2 &#8212; &lt;b&gt; 3 < 4<hr>x<code>y</code>") == "1 < 2 — <b> 3 < 4\n\n* * *\n\nx`y`"
+    assert shown(spark, "<p>a<!-- <b>no</b> --></p><script>no</script><style>no</style><!-- open") == "a"
+    assert shown(spark, None) is None and shown(spark, "") == ""
+
+
+def test_containers_that_nest(spark):
+    for html, want in (("<article>a<article>b</article>c</article>d", "a<article>b</article>c"), ("<ARTICLE class=x>q</ARTICLE>", "q"), ("<article>open", "open"), ("<article></article>", None), ("<articles>no</articles>", None), (None, None)):
+        assert one(spark, html, M.container) == want
