@@ -27,9 +27,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing. codec: Spark's own if not given."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
