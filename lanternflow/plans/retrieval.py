@@ -6,8 +6,6 @@ texts are the questions, with the vector of the same number.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +34,22 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return R.corpus(_chunks(spark, d), _vectors(spark, d))
 
 
-@functools.lru_cache(maxsize=8)
-def _indexes(app: str, d: str) -> tuple[R.Index, R.VectorIndex]:
-    rows = _corpus(SparkSession.getActiveSession(), d)
-    return R.Index(rows), R.VectorIndex(rows)
+_INDEXES: dict[tuple[str, str], tuple[R.Index, R.VectorIndex]] = {}
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def _indexed(spark: SparkSession, d: str) -> tuple[R.Index, R.VectorIndex]:
-    """The corpus' stored indexes; all queries of a session share them."""
-    return _indexes(spark.sparkContext.applicationId, d)
+    """The corpus' stored indexes; all queries of a session share them as long as they are there."""
+    key = spark.sparkContext.applicationId, d
+    held = _INDEXES.get(key)
+    if held is None or not all(_there(spark, index.path) for index in held):
+        rows = _corpus(spark, d)
+        held = _INDEXES[key] = R.Index(rows), R.VectorIndex(rows)
+    return held
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
