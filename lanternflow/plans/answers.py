@@ -22,7 +22,7 @@ def routed_answers(spark, d):
 
     def retrieve(questions: DataFrame) -> DataFrame:
         vectors = P._query_vectors(spark, d).join(questions.select("query_id"), "query_id", "left_semi")
-        best = R.hybrid_search(P._corpus(spark, d), questions, vectors, P.K)
+        best = R.hybrid_search(P._corpus(spark, d), questions, vectors, P.K, *P._indexed(spark, d))
         return R.rag_prompts(questions, R.build_context(R.parent_extracts(best, P._extracts(spark, d), 6)), P.SYSTEM)
 
     out = C.answered(P._queries(spark, d), _cache(spark, d), retrieve)
