@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternflow.llm.shared import drop_rows, hot_join, materialise, mix, popcount, row_key, shingle_runs, small_batches, split_by_bitmap
+from lanternflow.llm import shared
+from lanternflow.llm.shared import drop_rows, hot_join, mix, popcount, row_key, shingle_runs, small_batches, split_by_bitmap
 
 BANDS, ROWS = 40, 4
 #: Two documents link when 100 * |intersection| >= PERCENT * |union|.
@@ -42,6 +43,12 @@ BITS_PER_SHINGLE = 4
 _MIN_BITS, _MAX_BITS = 64, 1 << 18
 _CHUNK = 1 << 19
 
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """A written table in Zstandard. The default codec takes buffers outside the heap, which many short tasks leave behind until the heap is collected."""
+    return shared.materialise(df, name, "zstd")
+
+
 _MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
