@@ -5,10 +5,12 @@ has `capacity` entries at most, whatever the corpus holds. On it:
 
 1. large lengths, sorted downwards, are cut into groups of equal cardinality and rounded up to the
    largest length of their group;
-2. configurations of these few sizes are chosen, the largest size first, each the fullest that a
-   subset-sum table finds, and used as often as its groups allow;
-3. the documents themselves take the places of the rounded sizes, which frees what rounding added;
-4. small documents, the longest first, go to the tightest gap that holds them.
+2. configurations of these few sizes are optimised by column generation and used as often as the
+   solution, rounded down, says; where rounding up costs too much, half as often, and the rest is grouped anew;
+3. the documents themselves take the places of the rounded sizes; what rounding added goes to longer
+   documents in the last two places of a sequence;
+4. the large documents that rounding down left and the small ones, the longest first, go to the
+   tightest gap that holds them.
 
 All of it works on runs of equal lengths, so the plan is a table of a bounded number of intervals:
 the documents of rank lo to hi among those of one length lie in these sequences at this offset.
@@ -32,7 +34,12 @@ from pyspark.sql import functions as F
 from lanternflow.llm.shared import materialise, small_batches
 
 CAPACITY = 2048
-GROUPS = 512
+GROUPS = 48
+#: Steps of the column generation, several times what 80 sizes need.
+ROUNDS = 2000
+#: Times that the large documents are grouped anew, where once is not enough. All turns but the last use configurations half as often as
+#: the solution says, so only what is left at last is packed as loosely as rounding up asks.
+TURNS = 6
 #: Documents of more than capacity // SMALL_SHARE are large: up to five of them are in one configuration.
 SMALL_SHARE = 6
 #: Rows of a bucket in which pieces of one length are numbered.
@@ -100,30 +107,104 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(_pieces(capacity, tokenizer_path), _PIECE)
 
 
-def _fullest(sizes: np.ndarray, left: np.ndarray, room: int) -> list[int]:
-    """Indexes of sizes (downwards) whose sum is as close to room as a subset-sum table finds, no more often than left.
-
-    The table is the bits of an integer. Each step adds one more copy of a size; a sum is noted where it is first
-    reached, so the way back takes every step once at most.
+def _grouped(large: list[int], left: dict[int, int], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, downwards, and how many documents are rounded up to each: groups of equal cardinality take the length of their longest document."""
+    falling = np.array(large[::-1])
+    bounds = np.cumsum([left[n] for n in large[::-1]])
+    total = int(bounds[-1])
+    cuts = np.array(sorted({total * g // groups for g in range(groups + 1)}))
+    tops = falling[np.searchsorted(bounds, cuts[:-1], side="right")]
+    sizes, own = np.unique(-tops, return_inverse=True)  # groups of one size are one
+    return -sizes, np.bincount(own, weights=np.diff(cuts)).astype(np.int64)
+
+
+def _dearest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of most worth: its worth, and how often it holds each size. A table over the room, a level an item."""
+    useful = np.flatnonzero(worth > 0)
+    below = np.arange(capacity + 1) - sizes[useful, None]
+    below[below < 0] = capacity + 1  # no room: worth nothing at all
+    top, levels = np.append(np.zeros(capacity + 1), -np.inf), []
+    for _ in range(capacity // int(sizes.min()) if len(useful) else 0):
+        with_it = top[below] + worth[useful, None]
+        chosen = with_it.argmax(axis=0)
+        best = with_it[chosen, np.arange(capacity + 1)]
+        better = best > top[:-1] + 1e-12
+        if not better.any():
+            break
+        levels.append(np.where(better, useful[chosen], -1))
+        top[:-1] = np.where(better, best, top[:-1])
+    counts, room = np.zeros(len(sizes)), capacity
+    for chosen in reversed(levels):
+        if (i := int(chosen[room])) >= 0:
+            counts[i] += 1
+            room -= int(sizes[i])
+    return float(top[capacity]), counts
+
+
+def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
+    """Configurations (sizes, falling) and how often each is used, never more often than demand allows.
+
+    The fewest sequences as a linear programme by column generation: prices of the sizes from the configurations in
+    use, then the configuration of most worth at these prices joins them, until none is worth more than a sequence.
+    Uses are rounded down. After `rounds` steps what is found so far is taken: it needs no more sequences than before.
     """
-    within, reach = (1 << (room + 1)) - 1, 1
-    steps: list[tuple[int, int, int]] = []
-    for i, (size, n) in enumerate(zip(sizes.tolist(), left.tolist())):
-        for _ in range(min(n, room // size)):
-            new = (reach << size) & within & ~reach
-            if not new:
-                break
-            steps.append((i, size, new))
-            reach |= new
-        if reach >> room & 1:
+    basis = np.diag(np.floor(capacity / sizes)).astype(float)
+    used = demand / basis.diagonal()
+    for _ in range(rounds):
+        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        worth, column = _dearest(sizes, prices, capacity)
+        if worth <= 1 + 1e-9:
             break
-    at = reach.bit_length() - 1
-    out: list[int] = []
-    for i, size, new in reversed(steps):
-        if new >> at & 1:
-            out.append(i)
-            at -= size
-    return sorted(out)
+        along = np.linalg.solve(basis, column)
+        ratios = np.where(along > 1e-9, used / np.where(along > 1e-9, along, 1.0), np.inf)
+        # Of those that leave at once, the one with the largest step keeps the basis well-conditioned.
+        basis[:, int(np.where(ratios <= ratios.min() + 1e-9, along, 0.0).argmax())] = column
+        used = np.maximum(np.linalg.solve(basis, demand.astype(float)), 0.0)
+    out: list[tuple[list[int], int]] = []
+    left = demand.astype(np.int64).copy()
+    for column, times in zip(basis.T.astype(np.int64), np.floor(used + 1e-6).astype(np.int64)):
+        held = np.flatnonzero(column)
+        times = min(int(times), int((left[held] // column[held]).min()))
+        if times > 0:
+            left -= column * times
+            out.append((np.repeat(sizes[held], column[held]).tolist(), times))
+    return sorted(out, reverse=True)
+
+
+def _documents(config: list[int], large: list[int], left: dict[int, int], capacity: int) -> list[int]:
+    """Lengths (of large, rising, none used up) for the places of a configuration of these sizes.
+
+    A place takes the longest document that fits its size, but the last two the pair that fills the room best and, of
+    equal ones, is nearest to their sizes. A place that no document fits stays free.
+    """
+    places: list[int] = []
+    room = capacity
+
+    def longest(most: int) -> int:
+        """Where the longest document of at most this length is; -1 if there is none."""
+        k = bisect.bisect_right(large, most) - 1
+        while k >= 0 and left[large[k]] <= places.count(large[k]):
+            k -= 1
+        return k
+
+    for at, size in enumerate(config):
+        last = at >= len(config) - 1
+        if at == len(config) - 2:
+            lengths = np.array([n for n in large if n < room and left[n] > places.count(n)], dtype=np.int64)
+            other = np.searchsorted(lengths, room - lengths, side="right") - 1
+            own = np.array([left[n] - places.count(n) for n in lengths.tolist()]) < 2
+            other -= (other == np.arange(len(lengths))) & own  # a document is its own partner only if there are two of its length
+            good = np.flatnonzero(other >= 0)
+            if len(good):
+                sums = lengths[good] + lengths[other[good]]
+                good = good[sums == sums.max()]
+                k = good[np.abs(lengths[good] - size).argmin()]
+                places += [int(lengths[k]), int(lengths[other[k]])]
+                break
+        if (k := longest(room if last else size)) >= 0:
+            places.append(large[k])
+            room -= large[k]
+    return places
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -131,7 +212,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
 
     The document of rank r (lo <= r < hi) among those of this length lies in sequence
     sequence + (r - lo) // per_sequence at offset + (r - lo) % per_sequence * length.
+
+    Large documents are grouped once; where that leaves more than a ten-thousandth above the lower bound, in several turns too,
+    and the fewer sequences count.
     """
+    longs = sum(c for n, c in histogram.items() if n > capacity // 2)
+    least = max(longs, -(-sum(n * c for n, c in histogram.items()) // capacity))
+    once = _plan(histogram, capacity, groups, 1)
+    if once[1] <= least + max(1, least // 10_000):
+        return once
+    return min(once, _plan(histogram, capacity, groups, TURNS), key=lambda found: found[1])
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, turns: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     intervals: list[tuple[int, int, int, int, int, int]] = []
     gaps: dict[int, list[tuple[int, int]]] = {}
     open_gaps: list[int] = []
@@ -143,47 +236,34 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                 bisect.insort(open_gaps, room)
             gaps[room].append((base, count))
 
-    lengths = sorted((n for n, c in histogram.items() if c and n > capacity // SMALL_SHARE), reverse=True)
-    bounds = np.cumsum([0, *(histogram[n] for n in lengths)])
-    total = int(bounds[-1])
-    cuts = sorted({total * g // groups for g in range(groups + 1)}) if total else [0]
-    pointer = cuts[:-1]
-    pointer = [int(x) for x in pointer]
-    ends = cuts[1:]
-
-    def at(rank: int) -> int:
-        return int(np.searchsorted(bounds, rank, side="right")) - 1
-
-    sizes = np.array([lengths[at(p)] for p in pointer], dtype=np.int64)
-    left = np.array([e - p for p, e in zip(pointer, ends)], dtype=np.int64)
+    left = {n: c for n, c in histogram.items() if c}
+    taken = dict.fromkeys(left, 0)
+    large = sorted(n for n in left if n > capacity // SMALL_SHARE)
     sequence = 0
-    for g in range(len(sizes)):
-        while left[g]:
-            left[g] -= 1
-            config = [g, *_fullest(sizes, left, capacity - int(sizes[g]))]
-            left[g] += 1
-            need = np.bincount(config, minlength=len(sizes))
-            used = np.flatnonzero(need)
-            times = int((left[used] // need[used]).min())
-            places = []
-            for i in config:
-                places.append(pointer[i])
-                pointer[i] += times
-            left[used] -= need[used] * times
-            done = 0
-            while done < times:  # runs in which no place changes its length
-                which = [at(p + done) for p in places]
-                run = min([times - done, *(int(bounds[k + 1]) - (p + done) for k, p in zip(which, places))])
+    for turn in range(turns):
+        if not large:
+            break
+        for config, times in _configurations(*_grouped(large, left, groups), capacity):
+            times = times if turn == turns - 1 else -(-times // 2)
+            while times:
+                places = _documents(config, large, left, capacity)
+                if not places:
+                    break
+                run = min([times, *(left[n] // places.count(n) for n in places)])
                 offset = 0
-                for k, p in zip(which, places):
-                    lo = p + done - int(bounds[k])
-                    intervals.append((lengths[k], lo, lo + run, sequence, 1, offset))
-                    offset += lengths[k]
+                for n in places:
+                    intervals.append((n, taken[n], taken[n] + run, sequence, 1, offset))
+                    taken[n] += run
+                    left[n] -= run
+                    offset += n
+                for n in set(places):
+                    if not left[n]:
+                        large.remove(n)
                 add_gap(capacity - offset, sequence, run)
                 sequence += run
-                done += run
-    for n in sorted((n for n, c in histogram.items() if c and n <= capacity // SMALL_SHARE), reverse=True):
-        rank, rest = 0, histogram[n]
+                times -= run
+    for n in sorted(left, reverse=True):
+        rank, rest = taken[n], left[n]
         while rest:
             k = bisect.bisect_left(open_gaps, n)
             if k == len(open_gaps):
