@@ -75,6 +75,77 @@ def container(html: Column, tag: str = "article") -> Column:
     return _let(pieces, lambda p: F.nullif(F.array_join(F.slice(p, F.lit(1), F.aggregate(p, start, step)["n"]), ""), F.lit("")))
 
 
+#: Comments, and elements whose text holds no tags.
+_NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)\b[^>]*>.*?(?:</\1\s*>|\z)"
+
+
+def is_tag(selector: Column) -> Column:
+    """Whether a selector is the name of a tag alone, of those whose end tag is never left out."""
+    return selector.rlike(r"^[a-z][a-z0-9]*$") & ~selector.isin(*"li p dt dd tr td th option area base br col embed hr img input link meta source track wbr".split())
+
+
+def _matches(html: Column, *pattern: Column | str) -> Column:
+    parts = (F.lit(x) if isinstance(x, str) else x for x in pattern)
+    return F.size(F.regexp_extract_all(html, F.concat(*parts), F.lit(0)))
+
+
+def plain_elements(html: Column, tag: Column) -> Column:
+    """Whether all that looks like tags of this name is one: no comment, script or attribute holds any, none closes itself or leaves an
+    attribute open, and there are as many end tags as begin tags. Then own_part finds what a parser would."""
+    shown = F.regexp_replace(html, _NO_TAGS, "")
+    begins = _matches(html, "(?i)<", tag, r"(?=[\s/>])")
+    strict = _matches(shown, "(?i)<", tag, r"(?:\s+[\w:-]+(?:=(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=/]+))?)*\s*>")
+    quoted = F.rlike(html, F.concat(F.lit(r"(?i)=\s*(?:\"[^\"]*<"), tag, F.lit(r"|'[^']*<"), tag, F.lit(")")))
+    return (begins == strict) & (_matches(html, "(?i)</", tag, r"\s*>") == begins) & (_matches(html, "(?i)</", tag, r"(?=[\s/>])") == begins) & ~quoted
+
+
+def own_part(html: Column, tag: Column) -> Column:
+    """What the first element of this name, itself a column, holds up to its own end tag; null without such an element."""
+    pieces = F.split(html, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"(?:\s[^>]*)?>)")))
+    opens = lambda x: F.rlike(x, F.concat(F.lit("(?i)^<"), tag, F.lit(r"[\s>]")))
+    closes = lambda x: F.rlike(x, F.concat(F.lit("(?i)^</"), tag, F.lit(r"[\s>]")))
+    # begin and end: the pieces, from 1, that begin with the first begin tag and with its end tag.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(0).alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(opens(x), 1).when(closes(x) & (s["begin"] > 0), -1).otherwise(0)
+        return _let(
+            F.struct((s["at"] + 1).alias("at"), depth.alias("depth")),
+            lambda n: F.struct(
+                n["at"].alias("at"),
+                n["depth"].alias("depth"),
+                F.when((s["begin"] == 0) & (n["depth"] > 0), n["at"]).otherwise(s["begin"]).alias("begin"),
+                F.when((s["end"] == 0) & (s["begin"] > 0) & (n["depth"] == 0), n["at"]).otherwise(s["end"]).alias("end"),
+            ),
+        )
+
+    def part(p: Column) -> Column:
+        held = lambda s: F.array_join(F.slice(p, s["begin"], s["end"] - s["begin"]), "")
+        return _let(F.aggregate(p, start, step), lambda s: F.when((s["begin"] > 0) & (s["end"] > 0), F.regexp_replace(held(s), r"\A<[^>]*>", "")))
+
+    return _let(pieces, part)
+
+
+def shown_texts(html: Column) -> Column:
+    """The texts between tags, decoded and stripped; none is empty."""
+    texts = F.transform(F.split(F.regexp_replace(html, _HIDDEN, ""), "<[^>]*>"), lambda x: strip(decode_entities(x)))
+    return F.filter(texts, lambda x: x != "")
+
+
+def crumb_items(block: Column, from_text: Column) -> Column:
+    """The items of a breadcrumb; without items, if asked for, its text cut at >."""
+    items = F.filter(F.transform(F.regexp_extract_all(block, F.lit(r"(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>"), F.lit(1)), lambda x: F.array_join(shown_texts(x), "")), lambda x: x != "")
+    words = F.filter(F.transform(F.split(F.array_join(shown_texts(block), ""), ">"), strip), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.when(F.size(items) > 0, items).when(from_text, words), none)
+
+
+def plain_items(block: Column) -> Column:
+    """Whether the items of a breadcrumb are closed each and hold no others."""
+    begins, ends = _matches(block, r"(?i)<li(?=[\s/>])"), _matches(block, r"(?i)</li\s*>")
+    return (begins == ends) & (_matches(block, r"(?is)<li(?:\s[^>\"']*+(?:\"[^\"<>]*\"[^>\"']*+)*)?>(?:(?!<li[\s/>]).)*?</li\s*>") == begins) & ~block.rlike(r"(?i)<!--|<script|<style")
+
+
 #: Rewriting steps; attribute values may hold > in quotes.
 _IN_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
 _VALUE = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"

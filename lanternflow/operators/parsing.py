@@ -46,12 +46,38 @@ def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARTS.split(", ")])
 
 
+def _native(joined: DataFrame) -> Column:
+    """Whether a page's parts are found without a parser: plain tags for selectors, no tabs, nothing like an accordion, tags that are what they seem."""
+    html, box, nav = F.col("html"), F.col("container"), F.col("breadcrumb")
+    no_crumbs = F.coalesce(F.trim(nav) == "", F.lit(True))
+    crumbs = no_crumbs | (M.is_tag(nav) & M.plain_elements(html, nav) & F.coalesce(M.plain_items(M.own_part(html, nav)), F.lit(True)))
+    simple = (F.col("rule") != "tabs") & ((F.col("rule") != "sections") | ~html.rlike(r"(?i)<details|accordion|collapse"))
+    return F.coalesce(M.is_tag(box) & simple & M.plain_elements(html, box) & crumbs, F.lit(False))
+
+
 def page_parts(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """The parts of each page (page_id, site_id, html) that its site's rules name: body, intro, steps of tabs, accordion items and breadcrumbs."""
+    """The parts of each page (page_id, site_id, html) that its site's rules name: body, intro, steps of tabs, accordion items and breadcrumbs.
+
+    Where container and breadcrumb are plain tags and the page's tags are what they seem, all of it is native; other pages go through a parser in
+    tasks. Native, an element ends at its own end tag, also where tags are not nested.
+    """
     if "crumb_text" not in rules.columns:
         rules = rules.withColumn("crumb_text", F.lit(False))
     joined = pages.select("page_id", "site_id", "html").join(rules.select("site_id", "container", "breadcrumb", "rule", "crumb_text"), "site_id")
-    return joined.select("page_id", "html", "container", "breadcrumb", "rule", "crumb_text").mapInPandas(_parts, _PARTS)
+    joined = joined.select("page_id", "html", "container", "breadcrumb", "rule", "crumb_text")
+    native = _native(joined)
+    none = lambda kind: F.array().cast(kind)
+    nav = F.when(F.trim("breadcrumb") != "", M.own_part(F.col("html"), F.col("breadcrumb")))
+    plain = joined.filter(native).select(
+        "page_id",
+        "rule",
+        M.own_part(F.col("html"), F.col("container")).alias("body"),
+        F.lit(None).cast("string").alias("intro"),
+        none("array<struct<n:string,html:string>>").alias("steps"),
+        none("array<string>").alias("items"),
+        M.crumb_items(nav, F.coalesce("crumb_text", F.lit(False))).alias("crumbs"),
+    )
+    return plain.filter("body is not null").unionByName(joined.filter(~native).mapInPandas(_parts, _PARTS))
 
 
 def _filled(pieces: Column) -> Column:
