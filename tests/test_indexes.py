@@ -47,6 +47,18 @@ def texts(seed, n):
 QUERIES = [(q, f"the w{q} rare w{q + 1} unknown") for q in range(12)] + [(50, "the"), (99, "nowhere")]
 
 
+def test_a_bucket_is_one_task(spark, tmp_path):
+    """Postings of a bucket lie in one file, and a bucket's size does not grow with the table; all scores are made by bucket, without an exchange by term."""
+    index = R.Index(spark.range(20_000).selectExpr("id AS chunk_id", "concat('the w', id % 50) AS text"), f"file://{tmp_path}/index")
+    own = index.segments[0]
+    assert own.buckets == 10
+    assert R.Index(spark.range(40_000).selectExpr("id AS chunk_id", "'a' AS text"), f"file://{tmp_path}/more").segments[0].buckets == 20
+    files = index._posts(own).select("bucket", F.input_file_name().alias("f")).distinct().groupBy("bucket").count()
+    assert files.filter("count > 1").count() == 0
+    plan = R.bm25(index, spark.createDataFrame([(1, "the w3")], "query_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == 1 and "hashpartitioning(term" not in plan.split("BroadcastHashJoin")[0]
+
+
 def test_blocks_that_do_not_matter_are_not_read(spark):
     corpus = spark.createDataFrame(texts(1, 1500), "chunk_id long, text string")
     queries = spark.createDataFrame(QUERIES, "query_id long, text string")
