@@ -11,7 +11,7 @@ from lanternflow.functions import urls as U
 from lanternflow.operators import ingest as I
 from lanternflow.operators import parsing as P
 from lanternflow.operators import tables as B
-from lanternflow.sources.scratch import scratch_path
+from lanternflow.sources.scratch import materialise, scratch_path
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -148,7 +148,7 @@ def chunks_replaced(spark, d):
 
 
 def pipeline_counts(spark, d):
-    e = P.extracts(_site_pages(spark, d), _rules(spark, d))
+    e = materialise(P.extracts(_site_pages(spark, d), _rules(spark, d)), "extracts")  # read twice, parsed once
     c = P.chunks(e)
     per = e.groupBy("page_id").agg(F.count("*").alias("n_extracts")).join(c.groupBy("page_id").agg(F.count("*").alias("n_chunks")), "page_id", "left")
     return per.select("page_id", "n_extracts", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
@@ -157,8 +157,9 @@ def pipeline_counts(spark, d):
 def pipeline_totals(spark, d):
     """The chunks of every second page have a vector."""
     pages, rules = _site_pages(spark, d), _rules(spark, d)
-    e = P.extracts(pages, rules)
-    c = P.chunks(e).withColumn("chunk_id", F.concat_ws("/", "page_id", "extract_index", "chunk_index"))
+    e = materialise(P.extracts(pages, rules), "extracts")
+    c = P.chunks(e).select("page_id", F.concat_ws("/", "page_id", "extract_index", "chunk_index").alias("chunk_id"))
+    c = materialise(c, "chunk_ids")
     return P.pipeline_totals(pages, e, c, c.filter("page_id % 2 = 0"), snapshot_merge(spark, d))
 
 

@@ -17,3 +17,12 @@ def test_flagship(spark):
     out = entry.entry(spark)
     assert out.columns[:3] == ["query_id", "rank", "score"]
     assert out.count() > 0
+
+
+def test_pages_are_parsed_once(spark):
+    """The queries that count extracts and chunks read stored ones."""
+    from lanternflow.plans import content
+
+    for name in ("pipeline_counts", "pipeline_totals"):
+        plan = content.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" not in plan and "/extracts-" in plan
