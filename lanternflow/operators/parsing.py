@@ -19,6 +19,8 @@ SITE_RULES = "site_id long, root_url string, name string, container string, brea
 _PARTS = "page_id long, rule string, body string, intro string, steps array<struct<n:string,html:string>>, items array<string>, crumbs array<string>"
 #: Fixed value: what stands between the items of an accordion.
 _ITEM = "\n\nAccordion Item\n\nClosed Title:"
+#: Pages whose parts a task holds at once.
+_SLICE = 100
 
 
 def seed_rules(rules: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def seed_rules(rules: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The parts that the rules name, as source. A page without its container gives no row."""
-    for f in frames:
+    for f in (f[at : at + _SLICE] for f in frames for at in range(0, len(f), _SLICE)):
         rows = []
         for page_id, html, container, breadcrumb, rule, crumb_text in f.itertuples(index=False):
             page = E.Page(html or "")

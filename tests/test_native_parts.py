@@ -37,3 +37,12 @@ def test_native_parts(spark):
                 assert {r["page_id"]: r for r in P.page_parts(given, rules).collect()} == want
     native = {r[0] for r in joined.filter(P._native(joined)).select("page_id").collect()}
     assert {0, 3} <= native and not native & {1, 2, 5, 6, 7, 10}
+
+
+def test_parts_come_in_slices():
+    """A task hands on the parts of few pages at a time, however large Spark's batch is."""
+    import pandas as pd
+
+    pages = pd.DataFrame([(k, "<main>x</main>", "main", "", "whole", False) for k in range(950)])
+    out = list(P._parts(iter([pages])))
+    assert max(map(len, out)) <= 100 and [x for f in out for x in f["page_id"]] == list(range(950))
