@@ -9,7 +9,8 @@ strings of the document that have this anchor there, about 35 of them in 135 byt
 Anchors that are in very many segments are not held by one task. Their segments are dealt out by their bytes and
 a salt: all copies of a segment but the first are repeats as a whole, and are marked as they stream by. The first
 ones meet once more without salt. Distinct segments of an anchor are sorted in one task if there are few;
-if there are many, they are cut into their 100-byte strings, which are dealt out in the same way.
+if there are many, their strings are dealt out anew by longer anchors, of 66 bytes, then 83 and so on up to the whole string. Each
+cuts a segment into a few pieces, which overlap by less than a string; only pieces whose anchor is still in many go on to the next.
 
 Equal segments of an anchor are found first: all but the earliest are repeats as a whole, and only the distinct
 ones are sorted. How they are sorted: deep-shallow. A multikey quicksort (eight bytes a key, three-way
@@ -36,39 +37,43 @@ from lanternflow.llm.shared import BLOCK_BYTES, DOWN, materialise, mix, running_
 
 LENGTH, ANCHOR = 100, 32
 SHALLOW = 3
-_SPAN = LENGTH - ANCHOR + 1
+#: Longer anchors, for strings whose anchor is in too many distinct segments; the last one is the string.
+LONGER = (66, 83, 92, 96, 98, 100)
 #: Places within a block of text are below BLOCK_BYTES.
 _PLACE_BITS = BLOCK_BYTES.bit_length()
 #: Bounds of the filter of repeated anchors, in bits: 128 KB to 32 MB. It has eight bits for each repeated anchor; beyond that more anchors pass and are dropped after the shuffle.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _CHUNK = 1 << 19
 _BATCH_SEGMENTS = 20_000
-#: An anchor in more segments than this is frequent; one with more than SPLIT distinct segments is cut into strings.
+#: An anchor in more segments than this is frequent; one with more than SPLIT distinct segments is parted by longer anchors.
 FREQUENT, SPLIT, SALTS = 1_000, 1_000, 64
 _FOUND = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("key", pa.int64()), ("segment", pa.binary())])
 _FOUND_SQL = "doc long, row long, lo long, hi long, key long, segment binary"
+_SEGMENT_SQL = "key long, salt int, doc long, row long, start long, segment binary"
 _LAST = [*range(0, LENGTH - 8, 8), LENGTH - 8]
 
 
-def _anchors(data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _anchors(data: np.ndarray, begins: np.ndarray, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Segments of texts that lie one after the other in data, a block of bytes at a time: number of the text, first and last start within data, anchor's hash.
 
     begins: where texts begin, and the end of the last. Blocks overlap by what a string needs, so each string is in one of them.
+    anchor: bytes of an anchor.
     """
+    span = LENGTH - anchor + 1
     step = BLOCK_BYTES - LENGTH + 1
     for at in range(0, len(data) - LENGTH + 1, step):
         block = data[at : at + BLOCK_BYTES]
         total = running_hash(block)
-        m = len(block) - ANCHOR + 1
-        hashes = mix((total[ANCHOR:] - total[:m]) * DOWN[:m])
+        m = len(block) - anchor + 1
+        hashes = mix((total[anchor:] - total[:m]) * DOWN[:m])
         low = np.uint64(_PLACE_BITS)
         least = (hashes >> low << low) | np.arange(m, dtype=np.uint64)
         width = 1
-        while 2 * width <= _SPAN:
+        while 2 * width <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
-        if width < _SPAN:
-            rest = _SPAN - width
+        if width < span:
+            rest = span - width
             least = np.minimum(least[:-rest], least[rest:])
         place = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
         starts = np.arange(at, at + len(place))
@@ -128,6 +133,30 @@ def _segments(known):
     return run
 
 
+def _pieces(anchor: int):
+    """Segments cut into runs of strings of one longer anchor, with its hash for a key and a salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 3, _CHUNK):
+            doc, row, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            segments = batch.column(3).to_pylist()
+            begins = np.concatenate([[0], np.cumsum([len(s) for s in segments])]).astype(np.int64)
+            data = b"".join(segments)
+            for own, first, last, key in _anchors(np.frombuffer(data, dtype=np.uint8), begins, anchor):
+                salt = mix((doc[own] ^ row[own]).view(np.uint64)) % np.uint64(SALTS)
+                columns = [
+                    pa.array(key, pa.int64()),
+                    pa.array(salt.astype(np.int32), pa.int32()),
+                    pa.array(doc[own], pa.int64()),
+                    pa.array(row[own], pa.int64()),
+                    pa.array(start[own] + first - begins[own], pa.int64()),
+                    pa.array([data[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "salt", "doc", "row", "start", "segment"])
+
+    return run
+
+
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """True where a run of rows that are equal in all columns begins."""
     new = np.ones(len(columns[0]), dtype=bool)
@@ -347,7 +376,7 @@ def repeated_ranges(docs: DataFrame, frequent: int = FREQUENT, split: int = SPLI
             often[r["block"] * 4096 : r["block"] * 4096 + 4096] = r["often"]
     any_often = any(r["has"] for r in blocks)
     known = spark.sparkContext.broadcast((bytes(bits), bytes(often) if any_often else b""))
-    segments = docs.select("doc", "row", "text").mapInArrow(_segments(known), "key long, salt int, doc long, row long, start long, segment binary")
+    segments = docs.select("doc", "row", "text").mapInArrow(_segments(known), _SEGMENT_SQL)
     parts: list[DataFrame] = []
 
     def firsts(found: DataFrame, salt: int) -> DataFrame:
@@ -356,16 +385,19 @@ def repeated_ranges(docs: DataFrame, frequent: int = FREQUENT, split: int = SPLI
 
     found = firsts(materialise(_dealt(segments), "ranges"), 0)
     if any_often:
-        distinct = firsts(materialise(_dealt(found), "distinct"), -1)
-        many = materialise(distinct.groupBy("key").count().filter(F.col("count") > split).select("key"), "many")
-        many = F.broadcast(many) if many.count() <= MOST_BROADCAST else many
-        firsts(_dealt(distinct.join(many, "key", "left_anti")), -1)
-        if not many.isEmpty():
-            cut = distinct.join(many, "key", "left_semi").withColumn("p", F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH)))
-            strings = cut.select("doc", "row", (F.col("start") + F.col("p")).alias("start"), F.substring("segment", F.col("p") + 1, F.lit(LENGTH)).alias("segment"))
-            salted = strings.withColumn("key", F.xxhash64("segment")).withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int"))
-            # A string has a first one for each salt at most; these meet by its hash.
-            firsts(_dealt(firsts(materialise(_dealt(salted), "strings"), -1)), -1)
+        for anchor in (*LONGER, None):
+            distinct = firsts(materialise(_dealt(found), "distinct"), -1)
+            many = distinct.groupBy("key").count().filter(F.col("count") > split).select("key")
+            many = materialise(many, "many") if anchor else many.limit(0)  # of whole strings, those of a key are equal, but for collisions
+            if not (n := many.count()):
+                firsts(_dealt(distinct), -1)
+                break
+            many = F.broadcast(many) if n <= MOST_BROADCAST else many
+            firsts(_dealt(distinct.join(many, "key", "left_anti")), -1)
+            crowded = distinct.join(many, "key", "left_semi").select("doc", "row", "start", "segment")
+            pieces = crowded.mapInArrow(_pieces(anchor), _SEGMENT_SQL)
+            # A piece has a first one for each salt at most; these meet without it.
+            found = firsts(materialise(_dealt(pieces), "pieces"), 0)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -320,6 +320,29 @@ def test_suffix_dedup_of_frequent_anchors(spark):
         assert got == want, (frequent, split)
 
 
+def test_segments_of_a_frequent_anchor_are_not_cut_into_strings(spark, monkeypatch):
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    noise = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    shared = noise(40)
+    rows = [(k, noise(70) + line + (shared + noise(20) if k % 10 == 0 else noise(60))) for k in range(200)]
+    dealt, real = [], suffix_dedup._dealt
+    monkeypatch.setattr(suffix_dedup, "_dealt", lambda df: dealt.append(df.count()) or real(df))
+    docs = spark.createDataFrame(rows, "doc long, text string").select("doc", F.xxhash64("text").alias("row"), "text")
+    got: dict[int, set] = {}
+    for r in suffix_dedup.repeated_ranges(docs, 20, 30).collect():
+        got.setdefault(r["doc"], set()).update(range(r["lo"], r["hi"]))
+    seen: set[str] = set()
+    want: dict[int, set] = {}
+    for doc, text in rows:
+        for k in range(len(text) - 99):
+            if text[k : k + 100] in seen:
+                want.setdefault(doc, set()).update(range(k, k + 100))
+            seen.add(text[k : k + 100])
+    assert got == want and len(want) == 19
+    assert max(dealt) <= 6 * dealt[0], dealt
+
+
 def test_copies_of_a_frequent_segment_are_not_held(monkeypatch):
     import pyarrow as pa
 
