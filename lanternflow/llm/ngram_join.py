@@ -4,7 +4,7 @@
    bitmap whose width grows with the set, and 40 keys, each of four minimum hashes. Two sets at the
    threshold share no key with a probability of (1 - 0.8**4)**40 = 7e-10. Equal sets are one node from here on.
 2. The sets of a key are cut into size bands; a set links only with sizes of its own and the two next bands.
-   All pairs are found in tiles of a part of a band against a part of such a band: the bitmaps bound the overlap
+   All pairs are found in tiles of a part of a band against a part of such a band, or of a whole key if it is no larger than a part: the bitmaps bound the overlap
    from above, (|A| + |B| - differing bits) / 2, and what the bound leaves is verified on the sorted shingle arrays.
 3. Leader tiles come first: one set of each band of a key (its leader) against all sets of the bands next to it. Of the
    leaders that the bound leaves to a set, the closest is verified. That joins nearly all of a large group.
@@ -183,7 +183,10 @@ def _forest(pairs: Iterator[tuple[float, int, int]], comp: np.ndarray) -> Iterat
 
 
 def _full_tiles(frames: Iterator[pd.DataFrame], spanning: bool) -> Iterator[pd.DataFrame]:
-    """Pairs of all tiles of a partition that is sorted by tile, or a spanning forest of each tile's. A tile that a batch ends in waits for the next one."""
+    """Pairs of all tiles of a partition that is sorted by tile, or a spanning forest of each tile's. A tile that a batch ends in waits for the next one.
+
+    guest: 0 for home rows, 1 for visiting ones, 2 for rows that are both.
+    """
     held: pd.DataFrame | None = None
 
     def pairs(f: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -191,7 +194,7 @@ def _full_tiles(frames: Iterator[pd.DataFrame], spanning: bool) -> Iterator[pd.D
         comp = f["comp"].to_numpy()
         found: set[tuple[int, int]] = set()
         for a, b in zip(cuts[:-1], cuts[1:]):
-            home, visit = np.flatnonzero(guest[a:b] == 0), np.flatnonzero(guest[a:b] == 1)
+            home, visit = np.flatnonzero(guest[a:b] != 1), np.flatnonzero(guest[a:b] != 0)
             if len(home) and len(visit) and comp[a:b].min() != comp[a:b].max():
                 near = _tile(n[a:b], comp[a:b], home, visit, sigs[a:b])
                 for _, i, j in _forest(near, comp[a:b]) if spanning else near:
@@ -305,7 +308,10 @@ def _stray_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, spanni
     tile = lambda band, h, g, guest: F.struct(band.alias("tile_band"), h.alias("h"), g.alias("g"), F.lit(guest).alias("guest"))
     visits = each("strays", lambda o: tile(F.col("band"), o, own("c"), 1))
     homes = F.concat(*(each("c", lambda o: tile(F.col("band") + k, own("strays"), o, 0)) for k in (-1, 0, 1)))  # noqa: B023
-    placed = rest.withColumn("tile", F.explode(F.when(F.col("stray"), F.concat(visits, homes)).otherwise(visits))).select("key", "node", "comp", "tile.*")
+    # A small key is one tile, so its sets travel once.
+    whole = F.array(F.struct(F.lit(0).alias("tile_band"), F.lit(0).alias("h"), F.lit(0).alias("g"), F.when(F.col("stray"), 2).otherwise(1).alias("guest")))
+    dealt = F.when(F.col("c") <= TILE_ROWS, whole).when(F.col("stray"), F.concat(visits, homes)).otherwise(visits)
+    placed = rest.withColumn("tile", F.explode(dealt)).select("key", "node", "comp", "tile.*")
     placed = placed.join(sets.select("node", "n", "sig"), "node")
     by = ["key", "tile_band", "h", "g"]
     return placed.repartition(*by).sortWithinPartitions(*by).mapInPandas(lambda frames: _full_tiles(frames, spanning), "a long, b long").distinct()

@@ -133,6 +133,16 @@ def test_cut_tiles_find_what_whole_tiles_find(spark, monkeypatch):
     assert {i: got[i] for i in comp} == comp
 
 
+def test_sets_of_a_small_key_travel_once(spark, monkeypatch):
+    import pandas as pd
+
+    members = spark.createDataFrame([(1, k, 20) for k in range(10)], "key long, node long, band int")
+    sets = spark.createDataFrame([(k, 100, bytes(64)) for k in range(10)], "node long, n long, sig binary")
+    classes = spark.createDataFrame([], "id long, comp long")
+    monkeypatch.setattr(ngram_join, "_full_tiles", lambda frames, spanning: (pd.DataFrame({"a": f["node"], "b": range(len(f))}) for f in frames))
+    assert ngram_join._stray_pairs(members, classes, sets, False).count() == 10
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (3, 9), (30, 20), (20, 25)] + [(100 + k, 101 + k) for k in range(20)]
     got = dict(by_row(ngram_join.components(spark.createDataFrame(links, "a long, b long")), "id", "comp"))
