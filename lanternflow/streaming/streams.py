@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lanternflow.functions import text as T
-from lanternflow.operators.chats import feedback_cache
+from lanternflow.operators.chats import cache_of
 from lanternflow.operators.ingest import discovered_upsert
 from lanternflow.operators.parsing import pages_to_chunks
 from lanternflow.operators.tables import KeyedTable, last_of
@@ -64,14 +64,13 @@ class FeedbackState:
         late = rows.filter(~old)
 
         def make(held: DataFrame) -> DataFrame:
-            held = materialise(held, "held")
             logged = held.filter("kind = 'log'").select(*rows.columns)
             every = logged.unionByName(late.join(logged.select("question_hash", "event_id"), ["question_hash", "event_id"], "left_anti"))
             every = materialise(every.withColumn("old", old), "log")
             base = held.filter("kind = 'base'").select(*_CACHE)
-            events = lambda df: df.withColumnsRenamed({"question_norm": "question", "answer_text": "answer"})
-            base = materialise(feedback_cache(events(every.filter("old")), base), "base")
-            state = feedback_cache(events(every.filter("not old")), base)
+            rated = lambda df: df.withColumnRenamed("answer_text", "answer")
+            base = materialise(cache_of(rated(every.filter("old")), base), "base")
+            state = cache_of(rated(every.filter("not old")), base)
             parts = [base.withColumn("kind", F.lit("base")), state.withColumn("kind", F.lit("state")), every.filter("not old").drop("old").withColumn("kind", F.lit("log"))]
             return parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True)
 

@@ -150,3 +150,12 @@ def test_previous_question_over_ranges(spark):
         got = [tuple(r) for r in C.previous_question(table, parts).select("id", "question_id", "question").collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert C.previous_question(table.limit(0)).count() == 0
+
+
+def test_a_batch_normalises_its_questions_once(spark, tmp_path, monkeypatch):
+    calls, real = [], W.T.normalize_question
+    monkeypatch.setattr(W.T, "normalize_question", lambda c: calls.append(1) or real(c))
+    state = W.FeedbackState(spark, f"file://{tmp_path}/s", late_by=10, time_type="bigint", buckets=1)
+    state.fold(spark.createDataFrame([(1, "Q  a", "x", 1, 5), (2, "q A", "y", -1, 6)], EVENTS), 0)
+    assert len(calls) == 1
+    assert [(r["question_norm"], r["good_count"], r["bad_count"], r["answer_text"]) for r in state.read().collect()] == [("q a", 1, 1, "x")]
