@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lanternflow.operators import retrieval as R
@@ -101,3 +102,17 @@ def test_short_extracts(spark):
     ranked = spark.createDataFrame([(1, 1, 0.5, 10, 0), (1, 2, 0.4, 11, 1)], "query_id long, rank long, score double, chunk_id long, extract_id long")
     extracts = spark.createDataFrame([(0, "  abcdef "), (1, None)], "extract_id long, text string")
     assert rows(R.parent_extracts(ranked, extracts, None, 3), "extract_id", "text") == [(0, "abc"), (1, "")]
+
+
+def test_near_chunks_are_scored_in_one_pass(spark, monkeypatch):
+    """Chunks that a query's essential terms leave are scored by bucket, so the passes over postings do not grow with their number."""
+    from lanternflow.operators import lexical
+
+    monkeypatch.setattr(lexical, "PAIR_BLOCK", 20)
+    monkeypatch.setattr(R.Index, "scores", lambda *_: pytest.fail("near chunks must not be joined to all postings"))
+    queries = spark.createDataFrame(QUERIES, "query_id long, text string")
+    data = texts(3, 900)
+    index = R.Index(spark.createDataFrame(data, "chunk_id long, text string").filter("chunk_id < 600"), block_postings=8)
+    index.add(spark.createDataFrame(data, "chunk_id long, text string").filter("chunk_id >= 600"))
+    index.delete(spark.range(0, 900, 11).withColumnRenamed("id", "chunk_id"))
+    assert rows(R.bm25_top_k(index, queries, 5)) == rows(R.top_k(R.bm25(index, queries), "bm25", 5))
