@@ -258,7 +258,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     near = near.unionByName(tiled.groupBy("pass", "run", "one", "two").applyInArrow(lambda t: _tile(t, kind, window), out))
 
     near = materialise(near, "links")
-    classes = components(near.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    pairs = near.filter("node != root").select(F.greatest("node", "root").alias("a"), F.least("node", "root").alias("b")).distinct()
+    classes = components(materialise(pairs, "pairs"))
     counts = near.groupBy("node").agg(F.sum("n").alias("n"))
     named = sets.select("node", "digest", "copies", "least").join(counts, "node", "left").join(classes.select(F.col("id").alias("node"), "comp"), "node", "left")
     named = named.select("digest", "copies", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp"))

@@ -249,10 +249,11 @@ def verified(pairs: DataFrame, sets: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and comp (the smallest id that links reach) of every id in links (a, b).
+    """id and comp (the smallest id that links reach) of every id in the written links (a, b).
 
     Each round takes the large star and then the small star of every node (Kiveris et al. 2014); minima are
-    aggregated before the shuffle. Each star is written, as the next one reads it twice. It ends when a round changes nothing.
+    aggregated before the shuffle. Each star is written, as the next one reads it twice. It ends when every node but the
+    smallest of its class has one edge, which leads there.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -266,17 +267,15 @@ def components(links: DataFrame) -> DataFrame:
             out = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("u != m").select("u", F.col("m").alias("v")))
         return out.filter("u != v").distinct()
 
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
     while True:
         for large in (True, False):
             edges = materialise(star(edges, large), "edges")
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if new == state:
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+        per = ends.groupBy("id").agg(F.max("up").alias("up"), F.count("*").alias("c"))
+        if not per.agg(F.count(F.when((F.col("up") > 0) & (F.col("c") > 1), 1))).first()[0]:
             break
-        state = new
-    ids = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
-    return ids.union(ids.select(F.col("comp").alias("id"), "comp").distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
 
 
 def _leaders(members: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
@@ -359,8 +358,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             new = materialise(verified(pairs, sets, source), "more_links")
             if new.isEmpty():
                 break
-            links = links.union(new)
-            classes = materialise(components(links), "classes")
+            # Classes so far are stars already, so new links alone take rounds.
+            classes = materialise(components(classes.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(new)), "classes")
             if not spanning:
                 break
     return _labelled(signed, sets, classes, list(carry))

@@ -65,3 +65,13 @@ def test_texts_of_many_megabytes(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontamination.contaminated_pairs(docs, benchmark).collect()] == [(4, 9)]
     one = packing.pack(docs.filter("doc_id in (1, 5)")).collect()
     assert all(r["length"] <= 2048 for r in one) and sum(r["length"] == 2048 for r in one if r["doc_id"] == 1) > 500
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Links that are stars take one round, and ids of classes so far are not shuffled through more of them."""
+    written = []
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name, real=ngram_join.materialise: (written.append(name), real(df, name))[1])
+    got = ngram_join.components(spark.createDataFrame([(1, k) for k in range(2, 30)] + [(k, 40) for k in range(41, 50)], "a long, b long"))
+    assert {r["id"]: r["comp"] for r in got.collect()} == {k: 1 for k in range(1, 30)} | {k: 40 for k in range(40, 50)}
+    assert written == ["edges", "edges"]
+    assert ngram_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
